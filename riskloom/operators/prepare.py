@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import uniform_of
 from ..functions.moments import skew_sample
+from ..session import cut_lineage
 from ..schema import FEATURE_COLS, KEY, SCALE_COLS, SEED, TARGET, TRAIN_RATIO
 from . import features as FE
 from .sampling import class_counts, class_weights, rank_in_class, stratified_split
@@ -184,14 +185,16 @@ def encoded_frame(features_df: DataFrame, check_levels: bool = True) -> DataFram
 
 
 def prepare(features_df: DataFrame, train_ratio: float = TRAIN_RATIO, seed: int = SEED,
-            checkpoint: bool = False) -> PreparedData:
+            checkpoint: bool = True) -> PreparedData:
     """B11→B12→B14→F2→G1→G2→G4 (SMOTE on demand via ``train_smote``)."""
     sk = features_df.agg(skew_sample("amount").alias("b"),
                          skew_sample(F.log1p("amount")).alias("a")).first()
     enc = encoded_frame(features_df)
     split = stratified_split(enc, TARGET, train_ratio, KEY, seed)
     if checkpoint:
-        split = split.checkpoint(eager=True)
+        # the split feeds the scaler, weights, SMOTE and every model: materialise it once
+        # in the cluster's checkpoint folder (reliable, survives executor loss)
+        split = cut_lineage(split)
     params = fit_scaler(split)
     weights = fit_class_weights(split)
     scaled = apply_scaler(split, params)
