@@ -1,3 +1,90 @@
-"""Registered queries."""
+"""Registered queries: sources, sinks and reports.
 
-from .registry import register  # noqa: F401
+Sinks write to a fresh folder under the session's checkpoint directory and return the
+read-back DataFrame (rows-only checks); report numbers have DuckDB oracles.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..operators import prepare as P
+from ..sources import io as IO
+from ..session import ensure_checkpoint_dir
+from .inputs import feat, tx
+from .oracle_base import with_split, with_tx
+from .registry import register
+from .reports import eda_report, feature_metadata
+
+
+def _scratch(spark, name):
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/sink-{name}-{uuid.uuid4().hex[:8]}"
+
+
+@register("csv_roundtrip", with_tx("SELECT txn_id, type, amount, isFraud FROM transactions"))
+def q_csv_roundtrip(spark, sf):                           # A1 + A2 + A4 + A10 (semicolon CSV, padded names)
+    path = _scratch(spark, "csv")
+    df = tx(spark, sf).select(F.col("txn_id").alias(" txn_id "), "type", "amount", "isFraud")
+    df.write.option("header", True).option("sep", ";").csv(path)
+    back = IO.read_delimited(spark, path, schema="txn_id bigint, type string, amount double, isFraud int")
+    return back
+
+
+@register("parquet_roundtrip", with_tx("SELECT txn_id, step, type FROM transactions"))
+def q_parquet_roundtrip(spark, sf):                       # A2 parquet dispatch
+    path = _scratch(spark, "pq") + ".parquet"
+    tx(spark, sf).select("txn_id", "step", "type").write.parquet(path)
+    return IO.load_table(spark, path)
+
+
+@register("write_splits", with_split(
+    "SELECT split, CAST(count(*) AS BIGINT) AS rows, CAST(sum(isFraud) AS BIGINT) AS frauds FROM split_rows GROUP BY split"))
+def q_write_splits(spark, sf):                            # A6 + A12
+    out = _scratch(spark, "splits")
+    p = P.prepare(feat(spark, sf))
+    IO.write_splits(p.data, out)
+    back = IO.load_prepared(spark, out)
+    return back.groupBy("split").agg(F.count(F.lit(1)).cast("bigint").alias("rows"),
+                                     F.sum("isFraud").cast("bigint").alias("frauds"))
+
+
+@register("feature_metadata", with_split(
+    """SELECT CAST(count_if(split = 'train' AND isFraud = 1) AS BIGINT) AS n_train_fraud,
+       CAST(count_if(split = 'val' AND isFraud = 1) AS BIGINT) AS n_val_fraud,
+       CAST(count_if(split = 'test' AND isFraud = 1) AS BIGINT) AS n_test_fraud,
+       CAST(floor(count_if(split = 'train' AND isFraud = 0) / count_if(split = 'train' AND isFraud = 1)) AS BIGINT)
+         AS imbalance_ratio,
+       round(count_if(split = 'train' AND isFraud = 1) * 100.0 / count_if(split = 'train'), 6) AS fraud_rate_train_pct
+FROM split_rows"""))
+def q_feature_metadata(spark, sf):                        # A7 (numbers)
+    return feature_metadata(P.prepare(feat(spark, sf)).data)
+
+
+@register("eda_report")
+def q_eda_report(spark, sf):                              # A9 (nested row; numbers checked per operator)
+    return eda_report(tx(spark, sf), feat(spark, sf))
+
+
+@register("write_scores")
+def q_write_scores(spark, sf):                            # A14 + A13 params round trip
+    out = _scratch(spark, "scores")
+    p = P.prepare(feat(spark, sf))
+    scored = p.data.withColumn("score", F.col("log_amount"))
+    IO.write_scores(scored, out)
+    IO.save_params(spark, {"scaler": p.scaler, "weights": {str(k): v for k, v in p.weights.items()}},
+                   out + "-params")
+    assert IO.load_params(spark, out + "-params")["weights"]
+    return spark.read.parquet(out)
+
+
+@register("stream_features", with_tx(
+    "SELECT txn_id, step, hour, day, week, high_risk_hour, is_transfer_or_cashout, balance_diff_orig, "
+    "dest_zero_balance, isFraud FROM features"))
+def q_stream_features(spark, sf):                         # row-local subset on a file-source stream
+    from ..streaming.scoring import read_events_stream, run_available, stream_features
+    s = stream_features(read_events_stream(spark, sf)).select(
+        "txn_id", "step", "hour", "day", "week", "high_risk_hour", "is_transfer_or_cashout",
+        "balance_diff_orig", "dest_zero_balance", "isFraud")
+    return run_available(s)
