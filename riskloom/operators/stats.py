@@ -163,6 +163,30 @@ def flag_baseline_metrics(df: DataFrame, flag: str = FLAG, label: str = TARGET,
                     F.round(f1, digits).alias("f1"))
 
 
+def pearson(df: DataFrame, pairs) -> dict:
+    """Pearson correlation of many column pairs in two cheap passes.
+
+    Pass 1: means; pass 2: centred cross/self products as plain sums.  One wide
+    ``corr`` aggregate per pair compiles into very large generated code; sums of
+    centred products keep the aggregate small and are numerically stable.
+    """
+    cols = sorted({c for p in pairs for c in p})
+    src = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    means = src.agg(*[F.avg(c).alias(c) for c in cols]).first()
+    cen = {c: F.col(c) - F.lit(float(means[c]) if means[c] is not None else 0.0) for c in cols}
+    prods = sorted({tuple(sorted(p)) for p in pairs} | {(c, c) for c in cols})
+    sums = src.agg(*[F.sum(cen[a] * cen[b]).alias(f"{a}__{b}") for a, b in prods]).first()
+
+    def one(a, b):
+        a2, b2 = sorted((a, b))
+        sxy, sxx, syy = sums[f"{a2}__{b2}"], sums[f"{a}__{a}"], sums[f"{b}__{b}"]
+        if sxy is None or not sxx or not syy:
+            return None
+        return sxy / (sxx ** 0.5 * syy ** 0.5)
+
+    return {(a, b): one(a, b) for a, b in pairs}
+
+
 def feature_label_corr(df: DataFrame, feature: str, label: str = TARGET,
                        digits: int = 6) -> DataFrame:                                  # D13
     return df.agg(F.round(F.corr(F.col(feature).cast("double"), F.col(label).cast("double")),
@@ -171,15 +195,13 @@ def feature_label_corr(df: DataFrame, feature: str, label: str = TARGET,
 
 def correlation_ranking(df: DataFrame, features=None, label: str = TARGET,
                         digits: int = 6) -> DataFrame:                                 # D14
-    """Pearson correlation of each feature with the label, ranked by |corr| (one agg)."""
+    """Pearson correlation of each feature with the label, ranked by |corr|."""
     features = list(CORRELATION_FEATURES if features is None else features)
-    wide = df.agg(*[F.corr(F.col(f).cast("double"), F.col(label).cast("double")).alias(f)
-                    for f in features])
-    return (wide.select(_unpivot_struct(features, lambda f: F.struct(
-                F.lit(f).alias("feature"), F.col(f).alias("corr"))).alias("u"))
-            .select("u.feature", F.round("u.corr", digits).alias("corr"),
-                    F.round(F.abs("u.corr"), digits).alias("abs_corr"))
-            .orderBy(F.desc("abs_corr"), "feature"))
+    r = pearson(df, [(f, label) for f in features])
+    rows = [(f, None if r[(f, label)] is None else round(r[(f, label)], digits),
+             None if r[(f, label)] is None else round(abs(r[(f, label)]), digits)) for f in features]
+    out = df.sparkSession.createDataFrame(rows, "feature string, corr double, abs_corr double")
+    return out.orderBy(F.desc("abs_corr"), "feature")
 
 
 def numeric_correlation_ranking(df: DataFrame, label: str = TARGET, digits: int = 6) -> DataFrame:  # D15
@@ -188,14 +210,12 @@ def numeric_correlation_ranking(df: DataFrame, label: str = TARGET, digits: int
 
 
 def correlation_matrix(df: DataFrame, columns=None, digits: int = 6) -> DataFrame:     # D16
-    """All pairwise Pearson correlations in one aggregation, as long rows."""
+    """All pairwise Pearson correlations (two passes), as long rows."""
     columns = list(MATRIX_COLS if columns is None else columns)
     pairs = [(a, b) for a in columns for b in columns]
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}")
-                    for a, b in pairs])
-    return wide.select(_unpivot_struct(pairs, lambda p: F.struct(
-        F.lit(p[0]).alias("row"), F.lit(p[1]).alias("col"), F.col(f"{p[0]}__{p[1]}").alias("corr"))
-    ).alias("u")).select("u.row", "u.col", F.round("u.corr", digits).alias("corr"))
+    r = pearson(df, pairs)
+    rows = [(a, b, None if r[(a, b)] is None else round(r[(a, b)], digits)) for a, b in pairs]
+    return df.sparkSession.createDataFrame(rows, "row string, col string, corr double")
 
 
 def flag_rate_table(df: DataFrame, flags=("is_transfer_or_cashout", "dest_zero_balance",
