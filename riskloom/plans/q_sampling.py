@@ -105,7 +105,8 @@ def q_fit_scaler(spark, sf):                              # G1
 
 
 @register("apply_scaler", with_split(
-    "SELECT txn_id, split, " + ", ".join(f"round({c}, 6) AS {c}" for c in SCALE_COLS) + " FROM scaled"))
+    "SELECT txn_id, split, " + ", ".join(f"round({c}, 6) + CAST(0 AS DOUBLE) AS {c}" for c in SCALE_COLS)
+    + " FROM scaled"))
 def q_apply_scaler(spark, sf):                            # G2
     return prepared(spark, sf).data.select(
         "txn_id", "split", *[F.round(c, 6).alias(c) for c in SCALE_COLS])
@@ -167,7 +168,7 @@ def q_smote_quality(spark, sf):                           # C14
 
 @register("prepare_summary", with_split(
     """SELECT split, CAST(count(*) AS BIGINT) AS rows, CAST(sum(isFraud) AS BIGINT) AS frauds,
-       round(avg(log_amount), 6) AS mean_log_amount FROM scaled GROUP BY split"""))
+       round(avg(log_amount), 6) + CAST(0 AS DOUBLE) AS mean_log_amount FROM scaled GROUP BY split"""))
 def q_prepare_summary(spark, sf):                         # G5 composition
     d = prepared(spark, sf).data
     return d.groupBy("split").agg(F.count(F.lit(1)).cast("bigint").alias("rows"),
