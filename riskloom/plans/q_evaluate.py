@@ -260,3 +260,39 @@ def q_test_at_val(spark, sf):                             # I15
     SCORED_CTE))
 def q_chance_line(spark, sf):                             # J6
     return _val(spark, sf).groupBy("model").agg(F.round(F.avg("isFraud"), 8).alias("chance_rate"))
+
+
+def _rule_metrics(spark, sf):
+    return EV.fraud_metrics(_val(spark, sf), 0.5, by=["model"])
+
+
+@register("metrics_union", with_split(_METRICS_SQL, SCORED_CTE))
+def q_metrics_union(spark, sf):                           # E4: one metrics row per model, unioned
+    from ..operators.relations import metrics_union
+    v = _val(spark, sf)
+    parts = [EV.fraud_metrics(v.filter(F.col("model") == m), 0.5, model=m)
+             for m in ["amount_score", "risk_score", "diff_score"]]
+    return metrics_union(*parts)
+
+
+@register("rank_models", with_split(
+    "SELECT model, recall, precision, f1 FROM (" + _METRICS_SQL + ")", SCORED_CTE))
+def q_rank_models(spark, sf):                             # E6
+    from ..operators.relations import rank_models
+    return rank_models(_rule_metrics(spark, sf)).select("model", "recall", "precision", "f1")
+
+
+@register("best_model", with_split(
+    "SELECT model, f1 FROM (" + _METRICS_SQL + ") ORDER BY f1 DESC, model LIMIT 1", SCORED_CTE))
+def q_best_model(spark, sf):                              # E7
+    from ..operators.relations import best_model
+    return best_model(_rule_metrics(spark, sf)).select("model", "f1")
+
+
+@register("delta_vs_model", with_split(
+    """SELECT m.model, m.recall, m.f1, m.pr_auc, m.recall - r.recall AS delta_recall, m.f1 - r.f1 AS delta_f1,
+       coalesce(m.pr_auc, 0) - coalesce(r.pr_auc, 0) AS delta_pr_auc
+FROM (""" + _METRICS_SQL + """) m, (SELECT * FROM (""" + _METRICS_SQL + """) WHERE model = 'amount_score') r""",
+    SCORED_CTE))
+def q_delta_vs_model(spark, sf):                          # I13
+    return EV.delta_vs_model(_rule_metrics(spark, sf), "amount_score")

@@ -15,8 +15,9 @@ from ..sources import io as IO
 from ..session import ensure_checkpoint_dir
 from .inputs import feat, tx
 from .oracle_base import with_split, with_tx
+from .q_evaluate import _METRICS_SQL as METRICS_SQL, SCORED_CTE
 from .registry import register
-from .reports import eda_report, feature_metadata
+from .reports import eda_report, feature_metadata, prep_report
 
 
 def _scratch(spark, name):
@@ -88,3 +89,68 @@ def q_stream_features(spark, sf):                         # row-local subset on
         "txn_id", "step", "hour", "day", "week", "high_risk_hour", "is_transfer_or_cashout",
         "balance_diff_orig", "dest_zero_balance", "isFraud")
     return run_available(s)
+
+
+@register("prep_report", with_split(
+    """SELECT CAST(count_if(split = 'train') AS BIGINT) AS n_train, CAST(count_if(split = 'val') AS BIGINT) AS n_val,
+       CAST(count_if(split = 'test') AS BIGINT) AS n_test,
+       CAST(count_if(split = 'train' AND isFraud = 1) AS BIGINT) AS fraud_train,
+       CAST(count_if(split = 'val' AND isFraud = 1) AS BIGINT) AS fraud_val,
+       CAST(count_if(split = 'test' AND isFraud = 1) AS BIGINT) AS fraud_test,
+       round(count_if(split = 'train') / (2.0 * count_if(split = 'train' AND isFraud = 0)), 9) AS weight_0,
+       round(count_if(split = 'train') / (2.0 * count_if(split = 'train' AND isFraud = 1)), 9) AS weight_1,
+       (SELECT round(skewness(amount), 6) FROM features) AS skew_before,
+       (SELECT round(skewness(ln(1 + amount)), 6) FROM features) AS skew_after
+FROM split_rows"""))
+def q_prep_report(spark, sf):                             # A8
+    from ..operators import sampling as SA
+    f = feat(spark, sf)
+    return prep_report(SA.stratified_split(P.encoded_frame(f)), f)
+
+
+_DESCRIBE_COLS = ["step", "amount", "isFraud"]
+
+
+@register("summary_csv", with_tx(
+    """SELECT "column", CAST(count(v) AS BIGINT) AS count, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std,
+       round(min(v), 4) AS min, round(quantile_cont(v, 0.25), 4) AS p25, round(quantile_cont(v, 0.5), 4) AS p50,
+       round(quantile_cont(v, 0.75), 4) AS p75, round(max(v), 4) AS max
+FROM (UNPIVOT (SELECT CAST(step AS DOUBLE) AS step, amount, CAST(isFraud AS DOUBLE) AS isFraud FROM transactions)
+      ON step, amount, isFraud INTO NAME "column" VALUE v) GROUP BY "column\""""))
+def q_summary_csv(spark, sf):                             # A10 (describe → CSV → read back)
+    from ..operators import stats as S
+    path = _scratch(spark, "summary")
+    IO.write_csv(S.describe(tx(spark, sf), _DESCRIBE_COLS), path)
+    return spark.read.option("header", True).schema(
+        "column string, count bigint, mean double, std double, min double, p25 double, p50 double, "
+        "p75 double, max double").csv(path)
+
+
+@register("model_report_json", with_split(
+    "SELECT model, recall, precision, f1, roc_auc, pr_auc, tp, fp, fn, tn FROM (" + METRICS_SQL + ")", SCORED_CTE))
+def q_model_report(spark, sf):                            # A11 (metrics rows → JSON → read back)
+    from ..operators import evaluate as EV
+    from .q_evaluate import scored_long
+    path = _scratch(spark, "report")
+    m = EV.fraud_metrics(scored_long(spark, sf).filter(F.col("split") == "val"), 0.5, by=["model"])
+    IO.write_json_row(m.select("model", "recall", "precision", "f1", "roc_auc", "pr_auc", "tp", "fp", "fn", "tn"),
+                      path)
+    return spark.read.schema("model string, recall double, precision double, f1 double, roc_auc double, "
+                             "pr_auc double, tp bigint, fp bigint, fn bigint, tn bigint").json(path)
+
+
+@register("model_save_load")
+def q_model_save_load(spark, sf):                         # A13: fit, save, load, identical scores
+    from ..operators import evaluate as EV
+    from ..operators import models as M
+    p = P.prepare(feat(spark, sf))
+    model = M.fit_logistic(P.with_weight(p.split("train"), p.weights))
+    path = _scratch(spark, "lr-model")
+    IO.save_model(model, path)
+    loaded = IO.load_model(path)
+    a = M.score(model, p.split("test")).select("txn_id", F.col("score").alias("a"))
+    b = M.score(loaded, p.split("test")).select("txn_id", F.col("score").alias("b"))
+    diff = a.join(b, "txn_id").agg(F.max(F.abs(F.col("a") - F.col("b")))).first()[0]
+    if diff is None or diff > 0:
+        raise AssertionError(f"reloaded model scores differ by {diff}")
+    return EV.fraud_metrics(M.score(loaded, p.split("test")), 0.5, model="LR_balanced_reloaded")

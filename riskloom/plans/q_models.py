@@ -184,3 +184,12 @@ def q_autoencoder(spark, sf):                             # H7(b) + H8 + H14 + I
                     .select("txn_id", "split", "isFraud", "error"))
     t = EV.grid_threshold(d.filter(F.col("split") == "val"), score="error").first()["threshold"]
     return EV.fraud_metrics(d.filter(F.col("split") == "test"), t, score="error", model="AutoEncoder")
+
+
+@register("autoencoder_history")
+def q_autoencoder_history(spark, sf):                     # H14: per-epoch loss / val loss, best epoch flagged
+    p = prepared(spark, sf)
+    ae = RC.fit_autoencoder(p.train_normal(), epochs=15)
+    h = RC.training_history(spark, ae)
+    best = h.agg(F.min_by("epoch", "val_loss").alias("best_epoch"))
+    return h.crossJoin(best).withColumn("is_best", F.col("epoch") == F.col("best_epoch")).drop("best_epoch")

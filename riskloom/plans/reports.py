@@ -42,3 +42,21 @@ def eda_report(tx: DataFrame, feat: DataFrame) -> DataFrame:
     rr = S.risk_ratio(feat).select(F.struct("*").alias("temporal"))
     net = mule_overlap(tx).select(F.struct("*").alias("network"))
     return cd.crossJoin(fb).crossJoin(bt).crossJoin(rr).crossJoin(net)   # five one-row frames
+
+
+def prep_report(split_df: DataFrame, features_df: DataFrame, label: str = TARGET,
+                digits: int = 6) -> DataFrame:                                         # A8
+    """Split sizes, fraud counts, balanced class weights (train) and the skewness of
+    ``amount`` before / after ``log1p`` — one row from two single-pass aggregates."""
+    from ..functions.moments import skew_sample
+    y = F.col(label)
+    a = split_df.agg(
+        *[F.count_if(F.col("split") == s).cast("bigint").alias(f"n_{s}") for s in ["train", "val", "test"]],
+        *[F.count_if((F.col("split") == s) & (y == 1)).cast("bigint").alias(f"fraud_{s}")
+          for s in ["train", "val", "test"]])
+    a = a.withColumns({
+        "weight_0": F.round(F.col("n_train") / (2.0 * (F.col("n_train") - F.col("fraud_train"))), 9),
+        "weight_1": F.round(F.col("n_train") / (2.0 * F.col("fraud_train")), 9)})
+    sk = features_df.agg(F.round(skew_sample("amount"), digits).alias("skew_before"),
+                         F.round(skew_sample(F.log1p("amount")), digits).alias("skew_after"))
+    return a.crossJoin(sk)          # two one-row frames
