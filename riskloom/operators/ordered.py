@@ -73,11 +73,18 @@ def exact_quantiles(df: DataFrame, columns, probs, by=()) -> DataFrame:
             for c in columns])).alias("_s"),
     ).select(*by, "_s.column", "_s.value", "_s.bucket") \
      .filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    bucket_counts = long.groupBy(*by, "column", "bucket").count().collect()   # ≤ groups·cols·1024
     per_group: dict = {}
-    for r in bucket_counts:
-        key = tuple(r[k] for k in by) + (r["column"],)
-        per_group.setdefault(key, []).append((r["bucket"], r["count"]))
+    if _n_buckets(n_total) == 1:
+        # single bucket: the per-group counts above are the bucket counts
+        for r in count_rows:
+            for c in columns:
+                if r[c]:
+                    per_group[tuple(r[k] for k in by) + (c,)] = [(0, r[c])]
+    else:
+        bucket_counts = long.groupBy(*by, "column", "bucket").count().collect()   # ≤ groups·cols·1024
+        for r in bucket_counts:
+            key = tuple(r[k] for k in by) + (r["column"],)
+            per_group.setdefault(key, []).append((r["bucket"], r["count"]))
     need_rows, frac_rows = [], []
     for key, lst in per_group.items():
         lst.sort()
@@ -153,10 +160,14 @@ def running_totals(df: DataFrame, order_col: str, sum_cols, by=(), descending: b
     sum_cols = [sum_cols] if isinstance(sum_cols, str) else list(sum_cols)
     by = list(by)
     spark = df.sparkSession
-    n = df.count()
+    first = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(c) for c in sum_cols]).collect()
+    n = sum(r["_n"] for r in first)                 # one row per group
     src, nb = bucketize(df, [order_col], n)
     src = src.withColumn("_bucket", F.col(f"_b_{order_col}").cast("int")).drop(f"_b_{order_col}")
-    tot_rows = src.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()
+    if _n_buckets(n) == 1:
+        tot_rows = [{**{k: r[k] for k in by}, "_bucket": 0, **{c: r[c] for c in sum_cols}} for r in first]
+    else:
+        tot_rows = src.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()
     groups: dict = {}
     for r in tot_rows:
         groups.setdefault(tuple(r[k] for k in by), []).append(r)

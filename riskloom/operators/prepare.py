@@ -186,16 +186,30 @@ def encoded_frame(features_df: DataFrame, check_levels: bool = True) -> DataFram
 
 def prepare(features_df: DataFrame, train_ratio: float = TRAIN_RATIO, seed: int = SEED,
             checkpoint: bool = True) -> PreparedData:
-    """B11→B12→B14→F2→G1→G2→G4 (SMOTE on demand via ``train_smote``)."""
-    sk = features_df.agg(skew_sample("amount").alias("b"),
-                         skew_sample(F.log1p("amount")).alias("a")).first()
-    enc = encoded_frame(features_df)
-    split = stratified_split(enc, TARGET, train_ratio, KEY, seed)
+    """B11→B12→B14→F2→G1→G2→G4 (SMOTE on demand via ``train_smote``).
+
+    Driver round trips are merged: one pass gives the skews, the type levels and the
+    class counts; one pass over the (checkpointed) split gives scaler and weights.
+    """
+    from ..schema import TYPE_LEVELS
+    pre = features_df.agg(skew_sample("amount").alias("b"), skew_sample(F.log1p("amount")).alias("a"),
+                          F.collect_set("type").alias("levels"),       # ≤ 5 distinct levels
+                          F.count_if(F.col(TARGET) == 0).alias("n0"),
+                          F.count_if(F.col(TARGET) == 1).alias("n1")).first()
+    missing = sorted(set(TYPE_LEVELS) - set(pre["levels"]))
+    if missing:
+        raise ValueError(f"type levels missing after one-hot encoding: {missing}")
+    counts = {c: n for c, n in ((0, pre["n0"]), (1, pre["n1"])) if n}
+    enc = encoded_frame(features_df, check_levels=False)
+    split = stratified_split(enc, TARGET, train_ratio, KEY, seed, counts=counts)
     if checkpoint:
         # the split feeds the scaler, weights, SMOTE and every model: materialise it once
         # in the cluster's checkpoint folder (reliable, survives executor loss)
         split = cut_lineage(split)
-    params = fit_scaler(split)
-    weights = fit_class_weights(split)
+    train = split.filter(F.col("split") == "train")
+    row = train.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in SCALE_COLS],
+                    F.count_if(F.col(TARGET) == 0).alias("_n0"), F.count_if(F.col(TARGET) == 1).alias("_n1")).first()
+    params = {c: (row[c]["m"], row[c]["s"]) for c in SCALE_COLS}
+    weights = class_weights({c: n for c, n in ((0, row["_n0"]), (1, row["_n1"])) if n})
     scaled = apply_scaler(split, params)
-    return PreparedData(scaled, params, weights, sk["b"], sk["a"])
+    return PreparedData(scaled, params, weights, pre["b"], pre["a"])

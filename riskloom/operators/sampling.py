@@ -185,8 +185,9 @@ def stratified_sample(df: DataFrame, n: int, label: str = TARGET, key: str = KEY
 
 
 def stratified_split(df: DataFrame, label: str = TARGET, train_ratio: float = TRAIN_RATIO,
-                     key: str = KEY, seed: int = SEED, out: str = "split") -> DataFrame:  # F2
-    counts = class_counts(df, label)
+                     key: str = KEY, seed: int = SEED, out: str = "split",
+                     counts: dict | None = None) -> DataFrame:                           # F2
+    counts = counts or class_counts(df, label)
     q = split_quotas(counts, train_ratio)
     cuts = {c: [(tr, "train"), (tr + va, "val"), (tr + va + te, "test")] for c, (tr, va, te) in q.items()}
     return tag_by_rank(df, label, cuts, out, key, seed, counts)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate as EV
 from ..operators import sampling as SA
+from ..session import cut_lineage
 from .inputs import feat
 from .oracle_base import with_split
 from .registry import register
@@ -27,8 +28,11 @@ def scored_long(spark, sf):
     }
     arr = F.array(*[F.struct(F.lit(k).alias("model"), v.cast("double").alias("score"))
                     for k, v in scores.items()])
-    return df.select("txn_id", "split", "isFraud", F.explode(arr).alias("m")) \
+    out = df.select("txn_id", "split", "isFraud", F.explode(arr).alias("m")) \
         .select("txn_id", "split", "isFraud", "m.model", "m.score")
+    # val and test curves, thresholds and metrics all reuse the scored split: materialise
+    # it once in the checkpoint folder instead of re-deriving the split in every job
+    return cut_lineage(out)
 
 
 SCORED_CTE = """
