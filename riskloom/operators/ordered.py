@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
+
 ROWS_PER_BUCKET = 100_000
 MAX_BUCKETS = 1024
 APPROX_ACCURACY = 10_000
@@ -64,6 +66,10 @@ def exact_quantiles(df: DataFrame, columns, probs, by=()) -> DataFrame:
     counts = src.groupBy(*by).agg(*[F.count(F.when(~F.isnan(c), True)).alias(c) for c in columns])
     count_rows = counts.collect()             # one row per group (bounded by the group count)
     n_total = max([sum(r[c] for r in count_rows) for c in columns] + [0])
+    if _n_buckets(n_total) > 1:
+        # three more passes follow (cut points, bucket counts, ranks): materialise the
+        # projected columns once instead of re-deriving the input each time
+        src = cut_lineage(src)
     src, _ = bucketize(src, columns, n_total)
     long = src.select(
         *by,
@@ -162,6 +168,8 @@ def running_totals(df: DataFrame, order_col: str, sum_cols, by=(), descending: b
     spark = df.sparkSession
     first = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(c) for c in sum_cols]).collect()
     n = sum(r["_n"] for r in first)                 # one row per group
+    if _n_buckets(n) > 1:
+        df = cut_lineage(df)                         # reused by three more passes
     src, nb = bucketize(df, [order_col], n)
     src = src.withColumn("_bucket", F.col(f"_b_{order_col}").cast("int")).drop(f"_b_{order_col}")
     if _n_buckets(n) == 1:

@@ -97,7 +97,8 @@ def top_suspect_features(df: DataFrame, det: LinearDetector, n: int = 3, out: st
 
     pairs = F.array(*[F.struct((-mag(i)).alias("neg_err"), F.lit(c).alias("name"))
                       for i, c in enumerate(det.feature_cols)])
-    top = F.transform(F.slice(F.array_sort(pairs), 1, n), lambda s: s["name"])
+    # sort_array + struct-field extraction stay in codegen (no higher-order lambdas)
+    top = F.slice(F.sort_array(pairs, asc=True), 1, n).getField("name")
     return e.withColumn(out, top).drop("_d")
 
 
@@ -228,7 +229,7 @@ def fit_autoencoder(normal: DataFrame, feature_cols=None, epochs: int = 100, bat
     feature_cols = list(FEATURE_COLS if feature_cols is None else feature_cols)
     layers = [len(feature_cols), 10, 7, 4, 7, 10, len(feature_cols)]
     split = tail_validation_split(normal.select(key, *feature_cols), val_frac, key, seed)
-    fit_part = split.filter(F.col("is_holdout") == 0).drop("is_holdout").cache()
+    fit_part = split.filter(F.col("is_holdout") == 0).drop("is_holdout").cache()   # re-read every epoch
     hold = split.filter(F.col("is_holdout") == 1).drop("is_holdout").cache()
     ws = _init(layers, seed)
     best, best_loss, stale, lr_stale, history = ws, np.inf, 0, 0, []
@@ -263,10 +264,18 @@ def fit_autoencoder(normal: DataFrame, feature_cols=None, epochs: int = 100, bat
             if n_tot:
                 yield pd.DataFrame({"n": [n_tot], "w": [_flatten(w).tolist()], "loss": [loss_sum / n_tot]})
 
-        parts = fit_part.mapInPandas(local_epoch, out_schema).collect()   # one row per partition
-        n_all = sum(r["n"] for r in parts)
-        ws = _unflatten(sum(np.asarray(r["w"]) * r["n"] for r in parts) / n_all, layers)
-        train_loss = sum(r["loss"] * r["n"] for r in parts) / n_all
+        # row-weighted average of the partition weights, reduced on the executors:
+        # exploded (position, n·w) rows with map-side partial sums → len(weights) rows
+        parts = fit_part.mapInPandas(local_epoch, out_schema)
+        tot = parts.agg(F.sum("n").alias("n"), F.sum(F.col("loss") * F.col("n")).alias("l")).first()
+        summed = parts.select(F.posexplode("w").alias("pos", "w"), "n") \
+            .groupBy("pos").agg(F.sum(F.col("w") * F.col("n")).alias("s")).collect()
+        vec = np.zeros(len(flat))
+        for r in summed:
+            vec[r["pos"]] = r["s"]
+        n_all = tot["n"]
+        ws = _unflatten(vec / n_all, layers)
+        train_loss = tot["l"] / n_all
         val_loss = _mean_error(hold, feature_cols, ws)
         history.append({"epoch": epoch, "loss": train_loss, "val_loss": val_loss, "lr": lr})
         if val_loss < best_loss - 1e-12:

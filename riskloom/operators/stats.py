@@ -164,27 +164,37 @@ def flag_baseline_metrics(df: DataFrame, flag: str = FLAG, label: str = TARGET,
 
 
 def pearson(df: DataFrame, pairs) -> dict:
-    """Pearson correlation of many column pairs in two cheap passes.
+    """Pearson correlation of many column pairs on pairwise-complete rows (as pandas).
 
-    Pass 1: means; pass 2: centred cross/self products as plain sums.  One wide
-    ``corr`` aggregate per pair compiles into very large generated code; sums of
-    centred products keep the aggregate small and are numerically stable.
+    Two cheap passes: per-pair means, then per-pair centred cross/self products as plain
+    sums.  One wide ``corr`` aggregate per pair compiles into very large generated code;
+    sums of centred products keep the aggregate small and are numerically stable.
     """
-    cols = sorted({c for p in pairs for c in p})
-    src = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).dropna()
-    means = src.agg(*[F.avg(c).alias(c) for c in cols]).first()
-    cen = {c: F.col(c) - F.lit(float(means[c]) if means[c] is not None else 0.0) for c in cols}
-    prods = sorted({tuple(sorted(p)) for p in pairs} | {(c, c) for c in cols})
-    sums = src.agg(*[F.sum(cen[a] * cen[b]).alias(f"{a}__{b}") for a, b in prods]).first()
-
-    def one(a, b):
-        a2, b2 = sorted((a, b))
-        sxy, sxx, syy = sums[f"{a2}__{b2}"], sums[f"{a}__{a}"], sums[f"{b}__{b}"]
-        if sxy is None or not sxx or not syy:
-            return None
-        return sxy / (sxx ** 0.5 * syy ** 0.5)
-
-    return {(a, b): one(a, b) for a, b in pairs}
+    pairs = list(pairs)
+    uniq = sorted({tuple(sorted(p)) for p in pairs})          # corr is symmetric
+    both = {p: F.col(p[0]).isNotNull() & F.col(p[1]).isNotNull() for p in uniq}
+
+    def x(c):
+        return F.col(c).cast("double")
+
+    mrow = df.agg(*[F.struct(F.avg(F.when(both[p], x(p[0]))).alias("a"),
+                             F.avg(F.when(both[p], x(p[1]))).alias("b")).alias(f"m{i}")
+                    for i, p in enumerate(uniq)]).first()
+    aggs = []
+    for i, (a_, b_) in enumerate(uniq):
+        ma, mb = mrow[f"m{i}"]["a"], mrow[f"m{i}"]["b"]
+        if ma is None:
+            ma = mb = 0.0
+        da, db = x(a_) - F.lit(float(ma)), x(b_) - F.lit(float(mb))
+        aggs.append(F.struct(F.sum(F.when(both[(a_, b_)], da * db)).alias("xy"),
+                             F.sum(F.when(both[(a_, b_)], da * da)).alias("xx"),
+                             F.sum(F.when(both[(a_, b_)], db * db)).alias("yy")).alias(f"s{i}"))
+    srow = df.agg(*aggs).first()
+    out = {}
+    for i, p in enumerate(uniq):
+        sxy, sxx, syy = srow[f"s{i}"]["xy"], srow[f"s{i}"]["xx"], srow[f"s{i}"]["yy"]
+        out[p] = None if sxy is None or not sxx or not syy else sxy / (sxx ** 0.5 * syy ** 0.5)
+    return {tuple(p): out[tuple(sorted(p))] for p in pairs}
 
 
 def feature_label_corr(df: DataFrame, feature: str, label: str = TARGET,
