@@ -87,9 +87,9 @@ def encode_type(df: DataFrame, levels=None, check: bool = True) -> DataFrame:
     """
     levels = sorted(TYPE_LEVELS if levels is None else levels)
     if check:
-        present = {r[0] for r in df.select("type").distinct().collect()}
-        # distinct on a 5-level column: the result is bounded by the level count
-        missing = [lvl for lvl in levels if lvl not in present]
+        # one count per expected level: bounded by the level list whatever the column holds
+        row = df.agg(*[F.count_if(F.col("type") == lvl).alias(lvl) for lvl in levels]).first()
+        missing = [lvl for lvl in levels if not row[lvl]]
         if missing:
             raise ValueError(f"type levels missing after one-hot encoding: {missing}")
     cols = [c for c in df.columns if c != "type"]

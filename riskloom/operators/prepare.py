@@ -193,10 +193,10 @@ def prepare(features_df: DataFrame, train_ratio: float = TRAIN_RATIO, seed: int
     """
     from ..schema import TYPE_LEVELS
     pre = features_df.agg(skew_sample("amount").alias("b"), skew_sample(F.log1p("amount")).alias("a"),
-                          F.collect_set("type").alias("levels"),       # ≤ 5 distinct levels
+                          *[F.count_if(F.col("type") == lvl).alias(f"lvl_{lvl}") for lvl in TYPE_LEVELS],
                           F.count_if(F.col(TARGET) == 0).alias("n0"),
                           F.count_if(F.col(TARGET) == 1).alias("n1")).first()
-    missing = sorted(set(TYPE_LEVELS) - set(pre["levels"]))
+    missing = [lvl for lvl in TYPE_LEVELS if not pre[f"lvl_{lvl}"]]
     if missing:
         raise ValueError(f"type levels missing after one-hot encoding: {missing}")
     counts = {c: n for c, n in ((0, pre["n0"]), (1, pre["n1"])) if n}
