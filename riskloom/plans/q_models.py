@@ -193,3 +193,19 @@ def q_autoencoder_history(spark, sf):                     # H14: per-epoch loss
     h = RC.training_history(spark, ae)
     best = h.agg(F.min_by("epoch", "val_loss").alias("best_epoch"))
     return h.crossJoin(best).withColumn("is_best", F.col("epoch") == F.col("best_epoch")).drop("best_epoch")
+
+
+@register("stream_scoring", with_split(
+    "SELECT txn_id, round(1 / (1 + exp(-" + _sum_sql(
+        [f"{c} * CAST({w!r} AS DOUBLE)" for c, w in FIXED_COEF.items()]).replace(
+        "CAST(0 AS DOUBLE)", f"CAST({FIXED_INTERCEPT!r} AS DOUBLE)", 1) + ")), 6) AS score, "
+    "CAST(CASE WHEN 1 / (1 + exp(-" + _sum_sql(
+        [f"{c} * CAST({w!r} AS DOUBLE)" for c, w in FIXED_COEF.items()]).replace(
+        "CAST(0 AS DOUBLE)", f"CAST({FIXED_INTERCEPT!r} AS DOUBLE)", 1) + ")) >= 0.5 THEN 1 ELSE 0 END AS INTEGER) "
+    "AS prediction FROM scaled"))
+def q_stream_scoring(spark, sf):                          # stream: batch-fitted scaler as literals, fixed-weight
+    from ..streaming.scoring import read_events_stream, run_available, score_stream, stream_features
+    p = prepared(spark, sf)                               # scaler fitted on the train split (batch)
+    s = score_stream(stream_features(read_events_stream(spark, sf), p.scaler), FIXED_COEF, FIXED_INTERCEPT)
+    out = run_available(s.select("txn_id", "score", "prediction", "prompt"))
+    return out.select("txn_id", F.round("score", 6).alias("score"), "prediction")
