@@ -65,8 +65,8 @@ def _sqdist(cols, a: str, b: str):
     return sum(((F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) ** 2 for c in cols), F.lit(0.0))
 
 
-def minority_neighbours(minority: DataFrame, cols, k: int = 5, key: str = KEY) -> DataFrame:
-    """Exact k nearest neighbours (Euclidean, self excluded) inside ``minority``.
+def _band_neighbours(minority: DataFrame, cols, k: int = 5, key: str = KEY) -> DataFrame:
+    """Exact k nearest neighbours (Euclidean, self excluded) among distinct points.
 
     No all-pairs product: points are cut into cells along the coordinate of largest
     spread (|p_i - p_j| ≤ distance).  Stage 1 takes candidates from the own and adjacent
@@ -109,6 +109,54 @@ def minority_neighbours(minority: DataFrame, cols, k: int = 5, key: str = KEY) -
         .select("i", "nn_rank", "j", "d2")
 
 
+def _smallest_keys(pts: DataFrame, n: int, key: str = "key", salt_buckets: int = 1024) -> DataFrame:
+    """The ``n`` smallest keys of every distinct vector ``vec`` (rank 0..n-1), in two
+    levels so that a vector with a huge number of copies is never sorted in one task:
+    top-n inside (vec, hash(key) mod salt) first, then top-n of those survivors."""
+    sb = F.pmod(F.xxhash64(F.col(key)), F.lit(salt_buckets))
+    w1 = Window.partitionBy("vec", "_sb").orderBy(key)
+    part = pts.withColumn("_sb", sb).withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") <= n)
+    w2 = Window.partitionBy("vec").orderBy(key)
+    return part.withColumn("rank", F.row_number().over(w2) - 1).filter(F.col("rank") < n) \
+        .select("vec", F.col(key).alias("member"), "rank")
+
+
+def minority_neighbours(minority: DataFrame, cols, k: int = 5, key: str = KEY) -> DataFrame:
+    """Exact k nearest neighbours (Euclidean, self excluded, ties by key) of every
+    minority row, robust to copies.
+
+    Identical rows are collapsed to distinct vectors first.  A row's copies are its
+    neighbours at distance 0 (the k+1 smallest keys of its vector give them, two-level,
+    without sorting a hot vector in one task); rows with fewer than k copies take the rest
+    from the k nearest distinct vectors (band search on distinct vectors only), each
+    expanded to its smallest keys.  Every row sees at most k + k·(k+1) candidates.
+    Returns (i, nn_rank 0..k-1, j, d2).
+    """
+    cols = list(cols)
+    pts = minority.select(F.col(key).alias("key"), *cols).withColumn("vec", F.struct(*cols))
+    vecs = pts.groupBy("vec").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("vkey"))
+    small = _smallest_keys(pts, k + 1)
+    # own copies at distance 0
+    own = pts.select("key", "vec").join(small, "vec").filter(F.col("member") != F.col("key")) \
+        .select(F.col("key").alias("i"), F.lit(0.0).alias("d2"), F.col("member").alias("j"))
+    # k nearest distinct vectors, for vectors whose copies cannot fill k neighbours
+    short = vecs.filter(F.col("copies") - 1 < k)
+    vpts = short.select(F.col("vkey").alias(key), *[F.col(f"vec.{c}").alias(c) for c in cols])
+    allv = vecs.select(F.col("vkey").alias(key), *[F.col(f"vec.{c}").alias(c) for c in cols])
+    vn = _band_neighbours(allv, cols, k, key).join(vpts.select(F.col(key).alias("i")), "i", "left_semi")
+    vmap = vecs.select("vec", "vkey")
+    need = pts.join(vmap, "vec").join(short.select("vkey"), "vkey", "left_semi") \
+        .select("key", F.col("vkey").alias("vi"))
+    other = need.join(vn.select(F.col("i").alias("vi"), F.col("j").alias("vj"), "d2"), "vi") \
+        .join(vmap.withColumnRenamed("vkey", "vj"), "vj") \
+        .join(small, "vec") \
+        .select(F.col("key").alias("i"), "d2", F.col("member").alias("j"))
+    cand = own.unionByName(other)
+    w = Window.partitionBy("i").orderBy("d2", "j")
+    return cand.withColumn("nn_rank", F.row_number().over(w) - 1).filter(F.col("nn_rank") < k) \
+        .select("i", "nn_rank", "j", "d2")
+
+
 def smote(train: DataFrame, feature_cols=None, label: str = TARGET, ratio: float = 0.1,
           k: int = 5, key: str = KEY, seed: int = SEED) -> DataFrame:
     """Synthesise minority rows until minority/majority = ``ratio``.

@@ -62,3 +62,19 @@ def test_smote_needs_more_than_k(spark):
                                              "isFraud": [1] * 5 + [0] * 100}))
     with pytest.raises(ValueError):
         smote(df, ["a"], ratio=0.5, k=5)
+
+
+def test_neighbours_with_hot_copy_group(spark):
+    rng = np.random.default_rng(4)
+    n = 150
+    x = rng.normal(size=(n, 2))
+    x[:50] = x[7]                                       # a third of the rows are copies of one row
+    x[50:53] = x[60]                                    # a small copy group (fewer than k copies)
+    pdf = pd.DataFrame(x, columns=["a", "b"]).assign(txn_id=np.arange(n))
+    got = minority_neighbours(spark.createDataFrame(pdf), ["a", "b"], 5).toPandas()
+    assert len(got) == 5 * n
+    for i in list(range(0, 55)) + [100, 149]:
+        d2 = ((x - x[i]) ** 2).sum(axis=1)
+        order = sorted((d2[j], j) for j in range(n) if j != i)[:5]
+        mine = got[got.i == i].sort_values("nn_rank")
+        assert list(mine.j) == [j for _, j in order], i
