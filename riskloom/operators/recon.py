@@ -233,8 +233,8 @@ def fit_autoencoder(normal: DataFrame, feature_cols=None, epochs: int = 100, bat
     hold = split.filter(F.col("is_holdout") == 1).drop("is_holdout").cache()
     ws = _init(layers, seed)
     best, best_loss, stale, lr_stale, history = ws, np.inf, 0, 0, []
-    out_schema = T.StructType([T.StructField("n", T.LongType()), T.StructField("w", T.ArrayType(T.DoubleType())),
-                               T.StructField("loss", T.DoubleType())])
+    # each partition emits (position, n·value) rows: the weights, then n, then n·loss
+    out_schema = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("v", T.DoubleType())])
     for epoch in range(epochs):
         flat = _flatten(ws)
         cur_lr = lr
@@ -262,20 +262,18 @@ def fit_autoencoder(normal: DataFrame, feature_cols=None, epochs: int = 100, bat
                         w[i] = w[i] - cur_lr * mh / (np.sqrt(vh) + 1e-7)
                 n_tot += len(x)
             if n_tot:
-                yield pd.DataFrame({"n": [n_tot], "w": [_flatten(w).tolist()], "loss": [loss_sum / n_tot]})
-
-        # row-weighted average of the partition weights, reduced on the executors:
-        # exploded (position, n·w) rows with map-side partial sums → len(weights) rows
-        parts = fit_part.mapInPandas(local_epoch, out_schema)
-        tot = parts.agg(F.sum("n").alias("n"), F.sum(F.col("loss") * F.col("n")).alias("l")).first()
-        summed = parts.select(F.posexplode("w").alias("pos", "w"), "n") \
-            .groupBy("pos").agg(F.sum(F.col("w") * F.col("n")).alias("s")).collect()
-        vec = np.zeros(len(flat))
+                vals = np.concatenate([_flatten(w) * n_tot, [float(n_tot), loss_sum]])
+                yield pd.DataFrame({"pos": np.arange(len(vals), dtype=np.int32), "v": vals})
+
+        # row-weighted average of the partition weights, reduced on the executors in one
+        # job: map-side partial sums per position → len(weights) + 2 rows to the driver
+        summed = fit_part.mapInPandas(local_epoch, out_schema).groupBy("pos").agg(F.sum("v").alias("s")).collect()
+        vec = np.zeros(len(flat) + 2)
         for r in summed:
             vec[r["pos"]] = r["s"]
-        n_all = tot["n"]
-        ws = _unflatten(vec / n_all, layers)
-        train_loss = tot["l"] / n_all
+        n_all = vec[len(flat)]
+        ws = _unflatten(vec[:len(flat)] / n_all, layers)
+        train_loss = vec[len(flat) + 1] / n_all
         val_loss = _mean_error(hold, feature_cols, ws)
         history.append({"epoch": epoch, "loss": train_loss, "val_loss": val_loss, "lr": lr})
         if val_loss < best_loss - 1e-12:
