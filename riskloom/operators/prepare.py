@@ -68,33 +68,45 @@ def _sqdist(cols, a: str, b: str):
 def _band_neighbours(minority: DataFrame, cols, k: int = 5, key: str = KEY) -> DataFrame:
     """Exact k nearest neighbours (Euclidean, self excluded) among distinct points.
 
-    No all-pairs product: points are cut into cells along the coordinate of largest
-    spread (|p_i - p_j| ≤ distance).  Stage 1 takes candidates from the own and adjacent
-    cells to bound each point's k-th distance r_i; stage 2 joins only the cells within
-    ±r_i, which contain every true neighbour.  Returns (i, nn_rank 0..k-1, j, d2).
+    No all-pairs product: points are cut into equal-width cells along the coordinate with
+    the most distinct values (|p_i - p_j| ≤ distance).  Stage 1 bounds each point's k-th
+    distance r_i from the cells within a ring of ±R cells, doubling R (one distributed
+    pass per doubling, only for points still short of k candidates, so isolated points
+    in a heavy tail never scan every cell).  Stage 2 joins only the cells within ±r_i,
+    which contain every true neighbour.  Returns (i, nn_rank 0..k-1, j, d2).
     """
     cols = list(cols)
-    spread = minority.agg(*[F.struct(F.stddev_pop(c).alias("s"), F.min(c).alias("lo"),
-                                     F.max(c).alias("hi"), F.count(c).alias("n")).alias(c)
-                            for c in cols]).first()
-    axis = max(cols, key=lambda c: spread[c]["s"] or 0.0)
+    spread = minority.agg(*[F.struct(F.approx_count_distinct(c).alias("d"), F.stddev_pop(c).alias("s"),
+                                     F.min(c).alias("lo"), F.max(c).alias("hi"),
+                                     F.count(c).alias("n")).alias(c) for c in cols]).first()
+    axis = max(cols, key=lambda c: (spread[c]["d"] or 0, spread[c]["s"] or 0.0))
     lo, hi, m = spread[axis]["lo"], spread[axis]["hi"], spread[axis]["n"]
     width = (hi - lo) * 4.0 * k / max(m, 1) if hi is not None and hi > lo else 1.0
     width = width if width > 0 else 1.0
-    pts = minority.select(F.col(key).alias("key"), *cols,
-                          F.col(axis).alias("_p"),
+    max_cell = int(math.floor((hi - lo) / width)) if hi is not None and hi > lo else 0
+    pts = minority.select(F.col(key).alias("key"), *cols, F.col(axis).alias("_p"),
                           F.floor((F.col(axis) - F.lit(lo)) / F.lit(width)).cast("long").alias("_cell"))
     data = pts.alias("d")
-    q1 = pts.withColumn("_qcell", F.explode(F.array(F.col("_cell") - 1, F.col("_cell"), F.col("_cell") + 1))) \
-        .alias("q")
-    c1 = q1.join(data, (F.col("q._qcell") == F.col("d._cell")) & (F.col("q.key") != F.col("d.key"))) \
-        .select(F.col("q.key").alias("i"), _sqdist(cols, "q", "d").alias("d2"), F.col("d.key").alias("j"))
     w1 = Window.partitionBy("i").orderBy("d2", "j")
-    radius = c1.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") == k) \
-        .select("i", F.sqrt("d2").alias("r"))
-    max_cell = int(math.floor((hi - lo) / width)) if hi is not None and hi > lo else 0
+    radius = None
+    todo = pts.select("key", *cols, "_cell")
+    ring = 1
+    while True:                      # ≤ log2(cells) passes; each only over unresolved points
+        q = todo.withColumn("_qcell", F.explode(F.sequence(
+            F.greatest(F.col("_cell") - ring, F.lit(0)), F.least(F.col("_cell") + ring, F.lit(max_cell))))).alias("q")
+        c = q.join(data, (F.col("q._qcell") == F.col("d._cell")) & (F.col("q.key") != F.col("d.key"))) \
+            .select(F.col("q.key").alias("i"), _sqdist(cols, "q", "d").alias("d2"), F.col("d.key").alias("j"))
+        got = cut_lineage(c.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") == k)
+                          .select("i", F.sqrt("d2").alias("r")))
+        radius = got if radius is None else radius.unionByName(got)
+        if ring > max_cell:
+            break
+        todo = todo.join(got, todo["key"] == got["i"], "left_anti")
+        if todo.isEmpty():
+            break
+        ring *= 2
     q2 = pts.join(radius, pts["key"] == radius["i"], "left").drop("i")
-    r = F.coalesce(F.col("r"), F.lit(float("inf")))
+    r = F.coalesce(F.col("r"), F.lit(float("inf")))       # only if fewer than k+1 points exist
     lo_cell = F.greatest(F.lit(0), F.floor((F.col("_p") - r - F.lit(lo)) / F.lit(width)).cast("long"))
     hi_cell = F.least(F.lit(max_cell), F.floor((F.col("_p") + r - F.lit(lo)) / F.lit(width)).cast("long"))
     lo_cell = F.when(F.col("r").isNull(), F.lit(0)).otherwise(lo_cell)

@@ -29,10 +29,12 @@ def _unpivot_struct(names, make) -> F.Column:
     return F.explode(F.array(*[make(n) for n in names]))
 
 
-def describe(df: DataFrame, columns=None, digits: int | None = 4, by=()) -> DataFrame:    # D1 / D2
+def describe(df: DataFrame, columns=None, digits: int | None = 4, by=(),
+             approx_quantiles: bool = False) -> DataFrame:                                  # D1 / D2
     """count/mean/std(ddof 1)/min/25%/50%/75%/max per numeric column (long rows).
 
-    Exact quantiles (distributed, see ``ordered.exact_quantiles``), not ``summary()``.
+    Exact quantiles (distributed, see ``ordered.exact_quantiles``), not ``summary()``;
+    ``approx_quantiles=True`` uses one ``percentile_approx`` pass instead.
     """
     by = list(by)
     columns = columns or [c for c in numeric_columns(df, exclude=()) if c != KEY and c not in by]
@@ -46,7 +48,7 @@ def describe(df: DataFrame, columns=None, digits: int | None = 4, by=()) -> Data
     long = base.select(*by, _unpivot_struct(columns, lambda c: F.struct(
         F.lit(c).alias("column"), F.col(c).alias("s"))).alias("u")) \
         .select(*by, "u.column", "u.s.*")
-    q = exact_quantiles(df, columns, QUARTILES, by=by)
+    q = exact_quantiles(df, columns, QUARTILES, by=by, approx=approx_quantiles)
     qw = q.groupBy(*by, "column").agg(*[
         F.max(F.when(F.col("qi") == i, F.col("quantile"))).alias(name)
         for i, name in enumerate(["p25", "p50", "p75"])])
