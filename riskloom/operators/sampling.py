@@ -85,23 +85,47 @@ def class_counts(df: DataFrame, class_col: str | None) -> dict:
     return {r[0]: r[1] for r in df.groupBy(class_col).count().collect()}   # one row per class
 
 
-def tag_by_rank(df: DataFrame, class_col: str | None, cuts: dict, out: str,
+FIRST_DIGITS = 2        # 256 hash buckets per class before the total is known
+
+
+def _bucket_counts(df: DataFrame, class_col: str | None, key: str, seed: int,
+                   counts: dict | None) -> tuple[DataFrame, dict, dict]:
+    """Per-(class, hex-prefix bucket) counts with the prefix length fitted to the data.
+
+    Without known class counts the first pass uses 256 buckets and yields the class
+    counts too; only when a bucket would exceed ``ROWS_PER_BUCKET`` rows is a finer pass
+    made.  Returns (frame with _cls/_ok/_bk, {class: [(bucket, count)]}, class counts).
+    """
+    cls = F.col(class_col) if class_col else F.lit(0)
+    base0 = df.withColumns({"_cls": cls, "_ok": order_key(key, seed)})
+    d = FIRST_DIGITS if counts is None else max(FIRST_DIGITS, _digits(sum(counts.values())))
+    while True:
+        base = base0.withColumn("_bk", F.substring("_ok", 1, d))
+        rows = base.groupBy("_cls", "_bk").count().collect()     # ≤ classes · 16^d rows
+        per: dict = {}
+        for r in rows:
+            per.setdefault(r["_cls"], []).append((r["_bk"], r["count"]))
+        found = {c: sum(n for _, n in lst) for c, lst in per.items()}
+        need = max(FIRST_DIGITS, _digits(sum(found.values())))
+        if need <= d or d >= MAX_DIGITS:
+            break
+        d = need
+    if class_col is None:
+        found = {None: sum(found.values())}
+    return base, per, found
+
+
+def tag_by_rank(df: DataFrame, class_col: str | None, cuts, out: str,
                 key: str = KEY, seed: int = SEED, counts: dict | None = None) -> DataFrame:
     """Tag rows by their 1-based rank inside their class in hash order.
 
-    ``cuts[class]`` is a list of ``(last_rank_inclusive, tag)`` in increasing rank; rows
-    past the last cut get null.  Only boundary buckets are window-ranked.
+    ``cuts`` maps class → list of ``(last_rank_inclusive, tag)`` in increasing rank (or
+    is a function of the class counts returning that map); rows past the last cut get
+    null.  Only boundary buckets are window-ranked.
     """
     spark = df.sparkSession
-    cls = F.col(class_col) if class_col else F.lit(0)
-    counts = counts or class_counts(df, class_col)
-    d = _digits(sum(counts.values()))
-    base = df.withColumns({"_cls": cls, "_ok": order_key(key, seed)}) \
-        .withColumn("_bk", F.substring("_ok", 1, d))
-    bcounts = base.groupBy("_cls", "_bk").count().collect()    # ≤ classes · 16^d rows
-    per: dict = {}
-    for r in bcounts:
-        per.setdefault(r["_cls"], []).append((r["_bk"], r["count"]))
+    base, per, found = _bucket_counts(df, class_col, key, seed, counts)
+    cuts = cuts(found) if callable(cuts) else cuts
     plan_rows = []
     for c, lst in per.items():
         ccuts = cuts.get(None if class_col is None else c, [])
@@ -140,15 +164,7 @@ def rank_in_class(df: DataFrame, class_col: str | None, key: str = KEY, seed: in
                   out: str = "rank_in_class") -> DataFrame:
     """Exact 1-based rank of every row inside its class (hash order), distributed."""
     spark = df.sparkSession
-    counts = class_counts(df, class_col)
-    d = _digits(sum(counts.values()))
-    cls = F.col(class_col) if class_col else F.lit(0)
-    base = df.withColumns({"_cls": cls, "_ok": order_key(key, seed)}) \
-        .withColumn("_bk", F.substring("_ok", 1, d))
-    bcounts = base.groupBy("_cls", "_bk").count().collect()
-    per: dict = {}
-    for r in bcounts:
-        per.setdefault(r["_cls"], []).append((r["_bk"], r["count"]))
+    base, per, _ = _bucket_counts(df, class_col, key, seed, None)
     rows = []
     for c, lst in per.items():
         off = 0
@@ -169,27 +185,26 @@ def rank_in_class(df: DataFrame, class_col: str | None, key: str = KEY, seed: in
 # ---------------------------------------------------------------------------
 def random_sample_n(df: DataFrame, n: int, key: str = KEY, seed: int = SEED) -> DataFrame:   # A3
     """Exactly min(n, rows) rows, unstratified, deterministic in (key, seed)."""
-    total = df.count()
-    m = min(int(n), total)
-    tagged = tag_by_rank(df, None, {None: [(m, "in")]}, "_s", key, seed, counts={0: total})
+    cuts = lambda counts: {None: [(min(int(n), counts[None]), "in")]}     # noqa: E731
+    tagged = tag_by_rank(df, None, cuts, "_s", key, seed)
     return tagged.filter(F.col("_s") == "in").drop("_s")
 
 
 def stratified_sample(df: DataFrame, n: int, label: str = TARGET, key: str = KEY,
                       seed: int = SEED) -> DataFrame:                                    # F1
-    counts = class_counts(df, label)
-    n = min(int(n), sum(counts.values()))
-    q = approximate_mode(counts, n)
-    tagged = tag_by_rank(df, label, {c: [(q[c], "in")] for c in counts}, "_s", key, seed, counts)
+    def cuts(counts):
+        q = approximate_mode(counts, min(int(n), sum(counts.values())))
+        return {c: [(q[c], "in")] for c in counts}
+    tagged = tag_by_rank(df, label, cuts, "_s", key, seed)
     return tagged.filter(F.col("_s") == "in").drop("_s")
 
 
 def stratified_split(df: DataFrame, label: str = TARGET, train_ratio: float = TRAIN_RATIO,
                      key: str = KEY, seed: int = SEED, out: str = "split",
                      counts: dict | None = None) -> DataFrame:                           # F2
-    counts = counts or class_counts(df, label)
-    q = split_quotas(counts, train_ratio)
-    cuts = {c: [(tr, "train"), (tr + va, "val"), (tr + va + te, "test")] for c, (tr, va, te) in q.items()}
+    def cuts(found):
+        q = split_quotas(found, train_ratio)
+        return {c: [(tr, "train"), (tr + va, "val"), (tr + va + te, "test")] for c, (tr, va, te) in q.items()}
     return tag_by_rank(df, label, cuts, out, key, seed, counts)
 
 
@@ -202,8 +217,9 @@ def stratified_kfold(df: DataFrame, k: int = 5, label: str = TARGET, key: str =
 def tail_validation_split(df: DataFrame, frac: float = 0.1, key: str = KEY, seed: int = SEED,
                           out: str = "is_holdout") -> DataFrame:                          # F4
     """Hold out ceil(frac·n) rows (hash order; the last ones) for early stopping."""
-    total = df.count()
-    n_hold = int(math.ceil(frac * total))
-    tagged = tag_by_rank(df, None, {None: [(total - n_hold, "fit"), (total, "hold")]}, "_t",
-                         key, seed, counts={0: total})
+    def cuts(counts):
+        total = counts[None]
+        n_hold = int(math.ceil(frac * total))
+        return {None: [(total - n_hold, "fit"), (total, "hold")]}
+    tagged = tag_by_rank(df, None, cuts, "_t", key, seed)
     return tagged.withColumn(out, (F.col("_t") == "hold").cast("int")).drop("_t")
