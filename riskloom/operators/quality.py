@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.moments import pct
-from ..schema import KEY, SCALE_COLS, TARGET, numeric_columns
+from ..schema import KEY, SCALE_COLS, TARGET
 from .stats import numeric_correlation_ranking
 
 
@@ -196,5 +196,3 @@ def no_positive_in_normal(normal: DataFrame, label: str = TARGET) -> DataFrame:
 def leakage_alert(df: DataFrame, label: str = TARGET, limit: float = 0.5) -> DataFrame:   # C16
     return numeric_correlation_ranking(df, label).filter(F.col("abs_corr") > limit)
 
-
-__all__ = ["numeric_columns"]

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import FEATURE_COLS, KEY, SEED, TARGET
+from ..schema import FEATURE_COLS, KEY, SEED
 from .ordered import exact_quantiles
 from .sampling import tail_validation_split
 
@@ -325,5 +325,3 @@ def training_history(spark, ae: AutoEncoder) -> DataFrame:
     rows = [(h["epoch"], float(h["loss"]), float(h["val_loss"]), float(h["lr"])) for h in ae.history]
     return spark.createDataFrame(rows, "epoch int, loss double, val_loss double, lr double")
 
-
-__all__ = ["TARGET"]

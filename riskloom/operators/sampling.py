@@ -185,7 +185,8 @@ def rank_in_class(df: DataFrame, class_col: str | None, key: str = KEY, seed: in
 # ---------------------------------------------------------------------------
 def random_sample_n(df: DataFrame, n: int, key: str = KEY, seed: int = SEED) -> DataFrame:   # A3
     """Exactly min(n, rows) rows, unstratified, deterministic in (key, seed)."""
-    cuts = lambda counts: {None: [(min(int(n), counts[None]), "in")]}     # noqa: E731
+    def cuts(counts):
+        return {None: [(min(int(n), counts[None]), "in")]}
     tagged = tag_by_rank(df, None, cuts, "_s", key, seed)
     return tagged.filter(F.col("_s") == "in").drop("_s")
 

@@ -7,8 +7,6 @@ driver loop over the data.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 

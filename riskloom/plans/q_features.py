@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import columns as C
 from ..operators import features as FE
 from ..operators.text import explanation_prompt
 from .inputs import feat, tx
@@ -142,5 +141,3 @@ def q_normal_high_risk(spark, sf):                       # B20-style filter on f
     return FE.normal_rows(df, split=None).filter(F.col("high_risk_hour") == 1) \
         .select("txn_id", F.col("hour").cast("bigint").alias("hour"))
 
-
-__all__ = ["C"]

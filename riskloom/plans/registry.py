@@ -24,6 +24,6 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> dict:
     # Importing the query modules fills REGISTRY.
-    from . import q_features, q_quality, q_stats, q_relations, q_sampling, q_prepare  # noqa: F401
+    from . import q_features, q_quality, q_stats, q_sampling  # noqa: F401
     from . import q_evaluate, q_charts, q_models, q_io  # noqa: F401
     return REGISTRY

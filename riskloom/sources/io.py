@@ -13,7 +13,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..schema import FEATURE_COLS, KEY, RAW_SCHEMA, TARGET, require_columns
+from ..schema import FEATURE_COLS, KEY, TARGET, require_columns
 
 
 def strip_column_names(df: DataFrame) -> DataFrame:                                   # A4
@@ -94,5 +94,3 @@ def save_params(spark: SparkSession, params: dict, path: str) -> None:
 def load_params(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.json(path).first()["params"])
 
-
-__all__ = ["RAW_SCHEMA"]
