@@ -67,3 +67,32 @@ def cut_lineage(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_mb: int = 256,
+                 broadcast_mb: int = 64) -> dict:
+    """Spark settings sized for a cluster run over ``input_bytes`` of parquet.
+
+    * shuffle partitions: enough that each holds ~``target_partition_mb`` of (compressed)
+      input, and at least 3 waves of the cluster's cores; AQE then coalesces small ones;
+    * file splits of 256 MB keep scan tasks few but memory-safe;
+    * skew join splitting kicks in for partitions 5x the median and over 1 GB, so a key
+      holding a third of all rows is split across tasks instead of landing in one;
+    * the broadcast threshold is an explicit cap: only tables known to be small (bucket
+      plans, quotas, 1-row aggregates, grids) are broadcast above it by hint.
+    """
+    mb = 1024 * 1024
+    by_size = max(1, int(input_bytes // (target_partition_mb * mb)))
+    partitions = max(3 * total_cores, by_size)
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(256 * mb),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_mb * mb),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(1024 * mb),
+        "spark.sql.autoBroadcastJoinThreshold": str(broadcast_mb * mb),
+        "spark.sql.session.timeZone": "UTC",
+    }
