@@ -17,7 +17,7 @@ from .inputs import feat, tx
 from .oracle_base import with_split, with_tx
 from .q_evaluate import _METRICS_SQL as METRICS_SQL, SCORED_CTE
 from .registry import register
-from .reports import eda_report, feature_metadata, prep_report
+from .reports import eda_numbers, eda_report, feature_metadata, prep_report
 
 
 def _scratch(spark, name):
@@ -64,10 +64,43 @@ def q_feature_metadata(spark, sf):                        # A7 (numbers)
 
 
 @register("eda_report")
-def q_eda_report(spark, sf):                              # A9 (nested row; numbers checked per operator)
+def q_eda_report(spark, sf):                              # A9 nested row (numbers: eda_numbers)
     return eda_report(tx(spark, sf), feat(spark, sf))
 
 
+@register("eda_numbers", with_tx(
+    """SELECT CAST(count(*) AS BIGINT) AS sample_size, CAST(sum(isFraud) AS BIGINT) AS fraud_count,
+       CAST(count_if(isFraud = 0) AS BIGINT) AS non_fraud_count, round(avg(isFraud) * 100, 6) AS fraud_rate_pct,
+       round(count_if(isFraud = 0) / sum(isFraud), 1) AS imbalance_ratio,
+       (SELECT tp FROM fl) AS flag_tp, (SELECT fn FROM fl) AS flag_fn, (SELECT fp FROM fl) AS flag_fp,
+       (SELECT round(r, 6) FROM fl) AS flag_recall, (SELECT round(p, 6) FROM fl) AS flag_precision,
+       (SELECT round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) FROM fl) AS flag_f1,
+       (SELECT list(CAST(hour AS INTEGER) ORDER BY hour) FROM hr) AS high_risk_hours,
+       (SELECT round(coalesce(avg(CASE WHEN hour IN (SELECT hour FROM hr) THEN isFraud END) * 100, 0), 6) FROM features)
+         AS fraud_rate_high_risk_pct,
+       (SELECT round(coalesce(avg(CASE WHEN hour NOT IN (SELECT hour FROM hr) THEN isFraud END) * 100, 0), 6)
+        FROM features) AS fraud_rate_normal_pct,
+       (SELECT CAST(count(*) AS BIGINT) FROM fd) AS n_fraud_dest_accounts,
+       (SELECT CAST(count(*) AS BIGINT) FROM (SELECT acct FROM fd INTERSECT SELECT nameOrig FROM transactions
+                                              WHERE type = 'CASH_OUT')) AS n_dest_also_cashout,
+       (SELECT round((SELECT count(*) FROM (SELECT acct FROM fd INTERSECT SELECT nameOrig FROM transactions
+                                            WHERE type = 'CASH_OUT')) * 100.0 / count(*), 1) FROM fd)
+         AS pct_dest_also_cashout
+FROM transactions""",
+    """fl AS (SELECT CAST(count_if(isFlaggedFraud = 1 AND isFraud = 1) AS BIGINT) AS tp,
+              CAST(count_if(isFlaggedFraud = 0 AND isFraud = 1) AS BIGINT) AS fn,
+              CAST(count_if(isFlaggedFraud = 1 AND isFraud = 0) AS BIGINT) AS fp,
+              CASE WHEN sum(isFraud) > 0 THEN count_if(isFlaggedFraud = 1 AND isFraud = 1) / sum(isFraud) ELSE 0 END AS r,
+              CASE WHEN sum(isFlaggedFraud) > 0 THEN count_if(isFlaggedFraud = 1 AND isFraud = 1) / sum(isFlaggedFraud)
+                   ELSE 0 END AS p
+       FROM transactions),
+hr AS (SELECT hour FROM (SELECT hour, avg(isFraud) AS fr FROM features GROUP BY hour)
+       WHERE fr > (SELECT avg(isFraud) FROM features)),
+fd AS (SELECT DISTINCT nameDest AS acct FROM transactions WHERE isFraud = 1 AND nameDest IS NOT NULL)"""))
+def q_eda_numbers(spark, sf):                             # A9 numbers
+    return eda_numbers(tx(spark, sf), feat(spark, sf))
+
+
 @register("write_scores")
 def q_write_scores(spark, sf):                            # A14 + A13 params round trip
     out = _scratch(spark, "scores")

@@ -32,16 +32,63 @@ def feature_metadata(split_df: DataFrame, smoted: DataFrame | None = None, label
     return out
 
 
-def eda_report(tx: DataFrame, feat: DataFrame) -> DataFrame:                           # A9
-    """Class distribution, flag baseline, fraud by type, temporal ratio and network
-    overlap composed into one nested row."""
-    cd = Q.class_distribution(tx).select(F.struct("*").alias("class_distribution"))
-    fb = S.flag_baseline_metrics(tx).select(F.struct("*").alias("baseline_isFlaggedFraud"))
-    bt = S.fraud_by_type(tx).agg(F.map_from_entries(F.collect_list(F.struct(
-        "type", F.col("taux_fraude_pct")))).alias("fraud_rate_by_type_pct"))   # 5 types
-    rr = S.risk_ratio(feat).select(F.struct("*").alias("temporal"))
-    net = mule_overlap(tx).select(F.struct("*").alias("network"))
-    return cd.crossJoin(fb).crossJoin(bt).crossJoin(rr).crossJoin(net)   # five one-row frames
+def eda_numbers(tx: DataFrame, feat: DataFrame, label: str = TARGET) -> DataFrame:      # A9 (numbers)
+    """The exploration report's numbers as one flat row (every value an aggregate).
+
+    High-risk hours are derived from the data (hours whose fraud rate exceeds the global
+    rate, D6) and the temporal rates are computed for those hours, as in the reference.
+    """
+    hours = S.derive_high_risk_hours(feat).agg(
+        F.sort_array(F.collect_list(F.col("hour").cast("int"))).alias("high_risk_hours"))   # ≤ 24 hours
+    y = F.col(label)
+    base = tx.agg(F.count(F.lit(1)).cast("bigint").alias("sample_size"),
+                  F.sum(y).cast("bigint").alias("fraud_count"),
+                  F.count_if(y == 0).cast("bigint").alias("non_fraud_count"),
+                  F.round(F.avg(y) * 100, 6).alias("fraud_rate_pct"),
+                  F.round(F.count_if(y == 0) / F.sum(y), 1).alias("imbalance_ratio"))
+    flag = S.flag_baseline_metrics(tx).select(
+        F.col("tp").alias("flag_tp"), F.col("fn").alias("flag_fn"), F.col("fp").alias("flag_fp"),
+        F.col("recall").alias("flag_recall"), F.col("precision").alias("flag_precision"),
+        F.col("f1").alias("flag_f1"))
+    in_hours = F.array_contains(F.col("high_risk_hours"), F.col("hour").cast("int"))
+    temporal = feat.select("hour", label).crossJoin(F.broadcast(hours)).agg(   # hours: one row
+        F.first("high_risk_hours").alias("high_risk_hours"),
+        F.round(F.coalesce(F.avg(F.when(in_hours, y)) * 100, F.lit(0.0)), 6).alias("fraud_rate_high_risk_pct"),
+        F.round(F.coalesce(F.avg(F.when(~in_hours, y)) * 100, F.lit(0.0)), 6).alias("fraud_rate_normal_pct"))
+    net = mule_overlap(tx).select(
+        F.col("n_fraud_dest").alias("n_fraud_dest_accounts"), F.col("n_overlap").alias("n_dest_also_cashout"),
+        F.round(F.col("n_overlap") * 100.0 / F.col("n_fraud_dest"), 1).alias("pct_dest_also_cashout"))
+    return base.crossJoin(flag).crossJoin(temporal).crossJoin(net)      # one-row frames
+
+
+# Fixed values of the exploration report (lists and labels as the reference states them).
+FEATURES_ENGINEERED = ["hour", "day", "week", "high_risk_hour", "is_transfer_or_cashout",
+                       "balance_diff_orig", "dest_zero_balance"]
+FEATURES_EXCLUDED_LEAKAGE = ["oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest",
+                             "nameOrig", "nameDest"]
+
+
+def eda_report(tx: DataFrame, feat: DataFrame) -> DataFrame:                          # A9
+    """The nested exploration report row (dataset, class distribution, flag baseline,
+    fraud by type, temporal, network, feature lists, target metrics)."""
+    n = eda_numbers(tx, feat)
+    by_type = S.fraud_by_type(tx).agg(F.map_from_entries(F.collect_list(F.struct(        # one per type
+        "type", F.struct("total", "nb_fraudes", "taux_fraude_pct")))).alias("fraud_by_type"))
+    row = n.crossJoin(by_type)
+    return row.select(
+        F.struct(F.col("sample_size"), F.lit("stratified_split").alias("sampling_method"),
+                 F.lit(len(tx.columns) - (1 if "txn_id" in tx.columns else 0)).alias("n_columns")).alias("dataset"),
+        F.struct("fraud_count", "non_fraud_count", "fraud_rate_pct", "imbalance_ratio").alias("class_distribution"),
+        F.struct(F.col("flag_tp").alias("tp"), F.col("flag_fn").alias("fn"), F.col("flag_fp").alias("fp"),
+                 F.col("flag_recall").alias("recall"), F.col("flag_precision").alias("precision"),
+                 F.col("flag_f1").alias("f1")).alias("baseline_flagged_fraud"),
+        "fraud_by_type",
+        F.struct("high_risk_hours", "fraud_rate_high_risk_pct", "fraud_rate_normal_pct").alias("temporal"),
+        F.struct("n_fraud_dest_accounts", "n_dest_also_cashout", "pct_dest_also_cashout").alias("network_analysis"),
+        F.array(*[F.lit(c) for c in FEATURES_ENGINEERED]).alias("features_engineered"),
+        F.array(*[F.lit(c) for c in FEATURES_EXCLUDED_LEAKAGE]).alias("features_excluded_leakage"),
+        F.struct(F.lit("Recall").alias("primary"), F.array(F.lit("F1-Score"), F.lit("PR-AUC")).alias("secondary"),
+                 F.round(F.col("flag_recall"), 4).alias("dl_target_recall_min")).alias("target_metrics"))
 
 
 def prep_report(split_df: DataFrame, features_df: DataFrame, label: str = TARGET,
