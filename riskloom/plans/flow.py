@@ -7,8 +7,9 @@ driver program composes the operators and writes every artefact with Spark's wri
 
 Outputs (under ``--out``): ``eda_report``, ``prep_report``, ``features_meta`` (JSON),
 ``eda_summary_stats``, ``feature_correlations`` (CSV), ``prepared`` (parquet by split),
-``models/<name>`` (MLlib pipelines), ``baseline_metrics`` and ``detector_metrics`` (JSON),
-``thresholds`` (JSON) and ``scores`` (parquet by split).
+``train_smote`` (parquet), ``models/<name>`` (MLlib pipelines, scaler/weights params,
+autoencoder history), ``all_metrics`` and ``thresholds`` (JSON) and ``scores`` (parquet by
+model and split).
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ def run_all(spark: SparkSession, raw: DataFrame, out: str, with_forest: bool = T
     IO.write_splits(prep.data, out)
     smoted = cut_lineage(prep.train_smote())
     IO.write_smote(smoted, out)
-    IO.write_json_row(R.prep_report(prep.data, feats), f"{out}/prep_report")
+    IO.write_json_row(R.prep_report_full(prep, feats, smoted), f"{out}/prep_report")
     IO.write_json_row(R.feature_metadata(prep.data, smoted), f"{out}/features_meta")
     IO.save_params(spark, {"scaler": prep.scaler, "weights": {str(k): v for k, v in prep.weights.items()},
                            "features": FEATURE_COLS}, f"{out}/models/params")

@@ -17,7 +17,7 @@ from .inputs import feat, tx
 from .oracle_base import with_split, with_tx
 from .q_evaluate import _METRICS_SQL as METRICS_SQL, SCORED_CTE
 from .registry import register
-from .reports import eda_numbers, eda_report, feature_metadata, prep_report
+from .reports import eda_numbers, eda_report, feature_metadata, prep_report, prep_report_full
 
 
 def _scratch(spark, name):
@@ -187,3 +187,10 @@ def q_model_save_load(spark, sf):                         # A13: fit, save, load
     if diff is None or diff > 0:
         raise AssertionError(f"reloaded model scores differ by {diff}")
     return EV.fraud_metrics(M.score(loaded, p.split("test")), 0.5, model="LR_balanced_reloaded")
+
+
+@register("prep_report_nested")
+def q_prep_report_nested(spark, sf):                      # A7 + A8 nested row (numbers: prep_report)
+    f = feat(spark, sf)
+    p = P.prepare(f)
+    return prep_report_full(p, f, p.train_smote())

@@ -107,3 +107,41 @@ def prep_report(split_df: DataFrame, features_df: DataFrame, label: str = TARGET
     sk = features_df.agg(F.round(skew_sample("amount"), digits).alias("skew_before"),
                          F.round(skew_sample(F.log1p("amount")), digits).alias("skew_after"))
     return a.crossJoin(sk)          # two one-row frames
+
+
+def prep_report_full(prepared, features_df: DataFrame, smoted: DataFrame, label: str = TARGET) -> DataFrame:  # A7 + A8
+    """The nested preparation report: split sizes, fraud counts, class weights, feature
+    metadata and the skewness before/after log1p (one row; every number an aggregate)."""
+    from ..schema import BINARY_COLS, FEATURE_COLS, HIGH_RISK_HOURS, SCALE_COLS, SEED, TRAIN_RATIO, TYPE_COLS
+    data = prepared.data
+    y = F.col(label)
+    sizes = data.agg(*[F.count_if(F.col("split") == s).cast("bigint").alias(s) for s in ["train", "val", "test"]],
+                     F.count_if((F.col("split") == "train") & (y == 0)).cast("bigint").alias("train_normal"),
+                     *[F.count_if((F.col("split") == s) & (y == 1)).cast("bigint").alias(f"f_{s}")
+                       for s in ["train", "val", "test"]])
+    sm = smoted.agg(F.count(F.lit(1)).cast("bigint").alias("train_smote"),
+                    F.sum(y).cast("bigint").alias("f_train_smote"))
+    meta = feature_metadata(data, smoted)
+    sk = prep_report(data, features_df).select("skew_before", "skew_after")
+    row = sizes.crossJoin(sm).crossJoin(meta).crossJoin(sk)          # one-row frames
+
+    def lit_list(xs):
+        return F.array(*[F.lit(x) for x in xs])
+
+    return row.select(
+        F.struct("train", "val", "test", "train_normal", "train_smote").alias("split_sizes"),
+        F.struct(F.col("f_train").alias("train"), F.col("f_val").alias("val"), F.col("f_test").alias("test"),
+                 F.col("f_train_smote").alias("train_smote")).alias("fraud_counts"),
+        F.create_map(*[x for c, w in sorted(prepared.weights.items())
+                       for x in (F.lit(str(c)), F.lit(float(w)))]).alias("class_weights"),
+        F.struct(lit_list(FEATURE_COLS).alias("all_features"), lit_list(SCALE_COLS).alias("scale_cols"),
+                 lit_list(BINARY_COLS).alias("binary_cols"), lit_list(TYPE_COLS).alias("type_cols"),
+                 F.lit(label).alias("target"), F.lit(len(FEATURE_COLS)).alias("n_features"),
+                 lit_list(HIGH_RISK_HOURS).alias("high_risk_hours"),
+                 (F.col("train") + F.col("val") + F.col("test")).alias("sample_size"),
+                 F.lit(SEED).alias("random_state"),
+                 F.struct(F.lit(TRAIN_RATIO).alias("train"), F.lit(round((1 - TRAIN_RATIO) / 2, 10)).alias("val"),
+                          F.lit(round((1 - TRAIN_RATIO) / 2, 10)).alias("test")).alias("split_ratios"),
+                 "n_train_fraud", "n_val_fraud", "n_test_fraud", "imbalance_ratio", "fraud_rate_train_pct",
+                 F.lit(0.1).alias("smote_ratio"), "n_smote_fraud").alias("features"),
+        F.struct("skew_before", "skew_after").alias("log_amount_skew"))
