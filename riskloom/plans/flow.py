@@ -8,8 +8,8 @@ driver program composes the operators and writes every artefact with Spark's wri
 Outputs (under ``--out``): ``eda_report``, ``prep_report``, ``features_meta`` (JSON),
 ``eda_summary_stats``, ``feature_correlations`` (CSV), ``prepared`` (parquet by split),
 ``train_smote`` (parquet), ``models/<name>`` (MLlib pipelines, scaler/weights params,
-autoencoder history), ``all_metrics`` and ``thresholds`` (JSON) and ``scores`` (parquet by
-model and split).
+autoencoder history), ``baseline_report``, ``autoencoder_report``, ``all_metrics`` and
+``thresholds`` (JSON) and ``scores`` (parquet by model and split).
 """
 
 from __future__ import annotations
@@ -75,6 +75,12 @@ def run_all(spark: SparkSession, raw: DataFrame, out: str, with_forest: bool = T
         metrics.append(m)
         thresholds.append(t)
         scores.append(scored.withColumn("model", F.lit(name)))
+    test_metrics = metrics_union(*metrics)
+    importances = None
+    if with_forest:
+        importances = M.feature_importances(M.load_model(f"{out}/models/RF_balanced"), FEATURE_COLS)
+    IO.write_json_row(R.baseline_report(S.flag_baseline_metrics(raw), test_metrics, importances),
+                      f"{out}/baseline_report")
     # 4. unsupervised detector on normal rows, grid threshold on val
     det = RC.fit_pca_detector(prep.train_normal())
     err = cut_lineage(RC.reconstruction_error(prep.data, det).select(KEY, "split", TARGET, "error"))
@@ -86,8 +92,16 @@ def run_all(spark: SparkSession, raw: DataFrame, out: str, with_forest: bool = T
         ae_err = cut_lineage(RC.ae_reconstruction_error(
             prep.data.select(KEY, "split", TARGET, *FEATURE_COLS), ae).select(KEY, "split", TARGET, "error"))
         ga = EV.grid_threshold(ae_err.filter(F.col("split") == "val"), score="error").first()
-        metrics.append(EV.fraud_metrics(ae_err.filter(F.col("split") == "test"), ga["threshold"],
-                                        score="error", model="AutoEncoder"))
+        ae_test = EV.fraud_metrics(ae_err.filter(F.col("split") == "test"), ga["threshold"], score="error",
+                                   model="AutoEncoder")
+        ae_val = EV.fraud_metrics(ae_err.filter(F.col("split") == "val"), ga["threshold"], score="error",
+                                  model="AutoEncoder")
+        metrics.append(ae_test)
+        ref_name = "RF_smote" if with_forest else "LR_smote"
+        normal_err = ae_err.join(prep.train_normal().select(KEY), KEY, "left_semi")
+        IO.write_json_row(R.autoencoder_report(ae, normal_err, ae_val, ae_test,
+                                               test_metrics.filter(F.col("model") == ref_name), ga["threshold"],
+                                               normal_err.count()), f"{out}/autoencoder_report")
         RC.training_history(spark, ae).coalesce(1).write.mode("overwrite").json(f"{out}/models/ae_history")
     ranked = rank_models(metrics_union(*metrics))
     IO.write_json_row(ranked, f"{out}/all_metrics")
