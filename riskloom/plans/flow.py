@@ -78,7 +78,7 @@ def run_all(spark: SparkSession, raw: DataFrame, out: str, with_forest: bool = T
     test_metrics = metrics_union(*metrics)
     importances = None
     if with_forest:
-        importances = M.feature_importances(M.load_model(f"{out}/models/RF_balanced"), FEATURE_COLS)
+        importances = M.feature_importances(IO.load_model(f"{out}/models/RF_balanced"), FEATURE_COLS)
     IO.write_json_row(R.baseline_report(S.flag_baseline_metrics(raw), test_metrics, importances),
                       f"{out}/baseline_report")
     # 4. unsupervised detector on normal rows, grid threshold on val
