@@ -42,7 +42,7 @@ def _val_test_metrics(scored: DataFrame, name: str, score: str = "score") -> tup
 
 
 def run_all(spark: SparkSession, raw: DataFrame, out: str, with_forest: bool = True,
-            with_autoencoder: bool = True) -> DataFrame:
+            with_autoencoder: bool = True, ae_epochs: int = 100) -> DataFrame:
     """Run every stage on ``raw`` transactions; returns the ranked metrics of all models."""
     out = out.rstrip("/")
     feats = build_features(raw)
@@ -88,7 +88,7 @@ def run_all(spark: SparkSession, raw: DataFrame, out: str, with_forest: bool = T
     metrics.append(EV.fraud_metrics(err.filter(F.col("split") == "test"), g["threshold"], score="error",
                                     model="PCA_recon"))
     if with_autoencoder:
-        ae = RC.fit_autoencoder(prep.train_normal())
+        ae = RC.fit_autoencoder(prep.train_normal(), epochs=ae_epochs)
         ae_err = cut_lineage(RC.ae_reconstruction_error(
             prep.data.select(KEY, "split", TARGET, *FEATURE_COLS), ae).select(KEY, "split", TARGET, "error"))
         ga = EV.grid_threshold(ae_err.filter(F.col("split") == "val"), score="error").first()
