@@ -20,6 +20,9 @@ from . import features as FE
 from .sampling import class_counts, class_weights, rank_in_class, stratified_split
 
 
+ROWS_PER_PARTITION = 1_000_000     # ~128 MB of the 16 prepared columns
+
+
 # --- G1 / G2 -----------------------------------------------------------------
 def fit_scaler(df: DataFrame, scale_cols=None, split: str | None = "train") -> dict:
     """Mean and population std of ``scale_cols`` on the train rows: {col: (mean, std)}."""
@@ -264,8 +267,11 @@ def prepare(features_df: DataFrame, train_ratio: float = TRAIN_RATIO, seed: int
     split = stratified_split(enc, TARGET, train_ratio, KEY, seed, counts=counts)
     if checkpoint:
         # the split feeds the scaler, weights, SMOTE and every model: materialise it once
-        # in the cluster's checkpoint folder (reliable, survives executor loss)
-        split = cut_lineage(split)
+        # in the cluster's checkpoint folder (reliable, survives executor loss), in
+        # partitions of ~ROWS_PER_PARTITION rows so that iterative fits (L-BFGS, trees)
+        # launch as many tasks as the data needs, not as many as the scan produced
+        n_parts = max(1, math.ceil((pre["n0"] + pre["n1"]) / ROWS_PER_PARTITION))
+        split = cut_lineage(split.coalesce(n_parts))     # coalesce never adds partitions
     train = split.filter(F.col("split") == "train")
     row = train.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in SCALE_COLS],
                     F.count_if(F.col(TARGET) == 0).alias("_n0"), F.count_if(F.col(TARGET) == 1).alias("_n1")).first()
