@@ -73,7 +73,7 @@ def _band_neighbours(minority: DataFrame, cols, k: int = 5, key: str = KEY) -> D
 
     No all-pairs product: points are cut into equal-width cells along the coordinate with
     the most distinct values (|p_i - p_j| ≤ distance).  Stage 1 bounds each point's k-th
-    distance r_i from the cells within a ring of ±R cells, growing R fourfold (one distributed
+    distance r_i from the cells within a ring of ±R cells, growing R sixteenfold (one distributed
     pass per step, only for points still short of k candidates, so isolated points
     in a heavy tail never scan every cell).  Stage 2 joins only the cells within ±r_i,
     which contain every true neighbour.  Returns (i, nn_rank 0..k-1, j, d2).
@@ -107,7 +107,7 @@ def _band_neighbours(minority: DataFrame, cols, k: int = 5, key: str = KEY) -> D
         todo = todo.join(got, todo["key"] == got["i"], "left_anti")
         if todo.isEmpty():
             break
-        ring *= 4
+        ring *= 16
     q2 = pts.join(radius, pts["key"] == radius["i"], "left").drop("i")
     r = F.coalesce(F.col("r"), F.lit(float("inf")))       # only if fewer than k+1 points exist
     lo_cell = F.greatest(F.lit(0), F.floor((F.col("_p") - r - F.lit(lo)) / F.lit(width)).cast("long"))
