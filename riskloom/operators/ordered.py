@@ -70,7 +70,8 @@ def exact_quantiles(df: DataFrame, columns, probs, by=(), approx: bool = False,
         clean = {c: F.when(~F.isnan(c), F.col(c)) for c in columns}
         wide = src.groupBy(*by).agg(*[F.percentile_approx(clean[c], probs, accuracy).alias(c) for c in columns])
         return _approx_long(wide, by, columns, probs)
-    counts = src.groupBy(*by).agg(*[F.count(F.when(~F.isnan(c), True)).alias(c) for c in columns])
+    # non-null, non-NaN values only (isnan(null) is false, so count the value itself)
+    counts = src.groupBy(*by).agg(*[F.count(F.when(~F.isnan(c), F.col(c))).alias(c) for c in columns])
     count_rows = counts.collect()             # one row per group (bounded by the group count)
     n_total = max([sum(r[c] for r in count_rows) for c in columns] + [0])
     if _n_buckets(n_total) > 1:

@@ -36,12 +36,16 @@ def describe(df: DataFrame, columns=None, digits: int | None = 4, by=(),
     """
     by = list(by)
     columns = columns or [c for c in numeric_columns(df, exclude=()) if c != KEY and c not in by]
+    def v(c):        # NaN counts as missing, as in pandas
+        x = F.col(c).cast("double")
+        return F.when(~F.isnan(x), x)
+
     base = df.groupBy(*by).agg(*[
-        F.struct(F.count(c).cast("bigint").alias("count"),
-                 F.avg(F.col(c).cast("double")).alias("mean"),
-                 F.stddev_samp(F.col(c).cast("double")).alias("std"),
-                 F.min(F.col(c).cast("double")).alias("min"),
-                 F.max(F.col(c).cast("double")).alias("max")).alias(c)
+        F.struct(F.count(v(c)).cast("bigint").alias("count"),
+                 F.avg(v(c)).alias("mean"),
+                 F.stddev_samp(v(c)).alias("std"),
+                 F.min(v(c)).alias("min"),
+                 F.max(v(c)).alias("max")).alias(c)
         for c in columns])
     long = base.select(*by, _unpivot_struct(columns, lambda c: F.struct(
         F.lit(c).alias("column"), F.col(c).alias("s"))).alias("u")) \

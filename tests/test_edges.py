@@ -101,3 +101,14 @@ def test_balance_anomaly_isclose(spark):
                                              "amount": [50.0 + 1e-9, 50.0]}))
     out = FE.balance_anomalies(df).toPandas()
     assert len(out) == 1 and math.isclose(out["balance_gap_vs_amount"][0], -40.0)
+
+
+def test_describe_skips_nan_like_pandas(spark):
+    vals = [1.0, float("nan"), 3.0, None, 10.0]
+    df = spark.createDataFrame([(x,) for x in vals], "amount double")
+    r = S.describe(df, ["amount"], digits=None).first()
+    ref = pd.Series(vals, dtype="float64").describe()
+    assert r["count"] == ref["count"] == 3
+    for ours, theirs in [("mean", "mean"), ("std", "std"), ("min", "min"), ("p25", "25%"), ("p50", "50%"),
+                         ("p75", "75%"), ("max", "max")]:
+        assert r[ours] == pytest.approx(ref[theirs], rel=1e-12)
