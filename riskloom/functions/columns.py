@@ -94,3 +94,10 @@ def uniform_of(key="txn_id", seed: int = 42, salt: str = "") -> Column:
     """Uniform [0,1) from the first 8 hex digits of md5(key:seed[salt])."""
     text = F.concat(_c(key).cast("string"), F.lit(f":{seed}{salt}"))
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def num(col) -> Column:
+    """Column as double with NaN turned into null, so aggregates skip it (pandas/NumPy
+    ``nan``-skipping semantics: mean, std, skew, corr, scaler fits)."""
+    x = _c(col).cast("double")
+    return F.when(~F.isnan(x), x)

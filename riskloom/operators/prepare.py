@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import uniform_of
+from ..functions.columns import num, uniform_of
 from ..functions.moments import skew_sample
 from ..session import cut_lineage
 from ..schema import FEATURE_COLS, KEY, SCALE_COLS, SEED, TARGET, TRAIN_RATIO
@@ -28,7 +28,7 @@ def fit_scaler(df: DataFrame, scale_cols=None, split: str | None = "train") -> d
     """Mean and population std of ``scale_cols`` on the train rows: {col: (mean, std)}."""
     scale_cols = list(SCALE_COLS if scale_cols is None else scale_cols)
     src = df.filter(F.col("split") == split) if split and "split" in df.columns else df
-    row = src.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c)
+    row = src.agg(*[F.struct(F.avg(num(c)).alias("m"), F.stddev_pop(num(c)).alias("s")).alias(c)
                     for c in scale_cols]).first()
     return {c: (row[c]["m"], row[c]["s"]) for c in scale_cols}
 
@@ -37,8 +37,8 @@ def scaler_frame(df: DataFrame, scale_cols=None, split: str | None = "train") ->
     """The fitted scaler as rows (column, mean, std) — lazily, for reports and oracles."""
     scale_cols = list(SCALE_COLS if scale_cols is None else scale_cols)
     src = df.filter(F.col("split") == split) if split and "split" in df.columns else df
-    wide = src.agg(*[F.struct(F.lit(c).alias("column"), F.avg(c).alias("mean"),
-                              F.stddev_pop(c).alias("std")).alias(c) for c in scale_cols])
+    wide = src.agg(*[F.struct(F.lit(c).alias("column"), F.avg(num(c)).alias("mean"),
+                              F.stddev_pop(num(c)).alias("std")).alias(c) for c in scale_cols])
     return wide.select(F.explode(F.array(*scale_cols)).alias("u")).select("u.*")
 
 
@@ -273,7 +273,8 @@ def prepare(features_df: DataFrame, train_ratio: float = TRAIN_RATIO, seed: int
         n_parts = max(1, math.ceil((pre["n0"] + pre["n1"]) / ROWS_PER_PARTITION))
         split = cut_lineage(split.coalesce(n_parts))     # coalesce never adds partitions
     train = split.filter(F.col("split") == "train")
-    row = train.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in SCALE_COLS],
+    row = train.agg(*[F.struct(F.avg(num(c)).alias("m"), F.stddev_pop(num(c)).alias("s")).alias(c)
+                      for c in SCALE_COLS],
                     F.count_if(F.col(TARGET) == 0).alias("_n0"), F.count_if(F.col(TARGET) == 1).alias("_n1")).first()
     params = {c: (row[c]["m"], row[c]["s"]) for c in SCALE_COLS}
     weights = class_weights({c: n for c, n in ((0, row["_n0"]), (1, row["_n1"])) if n})

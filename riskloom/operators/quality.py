@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import num
 from ..functions.moments import pct
 from ..schema import KEY, SCALE_COLS, TARGET
 from .stats import numeric_correlation_ranking
@@ -154,8 +155,8 @@ def scaling_check(df: DataFrame, columns=None, split: str = "train", tol: float
                   digits: int = 6) -> DataFrame:                                    # C12
     columns = list(SCALE_COLS if columns is None else columns)
     src = df.filter(F.col("split") == split) if split and "split" in df.columns else df
-    wide = src.agg(*[F.struct(F.lit(c).alias("column"), F.avg(c).alias("mean"),
-                              F.stddev_samp(c).alias("std")).alias(c) for c in columns])
+    wide = src.agg(*[F.struct(F.lit(c).alias("column"), F.avg(num(c)).alias("mean"),
+                              F.stddev_samp(num(c)).alias("std")).alias(c) for c in columns])
     long = wide.select(_explode_structs([F.col(c) for c in columns]).alias("u")).select("u.*")
     return long.select("column", F.round("mean", digits).alias("mean"), F.round("std", digits).alias("std"),
                        ((F.abs("mean") < tol) & (F.abs(F.col("std") - 1) < tol)).alias("ok"))
@@ -165,8 +166,8 @@ def drift_check(df: DataFrame, columns=None, a: str = "train", b: str = "test",
                 tol: float = 0.15, digits: int = 6) -> DataFrame:                   # C13
     columns = list(SCALE_COLS if columns is None else columns)
     wide = df.agg(*[F.struct(F.lit(c).alias("column"),
-                             F.avg(F.when(F.col("split") == a, F.col(c))).alias("mean_a"),
-                             F.avg(F.when(F.col("split") == b, F.col(c))).alias("mean_b")).alias(c)
+                             F.avg(F.when(F.col("split") == a, num(c))).alias("mean_a"),
+                             F.avg(F.when(F.col("split") == b, num(c))).alias("mean_b")).alias(c)
                     for c in columns])
     long = wide.select(_explode_structs([F.col(c) for c in columns]).alias("u")).select("u.*")
     d = F.abs(F.col("mean_a") - F.col("mean_b"))

@@ -36,9 +36,7 @@ def describe(df: DataFrame, columns=None, digits: int | None = 4, by=(),
     """
     by = list(by)
     columns = columns or [c for c in numeric_columns(df, exclude=()) if c != KEY and c not in by]
-    def v(c):        # NaN counts as missing, as in pandas
-        x = F.col(c).cast("double")
-        return F.when(~F.isnan(x), x)
+    v = C.num        # NaN counts as missing, as in pandas
 
     base = df.groupBy(*by).agg(*[
         F.struct(F.count(v(c)).cast("bigint").alias("count"),
@@ -106,7 +104,7 @@ def risk_ratio(df: DataFrame, flag: str = "high_risk_hour", label: str = TARGET)
 
 def skew_kurtosis(df: DataFrame, columns=("amount",), digits: int = 6) -> DataFrame:     # D8
     return df.select(_unpivot_struct(list(columns), lambda c: F.struct(
-        F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))).alias("u")) \
+        F.lit(c).alias("column"), C.num(c).alias("v"))).alias("u")) \
         .groupBy(F.col("u.column").alias("column")) \
         .agg(F.round(skew_sample("u.v"), digits).alias("skewness"),
              F.round(kurt_sample("u.v"), digits).alias("kurtosis"))
@@ -114,7 +112,7 @@ def skew_kurtosis(df: DataFrame, columns=("amount",), digits: int = 6) -> DataFr
 
 def amount_summary(df: DataFrame, value: str = "amount", digits: int = 6) -> DataFrame:   # D9
     med = exact_quantiles(df, [value], [0.5]).select(F.col("quantile").alias("median"))
-    agg = df.agg(F.avg(value).alias("mean"), F.max(value).alias("max"))
+    agg = df.agg(F.avg(C.num(value)).alias("mean"), F.max(C.num(value)).alias("max"))
     return agg.crossJoin(med).select(   # both sides are one row
         F.round("median", digits).alias("median"), F.round("mean", digits).alias("mean"),
         F.round("max", digits).alias("max"),
@@ -176,10 +174,10 @@ def pearson(df: DataFrame, pairs) -> dict:
     """
     pairs = list(pairs)
     uniq = sorted({tuple(sorted(p)) for p in pairs})          # corr is symmetric
-    both = {p: F.col(p[0]).isNotNull() & F.col(p[1]).isNotNull() for p in uniq}
+    both = {p: C.num(p[0]).isNotNull() & C.num(p[1]).isNotNull() for p in uniq}
 
     def x(c):
-        return F.col(c).cast("double")
+        return C.num(c)
 
     mrow = df.agg(*[F.struct(F.avg(F.when(both[p], x(p[0]))).alias("a"),
                              F.avg(F.when(both[p], x(p[1]))).alias("b")).alias(f"m{i}")
@@ -244,7 +242,7 @@ def flag_rate_table(df: DataFrame, flags=("is_transfer_or_cashout", "dest_zero_b
 
 
 def grouped_mean_median_max(df: DataFrame, value: str, by: str, digits: int = 6) -> DataFrame:  # D18
-    agg = df.groupBy(by).agg(F.avg(value).alias("mean"), F.max(value).alias("max"))
+    agg = df.groupBy(by).agg(F.avg(C.num(value)).alias("mean"), F.max(C.num(value)).alias("max"))
     med = exact_quantiles(df, [value], [0.5], by=[by]).select(by, F.col("quantile").alias("median"))
     return agg.join(med, [by], "left").select(
         by, F.round("mean", digits).alias("mean"), F.round("median", digits).alias("median"),
@@ -295,7 +293,7 @@ def split_summary(df: DataFrame, label: str = TARGET, split: str = "split") -> D
 def column_stats_by_split(df: DataFrame, columns, split: str = "split", digits: int = 6) -> DataFrame:  # D23
     columns = list(columns)
     long = df.select(split, _unpivot_struct(columns, lambda c: F.struct(
-        F.lit(c).alias("column"), F.col(c).cast("double").alias("v"))).alias("u"))
+        F.lit(c).alias("column"), C.num(c).alias("v"))).alias("u"))
     return (long.groupBy(split, "u.column")
             .agg(F.round(F.avg("u.v"), digits).alias("mean"),
                  F.round(F.stddev_samp("u.v"), digits).alias("std"),

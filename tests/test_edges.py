@@ -112,3 +112,18 @@ def test_describe_skips_nan_like_pandas(spark):
     for ours, theirs in [("mean", "mean"), ("std", "std"), ("min", "min"), ("p25", "25%"), ("p50", "50%"),
                          ("p75", "75%"), ("max", "max")]:
         assert r[ours] == pytest.approx(ref[theirs], rel=1e-12)
+
+
+def test_nan_skipped_in_stats_like_pandas(spark):
+    vals = [1.0, float("nan"), 3.0, 10.0, 4.0]
+    lab = [0, 1, 0, 1, 1]
+    df = spark.createDataFrame(list(zip(vals, lab)), "amount double, isFraud int")
+    s = pd.Series(vals)
+    sk = S.skew_kurtosis(df, ["amount"], digits=12).first()
+    assert sk["skewness"] == pytest.approx(s.skew(), rel=1e-9)
+    r = S.pearson(df, [("amount", "isFraud")])[("amount", "isFraud")]
+    assert r == pytest.approx(s.corr(pd.Series(lab, dtype=float)), rel=1e-12)
+    m = S.amount_summary(df, digits=12).first()
+    assert m["mean"] == pytest.approx(s.mean()) and m["median"] == pytest.approx(s.median())
+    params = P.fit_scaler(df, ["amount"], split=None)
+    assert params["amount"][0] == pytest.approx(s.mean()) and params["amount"][1] == pytest.approx(s.std(ddof=0))
