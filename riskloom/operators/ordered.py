@@ -54,7 +54,7 @@ def bucketize(df: DataFrame, columns: list[str], n_rows: int) -> tuple[DataFrame
 
 
 def exact_quantiles(df: DataFrame, columns, probs, by=(), approx: bool = False,
-                    accuracy: int = APPROX_ACCURACY) -> DataFrame:
+                    accuracy: int = APPROX_ACCURACY, counts: list | None = None) -> DataFrame:
     """Exact linear-interpolated quantiles (NumPy/pandas default) of ``columns``.
 
     Returns long rows ``(*by, column, qi, prob, quantile)``; nulls and NaN are ignored.
@@ -70,9 +70,13 @@ def exact_quantiles(df: DataFrame, columns, probs, by=(), approx: bool = False,
         clean = {c: F.when(~F.isnan(c), F.col(c)) for c in columns}
         wide = src.groupBy(*by).agg(*[F.percentile_approx(clean[c], probs, accuracy).alias(c) for c in columns])
         return _approx_long(wide, by, columns, probs)
-    # non-null, non-NaN values only (isnan(null) is false, so count the value itself)
-    counts = src.groupBy(*by).agg(*[F.count(F.when(~F.isnan(c), F.col(c))).alias(c) for c in columns])
-    count_rows = counts.collect()             # one row per group (bounded by the group count)
+    # non-null, non-NaN values only (isnan(null) is false, so count the value itself);
+    # callers that already aggregated pass ``counts`` (rows with the group keys and one
+    # count per column) and save this pass
+    if counts is None:
+        counts = src.groupBy(*by).agg(*[F.count(F.when(~F.isnan(c), F.col(c))).alias(c)
+                                        for c in columns]).collect()   # one row per group
+    count_rows = counts
     n_total = max([sum(r[c] for r in count_rows) for c in columns] + [0])
     if _n_buckets(n_total) > 1:
         # three more passes follow (cut points, bucket counts, ranks): materialise the

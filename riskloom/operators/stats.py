@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions.moments import kurt_sample, pct, skew_sample
@@ -37,18 +38,20 @@ def describe(df: DataFrame, columns=None, digits: int | None = 4, by=(),
     by = list(by)
     columns = columns or [c for c in numeric_columns(df, exclude=()) if c != KEY and c not in by]
     v = C.num        # NaN counts as missing, as in pandas
-
-    base = df.groupBy(*by).agg(*[
-        F.struct(F.count(v(c)).cast("bigint").alias("count"),
-                 F.avg(v(c)).alias("mean"),
-                 F.stddev_samp(v(c)).alias("std"),
-                 F.min(v(c)).alias("min"),
+    stats = ["count", "mean", "std", "min", "max"]
+    rows = df.groupBy(*by).agg(*[
+        F.struct(F.count(v(c)).cast("bigint").alias("count"), F.avg(v(c)).alias("mean"),
+                 F.stddev_samp(v(c)).alias("std"), F.min(v(c)).alias("min"),
                  F.max(v(c)).alias("max")).alias(c)
-        for c in columns])
-    long = base.select(*by, _unpivot_struct(columns, lambda c: F.struct(
-        F.lit(c).alias("column"), F.col(c).alias("s"))).alias("u")) \
-        .select(*by, "u.column", "u.s.*")
-    q = exact_quantiles(df, columns, QUARTILES, by=by, approx=approx_quantiles)
+        for c in columns]).collect()        # one row per group: groups × columns × 5 numbers
+    counts = [{**{k: r[k] for k in by}, **{c: r[c]["count"] for c in columns}} for r in rows]
+    by_fields = [f for f in df.schema.fields if f.name in by]
+    schema = T.StructType([*by_fields, T.StructField("column", T.StringType()),
+                           T.StructField("count", T.LongType()),
+                           *[T.StructField(x, T.DoubleType()) for x in stats[1:]]])
+    long = df.sparkSession.createDataFrame(
+        [(*[r[k] for k in by], c, *[r[c][x] for x in stats]) for r in rows for c in columns], schema)
+    q = exact_quantiles(df, columns, QUARTILES, by=by, approx=approx_quantiles, counts=counts)
     qw = q.groupBy(*by, "column").agg(*[
         F.max(F.when(F.col("qi") == i, F.col("quantile"))).alias(name)
         for i, name in enumerate(["p25", "p50", "p75"])])
