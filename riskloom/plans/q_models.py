@@ -146,7 +146,7 @@ def q_forest_balanced(spark, sf):                         # H3 + H4
 @register("forest_importances")
 def q_forest_importances(spark, sf):                      # H5
     p = prepared(spark, sf)
-    m = M.fit_forest(P.with_weight(p.split("train"), p.weights), n_trees=100)
+    m = M.fit_forest(P.with_weight(p.split("train"), p.weights))
     return M.feature_importances(m, FEATURE_COLS)
 
 
@@ -179,7 +179,7 @@ def q_latent_pca(spark, sf):                              # H9 + H12 (+ E5 union
 @register("autoencoder")
 def q_autoencoder(spark, sf):                             # H7(b) + H8 + H14 + I8 + I2
     p = prepared(spark, sf)
-    ae = RC.fit_autoencoder(p.train_normal(), epochs=30)
+    ae = RC.fit_autoencoder(p.train_normal())
     d = cut_lineage(RC.ae_reconstruction_error(p.data.select("txn_id", "split", "isFraud", *FEATURE_COLS), ae)
                     .select("txn_id", "split", "isFraud", "error"))
     t = EV.grid_threshold(d.filter(F.col("split") == "val"), score="error").first()["threshold"]
@@ -189,7 +189,7 @@ def q_autoencoder(spark, sf):                             # H7(b) + H8 + H14 + I
 @register("autoencoder_history")
 def q_autoencoder_history(spark, sf):                     # H14: per-epoch loss / val loss, best epoch flagged
     p = prepared(spark, sf)
-    ae = RC.fit_autoencoder(p.train_normal(), epochs=15)
+    ae = RC.fit_autoencoder(p.train_normal())
     h = RC.training_history(spark, ae)
     best = h.agg(F.min_by("epoch", "val_loss").alias("best_epoch"))
     return h.crossJoin(best).withColumn("is_best", F.col("epoch") == F.col("best_epoch")).drop("best_epoch")
