@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,21 +70,25 @@ def _sqdist(cols, a: str, b: str):
     return sum(((F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) ** 2 for c in cols), F.lit(0.0))
 
 
-def _band_neighbours(minority: DataFrame, cols, k: int = 5, key: str = KEY) -> DataFrame:
+def _band_neighbours(minority: DataFrame, cols, k: int = 5, key: str = KEY, seed: int = SEED) -> DataFrame:
     """Exact k nearest neighbours (Euclidean, self excluded) among distinct points.
 
-    No all-pairs product: points are cut into equal-width cells along the coordinate with
-    the most distinct values (|p_i - p_j| ≤ distance).  Stage 1 bounds each point's k-th
-    distance r_i from the cells within a ring of ±R cells, growing R sixteenfold (one distributed
-    pass per step, only for points still short of k candidates, so isolated points
-    in a heavy tail never scan every cell).  Stage 2 joins only the cells within ±r_i,
-    which contain every true neighbour.  Returns (i, nn_rank 0..k-1, j, d2).
+    No all-pairs product: points are cut into equal-width cells along p = u·x for a fixed
+    pseudo-random unit direction u (|p_i - p_j| ≤ distance; distinct points sharing one
+    coordinate's value still get distinct projections).  Stage 1 bounds each point's k-th
+    distance r_i from the cells within a ring of ±R cells, growing R sixteenfold (one
+    distributed pass per step, only for points still short of k candidates, so isolated
+    points in a heavy tail never scan every cell).  Stage 2 joins only the cells within
+    ±r_i, which contain every true neighbour.  Returns (i, nn_rank 0..k-1, j, d2).
     """
     cols = list(cols)
-    spread = minority.agg(*[F.struct(F.approx_count_distinct(c).alias("d"), F.stddev_pop(c).alias("s"),
-                                     F.min(c).alias("lo"), F.max(c).alias("hi"),
-                                     F.count(c).alias("n")).alias(c) for c in cols]).first()
-    axis = max(cols, key=lambda c: (spread[c]["d"] or 0, spread[c]["s"] or 0.0))
+    u = np.random.default_rng(seed).normal(size=len(cols))
+    u = u / np.sqrt((u * u).sum())
+    proj = sum((F.col(c).cast("double") * F.lit(float(w)) for c, w in zip(cols, u)), F.lit(0.0))
+    minority = minority.withColumn("_proj", proj)
+    axis = "_proj"
+    spread = minority.agg(F.struct(F.min(axis).alias("lo"), F.max(axis).alias("hi"),
+                                   F.count(axis).alias("n")).alias(axis)).first()
     lo, hi, m = spread[axis]["lo"], spread[axis]["hi"], spread[axis]["n"]
     width = (hi - lo) * 4.0 * k / max(m, 1) if hi is not None and hi > lo else 1.0
     width = width if width > 0 else 1.0

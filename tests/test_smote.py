@@ -78,3 +78,16 @@ def test_neighbours_with_hot_copy_group(spark):
         order = sorted((d2[j], j) for j in range(n) if j != i)[:5]
         mine = got[got.i == i].sort_values("nn_rank")
         assert list(mine.j) == [j for _, j in order], i
+
+
+def test_neighbours_with_hot_coordinate_value(spark):
+    rng = np.random.default_rng(9)
+    n = 150
+    x = rng.normal(size=(n, 3))
+    x[:60, 0] = 0.0                                     # a third+ of distinct rows share one coordinate value
+    pdf = pd.DataFrame(x, columns=["a", "b", "c"]).assign(txn_id=np.arange(n))
+    got = minority_neighbours(spark.createDataFrame(pdf), ["a", "b", "c"], 5).toPandas()
+    for i in range(0, n, 7):
+        d2 = ((x - x[i]) ** 2).sum(axis=1)
+        order = sorted((d2[j], j) for j in range(n) if j != i)[:5]
+        assert list(got[got.i == i].sort_values("nn_rank").j) == [j for _, j in order], i
