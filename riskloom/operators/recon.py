@@ -9,8 +9,9 @@ Two detectors share one scoring surface (``error`` per row):
 * ``fit_autoencoder`` — the reference's dense encoder/decoder 14→10→7→4→7→10→14 (relu,
   dropout, L2, Adam, MSE, early stopping restoring the best weights, LR halving on a
   plateau), trained data-parallel: each epoch every partition runs mini-batch Adam from
-  the broadcast weights over its rows (``mapInPandas``, NumPy), the driver averages the
-  partition weights by row count.  Scoring is an Arrow-batched ``mapInPandas`` with the
+  the broadcast weights over its rows (``mapInPandas``, NumPy) and scores its hold-out
+  rows with those start weights; the partition weights are averaged by row count with
+  executor-side partial sums — one Spark job per epoch.  Scoring is an Arrow-batched ``mapInPandas`` with the
   weights in the closure.  Batch normalisation is not reproduced (see README).
 """
 
@@ -229,24 +230,38 @@ def fit_autoencoder(normal: DataFrame, feature_cols=None, epochs: int = 100, bat
     feature_cols = list(FEATURE_COLS if feature_cols is None else feature_cols)
     layers = [len(feature_cols), 10, 7, 4, 7, 10, len(feature_cols)]
     split = tail_validation_split(normal.select(key, *feature_cols), val_frac, key, seed)
-    fit_part = split.filter(F.col("is_holdout") == 0).drop("is_holdout").cache()   # re-read every epoch
-    hold = split.filter(F.col("is_holdout") == 1).drop("is_holdout").cache()
+    # one cached frame: fit rows train, hold-out rows are scored with the epoch's start
+    # weights in the same pass (one job per epoch; the hold-out loss of the weights after
+    # epoch e arrives with the pass of epoch e+1)
+    rows = split.select(*feature_cols, "is_holdout").cache()
     ws = _init(layers, seed)
     best, best_loss, stale, lr_stale, history = ws, np.inf, 0, 0, []
-    # each partition emits (position, n·value) rows: the weights, then n, then n·loss
+    n_w = len(_flatten(ws))
+    # each partition emits (position, value): n·weights, n_fit, fit loss sum, n_hold, hold loss sum
     out_schema = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("v", T.DoubleType())])
-    for epoch in range(epochs):
+    pending = None                       # (epoch, train_loss, lr) of the weights now in ``ws``
+    for epoch in range(epochs + 1):
         flat = _flatten(ws)
+        train = epoch < epochs
         cur_lr = lr
 
-        def local_epoch(it, flat=flat, cur_lr=cur_lr, epoch=epoch):
+        def local_epoch(it, flat=flat, cur_lr=cur_lr, epoch=epoch, train=train):
+            w0 = _unflatten(flat.copy(), layers)
             w = _unflatten(flat.copy(), layers)
             m = [np.zeros_like(x) for x in w]
             v = [np.zeros_like(x) for x in w]
             rng = np.random.default_rng(seed + epoch)
-            n_tot, loss_sum, t = 0, 0.0, 0
+            n_fit, loss_sum, n_hold, hold_sum, t = 0, 0.0, 0, 0.0, 0
             for pdf in it:
-                x = pdf[feature_cols].to_numpy(dtype=np.float64)
+                hold_mask = pdf["is_holdout"].to_numpy() == 1
+                xh = pdf.loc[hold_mask, feature_cols].to_numpy(dtype=np.float64)
+                if len(xh):
+                    out, _ = _forward(w0, xh)
+                    hold_sum += float(((out[-1] - xh) ** 2).mean(axis=1).sum())
+                    n_hold += len(xh)
+                if not train:
+                    continue
+                x = pdf.loc[~hold_mask, feature_cols].to_numpy(dtype=np.float64)
                 order = rng.permutation(len(x))
                 for s in range(0, len(x), batch_size):
                     xb = x[order[s:s + batch_size]]
@@ -260,41 +275,38 @@ def fit_autoencoder(normal: DataFrame, feature_cols=None, epochs: int = 100, bat
                         mh = m[i] / (1 - 0.9 ** t)
                         vh = v[i] / (1 - 0.999 ** t)
                         w[i] = w[i] - cur_lr * mh / (np.sqrt(vh) + 1e-7)
-                n_tot += len(x)
-            if n_tot:
-                vals = np.concatenate([_flatten(w) * n_tot, [float(n_tot), loss_sum]])
-                yield pd.DataFrame({"pos": np.arange(len(vals), dtype=np.int32), "v": vals})
+                n_fit += len(x)
+            vals = np.concatenate([_flatten(w) * n_fit, [float(n_fit), loss_sum, float(n_hold), hold_sum]])
+            yield pd.DataFrame({"pos": np.arange(len(vals), dtype=np.int32), "v": vals})
 
         # row-weighted average of the partition weights, reduced on the executors in one
-        # job: map-side partial sums per position → len(weights) + 2 rows to the driver
-        summed = fit_part.mapInPandas(local_epoch, out_schema).groupBy("pos").agg(F.sum("v").alias("s")).collect()
-        vec = np.zeros(len(flat) + 2)
+        # job: map-side partial sums per position → len(weights) + 4 rows to the driver
+        summed = rows.mapInPandas(local_epoch, out_schema).groupBy("pos").agg(F.sum("v").alias("s")).collect()
+        vec = np.zeros(n_w + 4)
         for r in summed:
             vec[r["pos"]] = r["s"]
-        n_all = vec[len(flat)]
-        ws = _unflatten(vec[:len(flat)] / n_all, layers)
-        train_loss = vec[len(flat) + 1] / n_all
-        val_loss = _mean_error(hold, feature_cols, ws)
-        history.append({"epoch": epoch, "loss": train_loss, "val_loss": val_loss, "lr": lr})
-        if val_loss < best_loss - 1e-12:
-            best, best_loss, stale, lr_stale = [w.copy() for w in ws], val_loss, 0, 0
-        else:
-            stale += 1
-            lr_stale += 1
-            if lr_stale >= lr_patience:
-                lr, lr_stale = max(lr * lr_factor, min_lr), 0
-            if stale >= patience:
-                break
-    fit_part.unpersist()
-    hold.unpersist()
+        n_fit, n_hold = vec[n_w], vec[n_w + 2]
+        val_loss = vec[n_w + 3] / n_hold if n_hold else float("nan")      # loss of the start weights
+        if pending is not None:
+            p_epoch, p_loss, p_lr = pending
+            history.append({"epoch": p_epoch, "loss": p_loss, "val_loss": val_loss, "lr": p_lr})
+            if val_loss < best_loss - 1e-12:
+                best, best_loss, stale, lr_stale = [w.copy() for w in ws], val_loss, 0, 0
+            else:
+                stale += 1
+                lr_stale += 1
+                if lr_stale >= lr_patience:
+                    lr, lr_stale = max(lr * lr_factor, min_lr), 0
+                if stale >= patience:
+                    break
+        if not train or not n_fit:
+            break
+        pending = (epoch, vec[n_w + 1] / n_fit, cur_lr)
+        ws = _unflatten(vec[:n_w] / n_fit, layers)
+    rows.unpersist()
     return AutoEncoder(feature_cols, best, history)
 
 
-def _mean_error(df: DataFrame, feature_cols, ws) -> float:
-    scored = ae_reconstruction_error(df, AutoEncoder(list(feature_cols), ws))
-    return float(scored.agg(F.avg("error")).first()[0])
-
-
 def ae_reconstruction_error(df: DataFrame, ae: AutoEncoder, out: str = "error",
                             reduction: str = "mean", latent: bool = False) -> DataFrame:   # H8 / H9
     """Per-row reconstruction error (and optional 4-d latent code), Arrow-batched."""
