@@ -7,7 +7,10 @@ the user's session (and its ``spark.checkpoint.dir``) is used as it is.
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -38,25 +41,24 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint directory.
+    """Return the session's checkpoint directory, setting it once.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; that setting is always
-    respected.  Only when it is unset (local tests, the benchmark) a fresh scratch folder
-    is created and registered.
+    A cluster names a shared folder in ``spark.checkpoint.dir``; that setting is always respected.  Where it is
+    unset, a local session gets a scratch folder that goes when Python exits, and a session on a cluster is
+    refused: executors could not read a folder of the driver's machine.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    sc = spark.sparkContext
+    current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    path = tempfile.mkdtemp(prefix="riskloom-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if not path:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master: {sc.master})")
+        path = tempfile.mkdtemp(prefix="riskloom-ckpt-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    sc.setCheckpointDir(path)
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut_lineage(df):
