@@ -132,7 +132,7 @@ def search(vectors: DataFrame, every: int = 20, top: int = TOP) -> DataFrame:
                        F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v"))
     schema = "query_id bigint, vec_id bigint, score double"
 
-    def run(_key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def run(_key, left, right):
         ids = left.column("vec_id").to_numpy()
         q_ids = right.column("vec_id").to_numpy()
         empty = not len(ids) or not len(q_ids)

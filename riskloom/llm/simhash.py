@@ -1,11 +1,15 @@
 """SimHash near-duplicates through vantage-point trees.
 
 A 64-bit fingerprint's bit is set when over half of the text's shingle hashes (XXH64, seed 42) have it.
-Equal fingerprints collapse to one node (the smallest doc_id).  A vantage-point tree, grown on a bounded
-sample of the fingerprints, cuts the nodes into shards: a node's own shard, and as a query every other
-shard that the triangle bound ``|d(x, v) - r|`` cannot rule out.  Each shard grows a local tree
-over its own points, descends it with all of its queries at once, compares exactly at the leaves, and emits
-a spanning forest (never the pairs of a group); distributed star rounds join the shards' forests.
+Equal fingerprints collapse to one node.  Fingerprints within b bits agree up to one bit in one of b // 2 + 1
+blocks, so each block is a view of its own, searched with radius 1: whole 64-bit distances of unlike texts all lie near 32, which
+gives a triangle bound little to prune, and blocks keep both the copies of a node and the comparisons few.
+
+In each view a vantage-point tree, grown on a bounded sample, cuts the nodes into shards by Hamming distance.  A node is
+owned by one shard, and goes as a query to the later shards that its ball overlaps (at most one a bit of the block).  Each
+shard grows a local tree over its own points, descends it with all of its points and queries at once, dropping branches by
+the triangle bound, compares whole fingerprints at the leaves, and emits a spanning forest (never the pairs of a group);
+distributed star rounds join the shards' forests.
 
 Edge cases: null or blank text has fingerprint zero and links like any other; a repeated doc_id gives one row a
 row; a null doc_id keeps its fingerprint, and its component is the smallest non-null doc_id of it, if any.
@@ -72,52 +76,56 @@ def _split(points: np.ndarray):
     return (v, r) if r >= 0 and (d <= r).any() and (d > r).any() else None
 
 
-def top_tree(sample: np.ndarray, shards: int) -> list:
-    """Heap-ordered nodes [(vantage point, radius) or None]; node k has children 2k+1 (inner), 2k+2."""
-    depth = max(0, int(np.ceil(np.log2(max(1, shards)))))
-    nodes, held = [None] * (2 ** depth - 1), {0: sample}
-    for k in range(len(nodes)):
-        points = held.pop(k, np.zeros(0, np.uint64))
-        cut = _split(points) if len(points) > 1 else None
-        nodes[k] = cut
-        if cut:
-            inner = _distance(points, cut[0]) <= cut[1]
-            held[2 * k + 1], held[2 * k + 2] = points[inner], points[~inner]
-        else:
-            held[2 * k + 1] = points
-    return nodes
+def views(bits: int) -> list[tuple[int, int]]:
+    """(shift, width) of the blocks of which one differs in a bit at most, if ``bits`` differ in all."""
+    m = bits // 2 + 1
+    edge = [64 * k // m for k in range(m + 1)]
+    return [(a, b - a) for a, b in zip(edge, edge[1:], strict=False)]
 
 
-def route(fp: np.ndarray, nodes: list, bits: int):
-    """(leaf, row, own) of fingerprints: the own leaf, and the leaves that must see the row as a query.
+def block(fp: np.ndarray, view: tuple[int, int]) -> np.ndarray:
+    shift, width = view
+    return (fp >> np.uint64(shift)) & np.uint64((1 << width) - 1)
 
-    Two linked points that a node separates meet because the inner one also goes outward as a query
-    when the triangle bound allows; queries then follow both sides wherever it allows.
-    """
-    work = [(0, np.arange(len(fp)), np.ones(len(fp), bool))]
-    leaf, rows, own = [], [], []
-    while work:
-        k, idx, mine = work.pop()
-        if not len(idx):
-            continue
-        if k >= len(nodes):
-            leaf.append(np.full(len(idx), k - len(nodes), np.int32))
-            rows.append(idx)
-            own.append(mine)
-            continue
-        if nodes[k] is None:
-            work.append((2 * k + 1, idx, mine))
-            continue
-        v, r = nodes[k]
-        d = _distance(fp[idx], v).astype(np.int64)
-        inner = d <= r
-        go_in = inner | (~mine & (d - bits <= r))
-        go_out = ~inner | (d + bits > r)
-        work.append((2 * k + 1, idx[go_in], mine[go_in]))
-        work.append((2 * k + 2, idx[go_out], mine[go_out] & ~inner[go_out]))
-    if not leaf:
-        return np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, bool)
-    return np.concatenate(leaf), np.concatenate(rows), np.concatenate(own)
+
+def top_tree(sample: np.ndarray, shards: int):
+    """(vantage points, radii) of a heap-ordered tree: node k has children 2k+1 (inner) and 2k+2."""
+    depth = max(0, int(np.ceil(np.log2(max(1, shards)))))
+    points, radii = np.zeros(2 ** depth - 1, np.uint64), np.full(2 ** depth - 1, 64, np.int64)
+    held = {0: sample}
+    for k in range(len(points)):
+        here = held.pop(k, np.zeros(0, np.uint64))
+        cut = _split(here) if len(here) > 1 else None
+        if cut:
+            points[k], radii[k] = cut
+        inner = _distance(here, points[k]) <= radii[k]
+        held[2 * k + 1], held[2 * k + 2] = here[inner], here[~inner]
+    return points, radii
+
+
+def leaf_of(x: np.ndarray, tree) -> np.ndarray:
+    points, radii = tree
+    node = np.zeros(len(x), np.int64)
+    for _ in range((len(points) + 1).bit_length() - 1):
+        node = 2 * node + 1 + (_distance(x, points[node]) > radii[node])
+    return node - len(points)
+
+
+def route(x: np.ndarray, width: int, tree):
+    """(leaf, row, own) of block values: each row's own leaf, and the later leaves that hold a value one bit away."""
+    n = len(x)
+    own = leaf_of(x, tree)
+    leaf, rows = [own], [np.arange(n)]
+    if len(tree[0]):
+        size = len(tree[0]) + 1
+        near = [(np.arange(n) * size + leaf_of(x ^ np.uint64(1 << k), tree)) for k in range(width)]
+        cell = np.unique(np.concatenate(near))
+        row, to = cell // size, cell % size
+        on = to > own[row]
+        leaf.append(to[on])
+        rows.append(row[on])
+    mine = np.concatenate([np.ones(n, bool), np.zeros(sum(map(len, rows)) - n, bool)])
+    return np.concatenate(leaf), np.concatenate(rows), mine
 
 
 def _leaf_edges(fp, idx, mine, bits):
@@ -141,24 +149,29 @@ def _leaf_edges(fp, idx, mine, bits):
     return list(zip(found_u, found_v, strict=True))
 
 
-def shard_edges(fp: np.ndarray, own: np.ndarray, bits: int):
-    """Spanning forest (u, v) of all links that touch an own point, by a local vantage-point tree."""
+def shard_edges(fp: np.ndarray, own: np.ndarray, view: tuple[int, int], bits: int):
+    """Spanning forest (u, v) of all links of a view that touch an own point, by a local vantage-point tree.
+
+    Two points that a node separates meet because the inner one also goes outward as a query
+    where the triangle bound allows; queries follow both sides wherever it allows.
+    """
     us, vs = [], []
+    x, reach = block(fp, view), 1
     work = [(np.arange(len(fp)), own.copy())]
     while work:
         idx, mine = work.pop()
         n_own = int(mine.sum())
-        cut = _split(fp[idx[mine]]) if n_own > LEAF else None
+        cut = _split(x[idx[mine]]) if n_own > LEAF else None
         if cut is None:
             for u, v in _leaf_edges(fp, idx, mine, bits):
                 us.append(u)
                 vs.append(v)
             continue
         v, r = cut
-        d = _distance(fp[idx], v).astype(np.int64)
+        d = _distance(x[idx], v).astype(np.int64)
         inner = d <= r
-        go_in = inner | (~mine & (d - bits <= r))
-        go_out = ~inner | (d + bits > r)
+        go_in = inner | (~mine & (d - reach <= r))
+        go_out = ~inner | (d + reach > r)
         work.append((idx[go_in], mine[go_in]))
         work.append((idx[go_out], mine[go_out] & ~inner[go_out]))
     if not us:
@@ -183,25 +196,25 @@ def near_groups(fps: DataFrame, max_bits: int = MAX_BITS, shard_points: int = SH
     rate = min(1.0, 2 * want / max(1, n))
     key = F.pmod(F.xxhash64(F.lit(7), "fp"), F.lit(1 << 30))
     sample = nodes.filter(key < int(rate * (1 << 30)) + 1).select("fp").orderBy(F.xxhash64(F.lit(7), "fp"), "fp").limit(want).toArrow()
-    tree = top_tree(sample.column("fp").to_numpy().view(np.uint64), shards) if shards > 1 else []
-    shared = spark.sparkContext.broadcast(tree)
-    routed_schema = pa.schema([("shard", pa.int32()), ("fp", pa.int64()), ("node", pa.int64()), ("own", pa.bool_())])
+    points = sample.column("fp").to_numpy().view(np.uint64)
+    cuts = views(max_bits)
+    shared = spark.sparkContext.broadcast([top_tree(block(points, v), shards) for v in cuts])
+    routed_schema = pa.schema([("shard", pa.int32()), ("fp", pa.int64()), ("own", pa.bool_())])
 
     def deal(batches):
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False)
-            leaf, rows, own = route(fp.view(np.uint64), shared.value, max_bits)
-            yield pa.record_batch([pa.array(leaf), pa.array(fp[rows]), batch.column("node").take(pa.array(rows)),
-                                   pa.array(own)], schema=routed_schema)
+            for k, v in enumerate(cuts):
+                leaf, rows, own = route(block(fp.view(np.uint64), v), v[1], shared.value[k])
+                yield pa.record_batch([pa.array((leaf * len(cuts) + k).astype(np.int32)), pa.array(fp[rows]), pa.array(own)], schema=routed_schema)
 
-    def link(table: pa.Table) -> pa.Table:
+    def link(key, table):
         fp = table.column("fp").to_numpy().view(np.uint64)
         own = table.column("own").to_numpy(zero_copy_only=False)
-        u, v = shard_edges(fp, own, max_bits)
-        node = table.column("fp")
-        return pa.table({"a": node.take(pa.array(u)), "b": node.take(pa.array(v))})
+        u, v = shard_edges(fp, own, cuts[key[0].as_py() % len(cuts)], max_bits)
+        return pa.table({"a": pa.array(fp[u].view(np.int64)), "b": pa.array(fp[v].view(np.int64))})
 
-    routed = nodes.mapInArrow(deal, "shard int, fp bigint, node bigint, own boolean")
+    routed = nodes.select("fp").mapInArrow(deal, "shard int, fp bigint, own boolean")
     found = routed.groupBy("shard").applyInArrow(link, "a bigint, b bigint")     # ends are fingerprints
     comp = connected_components(found)
     named = comp.join(nodes, comp["node"] == nodes["fp"]).select("fp", "component", nodes["node"].alias("low"))
