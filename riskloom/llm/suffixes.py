@@ -36,7 +36,7 @@ from .common import mix64, only, pieces, text_buffers, words64
 LENGTH = 50
 GRAM = 16                  # bytes of a sample's hash
 SHARD_BYTES = 8 << 20      # text of a shard, as planned
-RANGE_BYTES = 24 << 20     # text behind one hash range, as planned
+RANGE_BYTES = 4 << 20      # text behind one hash range, as planned (its suffix array takes about 20 times its contexts)
 HOT = 2_000                # occurrences from which a sample is dealt window by window
 PIECE = 1 << 20
 _LAST = (1 << 63) - 1
