@@ -21,7 +21,7 @@ from .common import PIECE_BYTES, only, shingles, text_pieces, word_spans, xxh64
 
 WIDTH = 5                  # words a shingle
 K = 128                    # hashes a sketch
-ROWS_PER_RANGE = 20_000    # documents of an id range, as planned
+ROWS_PER_RANGE = 2_000     # documents of an id range, as planned
 MAX_RANGES = 10_000        # bounds the cut points that the driver holds
 _LAST = (1 << 63) - 1
 
@@ -145,7 +145,7 @@ def with_edits(docs: DataFrame, k: int = K, width: int = WIDTH) -> DataFrame:
              .withColumn("to", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, more))))
              .select("to.part", "to.ahead", "id", "doc_id", "text"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    dealt = dealt.repartition(max(n, 2 * len(firsts)), "part").sortWithinPartitions("part", "ahead", "id", "text")
+    dealt = dealt.repartition(max(n, len(firsts)), "part").sortWithinPartitions("part", "ahead", "id", "text")
     out = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
                      ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 

@@ -36,7 +36,7 @@ from .common import mix64, only, pieces, text_buffers, words64
 LENGTH = 50
 GRAM = 16                  # bytes of a sample's hash
 SHARD_BYTES = 8 << 20      # text of a shard, as planned
-RANGE_BYTES = 4 << 20      # text behind one hash range, as planned (its suffix array takes about 20 times its contexts)
+RANGE_BYTES = 1 << 20      # text behind one hash range, as planned (a suffix array takes about 70 bytes a byte of context)
 HOT = 2_000                # occurrences from which a sample is dealt window by window
 PIECE = 1 << 20
 _LAST = (1 << 63) - 1
@@ -140,14 +140,15 @@ def suffix_array(data: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.nda
     word = words64(data).byteswap()                   # big-endian words compare as bytes do
     short = left < 8
     word[short] &= ~np.uint64(0) << (np.uint64(64) - np.uint64(8) * left[short].astype(np.uint64))
-    order = np.argsort(word, kind="stable")
+    order = np.argsort(word, kind="stable").astype(np.int32)
     x = word[order]
     new = np.concatenate([[True], x[1:] != x[:-1]]) if n else np.zeros(0, bool)
+    del word, x
     head = np.flatnonzero(new)
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     rank[order] = np.repeat(head, np.diff(np.concatenate([head, [n]])))   # number of a group: its first place
     h = 8
-    where = np.arange(n)                               # places of unsorted groups
+    where = np.arange(n, dtype=np.int32)               # places of unsorted groups
     while True:
         size = np.diff(np.concatenate([head, [len(where)]])) if len(where) else _NONE
         where = where[np.repeat(size > 1, size)]
@@ -164,7 +165,7 @@ def suffix_array(data: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.nda
         if not len(where):
             break
         nxt = np.where(more, rank[np.minimum(i + h, n - 1)], -1)
-        o = np.argsort(group * (n + 1) + nxt + 1, kind="stable")
+        o = np.argsort(group.astype(np.int64) * (n + 1) + nxt + 1, kind="stable")
         i, group, nxt = i[o], group[o], nxt[o]
         order[where] = i
         new = np.concatenate([[True], (group[1:] != group[:-1]) | (nxt[1:] != nxt[:-1])])
@@ -181,10 +182,10 @@ def common_prefixes(data: np.ndarray, left: np.ndarray, starts: np.ndarray, orde
     (``starts``) take their steps side by side.
     """
     n = len(data)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    before = np.concatenate([[-1], order[:-1]])[place]          # by position
-    out = np.zeros(n, np.int64)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    before = np.concatenate([[-1], order[:-1]]).astype(np.int32)[place]     # by position
+    out = np.zeros(n, np.int32)
     size = left[starts]
     lanes = np.argsort(-size, kind="stable")
     at, length, cur = starts[lanes], size[lanes], np.zeros(len(starts), np.int64)
@@ -210,9 +211,9 @@ def window_owners(texts: list[bytes], ids: np.ndarray, length: int = LENGTH):
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     data = np.frombuffer(b"".join(texts), np.uint8)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    inside = np.arange(len(data)) - starts[owner]
-    left = sizes[owner] - inside
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    inside = (np.arange(len(data)) - starts[owner]).astype(np.int32)
+    left = sizes[owner].astype(np.int32) - inside
     order, _ = suffix_array(data, left)
     lcp = common_prefixes(data, left, starts, order, length)
     full = left[order] >= length                        # windows; a shorter suffix may stand between equal ones only at its own length
