@@ -36,7 +36,7 @@ from .common import mix64, only, pieces, text_buffers, words64
 LENGTH = 50
 GRAM = 16                  # bytes of a sample's hash
 SHARD_BYTES = 8 << 20      # text of a shard, as planned
-RANGE_BYTES = 1 << 20      # text behind one hash range, as planned (a suffix array takes about 70 bytes a byte of context)
+RANGE_BYTES = 4 << 20      # text behind one hash range, as planned (a suffix array takes about 70 bytes a byte of context)
 HOT = 2_000                # occurrences from which a sample is dealt window by window
 PIECE = 1 << 20
 _LAST = (1 << 63) - 1
@@ -69,7 +69,7 @@ def samples(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
     start = np.flatnonzero(new)
     run = np.cumsum(new)[ok]
     count = np.bincount(run, minlength=len(start) + 1)[1:] if len(start) else _NONE
-    return row[start], start, count, h[at[start]]
+    return row[start], start, count, mix64(h[at[start]])       # mixed again: least hashes are all small
 
 
 class Shard:
