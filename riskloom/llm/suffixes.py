@@ -54,7 +54,12 @@ def samples(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
     w = words64(data)
     g = len(data) - GRAM + 1
     with np.errstate(over="ignore"):
-        h = mix64(w[:g] * np.uint64(0x9E3779B97F4A7C15) ^ mix64(w[8:8 + g]))
+        h = w[:g] * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        h += w[8:8 + g]
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x94D049BB133111EB)
     bits = np.uint64(max(24, int(len(data)).bit_length()))
     key = (h >> bits << bits) | np.arange(g, dtype=np.uint64)
     span = 1
@@ -63,8 +68,9 @@ def samples(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
         span *= 2
     key = np.minimum(key[:n], key[width - span:width - span + n])
     at = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    row = np.searchsorted(offsets, np.arange(n), side="right") - 1
-    ok = offsets[row + 1] - np.arange(n) >= length     # the window stays in its document
+    size = np.diff(offsets)
+    row = np.repeat(np.arange(len(size), dtype=np.int32), size)[:n]
+    ok = np.repeat(offsets[1:], size)[:n] - np.arange(n) >= length     # the window stays in its document
     new = ok & np.concatenate([[True], (at[1:] != at[:-1]) | ~ok[:-1] | (row[1:] != row[:-1])])
     start = np.flatnonzero(new)
     run = np.cumsum(new)[ok]
@@ -179,14 +185,15 @@ def common_prefixes(data: np.ndarray, left: np.ndarray, starts: np.ndarray, orde
     """Kasai's common prefix (up to ``limit``) of each place of ``order`` with the place before it.
 
     A suffix's common prefix is at least that of the suffix one byte further left, less one; all contexts
-    (``starts``) take their steps side by side.
+    (``starts``) take their steps side by side.  Suffixes shorter than ``limit`` are left at 0: none of them stands between
+    two suffixes that share ``limit`` bytes.
     """
     n = len(data)
     place = np.empty(n, np.int32)
     place[order] = np.arange(n, dtype=np.int32)
     before = np.concatenate([[-1], order[:-1]]).astype(np.int32)[place]     # by position
     out = np.zeros(n, np.int32)
-    size = left[starts]
+    size = np.maximum(left[starts].astype(np.int64) - limit + 1, 0)
     lanes = np.argsort(-size, kind="stable")
     at, length, cur = starts[lanes], size[lanes], np.zeros(len(starts), np.int64)
     for t in range(int(size.max()) if len(size) else 0):
@@ -208,6 +215,8 @@ def common_prefixes(data: np.ndarray, left: np.ndarray, starts: np.ndarray, orde
 
 def window_owners(texts: list[bytes], ids: np.ndarray, length: int = LENGTH):
     """(text number, window, smallest id) for every window of ``texts``: the least id of the texts that have its bytes."""
+    if not texts:
+        return _NONE, _NONE, _NONE
     sizes = np.array([len(t) for t in texts], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -216,7 +225,7 @@ def window_owners(texts: list[bytes], ids: np.ndarray, length: int = LENGTH):
     left = sizes[owner].astype(np.int32) - inside
     order, _ = suffix_array(data, left)
     lcp = common_prefixes(data, left, starts, order, length)
-    full = left[order] >= length                        # windows; a shorter suffix may stand between equal ones only at its own length
+    full = left[order] >= length                        # windows
     places = np.flatnonzero(full)
     if not len(places):
         return _NONE, _NONE, _NONE
@@ -347,35 +356,44 @@ def _tasks(length: int, ranges: int):
                 pick = order[a:b].tolist()
                 body = b"".join([texts[i] for i in pick])
                 yield p, x.shard_no, zlib.compress(_pack(np.array([len(texts[i]) for i in pick], np.uint8), np.array(pick, np.uint32), least[order[a:b]],
-                                                         np.frombuffer(body, np.uint8)), 1)
+                                                         first[order[a:b]], np.frombuffer(body, np.uint8)), 1)
         return _routed(out())
 
     def answered(table):
         shards, known, texts = table.column("shard").to_pylist(), {}, []
-        asked, least = [], []
+        asked, least, deal = [], [], []
         for blob in table.column("blob").to_pylist():
-            size, number, ids, body = _unpack(zlib.decompress(blob), "u1", "<u4", "<i8", "u1")
+            size, number, ids, sample, body = _unpack(zlib.decompress(blob), "u1", "<u4", "<i8", "<u8", "u1")
             raw, ends = body.tobytes(), np.cumsum(size.astype(np.int64))
-            own = np.zeros(len(size), np.int64)
+            own, least_of, sample = np.zeros(len(size), np.int64), ids.tolist(), sample.tolist()
             for k, (a, b) in enumerate(zip((ends - size).tolist(), ends.tolist(), strict=True)):
                 t = raw[a:b]
                 i = known.get(t)
                 if i is None:
                     i = known[t] = len(texts)
                     texts.append(t)
-                    least.append(ids[k])
-                elif ids[k] < least[i]:
-                    least[i] = ids[k]
+                    deal.append(sample[k])
+                    least.append(least_of[k])
+                elif least_of[k] < least[i]:
+                    least[i] = least_of[k]
                 own[k] = i
             asked.append((number, ids, own))
-        who, win, low = window_owners(texts, np.array(least, np.int64), length)
+        # equal windows have equal samples: the only context of a sample shares none; the others go to the suffix array
+        least = np.array(least, np.int64)
+        _, group, many = np.unique(np.array(deal, np.uint64), return_inverse=True, return_counts=True)
+        alone = np.flatnonzero(many[group] == 1)
+        several = np.flatnonzero(many[group] > 1)
+        who, win, low = window_owners([texts[i] for i in several.tolist()], least[several], length)
         # per text, runs of windows with one smallest id
         o = np.lexsort((win, who))
-        who, win, low = who[o], win[o], low[o]
+        who, win, low = several[who[o]], win[o], low[o]
         new = np.concatenate([[True], (who[1:] != who[:-1]) | (low[1:] != low[:-1])]) if len(who) else np.zeros(0, bool)
         head = np.flatnonzero(new)
-        tail = np.concatenate([head[1:], [len(who)]]) - 1
-        r_who, r_a, r_b, r_low = who[head], win[head], win[tail], low[head]
+        tail = np.concatenate([head[1:], [len(who)]]) - 1 if len(head) else head
+        last = np.array([len(texts[i]) - length for i in alone.tolist()], np.int64)
+        r_who, r_a, r_b, r_low = (np.concatenate(c) for c in ((who[head], alone), (win[head], np.zeros(len(alone), np.int64)), (win[tail], last), (low[head], least[alone])))
+        o = np.argsort(r_who, kind="stable")
+        r_who, r_a, r_b, r_low = r_who[o], r_a[o], r_b[o], r_low[o]
         first = np.searchsorted(r_who, np.arange(len(texts) + 1))
 
         def out():
