@@ -24,8 +24,8 @@ def language_id(spark, docs, sf_dir):
     """
     model = langid.fit(docs.filter(~langid.held_out()))
     found = langid.annotate(docs, model)
-    keep = (F.col("lang_pred") != langid.UND) & (F.col("lang_score") >= MIN_LANG_SCORE)
-    return found.filter(keep).withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    keep = (F.col("__lang_pred") != langid.UND) & (F.col("__lang_score") >= MIN_LANG_SCORE)
+    return found.filter(keep).withColumn("lang", F.coalesce("lang", "__lang_pred")).select(*docs.columns)
 
 
 def simhash_near_dedup(spark, docs, sf_dir):

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import only, text_pieces
 
@@ -124,18 +125,19 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def annotate(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with columns lang_pred and lang_score."""
+    """``docs`` with columns __lang_pred and __lang_score; whole rows pass as Arrow batches, so no join is needed."""
     names = np.array([*model["langs"], UND], object)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    schema = T.StructType([*docs.schema.fields, T.StructField("__lang_pred", T.StringType()), T.StructField("__lang_score", T.DoubleType())])
+    at = docs.columns.index("text")
 
-    @F.pandas_udf("lang_pred string, lang_score double")
-    def score(texts):
-        import pandas as pd
-
-        best, prob = _score_texts(pa.array(texts, pa.string(), from_pandas=True), shared.value)
-        return pd.DataFrame({"lang_pred": names[best], "lang_score": prob})
+    def score(batches):
+        for batch in batches:
+            best, prob = _score_texts(batch.column(at), shared.value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[best], pa.string()), pa.array(prob)],
+                                             names=[*batch.schema.names, "__lang_pred", "__lang_score"])
 
-    return docs.withColumn("__found", score(F.col("text").cast("string"))).select("*", "__found.*").drop("__found")
+    return docs.mapInArrow(score, schema)
 
 
 def held_out(column: str = "doc_id", folds: int = 4, fold: int = 2):

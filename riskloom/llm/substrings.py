@@ -14,6 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -116,23 +117,24 @@ def _remove(text: np.ndarray, offsets: np.ndarray, spans) -> list:
 
 def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES) -> DataFrame:
     """``docs`` with repeated units removed from ``text`` (columns and rows as before)."""
-    columns = docs.columns
-    joined = _with_spans(docs, min_words, min_bytes).drop("__id", "__th")
-
-    @F.pandas_udf("string")
-    def kept(text, spans):
-        import pandas as pd
-
-        out = []
-        for t, s in zip(text, spans, strict=True):
-            if t is None or s is None or not len(s):
-                out.append(t)
-                continue
-            raw = np.frombuffer(t.encode(), np.uint8)
-            out.append(_remove(raw, np.array([0, len(raw)]), [list(s)])[0][1].decode())
-        return pd.Series(out, dtype=object)
-
-    return joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(kept("text", "__spans"))).select(*[F.col(f"`{c}`") for c in columns])
+    joined = _with_spans(docs, min_words, min_bytes).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__spans"))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            spans = batch.column(batch.num_columns - 1)
+            columns = list(batch.columns[:-1])
+            hit = np.flatnonzero(spans.is_valid().to_numpy(zero_copy_only=False))
+            if len(hit):
+                text = columns[at]
+                data, offsets = text_buffers(text.take(pa.array(hit)))
+                kept = [x[1].decode() for x in _remove(data, offsets, spans.take(pa.array(hit)).to_pylist())]
+                mask = np.zeros(batch.num_rows, bool)
+                mask[hit] = True
+                columns[at] = pc.replace_with_mask(text, pa.array(mask), pa.array(kept, text.type))
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+
+    return joined.mapInArrow(run, docs.schema)
 
 
 def report(docs: DataFrame, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES) -> DataFrame:
