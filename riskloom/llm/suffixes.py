@@ -258,7 +258,9 @@ def _by_range(deal: np.ndarray, ranges: int):
     part = ((deal >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     p = part[order]
-    head = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else _NONE
+    if not len(p):
+        return order, []
+    head = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]]))
     return order, [(int(p[a]), int(a), int(b)) for a, b in zip(head, np.concatenate([head[1:], [len(p)]]), strict=True)]
 
 
