@@ -272,12 +272,11 @@ def prepare(features_df: DataFrame, train_ratio: float = TRAIN_RATIO, seed: int
     enc = encoded_frame(features_df, check_levels=False)
     split = stratified_split(enc, TARGET, train_ratio, KEY, seed, counts=counts)
     if checkpoint:
-        # the split feeds the scaler, weights, SMOTE and every model: materialise it once
-        # in the cluster's checkpoint folder (reliable, survives executor loss), in
-        # partitions of ~ROWS_PER_PARTITION rows so that iterative fits (L-BFGS, trees)
-        # launch as many tasks as the data needs, not as many as the scan produced
-        n_parts = max(1, math.ceil((pre["n0"] + pre["n1"]) / ROWS_PER_PARTITION))
-        split = cut_lineage(split.coalesce(n_parts))     # coalesce never adds partitions
+        # the split feeds the scaler, weights, SMOTE and every model: materialise it once in the cluster's checkpoint
+        # folder (survives executor loss), dealt by key to a partition per core at least, so that neither the
+        # derivation above nor the iterative fits (L-BFGS, trees) run on fewer tasks than there are cores
+        n_parts = max(features_df.sparkSession.sparkContext.defaultParallelism, math.ceil((pre["n0"] + pre["n1"]) / ROWS_PER_PARTITION))
+        split = cut_lineage(split.repartition(n_parts, KEY))
     train = split.filter(F.col("split") == "train")
     row = train.agg(*[F.struct(F.avg(num(c)).alias("m"), F.stddev_pop(num(c)).alias("s")).alias(c)
                       for c in SCALE_COLS],

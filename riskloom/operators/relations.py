@@ -7,7 +7,7 @@ small at run time and fall back to a shuffled join when it is not.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import TARGET
@@ -43,15 +43,14 @@ def fraud_client_flag(df: DataFrame, label: str = TARGET, account: str = "nameOr
 
 def type_mix_comparison(df: DataFrame, group: str = "is_fraud_client", key: str = "type",
                         digits: int = 2) -> DataFrame:                              # E3
-    """Share % of each type for group=1 vs group=0, aligned on type (full outer), 0-filled."""
-    cnt = df.groupBy(group, key).agg(F.count(F.lit(1)).alias("n"))
-    tot = df.groupBy(group).agg(F.count(F.lit(1)).alias("total"))
-    share = cnt.join(tot, [group]).select(group, key, (F.col("n") * 100.0 / F.col("total")).alias("s"))
-    a = share.filter(F.col(group) == 1).select(key, F.col("s").alias("a"))
-    b = share.filter(F.col(group) == 0).select(key, F.col("s").alias("b"))
-    j = a.join(b, key, "full_outer")
-    return j.select(key, F.round(F.coalesce("a", F.lit(0.0)), digits).alias("share_group1_pct"),
-                    F.round(F.coalesce("b", F.lit(0.0)), digits).alias("share_group0_pct"))
+    """Share % of each type for group=1 vs group=0, 0-filled; types of neither group are left out.
+
+    One aggregate over the input; the windows run over its few rows (one per type)."""
+    n1, n0 = F.count_if(F.col(group) == 1), F.count_if(F.col(group) == 0)
+    by_type = df.groupBy(key).agg(n1.alias("n1"), n0.alias("n0")).filter("n1 + n0 > 0")
+    every = Window.partitionBy()
+    share = lambda c: F.round(F.coalesce(F.try_divide(F.col(c) * 100.0, F.sum(c).over(every)), F.lit(0.0)), digits)
+    return by_type.select(key, share("n1").alias("share_group1_pct"), share("n0").alias("share_group0_pct"))
 
 
 def metrics_union(*frames: DataFrame) -> DataFrame:                                 # E4 / E5

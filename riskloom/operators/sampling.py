@@ -5,11 +5,10 @@ and DuckDB.  Quotas follow scikit-learn's stratified rules (floor + largest rema
 ties to the smaller class label), computed on the driver from the per-class counts.
 
 Scale: rows are not ranked by one window over a whole class (that puts the majority
-class in one task).  The md5 text is cut into hex-prefix buckets; per-(class, bucket)
-counts (≤ classes·16^d rows) give each bucket's rank offset on the driver; every row of
-a bucket that lies entirely inside one quota range gets its tag by a broadcast lookup,
-and only the few boundary buckets are ranked with a window partitioned by
-(class, bucket).  For k-fold, every bucket is ranked (each holds ~n/16^d rows).
+class in one task).  Counts of 256 md5-prefix buckets per class go to the driver; only the
+buckets that hold a quota's last row are looked at again, finer each time, and ranked by a
+window per bucket.  The row at each quota then is a literal that all rows are compared with.
+A null class or key is refused with the number of rows.
 """
 
 from __future__ import annotations
@@ -24,7 +23,6 @@ from ..functions.columns import order_key
 from ..schema import KEY, SEED, TARGET, TRAIN_RATIO
 
 ROWS_PER_BUCKET = 50_000
-MAX_DIGITS = 4
 
 
 # ---------------------------------------------------------------------------
@@ -73,10 +71,8 @@ def class_weights(class_counts: dict) -> dict:
 # ---------------------------------------------------------------------------
 # distributed rank-range tagging
 # ---------------------------------------------------------------------------
-def _digits(n: int) -> int:
-    if n <= ROWS_PER_BUCKET:
-        return 1
-    return int(min(MAX_DIGITS, max(1, math.ceil(math.log(n / ROWS_PER_BUCKET, 16)))))
+FIRST_DIGITS = 2        # 256 hash buckets per class; each refinement adds as many digits
+MD5_DIGITS = 32
 
 
 def class_counts(df: DataFrame, class_col: str | None) -> dict:
@@ -85,99 +81,136 @@ def class_counts(df: DataFrame, class_col: str | None) -> dict:
     return {r[0]: r[1] for r in df.groupBy(class_col).count().collect()}   # one row per class
 
 
-FIRST_DIGITS = 2        # 256 hash buckets per class before the total is known
+def _hashed(df: DataFrame, class_col: str | None, key: str, seed: int) -> DataFrame:
+    return df.withColumns({"_cls": F.col(class_col) if class_col else F.lit(0), "_ok": order_key(key, seed)})
 
 
-def _bucket_counts(df: DataFrame, class_col: str | None, key: str, seed: int,
-                   counts: dict | None) -> tuple[DataFrame, dict, dict]:
-    """Per-(class, hex-prefix bucket) counts with the prefix length fitted to the data.
+def _bucket_counts(base: DataFrame, class_col: str | None, key: str) -> dict:
+    """{class: [(2-digit bucket, rows)]} in bucket order; null classes or keys are refused by name."""
+    rows = (base.groupBy("_cls", F.substring("_ok", 1, FIRST_DIGITS).alias("_bk"))
+            .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(key).isNull()).alias("no_key")).collect())   # classes x 256
+    no_key = sum(r["no_key"] for r in rows)
+    no_class = sum(r["n"] for r in rows if r["_cls"] is None)
+    if no_key or no_class:
+        raise ValueError(f"{no_key} rows without {key!r}, {no_class} rows without {class_col!r}: every row needs both")
+    per: dict = {}
+    for r in rows:
+        per.setdefault(r["_cls"], []).append((r["_bk"], r["n"]))
+    return {c: sorted(lst) for c, lst in per.items()}
 
-    Without known class counts the first pass uses 256 buckets and yields the class
-    counts too; only when a bucket would exceed ``ROWS_PER_BUCKET`` rows is a finer pass
-    made.  Returns (frame with _cls/_ok/_bk, {class: [(bucket, count)]}, class counts).
+
+def _locate(lst: list, rank: int) -> tuple[str, int, int]:
+    """(bucket, rows before it, its rows) of the bucket that holds a 1-based rank."""
+    off = 0
+    for bk, n in lst:
+        if rank <= off + n:
+            return bk, off, n
+        off += n
+    raise ValueError(f"rank {rank} is beyond {off} rows")
+
+
+def _rows_at(base: DataFrame, per: dict, wanted: list, key: str) -> dict:
+    """{(class, rank): (md5 text, key)} of the rows at the wanted 1-based ranks of their classes.
+
+    Only the buckets that hold a wanted rank are looked at again, two digits finer each time until one has
+    ``ROWS_PER_BUCKET`` rows or fewer; those are ranked by a window per bucket.  The driver holds 256 counts per wanted rank.
     """
-    cls = F.col(class_col) if class_col else F.lit(0)
-    base0 = df.withColumns({"_cls": cls, "_ok": order_key(key, seed)})
-    d = FIRST_DIGITS if counts is None else max(FIRST_DIGITS, _digits(sum(counts.values())))
-    while True:
-        base = base0.withColumn("_bk", F.substring("_ok", 1, d))
-        rows = base.groupBy("_cls", "_bk").count().collect()     # ≤ classes · 16^d rows
-        per: dict = {}
-        for r in rows:
-            per.setdefault(r["_cls"], []).append((r["_bk"], r["count"]))
-        found = {c: sum(n for _, n in lst) for c, lst in per.items()}
-        need = max(FIRST_DIGITS, _digits(sum(found.values())))
-        if need <= d or d >= MAX_DIGITS:
+    at = {(c, r): _locate(per[c], r) for c, r in wanted}
+    digits = FIRST_DIGITS
+    while digits < MD5_DIGITS:
+        big = {(c, bk) for (c, _), (bk, _, n) in at.items() if n > ROWS_PER_BUCKET}
+        if not big:
             break
-        d = need
-    if class_col is None:
-        found = {None: sum(found.values())}
-    return base, per, found
+        digits += FIRST_DIGITS
+        inside = F.lit(False)
+        for c, bk in big:
+            inside = inside | ((F.col("_cls") == F.lit(c)) & F.col("_ok").startswith(bk))
+        finer: dict = {}
+        for r in base.filter(inside).groupBy("_cls", F.substring("_ok", 1, digits).alias("_bk")).count().collect():
+            finer.setdefault((r["_cls"], r["_bk"][:digits - FIRST_DIGITS]), []).append((r["_bk"], r["count"]))
+        for (c, rank), (bk, off, _) in list(at.items()):
+            if (c, bk) in big:
+                sub, before, n = _locate(sorted(finer[c, bk]), rank - off)
+                at[c, rank] = (sub, off + before, n)
+    if not at:
+        return {}
+    edges = sorted({(c, bk) for (c, _), (bk, _, _) in at.items()}, key=str)
+    which = F
+    for k, (c, bk) in enumerate(edges):
+        which = which.when((F.col("_cls") == F.lit(c)) & F.col("_ok").startswith(bk), F.lit(k))
+    w = Window.partitionBy("_edge").orderBy("_ok", key)
+    ranked = (base.select("_cls", "_ok", key, which.alias("_edge")).filter(F.col("_edge").isNotNull())
+              .withColumn("_rank", F.row_number().over(w)))
+    need = F.lit(False)
+    for (c, rank), (bk, off, _) in at.items():
+        need = need | ((F.col("_edge") == edges.index((c, bk))) & (F.col("_rank") == rank - off))
+    hit = {(r["_edge"], r["_rank"]): (r["_ok"], r[key]) for r in ranked.filter(need).collect()}   # one row per wanted rank
+    return {(c, rank): hit[edges.index((c, bk)), rank - off] for (c, rank), (bk, off, _) in at.items()}
 
 
 def tag_by_rank(df: DataFrame, class_col: str | None, cuts, out: str,
                 key: str = KEY, seed: int = SEED, counts: dict | None = None) -> DataFrame:
     """Tag rows by their 1-based rank inside their class in hash order.
 
-    ``cuts`` maps class → list of ``(last_rank_inclusive, tag)`` in increasing rank (or
-    is a function of the class counts returning that map); rows past the last cut get
-    null.  Only boundary buckets are window-ranked.
+    ``cuts`` maps class -> list of ``(last_rank_inclusive, tag)`` in increasing rank (or is a function of the class
+    counts returning that map); rows past the last cut get null.  The row at each cut becomes a literal, and
+    every row is tagged by comparing its (md5 text, key) with it: no join and no shuffle of the tagged rows.
     """
-    spark = df.sparkSession
-    base, per, found = _bucket_counts(df, class_col, key, seed, counts)
+    base = _hashed(df, class_col, key, seed)
+    per = _bucket_counts(base, class_col, key)
+    found = {c: sum(n for _, n in lst) for c, lst in per.items()}
+    if class_col is None:
+        found = {None: sum(found.values())}
     cuts = cuts(found) if callable(cuts) else cuts
-    plan_rows = []
-    for c, lst in per.items():
-        ccuts = cuts.get(None if class_col is None else c, [])
-        lst.sort()
-        off = 0
-        for bk, cnt in lst:
-            lo, hi = off + 1, off + cnt       # ranks covered by this bucket
-            first = next((t for last, t in ccuts if lo <= last), None)
-            crosses = any(lo <= last < hi for last, _ in ccuts)
-            plan_rows.append((c, bk, off, None if crosses else first, crosses))
-            off += cnt
-    schema = T.StructType([
-        T.StructField("_cls", base.schema["_cls"].dataType), T.StructField("_bk", T.StringType()),
-        T.StructField("_off", T.LongType()), T.StructField("_tag", T.StringType()),
-        T.StructField("_edge", T.BooleanType())])
-    plan = spark.createDataFrame(plan_rows, schema)
-    j = base.join(F.broadcast(plan), ["_cls", "_bk"], "inner")
-    fixed = j.filter(~F.col("_edge")).withColumn(out, F.col("_tag"))
-    edge = j.filter(F.col("_edge"))
-    w = Window.partitionBy("_cls", "_bk").orderBy("_ok", key)
-    edge = edge.withColumn("_rank", F.row_number().over(w) + F.col("_off"))
-    expr = None
-    for c, ccuts in cuts.items():
-        cond_c = F.lit(True) if class_col is None else (F.col("_cls") == F.lit(c))
-        prev = 0
-        for last, t in ccuts:
-            cond = cond_c & (F.col("_rank") > prev) & (F.col("_rank") <= last)
-            expr = F.when(cond, F.lit(t)) if expr is None else expr.when(cond, F.lit(t))
-            prev = last
-    edge = edge.withColumn(out, expr if expr is not None else F.lit(None).cast("string")).drop("_rank")
-    cols = [*df.columns, out]
-    return fixed.select(*cols).unionByName(edge.select(*cols))
+    size = {c: sum(n for _, n in lst) for c, lst in per.items()}
+    plan = {c: cuts.get(None if class_col is None else c, []) for c in per}
+    wanted = sorted({(c, last) for c, ccuts in plan.items() for last, _ in ccuts if 0 < last < size[c]}, key=str)
+    rows = _rows_at(base, per, wanted, key)
+    here = F.struct("_ok", F.col(key).alias("_key"))
+    tag = F.lit(None).cast("string")
+    for c, ccuts in plan.items():
+        inner = F.lit(None).cast("string")
+        for last, t in reversed(ccuts):
+            if last >= size[c]:
+                inner = F.lit(t)
+            elif last > 0:
+                ok, k = rows[c, last]
+                inner = F.when(here <= F.struct(F.lit(ok).alias("_ok"), F.lit(k).cast(base.schema[key].dataType).alias("_key")), F.lit(t)).otherwise(inner)
+        tag = F.when(F.col("_cls") == F.lit(c), inner).otherwise(tag)
+    return base.withColumn(out, tag).select(*df.columns, out)
 
 
 def rank_in_class(df: DataFrame, class_col: str | None, key: str = KEY, seed: int = SEED,
                   out: str = "rank_in_class") -> DataFrame:
-    """Exact 1-based rank of every row inside its class (hash order), distributed."""
+    """Exact 1-based rank of every row inside its class (hash order), distributed.
+
+    Buckets have as many digits as keep them near ``ROWS_PER_BUCKET`` rows.  Their offsets stay in a DataFrame: a window inside
+    each 2-digit bucket, plus the offset of that bucket from the driver (classes x 256 rows).
+    """
     spark = df.sparkSession
-    base, per, _ = _bucket_counts(df, class_col, key, seed, None)
-    rows = []
+    base = _hashed(df, class_col, key, seed)
+    per = _bucket_counts(base, class_col, key)
+    most = max((n for lst in per.values() for _, n in lst), default=0)
+    digits = FIRST_DIGITS
+    while most > ROWS_PER_BUCKET and digits < MD5_DIGITS:
+        digits, most = digits + 1, most // 16
+    coarse = []
     for c, lst in per.items():
         off = 0
-        for bk, cnt in sorted(lst):
-            rows.append((c, bk, off))
-            off += cnt
+        for bk, n in lst:
+            coarse.append((c, bk, off))
+            off += n
     schema = T.StructType([T.StructField("_cls", base.schema["_cls"].dataType),
-                           T.StructField("_bk", T.StringType()), T.StructField("_off", T.LongType())])
-    offs = spark.createDataFrame(rows, schema)
+                           T.StructField("_top", T.StringType()), T.StructField("_before", T.LongType())])
+    base = base.withColumns({"_bk": F.substring("_ok", 1, digits), "_top": F.substring("_ok", 1, FIRST_DIGITS)})
+    inner = Window.partitionBy("_cls", "_top").orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    offs = (base.groupBy("_cls", "_top", "_bk").agg(F.count(F.lit(1)).alias("_n"))
+            .withColumn("_within", F.coalesce(F.sum("_n").over(inner), F.lit(0)))
+            .join(F.broadcast(spark.createDataFrame(coarse, schema)), ["_cls", "_top"])
+            .select("_cls", "_bk", (F.col("_within") + F.col("_before")).alias("_off")))
     w = Window.partitionBy("_cls", "_bk").orderBy("_ok", key)
-    j = base.join(F.broadcast(offs), ["_cls", "_bk"])
-    return j.withColumn(out, F.row_number().over(w) + F.col("_off")) \
-        .select(*df.columns, out)
+    ranked = base.select(*df.columns, "_cls", "_bk", F.row_number().over(w).alias("_r"))
+    return ranked.join(offs, ["_cls", "_bk"]).withColumn(out, F.col("_r") + F.col("_off")).select(*df.columns, out)
 
 
 # ---------------------------------------------------------------------------

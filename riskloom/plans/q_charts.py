@@ -81,7 +81,7 @@ def q_rate_series_split(spark, sf):                       # J5 (split)
        ORDER BY md5(CAST(txn_id AS VARCHAR) || ':42'), txn_id) AS rk FROM scored WHERE split = 'val') WHERE rk <= 1000""",
     SCORED_CTE))
 def q_plot_subsample(spark, sf):                          # J4: ≤1000 val rows per model, hash order
-    s = scored_long(spark, sf).filter(F.col("split") == "val")
+    s = scored_long(spark, sf, ["val"])
     counts = SA.class_counts(s, "model")
     cuts = {m: [(min(1000, c), "in")] for m, c in counts.items()}
     t = SA.tag_by_rank(s, "model", cuts, "_s", counts=counts)

@@ -16,9 +16,11 @@ from .oracle_base import with_split
 from .registry import register
 
 
-def scored_long(spark, sf):
+def scored_long(spark, sf, splits=None):
     """(txn_id, split, isFraud, model, score) for three rule scores on the split rows."""
     df = SA.stratified_split(feat(spark, sf))
+    if splits:
+        df = df.filter(F.col("split").isin(list(splits)))        # only what is read again goes to the checkpoint
     scores = {
         "amount_score": F.col("amount") / (F.col("amount") + F.lit(1000.0)),
         "risk_score": (F.col("high_risk_hour") + F.col("is_transfer_or_cashout")
@@ -56,7 +58,7 @@ curve AS (
 
 
 def _val(spark, sf):
-    return scored_long(spark, sf).filter(F.col("split") == "val")
+    return scored_long(spark, sf, ["val"])
 
 
 @register("confusion", with_split(
@@ -66,7 +68,7 @@ def _val(spark, sf):
        CAST(count_if(isFraud = 1 AND score >= 0.5) AS BIGINT) AS tp
 FROM scored WHERE split = 'test' GROUP BY model""", SCORED_CTE))
 def q_confusion(spark, sf):                               # I1 / B23
-    df = scored_long(spark, sf).filter(F.col("split") == "test") \
+    df = scored_long(spark, sf, ["test"]) \
         .withColumn("prediction", (F.col("score") >= 0.5).cast("int"))
     return EV.confusion(df, by=["model"])
 
@@ -197,7 +199,7 @@ UNION ALL SELECT CAST(0.99 AS DOUBLE), round(quantile_cont(score, 0.99), 9) FROM
     SCORED_CTE.strip() + """,
 n AS (SELECT score FROM scored WHERE split = 'train' AND isFraud = 0 AND model = 'amount_score')"""))
 def q_percentile_thresholds(spark, sf):                   # I10
-    n = scored_long(spark, sf).filter((F.col("split") == "train") & (F.col("isFraud") == 0)
+    n = scored_long(spark, sf, ["train"]).filter((F.col("split") == "train") & (F.col("isFraud") == 0)
                                       & (F.col("model") == "amount_score"))
     return EV.percentile_thresholds(n, "score").select("prob", F.round("threshold", 9).alias("threshold"))
 
@@ -256,7 +258,7 @@ tcurve AS (
   FROM (SELECT model, score AS threshold, sum(isFraud) AS pos, sum(1 - isFraud) AS neg
         FROM scored WHERE split = 'test' GROUP BY model, score))"""))
 def q_test_at_val(spark, sf):                             # I15
-    return EV.test_at_val_threshold(scored_long(spark, sf))
+    return EV.test_at_val_threshold(scored_long(spark, sf, ["val", "test"]))
 
 
 @register("chance_line", with_split(

@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import prepare as P
+from ..schema import RAW_SCHEMA
 from ..sources import io as IO
 from ..session import ensure_checkpoint_dir
 from .inputs import feat, tx
@@ -24,22 +25,33 @@ def _scratch(spark, name):
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/sink-{name}-{uuid.uuid4().hex[:8]}"
 
 
-@register("csv_roundtrip", with_tx("SELECT txn_id, type, amount, isFraud FROM transactions"))
-def q_csv_roundtrip(spark, sf):                           # A1 + A2 + A4 + A10 (semicolon CSV, padded names)
+_ALL = ["txn_id", *[f.name for f in RAW_SCHEMA]]
+_ALL_SQL = f"SELECT {', '.join(_ALL)} FROM transactions"
+
+
+@register("csv_roundtrip", with_tx(_ALL_SQL))
+def q_csv_roundtrip(spark, sf):                           # A1 + A2 + A4 + A10 (semicolon CSV, padded names, all columns)
     path = _scratch(spark, "csv")
-    df = tx(spark, sf).select(F.col("txn_id").alias(" txn_id "), "type", "amount", "isFraud")
+    df = tx(spark, sf).select(F.col("txn_id").alias(" txn_id "), *_ALL[1:])
     df.write.option("header", True).option("sep", ";").csv(path)
-    back = IO.read_delimited(spark, path, schema="txn_id bigint, type string, amount double, isFraud int")
-    return back
+    return IO.read_delimited(spark, path).select(*_ALL)
 
 
-@register("parquet_roundtrip", with_tx("SELECT txn_id, step, type FROM transactions"))
+@register("parquet_roundtrip", with_tx(_ALL_SQL))
 def q_parquet_roundtrip(spark, sf):                       # A2 parquet dispatch
     path = _scratch(spark, "pq") + ".parquet"
-    tx(spark, sf).select("txn_id", "step", "type").write.parquet(path)
+    tx(spark, sf).select(*_ALL).write.parquet(path)
     return IO.load_table(spark, path)
 
 
+@register("json_roundtrip", with_tx(_ALL_SQL))
+def q_json_roundtrip(spark, sf):                          # A2 json dispatch
+    path = _scratch(spark, "js") + ".json"
+    df = tx(spark, sf).select(*_ALL)
+    df.write.json(path)
+    return IO.load_table(spark, path, df.schema)
+
+
 @register("write_splits", with_split(
     "SELECT split, CAST(count(*) AS BIGINT) AS rows, CAST(sum(isFraud) AS BIGINT) AS frauds FROM split_rows GROUP BY split"))
 def q_write_splits(spark, sf):                            # A6 + A12
@@ -165,7 +177,7 @@ def q_model_report(spark, sf):                            # A11 (metrics rows 
     from ..operators import evaluate as EV
     from .q_evaluate import scored_long
     path = _scratch(spark, "report")
-    m = EV.fraud_metrics(scored_long(spark, sf).filter(F.col("split") == "val"), 0.5, by=["model"])
+    m = EV.fraud_metrics(scored_long(spark, sf, ["val"]), 0.5, by=["model"])
     IO.write_json_row(m.select("model", "recall", "precision", "f1", "roc_auc", "pr_auc", "tp", "fp", "fn", "tn"),
                       path)
     return spark.read.schema("model string, recall double, precision double, f1 double, roc_auc double, "

@@ -42,6 +42,18 @@ def q_duplicate_count(spark, sf):                         # C2 (on a column subs
     return Q.duplicate_count(tx(spark, sf), ["step", "type", "isFraud", "nameDest"])
 
 
+@register("duplicate_count_all", with_tx(
+    "SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS n_duplicates, CAST(count(*) AS BIGINT) AS n_distinct FROM "
+    "(SELECT count(*) AS c FROM transactions GROUP BY ALL_COLS)".replace("ALL_COLS", ", ".join(_TX_COLS[1:]))))
+def q_duplicate_count_all(spark, sf):                     # C2 over all columns but the key
+    return Q.duplicate_count(tx(spark, sf).select(*_TX_COLS[1:]), _TX_COLS[1:])
+
+
+@register("drop_duplicates_all", with_tx(f"SELECT DISTINCT {', '.join(_TX_COLS[1:])} FROM transactions"))
+def q_drop_duplicates_all(spark, sf):                     # C3 over all columns but the key
+    return Q.drop_duplicates(tx(spark, sf).select(*_TX_COLS[1:]), _TX_COLS[1:])
+
+
 @register("duplicate_count_lineitem",
           "SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS n_duplicates, CAST(count(*) AS BIGINT) AS n_distinct "
           "FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_returnflag, l_linestatus, l_quantity)")

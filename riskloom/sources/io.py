@@ -12,8 +12,9 @@ import os
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..schema import FEATURE_COLS, KEY, TARGET, require_columns
+from ..schema import FEATURE_COLS, KEY, RAW_SCHEMA, TARGET, require_columns
 
 
 def strip_column_names(df: DataFrame) -> DataFrame:                                   # A4
@@ -22,7 +23,12 @@ def strip_column_names(df: DataFrame) -> DataFrame:
 
 def read_delimited(spark: SparkSession, path: str, schema=None) -> DataFrame:         # A1
     """CSV with header; when the header parses as one column containing ';' or a tab,
-    re-read with that delimiter (the header line is sniffed with a one-line read)."""
+    re-read with that delimiter (the header line is sniffed with a one-line read).
+
+    A given schema is matched to the header by name: columns may stand in any order, one that is missing is refused, and
+    a cell that doesn't parse fails the read.  Without one, the transaction table's own schema serves where the header names
+    its columns (plus ``txn_id``); else types are inferred by a scan.
+    """
     first = spark.read.text(path).limit(1).collect()        # one line
     header = first[0][0] if first else ""
     sep = ","
@@ -31,9 +37,20 @@ def read_delimited(spark: SparkSession, path: str, schema=None) -> DataFrame:
             sep = ";"
         elif "\t" in header:
             sep = "\t"
+    names = [c.strip().strip('"').strip() for c in header.split(sep)]
     reader = spark.read.option("header", True).option("sep", sep)
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return strip_column_names(reader.csv(path))
+    if schema is None and {f.name for f in RAW_SCHEMA} <= set(names) <= {f.name for f in RAW_SCHEMA} | {KEY}:
+        schema = T.StructType([*RAW_SCHEMA.fields, *([T.StructField(KEY, T.LongType())] if KEY in names else [])])
+    if schema is None:
+        return strip_column_names(reader.option("inferSchema", True).csv(path))
+    schema = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    types = {f.name.strip(): f.dataType for f in schema}
+    missing = [c for c in types if c not in names]
+    if missing:
+        raise ValueError(f"{path}: no column {missing} in the header {names}")
+    in_file = T.StructType([T.StructField(f"_{k}", types.get(c, T.StringType())) for k, c in enumerate(names)])
+    df = reader.option("mode", "FAILFAST").schema(in_file).csv(path)
+    return df.select(*[F.col(f"_{names.index(c)}").alias(c) for c in types])
 
 
 def load_table(spark: SparkSession, path: str, schema=None) -> DataFrame:             # A2
@@ -43,7 +60,7 @@ def load_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     if ext == "parquet":
         return strip_column_names(spark.read.parquet(path))
     if ext == "json":
-        r = spark.read.schema(schema) if schema is not None else spark.read
+        r = spark.read.schema(schema).option("mode", "FAILFAST") if schema is not None else spark.read
         return strip_column_names(r.json(path))
     raise ValueError(f"unsupported format {ext!r}: use csv, parquet or json")
 
