@@ -1,165 +1,97 @@
-"""Distributed order statistics: exact quantiles and running totals.
-
-Both avoid a window without a partition (one task) and the ``percentile`` aggregate's
-single final merge (all distinct values in one task).  The value range is cut into
-buckets at approximate quantiles (``percentile_approx``, one pass, bounded memory); the
-few bucket totals go to the driver (≤ groups x 1024 rows); only inside a bucket are
-rows ranked, by a window partitioned on (group, bucket).  A hot value that holds a third
-of all rows is first collapsed to one (value, count) row, so no bucket task ever holds
-more than ``rows_per_bucket`` distinct values of ordinary data.
+"""Distributed order statistics: exact quantiles and running totals, one path at every size.
+
+Neither uses a window without a partition (one task) nor the ``percentile`` aggregate's single
+final merge (all distinct values in one task).
+
+* Running totals: rows are range-partitioned by (group, order value), as many partitions as keep one
+  near ``ROWS_PER_BUCKET`` rows; a partition's rows are summed up by a window inside it, and what lies before it
+  comes from the partitions' totals.
+* Quantiles: approximate quantiles a little below and above each wanted one cut the values into
+  buckets; counts tell which bucket holds a wanted rank; only those buckets' values, collapsed to
+  (value, count) rows so that a hot value is one row, get running totals.
+
+Offsets, ranks and counts stay in DataFrames, so neither the number of groups nor that of rows bounds what works.
+Group keys are compared null-safely.
 """
 
 from __future__ import annotations
 
-import bisect
 import math
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import cut_lineage
 
 ROWS_PER_BUCKET = 100_000
-MAX_BUCKETS = 1024
 APPROX_ACCURACY = 10_000
 
 
-def _grid(n_buckets: int) -> list[float]:
-    return [i / n_buckets for i in range(1, n_buckets)]
-
-
 def _splits(bounds) -> list[float]:
     vals = sorted({float(b) for b in (bounds or []) if b is not None and not math.isnan(b)})
-    return [-math.inf, *vals, math.inf]
+    return [-math.inf, *[v for v in vals if not math.isinf(v)], math.inf]
 
 
-def _n_buckets(n: int) -> int:
-    return int(min(MAX_BUCKETS, max(1, math.ceil(n / ROWS_PER_BUCKET))))
+def _same(a: str, b: str, keys):
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
+    return cond
 
 
-def bucketize(df: DataFrame, columns: list[str], n_rows: int) -> tuple[DataFrame, dict]:
-    """Add ``_b_<col>`` bucket ids cut at approximate quantiles of each column."""
-    nb = _n_buckets(n_rows)
-    if nb == 1:
-        return df.withColumns({f"_b_{c}": F.lit(0.0) for c in columns}), {c: 1 for c in columns}
-    grid = _grid(nb)
-    row = df.agg(*[F.percentile_approx(F.col(c).cast("double"), grid, APPROX_ACCURACY).alias(c)
-                   for c in columns]).first()
-    splits = [_splits(row[c]) for c in columns]
+def _brackets(probs: list[float]) -> list[float]:
+    """Approximate quantiles asked for: each wanted one is bracketed by twice the rank error on both sides."""
+    e = 2.0 / APPROX_ACCURACY
+    return sorted({min(1.0, max(0.0, q)) for p in probs for q in (p - e, p + e)})
+
+
+def _bucketed(src: DataFrame, by, columns, probs) -> DataFrame:
+    """Long rows (by, column, bucket, value) of the non-null, non-NaN values."""
+    row = src.agg(*[F.percentile_approx(F.when(~F.isnan(c), F.col(c)), _brackets(probs), APPROX_ACCURACY).alias(c) for c in columns]).first()
     b = Bucketizer(inputCols=columns, outputCols=[f"_b_{c}" for c in columns],
-                   splitsArray=splits, handleInvalid="keep")
-    return b.transform(df), {c: len(s) - 1 for c, s in zip(columns, splits)}
+                   splitsArray=[_splits(row[c]) if len(_splits(row[c])) > 2 else [-math.inf, 0.0, math.inf] for c in columns], handleInvalid="keep")
+    items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_b_{c}").cast("int").alias("bucket"), F.col(c).alias("value")) for c in columns])
+    valid = F.filter(items, lambda x: x["value"].isNotNull() & ~F.isnan(x["value"]))
+    return b.transform(src).select(*by, F.explode(valid).alias("_s")).select(*by, "_s.*")
 
 
 def exact_quantiles(df: DataFrame, columns, probs, by=(), approx: bool = False,
-                    accuracy: int = APPROX_ACCURACY, counts: list | None = None) -> DataFrame:
+                    accuracy: int = APPROX_ACCURACY) -> DataFrame:
     """Exact linear-interpolated quantiles (NumPy/pandas default) of ``columns``.
 
     Returns long rows ``(*by, column, qi, prob, quantile)``; nulls and NaN are ignored.
     ``approx=True`` trades exactness for a single ``percentile_approx`` pass (rank error
-    ≈ n/accuracy, no interpolation).
+    about n/accuracy, no interpolation).
     """
     columns = [columns] if isinstance(columns, str) else list(columns)
     by = list(by)
     probs = [float(p) for p in probs]
-    spark = df.sparkSession
     src = df.select(*by, *[F.col(c).cast("double").alias(c) for c in columns])
     if approx:
         clean = {c: F.when(~F.isnan(c), F.col(c)) for c in columns}
         wide = src.groupBy(*by).agg(*[F.percentile_approx(clean[c], probs, accuracy).alias(c) for c in columns])
         return _approx_long(wide, by, columns, probs)
-    # non-null, non-NaN values only (isnan(null) is false, so count the value itself);
-    # callers that already aggregated pass ``counts`` (rows with the group keys and one
-    # count per column) and save this pass
-    if counts is None:
-        counts = src.groupBy(*by).agg(*[F.count(F.when(~F.isnan(c), F.col(c))).alias(c)
-                                        for c in columns]).collect()   # one row per group
-    count_rows = counts
-    n_total = max([sum(r[c] for r in count_rows) for c in columns] + [0])
-    if _n_buckets(n_total) > 1:
-        # three more passes follow (cut points, bucket counts, ranks): materialise the
-        # projected columns once instead of re-deriving the input each time
-        src = cut_lineage(src)
-    src, _ = bucketize(src, columns, n_total)
-    long = src.select(
-        *by,
-        F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.col(c).alias("value"),
-                     F.col(f"_b_{c}").cast("int").alias("bucket"))
-            for c in columns])).alias("_s"),
-    ).select(*by, "_s.column", "_s.value", "_s.bucket") \
-     .filter(F.col("value").isNotNull() & ~F.isnan("value"))
-    per_group: dict = {}
-    if _n_buckets(n_total) == 1:
-        # single bucket: the per-group counts above are the bucket counts
-        for r in count_rows:
-            for c in columns:
-                if r[c]:
-                    per_group[tuple(r[k] for k in by) + (c,)] = [(0, r[c])]
-    else:
-        bucket_counts = long.groupBy(*by, "column", "bucket").count().collect()   # ≤ groups·cols·1024
-        for r in bucket_counts:
-            key = tuple(r[k] for k in by) + (r["column"],)
-            per_group.setdefault(key, []).append((r["bucket"], r["count"]))
-    need_rows, frac_rows = [], []
-    for key, lst in per_group.items():
-        lst.sort()
-        starts, acc = [], 0
-        for _, cnt in lst:
-            starts.append(acc)
-            acc += cnt
-        n = acc
-        for qi, p in enumerate(probs):
-            pos = p * (n - 1)
-            lo = int(math.floor(pos))
-            hi = min(lo + 1, n - 1)
-            frac_rows.append((*key, qi, p, pos - lo))
-            for slot, rank in (("lo", lo), ("hi", hi)):
-                i = bisect.bisect_right(starts, rank) - 1
-                need_rows.append((*key, lst[i][0], rank - starts[i], qi, slot))
-    by_fields = [f for f in src.schema.fields if f.name in by]
-    need_schema = T.StructType([
-        *by_fields,
-        T.StructField("column", T.StringType()),
-        T.StructField("bucket", T.IntegerType()),
-        T.StructField("local_rank", T.LongType()),
-        T.StructField("qi", T.IntegerType()),
-        T.StructField("slot", T.StringType()),
-    ])
-    frac_schema = T.StructType([
-        *by_fields,
-        T.StructField("column", T.StringType()),
-        T.StructField("qi", T.IntegerType()),
-        T.StructField("prob", T.DoubleType()),
-        T.StructField("frac", T.DoubleType()),
-    ])
-    need = spark.createDataFrame(need_rows, need_schema)
-    fracs = spark.createDataFrame(frac_rows, frac_schema)
-    keys = [*by, "column", "bucket"]
-    wanted = spark.createDataFrame(sorted({r[:len(keys)] for r in need_rows}),
-                                   T.StructType(need_schema.fields[:len(keys)]))
-    cand = long.join(F.broadcast(wanted), [long[k].eqNullSafe(wanted[k]) for k in keys], "left_semi")
-    w = Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (cand.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt"))
-              .withColumn("cum", F.sum("cnt").over(w))).alias("r")
-    nd = need.alias("n")
-    cond = [F.col(f"r.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys] + [
-        F.col("r.cum") - F.col("r.cnt") <= F.col("n.local_rank"), F.col("n.local_rank") < F.col("r.cum")]
-    hit = ranked.join(F.broadcast(nd), cond, "inner").select(
-        *[F.col(f"n.{k}").alias(k) for k in by], F.col("n.column").alias("column"),
-        F.col("n.qi").alias("qi"), F.col("n.slot").alias("slot"), F.col("r.value").alias("value"))
-    agg = hit.groupBy(*by, "column", "qi").agg(
-        F.max(F.when(F.col("slot") == "lo", F.col("value"))).alias("lo"),
-        F.max(F.when(F.col("slot") == "hi", F.col("value"))).alias("hi")).alias("a")
-    fr = fracs.alias("f")
-    jk = [*by, "column", "qi"]
-    out = fr.join(agg, [F.col(f"f.{k}").eqNullSafe(F.col(f"a.{k}")) for k in jk], "left") \
-        .select(*[F.col(f"f.{k}").alias(k) for k in by], F.col("f.column").alias("column"),
-                F.col("f.qi").alias("qi"), F.col("f.prob").alias("prob"),
-                (F.col("a.lo") + F.col("f.frac") * (F.col("a.hi") - F.col("a.lo"))).alias("quantile"))
-    return out
+    src = cut_lineage(src)                     # read three times: cut points, bucket counts, values
+    long = _bucketed(src, by, columns, probs)
+    group, keys = [*by, "column"], [*by, "column", "bucket"]
+    before = Window.partitionBy(*group).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)      # a row a bucket
+    counts = (long.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"))
+              .withColumns({"start": F.coalesce(F.sum("cnt").over(before), F.lit(0)), "n": F.sum("cnt").over(Window.partitionBy(*group))}))
+    ask = F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(p).alias("prob")) for i, p in enumerate(probs)])
+    pos = F.col("prob") * (F.col("n") - 1)
+    asked = (counts.withColumn("_a", F.explode(ask)).select(*keys, "cnt", "start", "n", "_a.*")
+             .withColumns({"frac": pos - F.floor(pos), "lo": F.floor(pos), "hi": F.least(F.floor(pos) + 1, F.col("n") - 1)})
+             .withColumn("_r", F.explode(F.array(F.struct(F.lit("lo").alias("slot"), F.col("lo").alias("rank")), F.struct(F.lit("hi").alias("slot"), F.col("hi").alias("rank")))))
+             .filter((F.col("_r.rank") >= F.col("start")) & (F.col("_r.rank") < F.col("start") + F.col("cnt"))))
+    need = cut_lineage(asked.select(*keys, "qi", "prob", "frac", "_r.slot", (F.col("_r.rank") - F.col("start")).alias("local_rank")))
+    cand = long.alias("l").join(need.select(*keys).distinct().alias("w"), _same("l", "w", keys), "left_semi")
+    ranked = running_totals(cand.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("cnt")), "value", "cnt", by=keys, descending=False)
+    inside = (F.col("r.cum_cnt") - F.col("r.cnt") <= F.col("n.local_rank")) & (F.col("n.local_rank") < F.col("r.cum_cnt"))
+    hit = ranked.alias("r").join(need.alias("n"), _same("r", "n", keys) & inside).select("n.*", F.col("r.value").alias("value"))
+    out = hit.groupBy(*group, "qi", "prob", "frac").agg(F.max(F.when(F.col("slot") == "lo", F.col("value"))).alias("lo"),
+                                                        F.max(F.when(F.col("slot") == "hi", F.col("value"))).alias("hi"))
+    return out.select(*group, "qi", "prob", (F.col("lo") + F.col("frac") * (F.col("hi") - F.col("lo"))).alias("quantile"))
 
 
 def _approx_long(wide: DataFrame, by, columns, probs) -> DataFrame:
@@ -169,12 +101,6 @@ def _approx_long(wide: DataFrame, by, columns, probs) -> DataFrame:
     return wide.select(*by, F.explode(F.array(*items)).alias("_x")).select(*by, "_x.*")
 
 
-def quantile_row(df: DataFrame, column: str, probs) -> list[float]:
-    """Driver-side list of exact quantiles of one column (small result: len(probs))."""
-    rows = exact_quantiles(df, [column], probs).orderBy("qi").collect()
-    return [r["quantile"] for r in rows]
-
-
 def running_totals(df: DataFrame, order_col: str, sum_cols, by=(), descending: bool = True,
                    prefix: str = "cum_") -> DataFrame:
     """Running sums of ``sum_cols`` in ``order_col`` order (inclusive), per ``by`` group.
@@ -184,36 +110,16 @@ def running_totals(df: DataFrame, order_col: str, sum_cols, by=(), descending: b
     """
     sum_cols = [sum_cols] if isinstance(sum_cols, str) else list(sum_cols)
     by = list(by)
-    spark = df.sparkSession
-    first = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(c) for c in sum_cols]).collect()
-    n = sum(r["_n"] for r in first)                 # one row per group
-    if _n_buckets(n) > 1:
-        df = cut_lineage(df)                         # reused by three more passes
-    src, nb = bucketize(df, [order_col], n)
-    src = src.withColumn("_bucket", F.col(f"_b_{order_col}").cast("int")).drop(f"_b_{order_col}")
-    if _n_buckets(n) == 1:
-        tot_rows = [{**{k: r[k] for k in by}, "_bucket": 0, **{c: r[c] for c in sum_cols}} for r in first]
-    else:
-        tot_rows = src.groupBy(*by, "_bucket").agg(*[F.sum(c).alias(c) for c in sum_cols]).collect()
-    groups: dict = {}
-    for r in tot_rows:
-        groups.setdefault(tuple(r[k] for k in by), []).append(r)
-    off_rows = []
-    for key, lst in groups.items():
-        lst.sort(key=lambda r: r["_bucket"], reverse=descending)
-        acc = [0] * len(sum_cols)
-        for r in lst:
-            off_rows.append((*key, r["_bucket"], *acc))
-            acc = [a + (r[c] or 0) for a, c in zip(acc, sum_cols)]
-    by_fields = [f for f in src.schema.fields if f.name in by]
-    sum_types = {f.name: f.dataType for f in src.schema.fields if f.name in sum_cols}
-    off_schema = T.StructType([*by_fields, T.StructField("_bucket", T.IntegerType()),
-                               *[T.StructField(f"_off_{c}", sum_types[c]) for c in sum_cols]])
-    offs = spark.createDataFrame(off_rows, off_schema)
-    keys = [*by, "_bucket"]
-    joined = src.join(F.broadcast(offs), [src[k].eqNullSafe(offs[k]) for k in keys], "inner") \
-        .select(src["*"], *[offs[f"_off_{c}"] for c in sum_cols])
+    columns = df.columns
+    df = cut_lineage(df)
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / ROWS_PER_BUCKET))
+    dealt = cut_lineage(df.repartitionByRange(parts, *by, order_col).withColumn("_part", F.spark_partition_id()))   # the number stays with the row
+    keys = [*by, "_part"]
+    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("_part") if descending else F.asc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    totals = (dealt.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+              .withColumns({f"_o_{c}": F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)) for c in sum_cols}))   # a row a partition and group
     order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    out = joined.withColumns({f"{prefix}{c}": F.sum(c).over(w) + F.col(f"_off_{c}") for c in sum_cols})
-    return out.drop("_bucket", *[f"_off_{c}" for c in sum_cols])
+    inner = dealt.withColumns({f"_c_{c}": F.sum(c).over(w) for c in sum_cols})
+    joined = inner.alias("x").join(totals.alias("y"), _same("x", "y", keys))
+    return joined.select(*[F.col(f"x.{c}").alias(c) for c in columns], *[(F.col(f"x._c_{c}") + F.col(f"y._o_{c}")).alias(f"{prefix}{c}") for c in sum_cols])

@@ -38,24 +38,20 @@ def describe(df: DataFrame, columns=None, digits: int | None = 4, by=(),
     by = list(by)
     columns = columns or [c for c in numeric_columns(df, exclude=()) if c != KEY and c not in by]
     v = C.num        # NaN counts as missing, as in pandas
-    stats = ["count", "mean", "std", "min", "max"]
-    rows = df.groupBy(*by).agg(*[
-        F.struct(F.count(v(c)).cast("bigint").alias("count"), F.avg(v(c)).alias("mean"),
-                 F.stddev_samp(v(c)).alias("std"), F.min(v(c)).alias("min"),
-                 F.max(v(c)).alias("max")).alias(c)
-        for c in columns]).collect()        # one row per group: groups × columns × 5 numbers
-    counts = [{**{k: r[k] for k in by}, **{c: r[c]["count"] for c in columns}} for r in rows]
-    by_fields = [f for f in df.schema.fields if f.name in by]
-    schema = T.StructType([*by_fields, T.StructField("column", T.StringType()),
-                           T.StructField("count", T.LongType()),
-                           *[T.StructField(x, T.DoubleType()) for x in stats[1:]]])
-    long = df.sparkSession.createDataFrame(
-        [(*[r[k] for k in by], c, *[r[c][x] for x in stats]) for r in rows for c in columns], schema)
-    q = exact_quantiles(df, columns, QUARTILES, by=by, approx=approx_quantiles, counts=counts)
+    wide = df.groupBy(*by).agg(*[
+        F.struct(F.lit(c).alias("column"), F.count(v(c)).cast("bigint").alias("count"), F.avg(v(c)).alias("mean"),
+                 F.stddev_samp(v(c)).alias("std"), F.min(v(c)).cast("double").alias("min"),
+                 F.max(v(c)).cast("double").alias("max")).alias(f"_{k}")
+        for k, c in enumerate(columns)])
+    long = wide.select(*by, F.explode(F.array(*[f"_{k}" for k in range(len(columns))])).alias("_s")).select(*by, "_s.*")
+    q = exact_quantiles(df, columns, QUARTILES, by=by, approx=approx_quantiles)
     qw = q.groupBy(*by, "column").agg(*[
         F.max(F.when(F.col("qi") == i, F.col("quantile"))).alias(name)
         for i, name in enumerate(["p25", "p50", "p75"])])
-    out = long.join(qw, [*by, "column"], "left")
+    same = F.col("l.column") == F.col("q.column")
+    for k in by:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"q.{k}"))        # a null group is a group
+    out = long.alias("l").join(qw.alias("q"), same, "left").select("l.*", "q.p25", "q.p50", "q.p75")
     return out.select(*by, "column", "count",
                       *[_r(F.col(c), digits).alias(c)
                         for c in ["mean", "std", "min", "p25", "p50", "p75", "max"]])
