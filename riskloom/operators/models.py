@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import FEATURE_COLS, KEY, SEED, TARGET
+from ..session import cut_lineage
 from . import sampling as SA
 
 
@@ -78,7 +79,7 @@ def cv_score(df: DataFrame, fit, k: int = 5, label: str = TARGET, key: str = KEY
              seed: int = SEED) -> DataFrame:                                         # H6
     """Stratified k-fold: fit on k-1 folds, score the held-out fold at 0.5; mean and
     population std of recall, precision, F1 and F-beta over folds."""
-    folded = SA.stratified_kfold(df, k, label, key, seed).cache()
+    folded = cut_lineage(SA.stratified_kfold(df, k, label, key, seed))
     rows = []
     for f in range(k):                      # k distributed fits; the loop is over folds only
         model = fit(folded.filter(F.col("fold") != f))

@@ -1,34 +1,20 @@
-"""Unsupervised reconstruction-error detectors.
+"""Unsupervised reconstruction-error detector.
 
-Two detectors share one scoring surface (``error`` per row):
-
-* ``fit_pca_detector`` — deterministic linear encoder/decoder: mean and the top-k
-  principal axes of the normal rows (MLlib PCA, a distributed Gram-matrix aggregate).
-  Reconstruction, latent codes, errors and per-feature errors are plain column algebra
-  (codegen, stream-safe).
-* ``fit_autoencoder`` — the reference's dense encoder/decoder 14→10→7→4→7→10→14 (relu,
-  dropout, L2, Adam, MSE, early stopping restoring the best weights, LR halving on a
-  plateau), trained data-parallel: each epoch every partition runs mini-batch Adam from
-  the broadcast weights over its rows (``mapInPandas``, NumPy) and scores its hold-out
-  rows with those start weights; the partition weights are averaged by row count with
-  executor-side partial sums — one Spark job per epoch.  Scoring is an Arrow-batched ``mapInPandas`` with the
-  weights in the closure.  Batch normalisation is not reproduced (see README).
+``fit_pca_detector`` is a deterministic linear encoder/decoder: mean and the top-k principal axes of the normal
+rows (MLlib PCA, a distributed Gram-matrix aggregate).  Reconstruction, latent codes, errors and
+per-feature errors are plain column algebra (codegen, stream-safe).  A dense network is not built (see README).
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..schema import FEATURE_COLS, KEY, SEED
+from ..schema import FEATURE_COLS
 from .ordered import exact_quantiles
-from .sampling import tail_validation_split
 
 
 # ---------------------------------------------------------------------------
@@ -145,195 +131,3 @@ def latent_pca_2d(latent: DataFrame, col: str = "latent") -> tuple[DataFrame, li
     out = m.transform(vec).withColumn("_pa", vector_to_array("_p")) \
         .withColumns({"pc1": F.col("_pa")[0], "pc2": F.col("_pa")[1]}).drop("_v", "_p", "_pa", *cols)
     return out, m.explainedVariance.toArray().tolist()
-
-
-# ---------------------------------------------------------------------------
-# dense autoencoder, data-parallel
-# ---------------------------------------------------------------------------
-LAYERS = [14, 10, 7, 4, 7, 10, 14]
-
-
-def _init(layers, seed):
-    rng = np.random.default_rng(seed)
-    ws = []
-    for a, b in zip(layers[:-1], layers[1:]):
-        lim = np.sqrt(6.0 / (a + b))                    # Glorot uniform
-        ws += [rng.uniform(-lim, lim, size=(a, b)), np.zeros(b)]
-    return ws
-
-
-def _forward(ws, x, train=False, rng=None, dropout=0.2):
-    acts, masks = [x], []
-    h = x
-    n_layers = len(ws) // 2
-    for li in range(n_layers):
-        h = h @ ws[2 * li] + ws[2 * li + 1]
-        if li < n_layers - 1:
-            h = np.maximum(h, 0.0)
-            if train and dropout > 0 and li != n_layers // 2 - 1:
-                m = (rng.random(h.shape) >= dropout) / (1.0 - dropout)
-                h = h * m
-                masks.append(m)
-            else:
-                masks.append(None)
-        acts.append(h)
-    return acts, masks
-
-
-def _backward(ws, acts, masks, y, l2):
-    n_layers = len(ws) // 2
-    grads = [None] * len(ws)
-    out = acts[-1]
-    d = 2.0 * (out - y) / (y.shape[0] * y.shape[1])
-    for li in reversed(range(n_layers)):
-        a_in = acts[li]
-        grads[2 * li] = a_in.T @ d + 2 * l2 * ws[2 * li]
-        grads[2 * li + 1] = d.sum(axis=0)
-        if li > 0:
-            d = d @ ws[2 * li].T
-            if masks[li - 1] is not None:
-                d = d * masks[li - 1]
-            d = d * (acts[li] > 0)
-    return grads
-
-
-def _flatten(ws):
-    return np.concatenate([w.ravel() for w in ws])
-
-
-def _unflatten(vec, layers):
-    out, i = [], 0
-    for a, b in zip(layers[:-1], layers[1:]):
-        out.append(vec[i:i + a * b].reshape(a, b))
-        i += a * b
-        out.append(vec[i:i + b])
-        i += b
-    return out
-
-
-@dataclass
-class AutoEncoder:
-    feature_cols: list
-    weights: list
-    history: list = field(default_factory=list)
-    train_stats: dict = field(default_factory=dict)
-
-    @property
-    def layers(self):
-        return [self.weights[0].shape[0]] + [w.shape[1] for w in self.weights[0::2]]
-
-
-def fit_autoencoder(normal: DataFrame, feature_cols=None, epochs: int = 100, batch_size: int = 256,
-                    lr: float = 1e-3, l2: float = 1e-5, dropout: float = 0.2, patience: int = 10,
-                    lr_patience: int = 5, lr_factor: float = 0.5, min_lr: float = 1e-6,
-                    val_frac: float = 0.1, seed: int = SEED, key: str = KEY) -> AutoEncoder:   # H7 (b)
-    feature_cols = list(FEATURE_COLS if feature_cols is None else feature_cols)
-    layers = [len(feature_cols), 10, 7, 4, 7, 10, len(feature_cols)]
-    split = tail_validation_split(normal.select(key, *feature_cols), val_frac, key, seed)
-    # one cached frame: fit rows train, hold-out rows are scored with the epoch's start
-    # weights in the same pass (one job per epoch; the hold-out loss of the weights after
-    # epoch e arrives with the pass of epoch e+1)
-    rows = split.select(*feature_cols, "is_holdout").cache()
-    ws = _init(layers, seed)
-    best, best_loss, stale, lr_stale, history = ws, np.inf, 0, 0, []
-    n_w = len(_flatten(ws))
-    # each partition emits (position, value): n·weights, n_fit, fit loss sum, n_hold, hold loss sum
-    out_schema = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("v", T.DoubleType())])
-    pending = None                       # (epoch, train_loss, lr) of the weights now in ``ws``
-    for epoch in range(epochs + 1):
-        flat = _flatten(ws)
-        train = epoch < epochs
-        cur_lr = lr
-
-        def local_epoch(it, flat=flat, cur_lr=cur_lr, epoch=epoch, train=train):
-            w0 = _unflatten(flat.copy(), layers)
-            w = _unflatten(flat.copy(), layers)
-            m = [np.zeros_like(x) for x in w]
-            v = [np.zeros_like(x) for x in w]
-            rng = np.random.default_rng(seed + epoch)
-            n_fit, loss_sum, n_hold, hold_sum, t = 0, 0.0, 0, 0.0, 0
-            for pdf in it:
-                hold_mask = pdf["is_holdout"].to_numpy() == 1
-                xh = pdf.loc[hold_mask, feature_cols].to_numpy(dtype=np.float64)
-                if len(xh):
-                    out, _ = _forward(w0, xh)
-                    hold_sum += float(((out[-1] - xh) ** 2).mean(axis=1).sum())
-                    n_hold += len(xh)
-                if not train:
-                    continue
-                x = pdf.loc[~hold_mask, feature_cols].to_numpy(dtype=np.float64)
-                order = rng.permutation(len(x))
-                for s in range(0, len(x), batch_size):
-                    xb = x[order[s:s + batch_size]]
-                    acts, masks = _forward(w, xb, True, rng, dropout)
-                    loss_sum += float(((acts[-1] - xb) ** 2).mean()) * len(xb)
-                    g = _backward(w, acts, masks, xb, l2)
-                    t += 1
-                    for i in range(len(w)):
-                        m[i] = 0.9 * m[i] + 0.1 * g[i]
-                        v[i] = 0.999 * v[i] + 0.001 * g[i] ** 2
-                        mh = m[i] / (1 - 0.9 ** t)
-                        vh = v[i] / (1 - 0.999 ** t)
-                        w[i] = w[i] - cur_lr * mh / (np.sqrt(vh) + 1e-7)
-                n_fit += len(x)
-            vals = np.concatenate([_flatten(w) * n_fit, [float(n_fit), loss_sum, float(n_hold), hold_sum]])
-            yield pd.DataFrame({"pos": np.arange(len(vals), dtype=np.int32), "v": vals})
-
-        # row-weighted average of the partition weights, reduced on the executors in one
-        # job: map-side partial sums per position → len(weights) + 4 rows to the driver
-        summed = rows.mapInPandas(local_epoch, out_schema).groupBy("pos").agg(F.sum("v").alias("s")).collect()
-        vec = np.zeros(n_w + 4)
-        for r in summed:
-            vec[r["pos"]] = r["s"]
-        n_fit, n_hold = vec[n_w], vec[n_w + 2]
-        val_loss = vec[n_w + 3] / n_hold if n_hold else float("nan")      # loss of the start weights
-        if pending is not None:
-            p_epoch, p_loss, p_lr = pending
-            history.append({"epoch": p_epoch, "loss": p_loss, "val_loss": val_loss, "lr": p_lr})
-            if val_loss < best_loss - 1e-12:
-                best, best_loss, stale, lr_stale = [w.copy() for w in ws], val_loss, 0, 0
-            else:
-                stale += 1
-                lr_stale += 1
-                if lr_stale >= lr_patience:
-                    lr, lr_stale = max(lr * lr_factor, min_lr), 0
-                if stale >= patience:
-                    break
-        if not train or not n_fit:
-            break
-        pending = (epoch, vec[n_w + 1] / n_fit, cur_lr)
-        ws = _unflatten(vec[:n_w] / n_fit, layers)
-    rows.unpersist()
-    return AutoEncoder(feature_cols, best, history)
-
-
-def ae_reconstruction_error(df: DataFrame, ae: AutoEncoder, out: str = "error",
-                            reduction: str = "mean", latent: bool = False) -> DataFrame:   # H8 / H9
-    """Per-row reconstruction error (and optional 4-d latent code), Arrow-batched."""
-    cols = list(ae.feature_cols)
-    flat = _flatten(ae.weights)
-    layers = ae.layers
-    fields = list(df.schema.fields) + [T.StructField(out, T.DoubleType())]
-    if latent:
-        fields.append(T.StructField("latent", T.ArrayType(T.DoubleType())))
-    schema = T.StructType(fields)
-    bottleneck = len(layers) // 2
-
-    def run(it):
-        w = _unflatten(flat, layers)
-        for pdf in it:
-            x = pdf[cols].to_numpy(dtype=np.float64)
-            acts, _ = _forward(w, x)
-            sq = (x - acts[-1]) ** 2
-            pdf[out] = sq.mean(axis=1) if reduction == "mean" else sq.sum(axis=1)
-            if latent:
-                pdf["latent"] = list(acts[bottleneck])
-            yield pdf
-
-    return df.mapInPandas(run, schema)
-
-
-def training_history(spark, ae: AutoEncoder) -> DataFrame:                              # H14
-    rows = [(h["epoch"], float(h["loss"]), float(h["val_loss"]), float(h["lr"])) for h in ae.history]
-    return spark.createDataFrame(rows, "epoch int, loss double, val_loss double, lr double")
-

@@ -7,8 +7,8 @@ driver program composes the operators and writes every artefact with Spark's wri
 
 Outputs (under ``--out``): ``eda_report``, ``prep_report``, ``features_meta`` (JSON),
 ``eda_summary_stats``, ``feature_correlations`` (CSV), ``prepared`` (parquet by split),
-``train_smote`` (parquet), ``models/<name>`` (MLlib pipelines, scaler/weights params,
-autoencoder history), ``baseline_report``, ``autoencoder_report``, ``all_metrics`` and
+``train_smote`` (parquet), ``models/<name>`` (MLlib pipelines, scaler/weights params),
+``baseline_report``, ``detector_report``, ``all_metrics`` and
 ``thresholds`` (JSON) and ``scores`` (parquet by model and split).
 """
 
@@ -41,8 +41,7 @@ def _val_test_metrics(scored: DataFrame, name: str, score: str = "score") -> tup
     return m, t.select(F.lit(name).alias("model"), "threshold", F.col("score").alias("f2_val"))
 
 
-def run_all(spark: SparkSession, raw: DataFrame, out: str, with_forest: bool = True,
-            with_autoencoder: bool = True, ae_epochs: int = 100) -> DataFrame:
+def run_all(spark: SparkSession, raw: DataFrame, out: str, with_forest: bool = True) -> DataFrame:
     """Run every stage on ``raw`` transactions; returns the ranked metrics of all models."""
     out = out.rstrip("/")
     feats = build_features(raw)
@@ -85,24 +84,12 @@ def run_all(spark: SparkSession, raw: DataFrame, out: str, with_forest: bool = T
     det = RC.fit_pca_detector(prep.train_normal())
     err = cut_lineage(RC.reconstruction_error(prep.data, det).select(KEY, "split", TARGET, "error"))
     g = EV.grid_threshold(err.filter(F.col("split") == "val"), score="error").first()
-    metrics.append(EV.fraud_metrics(err.filter(F.col("split") == "test"), g["threshold"], score="error",
-                                    model="PCA_recon"))
-    if with_autoencoder:
-        ae = RC.fit_autoencoder(prep.train_normal(), epochs=ae_epochs)
-        ae_err = cut_lineage(RC.ae_reconstruction_error(
-            prep.data.select(KEY, "split", TARGET, *FEATURE_COLS), ae).select(KEY, "split", TARGET, "error"))
-        ga = EV.grid_threshold(ae_err.filter(F.col("split") == "val"), score="error").first()
-        ae_test = EV.fraud_metrics(ae_err.filter(F.col("split") == "test"), ga["threshold"], score="error",
-                                   model="AutoEncoder")
-        ae_val = EV.fraud_metrics(ae_err.filter(F.col("split") == "val"), ga["threshold"], score="error",
-                                  model="AutoEncoder")
-        metrics.append(ae_test)
-        ref_name = "RF_smote" if with_forest else "LR_smote"
-        normal_err = ae_err.join(prep.train_normal().select(KEY), KEY, "left_semi")
-        IO.write_json_row(R.autoencoder_report(ae, normal_err, ae_val, ae_test,
-                                               test_metrics.filter(F.col("model") == ref_name), ga["threshold"],
-                                               normal_err.count()), f"{out}/autoencoder_report")
-        RC.training_history(spark, ae).coalesce(1).write.mode("overwrite").json(f"{out}/models/ae_history")
+    det_val, det_test = (EV.fraud_metrics(err.filter(F.col("split") == s), g["threshold"], score="error", model="PCA_recon")
+                         for s in ("val", "test"))
+    metrics.append(det_test)
+    ref_name = "RF_smote" if with_forest else "LR_smote"
+    IO.write_json_row(R.detector_report(det, err.filter((F.col("split") == "train") & (F.col(TARGET) == 0)), det_val, det_test,
+                                        test_metrics.filter(F.col("model") == ref_name), g["threshold"]), f"{out}/detector_report")
     ranked = rank_models(metrics_union(*metrics))
     IO.write_json_row(ranked, f"{out}/all_metrics")
     IO.write_json_row(metrics_union(*thresholds), f"{out}/thresholds")
@@ -115,10 +102,9 @@ def main(argv=None):
     ap.add_argument("--sf", required=True, help="folder with the driver's parquet tables")
     ap.add_argument("--out", required=True, help="output folder (shared storage on a cluster)")
     ap.add_argument("--no-forest", action="store_true")
-    ap.add_argument("--no-autoencoder", action="store_true")
     a = ap.parse_args(argv)
     spark = build_session(app_name="riskloom-run")
-    res = run_all(spark, transactions(spark, a.sf), a.out, not a.no_forest, not a.no_autoencoder)
+    res = run_all(spark, transactions(spark, a.sf), a.out, not a.no_forest)
     res.select("model", "threshold", "recall", "precision", "f1", "roc_auc", "pr_auc").show(truncate=False)
     spark.stop()
 

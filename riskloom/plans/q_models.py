@@ -1,7 +1,7 @@
 """Registered queries: models and detectors.
 
 Scoring with fixed coefficients / a fixed projection is exact column algebra and gets a
-DuckDB oracle; fitted models (MLlib LR/RF, PCA, autoencoder) get rows-only checks and
+DuckDB oracle; fitted models (MLlib LR/RF, PCA) get rows-only checks and
 property tests (AUC floors, normal-only training).
 """
 
@@ -176,23 +176,41 @@ def q_latent_pca(spark, sf):                              # H9 + H12 (+ E5 union
     return out.select("txn_id", "part", "isFraud", "pc1", "pc2")
 
 
-@register("autoencoder")
-def q_autoencoder(spark, sf):                             # H7(b) + H8 + H14 + I8 + I2
+@register("pca_detector_report")
+def q_pca_detector_report(spark, sf):                     # H7(a) + H8 + H10 + I8 + I2 + A11: the detector's nested report
+    from .reports import detector_report
     p = prepared(spark, sf)
-    ae = RC.fit_autoencoder(p.train_normal())
-    d = cut_lineage(RC.ae_reconstruction_error(p.data.select("txn_id", "split", "isFraud", *FEATURE_COLS), ae)
-                    .select("txn_id", "split", "isFraud", "error"))
+    det = RC.fit_pca_detector(p.train_normal(), k=4)
+    d = cut_lineage(RC.reconstruction_error(p.data, det).select("txn_id", "split", "isFraud", "error"))
     t = EV.grid_threshold(d.filter(F.col("split") == "val"), score="error").first()["threshold"]
-    return EV.fraud_metrics(d.filter(F.col("split") == "test"), t, score="error", model="AutoEncoder")
+    val, test = (EV.fraud_metrics(d.filter(F.col("split") == s), t, score="error", model="PCA_recon") for s in ("val", "test"))
+    normal = d.filter((F.col("split") == "train") & (F.col("isFraud") == 0))
+    model = M.fit_logistic(P.with_weight(p.split("train"), p.weights))
+    scored = cut_lineage(M.score(model, p.data.filter("split <> 'train'")).select("txn_id", "split", "isFraud", "score"))
+    tv = EV.optimal_threshold(scored.filter(F.col("split") == "val")).first()["threshold"]
+    ref = EV.fraud_metrics(scored.filter(F.col("split") == "test"), tv, model="LR_balanced")
+    return detector_report(det, normal, val, test, ref, t)
 
 
-@register("autoencoder_history")
-def q_autoencoder_history(spark, sf):                     # H14: per-epoch loss / val loss, best epoch flagged
+@register("forest_smote")
+def q_forest_smote(spark, sf):                            # H3 on SMOTE rows (unweighted) + H4 + I7 + I2
     p = prepared(spark, sf)
-    ae = RC.fit_autoencoder(p.train_normal())
-    h = RC.training_history(spark, ae)
-    best = h.agg(F.min_by("epoch", "val_loss").alias("best_epoch"))
-    return h.crossJoin(best).withColumn("is_best", F.col("epoch") == F.col("best_epoch")).drop("best_epoch")
+    model = M.fit_forest(cut_lineage(p.train_smote()), weight=None)
+    scored = cut_lineage(M.score(model, p.data.filter("split <> 'train'")).select("txn_id", "split", "isFraud", "score"))
+    t = EV.optimal_threshold(scored.filter(F.col("split") == "val")).first()["threshold"]
+    return EV.fraud_metrics(scored.filter(F.col("split") == "test"), t, model="RF_smote")
+
+
+@register("forest_cv")
+def q_forest_cv(spark, sf):                               # H6: forest, class weights refitted on each fold's training rows
+    p = prepared(spark, sf)
+    train = p.split("train")
+
+    def fit(rows):
+        n = {r["isFraud"]: r["count"] for r in rows.groupBy("isFraud").count().collect()}       # two classes
+        return M.fit_forest(P.with_weight(rows, {c: sum(n.values()) / (len(n) * k) for c, k in n.items()}))
+
+    return M.cv_score(train, fit, k=5)
 
 
 @register("stream_scoring", with_split(

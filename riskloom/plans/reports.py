@@ -167,34 +167,28 @@ def baseline_report(flag_metrics: DataFrame, test_metrics: DataFrame, importance
     return out
 
 
-def autoencoder_report(ae, normal_err: DataFrame, val_metrics: DataFrame, test_metrics: DataFrame,
-                       reference: DataFrame, optimal: float, n_normal: int) -> DataFrame:      # A11
-    """Architecture, training summary, thresholds, val/test metrics and the deltas against
-    a reference model's test metrics (``reference``: one metrics row) — one nested row."""
+def detector_report(det, normal_err: DataFrame, val_metrics: DataFrame, test_metrics: DataFrame,
+                    reference: DataFrame, optimal: float) -> DataFrame:                        # A11
+    """Detector size, error statistics of the normal rows, thresholds, val/test metrics and the deltas against a
+    reference model's test metrics (``reference``: one metrics row) — one nested row."""
     from ..operators.recon import error_stats_frame
-    layers = ae.layers
-    n_params = sum(a * b + b for a, b in zip(layers[:-1], layers[1:]))
-    hist = ae.history
     stats = error_stats_frame(normal_err).select(F.struct("mean", "std", "p95", "p99", "max").alias("train_mse_stats"),
                                                  F.col("p95").alias("p95_normal"), F.col("p99").alias("p99_normal"))
+    n = normal_err.agg(F.count(F.lit(1)).alias("n_samples"))
     v = val_metrics.select(F.struct(*_METRIC_FIELDS).alias("val_metrics"))
-    t = test_metrics.select(F.struct(*_METRIC_FIELDS).alias("test_metrics"), F.col("recall").alias("_r"),
+    t = test_metrics.select(F.struct(*_METRIC_FIELDS).alias("test_metrics"), F.col("model").alias("_m"), F.col("recall").alias("_r"),
                             F.col("f1").alias("_f"), F.col("pr_auc").alias("_p"))
     ref = reference.select(F.col("model").alias("_ref"), F.col("recall").alias("_rr"), F.col("f1").alias("_rf"),
                            F.col("pr_auc").alias("_rp"))
-    row = stats.crossJoin(v).crossJoin(t).crossJoin(ref)                              # one-row frames
+    row = stats.crossJoin(n).crossJoin(v).crossJoin(t).crossJoin(ref)                 # one-row frames
     return row.select(
-        F.struct(F.array(*[F.lit(x) for x in layers[1:len(layers) // 2]]).alias("encoder_dims"),
-                 F.lit(layers[len(layers) // 2]).alias("bottleneck_dim"),
-                 F.array(*[F.lit(x) for x in layers[len(layers) // 2 + 1:-1]]).alias("decoder_dims"),
-                 F.lit(layers[0]).alias("n_features"), F.lit(n_params).alias("total_params")).alias("architecture"),
-        F.struct(F.lit(int(n_normal)).alias("n_samples"), F.lit(len(hist)).alias("n_epochs"),
-                 F.lit(float(min(h["val_loss"] for h in hist)) if hist else None).alias("best_val_loss"),
-                 "train_mse_stats").alias("training"),
+        F.struct(F.lit(det.k).alias("n_axes"), F.lit(len(det.feature_cols)).alias("n_features")).alias("architecture"),
+        F.struct("n_samples", "train_mse_stats").alias("training"),
         F.struct(F.lit(float(optimal)).alias("optimal"), "p95_normal", "p99_normal").alias("threshold"),
         "val_metrics", "test_metrics",
         F.struct(F.col("_ref").alias("model"), F.round(F.col("_r") - F.col("_rr"), 4).alias("recall_delta"),
                  F.round(F.col("_f") - F.col("_rf"), 4).alias("f1_delta"),
                  F.round(F.coalesce(F.col("_p"), F.lit(0.0)) - F.coalesce(F.col("_rp"), F.lit(0.0)), 4)
                  .alias("prauc_delta")).alias("vs_reference"),
-        F.when(F.col("_f") < F.col("_rf"), F.col("_ref")).otherwise(F.lit("AutoEncoder")).alias("best_overall"))
+        F.when(F.col("_f") < F.col("_rf"), F.col("_ref")).otherwise(F.col("_m")).alias("best_overall"))
+

@@ -12,12 +12,12 @@ from .conftest import SF_SMALL
 
 def test_run_all_writes_reports(spark):
     out = os.path.join(tempfile.mkdtemp(prefix="riskloom-flow-"), "out")
-    res = run_all(spark, transactions(spark, SF_SMALL), out, with_forest=False, ae_epochs=3)
+    res = run_all(spark, transactions(spark, SF_SMALL), out, with_forest=False)
     models = {r["model"] for r in res.collect()}
-    assert models == {"LR_balanced", "LR_smote", "PCA_recon", "AutoEncoder"}
-    for name in ["eda_report", "prep_report", "features_meta", "baseline_report", "autoencoder_report",
+    assert models == {"LR_balanced", "LR_smote", "PCA_recon"}
+    for name in ["eda_report", "prep_report", "features_meta", "baseline_report", "detector_report",
                  "thresholds", "all_metrics", "prepared", "train_smote", "scores", "eda_summary_stats"]:
         assert os.path.isdir(os.path.join(out, name)), name
-    rep = [f for f in os.listdir(os.path.join(out, "autoencoder_report")) if f.endswith(".json")][0]
-    ae = json.loads(open(os.path.join(out, "autoencoder_report", rep)).read())
-    assert ae["architecture"]["total_params"] == 528 and ae["training"]["n_epochs"] == 3
+    rep = [f for f in os.listdir(os.path.join(out, "detector_report")) if f.endswith(".json")][0]
+    got = json.loads(open(os.path.join(out, "detector_report", rep)).read())
+    assert got["architecture"] == {"n_axes": 4, "n_features": 14} and got["training"]["n_samples"] > 0
