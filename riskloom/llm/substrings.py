@@ -1,4 +1,5 @@
-"""Substring dedup by line hashing: units are lines, and the sentences inside them.
+"""Substring dedup by line hashing: units are lines, the sentences inside them, and the parts of a sentence that begin with
+a capital (so that a passage set into another sentence is met from its first word on).
 
 A unit's words (A-Z lower-cased, single-spaced) are digested to 128 bits.  Per digest the earliest
 occurrence, ranked by (doc_id, offset), stays; every other one is removed.  Removed spans keep their byte
@@ -44,11 +45,13 @@ def unit_spans(data: np.ndarray, offsets: np.ndarray, min_words: int, min_bytes:
     closes = (last == 46) | (last == 33) | (last == 63)          # . ! ?
     sentence = line.copy()
     sentence[1:] |= closes[:-1]
+    part = sentence | ((data[begins] >= 65) & (data[begins] <= 90))
     after = np.concatenate([np.where(head[1:], offsets[1:][row[:-1]], begins[1:]), offsets[-1:]])
-    a_line, a_sent = np.flatnonzero(line), np.flatnonzero(sentence)
-    b_line = np.concatenate([a_line[1:], [n]]) - 1
-    b_sent = np.concatenate([a_sent[1:], [n]]) - 1
-    span = np.unique(np.concatenate([a_line * (n + 1) + b_line, a_sent * (n + 1) + b_sent]))
+    spans = []
+    for new in (line, sentence, part):
+        first = np.flatnonzero(new)
+        spans.append(first * (n + 1) + np.concatenate([first[1:], [n]]) - 1)
+    span = np.unique(np.concatenate(spans))
     a, b = span // (n + 1), span % (n + 1)
     on = (b - a + 1 >= min_words) & (ends[b] - starts[a] >= min_bytes)
     a, b = a[on], b[on]

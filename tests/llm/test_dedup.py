@@ -150,7 +150,8 @@ def brute_lines(rows, min_words=5, min_bytes=30):
         raw = t.encode()
         words = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
         units = set()
-        for breaks in (lambda a, b: False, lambda a, b: raw[a[1] - 1:a[1]] in (b".", b"!", b"?")):
+        ends = lambda a: raw[a[1] - 1:a[1]] in (b".", b"!", b"?")
+        for breaks in (lambda a, b: False, lambda a, b: ends(a), lambda a, b: ends(a) or 65 <= raw[b[0]] <= 90):
             k = 0
             for n in range(1, len(words) + 1):
                 if n == len(words) or breaks(words[n - 1], words[n]) or re.search(rb"[\n\r]", raw[words[n - 1][1]:words[n][0]]):
