@@ -23,7 +23,7 @@ BITS = 32                  # hash string length
 SHARD_ROWS = 8_192         # vectors of a shard, as planned
 BLOCK_ROWS = 32_768        # queries of a block
 AT_ONCE = 256              # queries that descend together
-SHARE = 0.4                # candidates wanted, as a share of a shard's vectors
+SHARE = 0.5                # candidates wanted, as a share of a shard's vectors
 MIN_CANDIDATES = 400       # and at least so many
 TOP = 20
 SEED = 1234
