@@ -9,8 +9,6 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-import numpy as np
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +17,7 @@ from ..functions.moments import skew_sample
 from ..session import cut_lineage
 from ..schema import FEATURE_COLS, KEY, SCALE_COLS, SEED, TARGET, TRAIN_RATIO
 from . import features as FE
+from .neighbours import nearest
 from .sampling import class_counts, class_weights, rank_in_class, stratified_split
 
 
@@ -66,70 +65,6 @@ def with_weight(df: DataFrame, weights: dict, label: str = TARGET, out: str = "w
 
 
 # --- G3 SMOTE ----------------------------------------------------------------
-def _sqdist(cols, a: str, b: str):
-    return sum(((F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) ** 2 for c in cols), F.lit(0.0))
-
-
-def _band_neighbours(minority: DataFrame, cols, k: int = 5, key: str = KEY, seed: int = SEED) -> DataFrame:
-    """Exact k nearest neighbours (Euclidean, self excluded) among distinct points.
-
-    No all-pairs product: points are cut into equal-width cells along p = u·x for a fixed
-    pseudo-random unit direction u (|p_i - p_j| ≤ distance; distinct points sharing one
-    coordinate's value still get distinct projections).  Stage 1 bounds each point's k-th
-    distance r_i from the cells within a ring of ±R cells, growing R sixteenfold (one
-    distributed pass per step, only for points still short of k candidates, so isolated
-    points in a heavy tail never scan every cell).  Stage 2 joins only the cells within
-    ±r_i, which contain every true neighbour.  Returns (i, nn_rank 0..k-1, j, d2).
-    """
-    cols = list(cols)
-    u = np.random.default_rng(seed).normal(size=len(cols))
-    u = u / np.sqrt((u * u).sum())
-    proj = sum((F.col(c).cast("double") * F.lit(float(w)) for c, w in zip(cols, u)), F.lit(0.0))
-    minority = minority.withColumn("_proj", proj)
-    axis = "_proj"
-    spread = minority.agg(F.struct(F.min(axis).alias("lo"), F.max(axis).alias("hi"),
-                                   F.count(axis).alias("n")).alias(axis)).first()
-    lo, hi, m = spread[axis]["lo"], spread[axis]["hi"], spread[axis]["n"]
-    width = (hi - lo) * 4.0 * k / max(m, 1) if hi is not None and hi > lo else 1.0
-    width = width if width > 0 else 1.0
-    max_cell = int(math.floor((hi - lo) / width)) if hi is not None and hi > lo else 0
-    pts = minority.select(F.col(key).alias("key"), *cols, F.col(axis).alias("_p"),
-                          F.floor((F.col(axis) - F.lit(lo)) / F.lit(width)).cast("long").alias("_cell"))
-    data = pts.alias("d")
-    w1 = Window.partitionBy("i").orderBy("d2", "j")
-    radius = None
-    todo = pts.select("key", *cols, "_cell")
-    ring = 1
-    while True:                      # ≤ log2(cells) passes; each only over unresolved points
-        q = todo.withColumn("_qcell", F.explode(F.sequence(
-            F.greatest(F.col("_cell") - ring, F.lit(0)), F.least(F.col("_cell") + ring, F.lit(max_cell))))).alias("q")
-        c = q.join(data, (F.col("q._qcell") == F.col("d._cell")) & (F.col("q.key") != F.col("d.key"))) \
-            .select(F.col("q.key").alias("i"), _sqdist(cols, "q", "d").alias("d2"), F.col("d.key").alias("j"))
-        got = cut_lineage(c.withColumn("_r", F.row_number().over(w1)).filter(F.col("_r") == k)
-                          .select("i", F.sqrt("d2").alias("r")))
-        radius = got if radius is None else radius.unionByName(got)
-        if ring > max_cell:
-            break
-        todo = todo.join(got, todo["key"] == got["i"], "left_anti")
-        if todo.isEmpty():
-            break
-        ring *= 16
-    q2 = pts.join(radius, pts["key"] == radius["i"], "left").drop("i")
-    r = F.coalesce(F.col("r"), F.lit(float("inf")))       # only if fewer than k+1 points exist
-    lo_cell = F.greatest(F.lit(0), F.floor((F.col("_p") - r - F.lit(lo)) / F.lit(width)).cast("long"))
-    hi_cell = F.least(F.lit(max_cell), F.floor((F.col("_p") + r - F.lit(lo)) / F.lit(width)).cast("long"))
-    lo_cell = F.when(F.col("r").isNull(), F.lit(0)).otherwise(lo_cell)
-    hi_cell = F.when(F.col("r").isNull(), F.lit(max_cell)).otherwise(hi_cell)
-    q2 = q2.withColumn("_qcell", F.explode(F.sequence(lo_cell.cast("long"), hi_cell.cast("long")))) \
-        .withColumn("_rr", r).alias("q")
-    c2 = q2.join(data, (F.col("q._qcell") == F.col("d._cell")) & (F.col("q.key") != F.col("d.key"))
-                 & (F.abs(F.col("q._p") - F.col("d._p")) <= F.col("q._rr"))) \
-        .select(F.col("q.key").alias("i"), _sqdist(cols, "q", "d").alias("d2"), F.col("d.key").alias("j"))
-    w2 = Window.partitionBy("i").orderBy("d2", "j")
-    return c2.withColumn("nn_rank", F.row_number().over(w2) - 1).filter(F.col("nn_rank") < k) \
-        .select("i", "nn_rank", "j", "d2")
-
-
 def _smallest_keys(pts: DataFrame, n: int, key: str = "key", salt_buckets: int = 1024) -> DataFrame:
     """The ``n`` smallest keys of every distinct vector ``vec`` (rank 0..n-1), in two
     levels so that a vector with a huge number of copies is never sorted in one task:
@@ -149,12 +84,12 @@ def minority_neighbours(minority: DataFrame, cols, k: int = 5, key: str = KEY) -
     Identical rows are collapsed to distinct vectors first.  A row's copies are its
     neighbours at distance 0 (the k+1 smallest keys of its vector give them, two-level,
     without sorting a hot vector in one task); rows with fewer than k copies take the rest
-    from the k nearest distinct vectors (band search on distinct vectors only), each
+    from the k nearest distinct vectors (k-d cells of distinct vectors only), each
     expanded to its smallest keys.  Every row sees at most k + k·(k+1) candidates.
     Returns (i, nn_rank 0..k-1, j, d2).
     """
     cols = list(cols)
-    pts = minority.select(F.col(key).alias("key"), *cols).withColumn("vec", F.struct(*cols))
+    pts = cut_lineage(minority.select(F.col(key).alias("key"), *cols)).withColumn("vec", F.struct(*cols))
     vecs = pts.groupBy("vec").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("vkey"))
     small = _smallest_keys(pts, k + 1)
     # own copies at distance 0
@@ -162,9 +97,8 @@ def minority_neighbours(minority: DataFrame, cols, k: int = 5, key: str = KEY) -
         .select(F.col("key").alias("i"), F.lit(0.0).alias("d2"), F.col("member").alias("j"))
     # k nearest distinct vectors, for vectors whose copies cannot fill k neighbours
     short = vecs.filter(F.col("copies") - 1 < k)
-    vpts = short.select(F.col("vkey").alias(key), *[F.col(f"vec.{c}").alias(c) for c in cols])
-    allv = vecs.select(F.col("vkey").alias(key), *[F.col(f"vec.{c}").alias(c) for c in cols])
-    vn = _band_neighbours(allv, cols, k, key).join(vpts.select(F.col(key).alias("i")), "i", "left_semi")
+    vn = nearest(vecs.select(F.col("vkey").alias(key), *[F.col(f"vec.{c}").alias(c) for c in cols], (F.col("copies") - 1 < k).alias("_ask")),
+                 cols, k, key, "_ask")
     vmap = vecs.select("vec", "vkey")
     need = pts.join(vmap, "vec").join(short.select("vkey"), "vkey", "left_semi") \
         .select("key", F.col("vkey").alias("vi"))

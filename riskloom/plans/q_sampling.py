@@ -8,7 +8,7 @@ from ..operators import prepare as P
 from ..operators import quality as Q
 from ..operators import sampling as SA
 from ..operators import stats as S
-from ..schema import SCALE_COLS
+from ..schema import FEATURE_COLS, SCALE_COLS
 from .inputs import feat, tx
 from .oracle_base import quota_ctes, with_split, with_tx
 from .registry import register
@@ -155,13 +155,41 @@ def q_no_positive(spark, sf):                             # C15 (+ B20 normal ro
     return Q.no_positive_in_normal(prepared(spark, sf).train_normal())
 
 
-@register("smote")
-def q_smote(spark, sf):                                   # G3 (property-tested; rows-only check)
+def _u(salt):
+    """The md5 uniform of a synthetic row's number, as ``uniform_of`` draws it."""
+    return f"CAST(('0x' || substr(md5(CAST(g AS VARCHAR) || ':42{salt}'), 1, 8)) AS BIGINT) / 4294967296.0"
+
+
+_D2 = " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in FEATURE_COLS)
+#: SMOTE with brute-force neighbours: real and synthetic train rows
+_SMOTED = f"""
+minority AS MATERIALIZED (SELECT * FROM scaled WHERE split = 'train' AND isFraud = 1),
+pairs AS (SELECT a.txn_id AS i, b.txn_id AS j, {_D2} AS d2 FROM minority a JOIN minority b ON a.txn_id <> b.txn_id),
+near AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d2, j) - 1 AS nn_rank FROM pairs),
+numbered AS (SELECT txn_id AS i, row_number() OVER (ORDER BY md5(CAST(txn_id AS VARCHAR) || ':42'), txn_id) - 1 AS idx FROM minority),
+sizes AS (SELECT sum(isFraud) AS n_min, sum(1 - isFraud) AS n_maj FROM scaled WHERE split = 'train'),
+gen AS (SELECT g, CAST(floor({_u("base")} * n_min) AS BIGINT) AS idx, CAST(floor({_u("nn")} * 5) AS BIGINT) AS nn_rank, {_u("gap")} AS u
+        FROM (SELECT n_min, unnest(range(greatest(CAST(trunc(CAST(0.1 AS DOUBLE) * n_maj - n_min) AS BIGINT), 0))) AS g FROM sizes)),
+smoted AS (
+  SELECT txn_id, isFraud, 0 AS is_synthetic, {", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in FEATURE_COLS)} FROM scaled WHERE split = 'train'
+  UNION ALL
+  SELECT -(g + 1) AS txn_id, 1 AS isFraud, 1 AS is_synthetic, {", ".join(f"a.{c} + u * (b.{c} - a.{c}) AS {c}" for c in FEATURE_COLS)}
+  FROM gen JOIN numbered USING (idx) JOIN near USING (i, nn_rank) JOIN minority a ON a.txn_id = i JOIN minority b ON b.txn_id = j)
+"""
+
+
+@register("smote", with_split(
+    "SELECT txn_id, isFraud, is_synthetic, " + ", ".join(f"round({c}, 6) + CAST(0 AS DOUBLE) AS {c}" for c in FEATURE_COLS) + " FROM smoted", _SMOTED))
+def q_smote(spark, sf):                                   # G3
     p = prepared(spark, sf)
-    return p.train_smote().select("txn_id", "isFraud", "is_synthetic", *p.feature_cols)
+    return p.train_smote().select("txn_id", "isFraud", "is_synthetic", *[F.round(c, 6).alias(c) for c in p.feature_cols])
 
 
-@register("smote_quality")
+@register("smote_quality", with_split(
+    """SELECT round(r, 6) + CAST(0 AS DOUBLE) AS mean_real, round(s, 6) + CAST(0 AS DOUBLE) AS mean_synthetic, CAST(n AS BIGINT) AS n_synthetic,
+       round(abs(r - s), 6) AS abs_diff, abs(r - s) < 1 AS ok
+FROM (SELECT avg(log_amount) FILTER (is_synthetic = 0) AS r, avg(log_amount) FILTER (is_synthetic = 1) AS s,
+             count(*) FILTER (is_synthetic = 1) AS n FROM smoted WHERE isFraud = 1)""", _SMOTED))
 def q_smote_quality(spark, sf):                           # C14
     return Q.smote_quality(prepared(spark, sf).train_smote())
 
