@@ -4,7 +4,7 @@ Every byte goes that lies in a ``length``-byte string which also starts in a doc
 
 1. Texts that repeat an earlier document's whole text are known by their SHA-256; they lose every byte (if ``length`` long)
    and take no further part.
-2. Documents are hashed to shards.  Each ``length``-byte window has one sampled suffix: the one that starts with its leftmost least
+2. Documents are hashed to shards, by id and text (many texts of one id, or without an id, part too).  Each ``length``-byte window has one sampled suffix: the one that starts with its leftmost least
    16-gram hash, so equal windows have equal samples wherever they stand.  Shards' sorted samples meet by hash range;
    those found in two documents go back, and each shard finds its own among them by binary search.
 3. Only the windows of such samples can repeat.  Their text (one context per run of windows that share a sample) goes to
@@ -477,7 +477,7 @@ def _run(docs: DataFrame, length: int, shards: int | None, ranges: int | None):
         shards = max(8, -(-size // SHARD_BYTES))
         ranges = max(8, -(-size // RANGE_BYTES))
     sampled, shared, sent, answered, report, spans = _tasks(length, ranges or shards)
-    rows = rows.withColumns({"shard": F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(shards)).cast("int"), "th": F.xxhash64("text")})
+    rows = rows.withColumns({"shard": F.pmod(F.xxhash64(F.lit(11), "id", "text"), F.lit(shards)).cast("int"), "th": F.xxhash64("text")})
     keys = rows.select("shard", "id", "th", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("n")).filter(F.col("n") >= length)
     first = keys.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
     copies = keys.join(first, "sha").filter("id > first").select(        # new names for Spark: it is co-grouped with its source

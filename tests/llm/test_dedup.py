@@ -57,6 +57,17 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, hot, shards, ranges
     assert got == brute_suffixes(rows)
 
 
+def test_suffix_dedup_one_id_on_many_texts(spark):
+    """A third of the rows have no id and a third one id: they part over shards, and never remove each other's bytes."""
+    rnd = random.Random(5)
+    lore = "".join(rnd.choice("abcdefgh") for _ in range(2000))
+    rows = [((None, 4, k)[k % 3], lore[(a := rnd.randrange(1500)):a + rnd.randrange(300)] + str(k)) for k in range(90)]
+    df = docs(spark, rows)
+    assert sorted([tuple(r) for r in suffixes.dedup_report(df, shards=9, ranges=5).collect()], key=str) == brute_suffixes(rows)
+    by_shard = suffixes._run(df, 50, 9, 5)[0].applyInArrow(lambda t: t.slice(0, 1).select(["shard"]), "shard int")
+    assert by_shard.count() > 5
+
+
 def test_suffix_spans_and_empty_table(spark):
     assert suffixes.dedup_report(docs(spark, [])).count() == 0
     text = "0123456789" * 3 + "abcdefghijklmnopqrstuvwxyz"
