@@ -5,7 +5,7 @@ Only document labels train the weights (hashed words, full-batch Adagrad with an
 no harmless word hides a toxic one), on a bounded sample of labelled rows; the fitted p_s then point to the offending sentences.
 
 Edge cases: null and empty texts have no sentence and score 0; a repeated label row counts once, as toxic if
-any is; null labels and null ids don't train; without a label of each kind every score is the label mean (0 if none).
+any is; a repeated doc_id trains once, with its smallest text; null labels and null ids don't train; without a label of each kind every score is the label mean (0 if none).
 """
 
 from __future__ import annotations
@@ -94,6 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
         cut = F.when(F.col("toxic") == c, F.lit(f"{int(min(1.0, per_class / n) * 0xFFFFFFFF):08x}")).otherwise(cut)
     chosen = lab.filter(key <= cut)                    # about per_class rows a label, so its broadcast is bounded
     rows = only(docs, doc_id="bigint", text="string").filter(F.length("text") <= MAX_TRAIN_CHARS).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))     # a row an id: bounded
     out = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("buckets", pa.list_(pa.int32())), ("sents", pa.list_(pa.int32()))])
 
     def words(batches):
