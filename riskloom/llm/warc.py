@@ -3,7 +3,8 @@
 The writer makes one gzip member per record and joins members to archives of bounded size.  Records with equal
 payloads share one ``response`` (the largest page_id); the others are ``revisit`` records that refer to it.  The reader
 checks every member (gzip CRC), record (lengths, block digest) in turn; where a check fails it searches for the next member
-or version line that reads well, goes on there, and logs the bytes in between as a quarantined gap.
+or version line that reads well, goes on there, and logs the bytes in between as a quarantined gap.  Sound records beside
+a bad one in a member, or before a member's damage, are kept.
 
 Archives are rows (archive, data) of a Parquet folder, so that any store Spark can write holds them; archives that are files
 are read with Spark's ``binaryFile`` source.
@@ -28,6 +29,7 @@ from ..session import ensure_checkpoint_dir
 from .common import only
 
 ARCHIVE_BYTES = 4 << 20
+STEP = 1 << 12             # compressed bytes read at a time
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -90,65 +92,88 @@ def parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
     return fields, block, end
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """(content, end) of the gzip member at ``at``."""
-    if not data.startswith(MAGIC, at):
-        raise Bad("no member")
-    z = zlib.decompressobj(31)
-    try:
-        out = z.decompress(memoryview(data)[at:])
-    except zlib.error as e:
-        raise Bad("bad member") from e
-    if not z.eof:
-        raise Bad("unfinished member")
-    return out, len(data) - len(z.unused_data)
+def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """(content, end, failed check) of the gzip member at ``at``; of a damaged one, the content before the damage."""
+    z, out, k = zlib.decompressobj(31), [], at
+    while k < len(data) and not z.eof:
+        try:
+            out.append(z.decompress(data[k:k + STEP]))
+        except zlib.error:
+            return b"".join(out), k, "bad member"
+        k += STEP
+    content = b"".join(out)
+    return (content, min(k, len(data)) - len(z.unused_data), None) if z.eof else (content, len(data), "unfinished member")
 
 
-def _all_records(data: bytes) -> list:
-    got, at = [], 0
+def _records(data: bytes):
+    """Yield ("record", offset, fields, block) and ("gap", start, stop, reason) over uncompressed records."""
+    at = 0
     while at < len(data):
-        fields, block, at = parse(data, at)
-        got.append((fields, block))
-    return got
+        try:
+            fields, block, end = parse(data, at)
+            yield "record", at, fields, block
+        except Bad as e:
+            end = at + 1
+            while end < len(data):                     # the next version line of a record that reads well
+                end = data.find(VERSION, end)
+                end = len(data) if end < 0 else end
+                try:
+                    parse(data, end)
+                    break
+                except Bad:
+                    end += 1
+            end = min(end, len(data))
+            yield "gap", at, end, str(e)
+        at = end
 
 
 def salvage(data: bytes):
-    """Yield ("record", offset, fields, block) and ("gap", start, stop, reason) over a whole archive."""
+    """Yield ("record", offset, fields, block) and ("gap", start, stop, reason) over a whole archive.
+
+    Offsets are the archive's; a member's records have the member's.  A record that fails inside a sound member is a gap of that
+    member, with its place in the content as the reason, and the member's other records stay.  Of a damaged member, records
+    before the damage stay if their block digest holds, and the member is a gap.
+    """
     at, n = 0, len(data)
     while at < n:
-        gz = data.startswith(MAGIC, at)
-        try:
-            if gz:
-                content, end = _member(data, at)
-                found = _all_records(content)
-            else:
+        if data.startswith(MAGIC, at):
+            content, end, failed = _member(data, at)
+            for kind, a, x, y in _records(content):
+                if kind == "record" and (failed is None or "WARC-Block-Digest" in x):
+                    yield "record", at, x, y
+                elif kind == "gap" and failed is None:
+                    yield "gap", at, end, f"{y} in bytes {a}-{x} of the member"
+        else:
+            try:
                 fields, block, end = parse(data, at)
-                found = [(fields, block)]
-        except Bad as e:
-            start, reason = at, str(e)
-            at = _resume(data, at + 1)
-            yield "gap", start, at, reason
-            continue
-        for fields, block in found:
-            yield "record", at, fields, block
+                failed = None
+                yield "record", at, fields, block
+            except Bad as e:
+                failed = str(e)
+        if failed is not None:
+            end = _resume(data, at + 1)
+            yield "gap", at, end, failed
         at = end
 
 
 def _resume(data: bytes, at: int) -> int:
-    """The next offset at which a member with records, or a record, reads well (else the end)."""
+    """The next offset at which a sound member with a record, or a record, reads well (else the end)."""
     while True:
         ends = [k for k in (data.find(MAGIC, at), data.find(VERSION, at)) if k >= 0]
         if not ends:
             return len(data)
         k = min(ends)
-        try:
-            if data.startswith(MAGIC, k):
-                _all_records(_member(data, k)[0])
-            else:
+        if data.startswith(MAGIC, k):
+            content, _, failed = _member(data, k)
+            if failed is None and any(e[0] == "record" for e in _records(content)):
+                return k
+        else:
+            try:
                 parse(data, k)
-            return k
-        except Bad:
-            at = k + 1
+                return k
+            except Bad:
+                pass
+        at = k + 1
 
 
 # ---------------------------------------------------------------- Spark

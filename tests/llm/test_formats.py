@@ -44,6 +44,26 @@ def test_salvage_recovers_later_records(packed):
     assert list(warc.salvage(b"")) == []
 
 
+def ids(found):
+    return [warc.page_of(x[2]["WARC-Record-ID"]) for x in found if x[0] == "record"]
+
+
+def test_salvage_inside_a_member():
+    """Several records in one member: a bad one goes alone, and damage to the member spares the records before it."""
+    whole = [warc.record(k, "u", random.Random(k).randbytes(9_000)) for k in range(6)]
+    hurt = [*whole[:2], whole[2].replace(b"sha1:", b"sha1:X", 2), b"stray", *whole[3:]]
+    member, after = gzip.compress(b"".join(hurt), mtime=0), gzip.compress(warc.record(9, "u", b"x"), mtime=0)
+    found = list(warc.salvage(member + after))
+    assert ids(found) == [0, 1, 3, 4, 5, 9]
+    size = sum(map(len, whole[:2]))
+    assert [x[1:] for x in found if x[0] == "gap"] == [(0, len(member), f"bad block digest in bytes {size}-{size + len(hurt[2]) + 5} of the member")]
+    member = bytearray(gzip.compress(b"".join(whole), mtime=0))
+    for data, gap in ((bytes(member[:-20]) + after, len(member) - 20), (bytes(member[:30_000]), 30_000)):
+        found = list(warc.salvage(data))
+        assert ids(found)[:3] == [0, 1, 2] and (len(data) <= 30_000 or ids(found)[-1] == 9)
+        assert [x[1:3] for x in found if x[0] == "gap"] == [(0, gap)]
+
+
 def test_read_reports_gaps(spark):
     good = gzip.compress(warc.record(1, "u", b"x"), mtime=0)
     df = spark.createDataFrame([("a", bytearray(b"junk" + good)), ("b", None)], "archive string, data binary")
