@@ -34,8 +34,8 @@ def simhash_near_dedup(spark, docs, sf_dir):
 
 
 def substring_dedup(spark, docs, sf_dir):
-    """Repeated lines and sentences go from the texts; n_chars follows. A document left without text stays, empty."""
-    got = substrings.dedup(docs)
+    """Repeated lines, sentences and passages go from the texts; n_chars follows. A document left without text stays, empty."""
+    got = substrings.dedup(docs, part_words=substrings.RUN_WORDS)
     return got.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 

@@ -65,11 +65,11 @@ def is_space(b: np.ndarray) -> np.ndarray:
     return (b == 32) | ((b >= 9) & (b <= 13))
 
 
-def word_layout(data: np.ndarray, offsets: np.ndarray):
+def word_layout(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None = None):
     """Single-spaced, A-Z lower-cased bytes of a piece with its words ``[^\\x20\\x09-\\x0D]+``.
 
     Returns (bytes, word starts, word ends, first word of each row, original starts, original ends);
-    words never cross rows.
+    words never cross rows, nor the byte positions ``breaks``.
     """
     n = len(offsets) - 1
     body = np.concatenate([data, np.full(1, 32, np.uint8)])
@@ -77,6 +77,8 @@ def word_layout(data: np.ndarray, offsets: np.ndarray):
     space = is_space(body)
     first = np.zeros(len(body), bool)                     # rows begin here
     first[offsets[:-1][offsets[:-1] < len(body)]] = True
+    if breaks is not None:
+        first[breaks] = True
     begins = np.flatnonzero(~space & (first | np.concatenate([[True], space[:-1]])))
     ends = np.flatnonzero(~space & np.concatenate([space[1:] | first[1:], [True]])) + 1
     lengths = ends - begins

@@ -59,7 +59,7 @@ def op8_toxicity(spark, sf_dir):
 
 
 def op9_substring_dedup(spark, sf_dir):
-    return substrings.report(_table(spark, sf_dir, "documents"))
+    return substrings.report(_table(spark, sf_dir, "documents"), part_words=substrings.RUN_WORDS)
 
 
 def op10_ann(spark, sf_dir):

@@ -1,9 +1,15 @@
-"""Substring dedup by line hashing: units are lines, the sentences inside them, and the parts of a sentence that begin with
-a capital (so that a passage set into another sentence is met from its first word on).
+"""Substring dedup by line hashing: units are lines, the sentences inside them, the parts of a sentence that begin with
+a capital, and runs of at least ``RUN_WORDS`` words between content-defined cuts.
 
-A unit's words (A-Z lower-cased, single-spaced) are digested to 128 bits.  Per digest the earliest
-occurrence, ranked by (doc_id, offset), stays; every other one is removed.  Removed spans keep their byte
-offsets in the original text.  Units under ``min_words`` words or ``min_bytes`` bytes are never removed.
+The cuts of a document are the words after a sentence end, the words that begin with a capital (both of any script), and the
+words whose hash with the next one is the only least one within ``REACH`` words.  They depend on the words nearby alone, so a
+passage has the same cuts wherever it is set, whatever its case or script and however its lines are wrapped: it goes from its first
+cut to its last, short sentences included.  From each cut the shortest run onward is a unit, and to each sentence end the shortest before it.
+
+A unit's words (A-Z lower-cased, single-spaced; a character of a script without spaces is a word) are digested to 128 bits.  Per
+digest the earliest occurrence, ranked by (doc_id, offset), stays; every other one is removed.  Removed spans keep their byte
+offsets in the original text.  Lines and sentences under ``min_words`` words, parts under ``part_words`` words and units under
+``min_bytes`` bytes are never removed.
 
 Edge cases: null text stays null, empty text empty; a null doc_id ranks last; rows that repeat both
 doc_id and text are one document (each gets the same spans); extra columns pass through ``dedup`` unread.
@@ -11,6 +17,7 @@ doc_id and text are one document (each gets the same spans); extra columns pass
 
 from __future__ import annotations
 
+import functools
 import hashlib
 
 import numpy as np
@@ -19,19 +26,105 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, text_buffers, text_pieces, word_layout, xxh64
+from .common import mix64, only, text_buffers, text_pieces, word_layout, words64, xxh64
 
 MIN_WORDS = 5
 MIN_BYTES = 30
+RUN_WORDS = 20            # words of a run, and of a part in the registered queries
+REACH = 4                 # words on either side that a cut's hash undercuts
 _LAST = (1 << 63) - 1
 
+#: sentence ends besides . ! ? (last bytes of a word)
+_ENDS = [c.encode() for c in "\u061f\u06d4\u0589\u0964\u0965\u1362\u1367\u203c\u2047\u2048\u2049\u3002\uff01\uff0e\uff1f\uff61\u104b\u17d4"]
+#: scripts without spaces: (first, last) lead bytes with the byte behind
+_SOLID = [(0xE0B8, 0xE0BB), (0xE180, 0xE182), (0xE19E, 0xE19F), (0xE380, 0xE9BF), (0xEFBC, 0xEFBD), (0xEFA4, 0xEFAB), (0xF0A0, 0xF0B3)]
+
+
+@functools.cache
+def _capitals() -> np.ndarray:
+    return np.array([chr(c).isupper() or chr(c).istitle() for c in range(0x1F000)])
+
+
+def _at(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Bytes at positions; 0 outside."""
+    ok = (at >= 0) & (at < len(data))
+    return np.where(ok, data[np.where(ok, at, 0)], 0).astype(np.int64)
+
+
+def _solid(data: np.ndarray) -> np.ndarray:
+    """Positions before and behind each character of a script without spaces."""
+    lead = np.flatnonzero(data >= 0xE0)
+    two = (data[lead].astype(np.int64) << 8) | _at(data, lead + 1)
+    on = np.zeros(len(lead), bool)
+    for lo, hi in _SOLID:
+        on |= (two >= lo) & (two <= hi)
+    lead = lead[on]
+    return np.unique(np.concatenate([lead, lead + np.where(data[lead] >= 0xF0, 4, 3)]))
+
+
+def _closes(data: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    last = data[stops - 1]
+    out = (last == 46) | (last == 33) | (last == 63)          # . ! ?
+    far = np.flatnonzero(last >= 0x80)
+    tail = [_at(data, stops[far] - k) for k in (1, 2, 3)]
+    for c in _ENDS:
+        hit = stops[far] - begins[far] >= len(c)
+        for k, b in enumerate(reversed(c)):
+            hit &= tail[k] == b
+        out[far[hit]] = True
+    return out
+
+
+def _capital(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    b = data[begins]
+    out = (b >= 65) & (b <= 90)
+    far = np.flatnonzero(b >= 0xC0)
+    a, x, y, z = (_at(data, begins[far] + k) for k in range(4))
+    code = np.where(a < 0xE0, (a & 31) << 6 | x & 63, np.where(a < 0xF0, (a & 15) << 12 | (x & 63) << 6 | y & 63, (a & 7) << 18 | (x & 63) << 12 | (y & 63) << 6 | z & 63))
+    out[far] = _capitals()[np.minimum(code, 0x1EFFF)]
+    return out
+
+
+def _least(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, head: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Words whose hash with the next word is the only least one within ``REACH`` words of their row."""
+    size = (ends - starts).astype(np.uint64)
+    word = words64(body)[starts]
+    short = size < 8
+    word[short] &= (np.uint64(1) << (size[short] * np.uint64(8))) - np.uint64(1)
+    tail = words64(body)[np.maximum(ends - 8, starts)]
+    tail[short] = 0
+    h = mix64(word ^ mix64(tail + size))
+    g = h.copy()
+    with np.errstate(over="ignore"):
+        g[:-1] = mix64(h[:-1] * np.uint64(3) + np.where(head[1:], np.uint64(0), h[1:]))
+    out = np.ones(len(g), bool)
+    for d in range(1, REACH + 1):
+        same = row[d:] == row[:-d]
+        out[:-d] &= ~same | (g[:-d] < g[d:])
+        out[d:] &= ~same | (g[d:] < g[:-d])
+    return out
 
-def unit_spans(data: np.ndarray, offsets: np.ndarray, min_words: int, min_bytes: int):
+
+def _runs(cut: np.ndarray, e: np.ndarray, row_first: np.ndarray, row: np.ndarray, least: int):
+    """(first, last + 1) of the shortest runs of ``least`` words or more from each cut onward, and from a cut to before each word of ``e``."""
+    n = len(cut)
+    edge = np.concatenate([np.flatnonzero(cut), [n]])
+    low, high = row_first[:-1], row_first[1:]
+    a = edge[:-1]
+    to = np.searchsorted(edge, a + least)
+    b = edge[np.minimum(to, len(edge) - 1)]
+    on = (to < len(edge)) & (b <= high[row[a]])
+    s = edge[np.maximum(np.searchsorted(edge, e - least, side="right") - 1, 0)]
+    ok = (e - s >= least) & (s >= low[row[e - 1]])
+    return np.concatenate([a[on], s[ok]]), np.concatenate([b[on], e[ok]])
+
+
+def unit_spans(data: np.ndarray, offsets: np.ndarray, min_words: int, min_bytes: int, part_words: int = MIN_WORDS, run_words: int = RUN_WORDS):
     """(row, start, stop, digest high, digest low) of the units of a piece.
 
     ``stop`` reaches to the next word, so that the white space behind a unit goes with it.
     """
-    body, starts, ends, row_first, begins, stops = word_layout(data, offsets)
+    body, starts, ends, row_first, begins, stops = word_layout(data, offsets, _solid(data))
     n = len(begins)
     if n == 0:
         z = np.zeros(0, np.int64)
@@ -41,26 +134,30 @@ def unit_spans(data: np.ndarray, offsets: np.ndarray, min_words: int, min_bytes:
     head = np.concatenate([[True], row[1:] != row[:-1]])
     line = head.copy()
     line[1:] |= newline[begins[1:]] > newline[stops[:-1]]
-    last = data[stops - 1]
-    closes = (last == 46) | (last == 33) | (last == 63)          # . ! ?
-    sentence = line.copy()
-    sentence[1:] |= closes[:-1]
-    part = sentence | ((data[begins] >= 65) & (data[begins] <= 90))
+    stop = head.copy()
+    stop[1:] |= _closes(data, begins, stops)[:-1]
+    sentence = line | stop
+    capital = _capital(data, begins)
     after = np.concatenate([np.where(head[1:], offsets[1:][row[:-1]], begins[1:]), offsets[-1:]])
     spans = []
-    for new in (line, sentence, part):
+    for new, least in ((line, min_words), (sentence, min_words), (sentence | capital, part_words)):
         first = np.flatnonzero(new)
-        spans.append(first * (n + 1) + np.concatenate([first[1:], [n]]) - 1)
+        last = np.concatenate([first[1:], [n]]) - 1
+        on = last - first + 1 >= least
+        spans.append(first[on] * (n + 1) + last[on])
+    behind = np.flatnonzero(np.concatenate([stop[1:], [True]])) + 1
+    first, behind = _runs(stop | capital | _least(body, starts, ends, head, row), behind, row_first, row, run_words)
+    spans.append(first * (n + 1) + behind - 1)
     span = np.unique(np.concatenate(spans))
     a, b = span // (n + 1), span % (n + 1)
-    on = (b - a + 1 >= min_words) & (ends[b] - starts[a] >= min_bytes)
+    on = ends[b] - starts[a] >= min_bytes
     a, b = a[on], b[on]
     hi, lo = xxh64(body, starts[a], ends[b], 42), xxh64(body, starts[a], ends[b], 0x5BD1E995)
     base = offsets[:-1][row[a]]
     return row[a], begins[a] - base, after[b] - base, hi.view(np.int64), lo.view(np.int64)
 
 
-def units(docs: DataFrame, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES) -> DataFrame:
+def units(docs: DataFrame, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES, part_words: int = MIN_WORDS) -> DataFrame:
     """One row per unit: (id, th, start, stop, hi, lo); (id, th) names the document, null ids last."""
     rows = only(docs, doc_id="bigint", text="string").filter("text is not null").select(
         F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("th"), "text")
@@ -70,16 +167,16 @@ def units(docs: DataFrame, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTE
         for batch in batches:
             ids, th = batch.column("id"), batch.column("th")
             for a, _b, data, offsets in text_pieces(batch.column("text")):
-                row, start, stop, hi, lo = unit_spans(data, offsets, min_words, min_bytes)
+                row, start, stop, hi, lo = unit_spans(data, offsets, min_words, min_bytes, part_words)
                 at = pa.array(row + a)
                 yield pa.record_batch([ids.take(at), th.take(at), pa.array(start), pa.array(stop), pa.array(hi), pa.array(lo)], schema=out)
 
     return rows.mapInArrow(cut, "id bigint, th bigint, start bigint, stop bigint, hi bigint, lo bigint")
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES, part_words: int = MIN_WORDS) -> DataFrame:
     """(id, th, spans): per document the units to remove, as (start, stop) byte offsets in order."""
-    u = units(docs, min_words, min_bytes)
+    u = units(docs, min_words, min_bytes, part_words)
     first = (u.groupBy("hi", "lo").agg(F.min(F.struct("id", "th", "start")).alias("f"), F.max(F.struct("id", "th", "start")).alias("l"))
              .filter("f <> l").select("hi", "lo", F.col("f.id").alias("f_id"), F.col("f.th").alias("f_th"), F.col("f.start").alias("f_start")))
     gone = u.join(first, ["hi", "lo"]).filter("not (id = f_id and th = f_th and start = f_start)")
@@ -95,8 +192,8 @@ def merge_spans(start: np.ndarray, stop: np.ndarray):
     return start[new], reach[np.concatenate([np.flatnonzero(new)[1:], [len(start)]]) - 1]
 
 
-def _with_spans(docs: DataFrame, min_words: int, min_bytes: int) -> DataFrame:
-    gone = repeated_spans(docs, min_words, min_bytes)
+def _with_spans(docs: DataFrame, min_words: int, min_bytes: int, part_words: int) -> DataFrame:
+    gone = repeated_spans(docs, min_words, min_bytes, part_words)
     keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)), "__th": F.xxhash64(F.col("text").cast("string"))})
     gone = gone.select(F.col("id").alias("__id"), F.col("th").alias("__th"), F.col("spans").alias("__spans"))
     return keyed.join(gone, ["__id", "__th"], "left")
@@ -118,9 +215,9 @@ def _remove(text: np.ndarray, offsets: np.ndarray, spans) -> list:
     return got
 
 
-def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES, part_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with repeated units removed from ``text`` (columns and rows as before)."""
-    joined = _with_spans(docs, min_words, min_bytes).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__spans"))
+    joined = _with_spans(docs, min_words, min_bytes, part_words).select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__spans"))
     at = docs.columns.index("text")
 
     def run(batches):
@@ -140,9 +237,9 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTE
     return joined.mapInArrow(run, docs.schema)
 
 
-def report(docs: DataFrame, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES) -> DataFrame:
+def report(docs: DataFrame, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES, part_words: int = MIN_WORDS) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans (maximal removed runs), spans, kept_sha256."""
-    joined = _with_spans(docs.select("doc_id", "text"), min_words, min_bytes)
+    joined = _with_spans(docs.select("doc_id", "text"), min_words, min_bytes, part_words)
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()),
                      ("kept_sha256", pa.string()), ("spans", pa.list_(span))])

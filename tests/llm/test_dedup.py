@@ -207,3 +207,51 @@ def test_line_dedup_equals_brute_force(spark):
 def test_line_dedup_empty_table(spark):
     assert substrings.report(docs(spark, [])).count() == 0
     assert substrings.dedup(docs(spark, [])).count() == 0
+
+
+def passage(letters, seed, n=60):
+    rnd = random.Random(seed)
+    return ["".join(rnd.choice(letters) for _ in range(rnd.randrange(3, 9))) for _ in range(n)]
+
+
+def hosted(middle, letters="abcdefghij", sep=" "):
+    """Two documents with ``middle`` set inside their only line, and what stands before and behind it in the second."""
+    a, b, c, d = (sep.join(passage(letters, k, 12)) for k in (91, 92, 93, 94))
+    return [(1, sep.join([a, middle, b])), (2, sep.join([c, middle, d]))], c, d
+
+
+@pytest.mark.parametrize("letters", ["klmnopqrst", "éèàùçôîêâû", "אבגדהוזחטי", "কখগঘঙচছজঝঞ"])
+def test_a_passage_inside_a_line_goes_in_any_script(spark, letters):
+    rows, before, behind = hosted(" ".join(passage(letters, 1)))
+    got = {r.doc_id: r.text for r in substrings.dedup(docs(spark, rows), part_words=substrings.RUN_WORDS).collect()}
+    assert got[1] == rows[0][1]
+    assert got[2].startswith(before) and got[2].endswith(behind)
+    assert len(got[2]) - len(before) - len(behind) < 0.5 * (len(rows[1][1]) - len(before) - len(behind))
+
+
+def test_a_passage_without_spaces_goes(spark):
+    rows, before, behind = hosted("。".join(passage("的一是不了人我在有他", 1, 12)) + "。", "这中大来上国个到说们", "")
+    got = {r.doc_id: r.text for r in substrings.dedup(docs(spark, rows), part_words=substrings.RUN_WORDS).collect()}
+    assert got[1] == rows[0][1] and got[2].startswith(before) and got[2].endswith(behind)
+    assert len(got[2]) - len(before) - len(behind) < 0.5 * (len(rows[1][1]) - len(before) - len(behind))
+
+
+@pytest.mark.parametrize("first", ["Klmn", "Éklm", "Źklm", "Жклм"])
+def test_a_passage_of_short_sentences_and_nouns_goes_whole(spark, first):
+    w = passage("klmnopqrst", 2, 45)
+    middle = " ".join([first, *(x.capitalize() if k % 3 == 0 else x + "." if k % 7 == 1 else x for k, x in enumerate(w)), "end."])
+    rows, before, behind = hosted(middle)
+    got = {r.doc_id: r.text for r in substrings.dedup(docs(spark, rows), part_words=substrings.RUN_WORDS).collect()}
+    assert got == {1: rows[0][1], 2: f"{before} {behind}"}
+
+
+def test_a_rewrapped_passage_goes(spark):
+    w = passage("klmnopqrst", 3)
+    rows = [(1, " ".join(["Begin", *w, "end."])), (2, "x\n" + "\n".join(" ".join((["Begin", *w, "end."])[k:k + 7]) for k in range(0, 62, 7)))]
+    got = {r.doc_id: r.text for r in substrings.dedup(docs(spark, rows), part_words=substrings.RUN_WORDS).collect()}
+    assert got == {1: rows[0][1], 2: "x\n"}
+
+
+def test_a_short_fragment_between_capitals_stays(spark):
+    rows = [(1, "Anna wrote However in the light of these matters Bert answered nothing at all"), (2, "Carl thought However in the light of these matters Dora went home again")]
+    assert {(r.doc_id, r.text) for r in substrings.dedup(docs(spark, rows), part_words=substrings.RUN_WORDS).collect()} == set(rows)
