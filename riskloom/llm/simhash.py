@@ -182,14 +182,9 @@ def shard_edges(fp: np.ndarray, own: np.ndarray, view: tuple[int, int], bits: in
     return star, lab[star]
 
 
-def near_groups(fps: DataFrame, max_bits: int = MAX_BITS, shard_points: int = SHARD_POINTS) -> DataFrame:
-    """(doc_id, fp, component_id) of ``fps(doc_id, fp)``: the component is its smallest doc_id.
-
-    All rows of one fingerprint share a node; links are found between nodes only.
-    """
-    spark = fps.sparkSession
-    fps = cut_lineage(fps)
-    nodes = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
+def linked_nodes(nodes: DataFrame, max_bits: int = MAX_BITS, shard_points: int = SHARD_POINTS) -> DataFrame:
+    """(node, component) of the distinct fingerprints ``nodes(fp)`` that have a link; both are fingerprints."""
+    spark = nodes.sparkSession
     n = nodes.count()
     shards = min(MAX_SHARDS, 1 << max(0, int(np.ceil(np.log2(max(1, n / shard_points))))))
     want = shards * SAMPLE_PER_SHARD
@@ -216,7 +211,17 @@ def near_groups(fps: DataFrame, max_bits: int = MAX_BITS, shard_points: int = SH
 
     routed = nodes.select("fp").mapInArrow(deal, "shard int, fp bigint, own boolean")
     found = routed.groupBy("shard").applyInArrow(link, "a bigint, b bigint")     # ends are fingerprints
-    comp = connected_components(found)
+    return connected_components(found)
+
+
+def near_groups(fps: DataFrame, max_bits: int = MAX_BITS, shard_points: int = SHARD_POINTS) -> DataFrame:
+    """(doc_id, fp, component_id) of ``fps(doc_id, fp)``: the component is its smallest doc_id.
+
+    All rows of one fingerprint share a node; links are found between nodes only.
+    """
+    fps = cut_lineage(fps)
+    nodes = cut_lineage(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    comp = linked_nodes(nodes, max_bits, shard_points)
     named = comp.join(nodes, comp["node"] == nodes["fp"]).select("fp", "component", nodes["node"].alias("low"))
     low = named.groupBy("component").agg(F.min("low").alias("low"))
     linked = named.select("fp", "component").join(low, "component").select("fp", F.col("low").alias("component_id"))
@@ -232,8 +237,31 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BIT
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, max_bits: int = MAX_BITS) -> DataFrame:
-    """One document of each group stays: the row whose doc_id is the group's smallest (of repeated rows with
-    that id, all).  Documents with a null doc_id stay."""
-    got = near_duplicates(docs.select("doc_id", "text"), width, max_bits)
-    gone = got.filter("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One row of each group stays: the least by (doc_id, hash of the text, hash of the row), whatever rows repeat its id.
+    Rows with a null doc_id are no copies of named ones; of those in a group one stays too."""
+    columns = docs.columns
+    text = F.col("text").cast("string")
+    whole = F.xxhash64(F.lit(1), *[F.col(f"`{c}`") for c in columns])
+    keyed = docs.withColumns({"__id": F.col("doc_id").cast("bigint"), "__th": F.xxhash64(text), "__rh": whole})
+    out = pa.schema([(c, pa.int64()) for c in ("id", "th", "rh", "fp")])
+
+    def compute(batches):
+        for batch in batches:
+            fp = np.zeros(batch.num_rows, np.uint64)
+            for a, b, data, offsets in text_pieces(batch.column("text")):
+                fp[a:b] = text_fingerprints(data, offsets, width)
+            yield pa.record_batch([*batch.columns[:3], pa.array(fp.view(np.int64))], schema=out)
+
+    rows = keyed.select(F.col("__id").alias("id"), F.col("__th").alias("th"), F.col("__rh").alias("rh"), text.alias("text"))
+    rows = rows.mapInArrow(compute, "id bigint, th bigint, rh bigint, fp bigint")
+    equal = cut_lineage(rows.groupBy("fp", "id", "th", "rh").agg(F.count("*").alias("n")))
+    least = cut_lineage(equal.groupBy("fp", F.isnull("id").alias("unnamed")).agg(F.min(F.struct("id", "th", "rh", "n")).alias("low")))
+    comp = linked_nodes(cut_lineage(least.select("fp").distinct()), max_bits).select(F.col("node").alias("fp"), "component")
+    least = least.join(comp, "fp", "left").groupBy(F.coalesce("component", "fp").alias("component"), "unnamed").agg(F.min("low").alias("low"))
+    stay = cut_lineage(least.select(F.col("component").alias("__component"), F.col("unnamed").alias("__unnamed"), F.coalesce("low.id", F.lit(0)).alias("__key"),
+                                    F.col("low.th").alias("__th"), F.col("low.rh").alias("__rh"), F.col("low.n").alias("__n")))
+    keyed = keyed.withColumns({"__unnamed": F.isnull("__id"), "__key": F.coalesce("__id", F.lit(0))})
+    named = ["__unnamed", "__key", "__th", "__rh"]
+    alone = keyed.join(stay.filter("__n = 1"), named).select(*[F.col(f"`{c}`") for c in columns])
+    again = keyed.join(stay.filter("__n > 1"), named).dropDuplicates(["__component", "__unnamed"]).select(*[F.col(f"`{c}`") for c in columns])
+    return alone.unionAll(again)

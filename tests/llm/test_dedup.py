@@ -143,6 +143,13 @@ def test_keep_one_keeps_rows_and_columns(spark):
     assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "3", "None"]
 
 
+def test_keep_one_with_repeated_and_null_ids(spark):
+    copy, other = "a b c d e f g h", "quite another text than that one"
+    df = docs(spark, [(1, copy), (2, copy), (2, other), (2, other), (4, "一 third"), (4, "一 third"), (4, "and a fourth row of this id"), (None, copy), (None, copy), (None, "unlike all of the others here")])
+    got = sorted((str(r.doc_id), r.text) for r in simhash.keep_one(df).collect())
+    assert got == sorted([("1", copy), ("2", other), ("4", "一 third"), ("4", "and a fourth row of this id"), ("None", copy), ("None", "unlike all of the others here")])
+
+
 def test_connected_components(spark):
     rnd = random.Random(5)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1040)] + [(None, 3), (7, 7)]
