@@ -4,9 +4,8 @@ Only DataFrame functions.  Token counts are aggregated to cells (source, languag
 is raked in turn to the target marginals of the three dimensions; a document is kept with probability
 ``min(1, budget * weight / tokens of its cell)``, decided by a hash of its id.
 
-The raked table is bounded: in each dimension the ``MAX_VALUES`` values with the most tokens have a
-target of their own and the rest share one (they keep all their documents), so no window holds more than
-(MAX_VALUES + 1)^2 x topics rows.
+Every value has its own target, and the cell table is raked at its full size: marginals are partially aggregated
+sums that go back to the cells by an equi-join, stored each round, and no window is used.
 
 Edge cases: null source or lang is the value ``(null)``; null or blank text has no tokens and probability 0;
 an empty table gives an empty result; rows that repeat a doc_id share its decision; a null id hashes as
@@ -15,17 +14,20 @@ an empty table gives an empty result; rows that repeat a doc_id share its decisi
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_checkpoint_dir
 
 ALPHA = 0.7               # default target of a value: its token share to this power, normalised
 BUDGET = 0.5              # expected tokens kept, as a share of all tokens
 ROUNDS = 8                # passes over the three marginals
 SEED = 42
-MAX_VALUES = 256          # values of a dimension with a target of their own
+MAX_VALUES = 256          # only in oracle()'s SQL, which pools values beyond it; equal up to so many values
 BROADCAST_CELLS = 200_000  # cells (about 100 bytes each) up to which the cell table is broadcast
+CELLS_PER_TASK = 50_000
 DIMS = ("source", "lang", "topic")
 
 #: topic -> substrings that mark it, first match wins (else ``prose``)
@@ -63,56 +65,70 @@ def cells_of(docs: DataFrame) -> DataFrame:
                        topic_of(text).alias("topic"), n_tokens(text).alias("n_tokens"))
 
 
-def _groups(cells: DataFrame, d: str, targets: dict) -> DataFrame:
-    """``cells`` with the target group ``g_<d>`` of each value: its own, or ``other``."""
-    if d in targets:
-        own = F.col(d).isin([str(v) for v in targets[d]])
-        return cells.withColumn(f"g_{d}", F.when(own, F.concat(F.lit("="), d)).otherwise(F.lit("other")))
-    top = cells.groupBy(d).agg(F.sum("n").alias("__n")).orderBy(F.desc("__n"), d).limit(MAX_VALUES)
-    named = F.broadcast(top.select(d, F.lit(True).alias("__top")))
-    return (cells.join(named, d, "left")
-            .withColumn(f"g_{d}", F.when(F.col("__top"), F.concat(F.lit("="), d)).otherwise(F.lit("other"))).drop("__top"))
+def _group(d: str, targets: dict) -> Column:
+    """The target group of a value: its own, or ``other`` if a given mapping doesn't name it (its weight is 0)."""
+    own = F.concat(F.lit("="), d)
+    return F.when(F.col(d).isin([str(v) for v in targets[d]]), own).otherwise(F.lit("other")) if d in targets else own
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the checkpoint folder and read back.  A checkpoint keeps the planner's size of a join, the product of
+    its sides', which over the rounds becomes a number of millions of digits; files have their real size."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/mixing-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _packed(cells: DataFrame) -> DataFrame:
+    """``cells``, stored in as many files as their number needs."""
+    cells = cut_lineage(cells)
+    return _stored(cells.coalesce(1 + cells.count() // CELLS_PER_TASK))
+
+
+def _marginal(out: DataFrame, d: str, value: str) -> DataFrame:
+    return out.groupBy(f"g_{d}").agg(F.sum(value).cast("double").alias("__m"))
 
 
 def rake(pooled: DataFrame, targets: dict | None = None, alpha: float = ALPHA, rounds: int = ROUNDS) -> DataFrame:
     """``pooled(g_source, g_lang, g_topic, n)`` with weights ``w`` that sum to 1 and fit the marginals.
 
     ``targets`` maps a dimension to {value: share}; a dimension without one gets its groups' token shares to the
-    power ``alpha``.  Values missing from a given mapping get weight 0.  The table is bounded (see above), so
-    the windows are.
+    power ``alpha``.  Values missing from a given mapping get weight 0.
     """
-    whole = Window.partitionBy()
-    out = pooled.withColumn("w", F.col("n").cast("double") / F.sum("n").over(whole))
+    pooled = _packed(pooled)
+    whole = float(pooled.agg(F.sum("n")).first()[0] or 1)
+    out = pooled.withColumn("w", F.col("n").cast("double") / F.lit(whole))
+    goals = {}
     for d in DIMS:
+        m = _marginal(pooled, d, "n")
         if d in (targets or {}):
             total = sum(float(v) for v in targets[d].values())
             goal = F.lit(0.0)
             for value, share in targets[d].items():
                 goal = F.when(F.col(f"g_{d}") == f"={value}", F.lit(float(share) / total)).otherwise(goal)
-            out = out.withColumn(f"t_{d}", goal)
+            goals[d] = _stored(m.select(f"g_{d}", goal.alias("__t")))
         else:
-            group = Window.partitionBy(f"g_{d}")
-            out = (out.withColumns({"__m": F.pow(F.sum("n").over(group).cast("double"), F.lit(alpha)), "__c": F.count("*").over(group)})
-                   .withColumn(f"t_{d}", F.col("__m") / F.sum(F.col("__m") / F.col("__c")).over(whole)).drop("__m", "__c"))
-    out = cut_lineage(out)
+            m = _stored(m.select(f"g_{d}", F.pow("__m", F.lit(alpha)).alias("__p")))
+            total = float(m.agg(F.sum("__p")).first()[0] or 1)
+            goals[d] = m.select(f"g_{d}", (F.col("__p") / F.lit(total)).alias("__t"))
     for _ in range(rounds):
         for d in DIMS:
-            marginal = F.sum("w").over(Window.partitionBy(f"g_{d}"))
-            out = out.withColumn("w", F.when(marginal > 0, F.col("w") * F.col(f"t_{d}") / marginal).otherwise(F.lit(0.0)))
-    return cut_lineage(out)
+            factor = _marginal(out, d, "w").join(goals[d], f"g_{d}").select(f"g_{d}", F.when(F.col("__m") > 0, F.col("__t") / F.col("__m")).otherwise(F.lit(0.0)).alias("__f"))
+            out = out.join(factor, f"g_{d}").select(*pooled.columns, (F.col("w") * F.col("__f")).alias("w"))
+        out = _stored(out)
+    return out
 
 
 def probabilities(docs: DataFrame, targets: dict | None = None, alpha: float = ALPHA, rounds: int = ROUNDS, budget: float = BUDGET) -> DataFrame:
     """(source, lang, topic, n, w, prob) per cell of ``docs`` that has tokens, checkpointed."""
-    cells = cut_lineage(cells_of(docs).groupBy(*DIMS).agg(F.sum("n_tokens").alias("n")).filter("n > 0"))
-    for d in DIMS:
-        cells = _groups(cells, d, targets or {})
-    cells = cut_lineage(cells)
+    cells = cells_of(docs).groupBy(*DIMS).agg(F.sum("n_tokens").alias("n")).filter("n > 0")
+    cells = _packed(cells.select("*", *[_group(d, targets or {}).alias(f"g_{d}") for d in DIMS]))
     keys = [f"g_{d}" for d in DIMS]
+    total = float(cells.agg(F.sum("n")).first()[0] or 0)
     raked = rake(cells.groupBy(*keys).agg(F.sum("n").alias("n")), targets, alpha, rounds)
-    rate = raked.select(*keys, (F.col("w") / F.col("n")).alias("rate"), F.sum("n").over(Window.partitionBy()).alias("total"))
-    return cut_lineage(cells.join(F.broadcast(rate), keys).select(
-        *DIMS, "n", (F.col("rate") * F.col("n")).alias("w"), F.least(F.lit(1.0), F.lit(budget) * F.col("total") * F.col("rate")).alias("prob")))
+    rate = raked.select(*keys, (F.col("w") / F.col("n")).alias("rate"))
+    return cut_lineage(cells.join(rate, keys).select(
+        *DIMS, "n", (F.col("rate") * F.col("n")).alias("w"), F.least(F.lit(1.0), F.lit(budget * total) * F.col("rate")).alias("prob")))
 
 
 def _with_cells(rows: DataFrame, cells: DataFrame) -> DataFrame:

@@ -133,6 +133,22 @@ def test_mixing_fits_given_targets(spark):
     assert sum(r.w for r in got if r.g_lang == "=de") == pytest.approx(0.5, abs=1e-6)
 
 
+def test_mixing_gives_every_source_its_own_target(spark):
+    words = {f"s{k:03}": 20 + k % 7 for k in range(300)}
+    d = docs(spark, [(2 * k + i, "w " * (n + 3 * i), lang, s) for k, (s, n) in enumerate(words.items()) for i, lang in enumerate(("de", "en"))])
+    n = np.array([[w, w + 3] for w in words.values()], float)
+    goals = [(m := n.sum(axis=a) ** mixing.ALPHA) / m.sum() for a in (1, 0)]
+    w = n / n.sum()
+    for _ in range(mixing.ROUNDS):
+        w *= (goals[0] / w.sum(axis=1))[:, None]
+        w *= goals[1] / w.sum(axis=0)
+    got = {(r.source, r.lang): r.prob for r in mixing.probabilities(d).collect()}
+    assert len(got) == 600
+    for k, s in enumerate(words):
+        for i, lang in enumerate(("de", "en")):
+            assert got[s, lang] == pytest.approx(min(1, mixing.BUDGET * n.sum() * w[k, i] / n[k, i]))
+
+
 def test_mixing_odd_rows(spark):
     d = docs(spark, [(1, None, "en", "a"), (2, "", None, None), (3, "x y z", None, "a"), (3, "x y z", None, "a"), (None, "q r", "en", None), (4, LONG, "en", "a")]).withColumn("prob", F.lit("p"))
     r = {x.doc_id: x for x in mixing.sampling_report(d).collect()}
