@@ -7,8 +7,8 @@ passage has the same cuts wherever it is set, whatever its case or script and ho
 cut to its last, short sentences included.  From each cut the shortest run onward is a unit, and to each sentence end the shortest before it.
 
 A unit's words (A-Z lower-cased, single-spaced; a character of a script without spaces is a word) are digested to 128 bits.  Per
-digest the earliest occurrence, ranked by (doc_id, offset), stays; every other one is removed.  Removed spans keep their byte
-offsets in the original text.  Lines and sentences under ``min_words`` words, parts under ``part_words`` words and units under
+digest the earliest occurrence, ranked by (doc_id, offset), stays; every other one is removed, but for what it shares with the earliest
+in the same text.  Removed spans keep their byte offsets in the original text.  Lines and sentences under ``min_words`` words, parts under ``part_words`` words and units under
 ``min_bytes`` bytes are never removed.
 
 Edge cases: null text stays null, empty text empty; a null doc_id ranks last; rows that repeat both
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,8 @@ MIN_WORDS = 5
 MIN_BYTES = 30
 RUN_WORDS = 20            # words of a run, and of a part in the registered queries
 REACH = 4                 # words on either side that a cut's hash undercuts
+PACK_UNITS = 400_000      # units whose first occurrences a task sorts out before it sends them
+RANGE_BYTES = 32_000_000  # text whose units make a range of digests
 _LAST = (1 << 63) - 1
 
 #: sentence ends besides . ! ? (last bytes of a word)
@@ -157,30 +160,108 @@ def unit_spans(data: np.ndarray, offsets: np.ndarray, min_words: int, min_bytes:
     return row[a], begins[a] - base, after[b] - base, hi.view(np.int64), lo.view(np.int64)
 
 
-def units(docs: DataFrame, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES, part_words: int = MIN_WORDS) -> DataFrame:
-    """One row per unit: (id, th, start, stop, hi, lo); (id, th) names the document, null ids last."""
+_DOC = ["id", "th"]
+
+
+def _written(**columns) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.table(columns)
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _read(blob) -> dict[str, np.ndarray]:
+    t = pa.ipc.open_stream(blob).read_all()
+    return {c: t.column(c).to_numpy() for c in t.column_names}
+
+
+def _later(order: np.ndarray, hi, lo, ids, th, start, stop):
+    """Of the occurrences in ``order`` (by digest, then rank): which are their digest's first, and the places, starts and stops
+    to remove of the others.  The part of one that overlaps the first in its own document stays."""
+    same = np.zeros(len(order), bool)
+    same[1:] = (hi[order[1:]] == hi[order[:-1]]) & (lo[order[1:]] == lo[order[:-1]])
+    head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+    own = (ids[order] == ids[head]) & (th[order] == th[head])
+    a = np.where(own, np.maximum(start[order], stop[head]), start[order])
+    on = same & (a < stop[order]) & ~(own & (start[order] == start[head]))          # a repeated row's copy is the first itself
+    return order[~same], order[on], a[on], stop[order[on]]
+
+
+def _by_document(ids, th, start, stop):
+    """(id, th, packed spans) of each document that loses some."""
+    order = np.lexsort((start, th, ids))
+    ids, th = ids[order], th[order]
+    spans = np.stack([start[order], stop[order]], axis=1).astype("<i4")
+    edge = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (th[1:] != th[:-1])])) if len(ids) else np.zeros(0, np.int64)
+    ends = np.append(edge[1:], len(ids))[:len(edge)]
+    return ids[edge], th[edge], [spans[x:y].tobytes() for x, y in zip(edge, ends, strict=True)]
+
+
+def _packs(docs: DataFrame, ranges: int, min_words: int, min_bytes: int, part_words: int) -> DataFrame:
+    """(range, blob): each pack of documents' first occurrences, one blob a range of digests; and what a pack's later ones remove."""
     rows = only(docs, doc_id="bigint", text="string").filter("text is not null").select(
         F.coalesce("doc_id", F.lit(_LAST)).alias("id"), F.xxhash64("text").alias("th"), "text")
-    out = pa.schema([(c, pa.int64()) for c in ("id", "th", "start", "stop", "hi", "lo")])
+    out = pa.schema([("range", pa.int64()), ("blob", pa.binary())])
+
+    def pack(held):
+        ids, th, start, stop, hi, lo = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.lexsort((start, th, ids, lo, hi))
+        first, gone, a, b = _later(order, hi, lo, ids, th, start, stop)
+        place = (hi[first] >> 32) + (1 << 31)                                        # order of hi, as unsigned 32 bits
+        edge = np.searchsorted(place, -(-np.arange(ranges + 1) * (1 << 32) // ranges))
+        blobs = [(k, first[x:y]) for k, (x, y) in enumerate(itertools.pairwise(edge)) if y > x]
+        names = [k for k, _ in blobs]
+        made = [_written(hi=hi[f], lo=lo[f], id=ids[f], th=th[f], start=start[f].astype(np.int32), size=(stop[f] - start[f]).astype(np.int32)) for _, f in blobs]
+        if len(gone):
+            names.append(int(np.bitwise_xor.reduce(th[gone]) % ranges))
+            made.append(_written(id=ids[gone], th=th[gone], start=a.astype(np.int32), stop=b.astype(np.int32)))
+        return pa.record_batch([pa.array(names, pa.int64()), pa.array(made, pa.binary())], schema=out)
 
     def cut(batches):
+        held, size = [], 0
         for batch in batches:
-            ids, th = batch.column("id"), batch.column("th")
+            ids, th = (batch.column(c).to_numpy() for c in _DOC)
             for a, _b, data, offsets in text_pieces(batch.column("text")):
                 row, start, stop, hi, lo = unit_spans(data, offsets, min_words, min_bytes, part_words)
-                at = pa.array(row + a)
-                yield pa.record_batch([ids.take(at), th.take(at), pa.array(start), pa.array(stop), pa.array(hi), pa.array(lo)], schema=out)
+                if len(row):
+                    held.append((ids[row + a], th[row + a], start, stop, hi, lo))
+                size += len(row)
+                if size >= PACK_UNITS:
+                    yield pack(held)
+                    held, size = [], 0
+        if held:
+            yield pack(held)
 
-    return rows.mapInArrow(cut, "id bigint, th bigint, start bigint, stop bigint, hi bigint, lo bigint")
+    return rows.mapInArrow(cut, "range bigint, blob binary")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES, part_words: int = MIN_WORDS) -> DataFrame:
-    """(id, th, spans): per document the units to remove, as (start, stop) byte offsets in order."""
-    u = units(docs, min_words, min_bytes, part_words)
-    first = (u.groupBy("hi", "lo").agg(F.min(F.struct("id", "th", "start")).alias("f"), F.max(F.struct("id", "th", "start")).alias("l"))
-             .filter("f <> l").select("hi", "lo", F.col("f.id").alias("f_id"), F.col("f.th").alias("f_th"), F.col("f.start").alias("f_start")))
-    gone = u.join(first, ["hi", "lo"]).filter("not (id = f_id and th = f_th and start = f_start)")
-    return gone.groupBy("id", "th").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("spans"))
+    """(id, th, spans): per document what to remove, as packed pairs (start, stop) of 32-bit byte offsets, a blob a range.
+
+    Units are cut once.  A pack keeps its own first occurrence of a digest and sends that alone, so a unit that every document holds is a
+    row's entry a pack, not one a document; what a pack knows to be later goes straight back.
+    """
+    n = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    packs = _packs(docs, max(1, -(-n // RANGE_BYTES)), min_words, min_bytes, part_words)
+
+    def run(_key, table):
+        held, gone = [], []
+        for blob in table.column("blob"):
+            t = _read(blob.as_buffer())
+            if "hi" in t:
+                held.append((t["id"], t["th"], t["start"].astype(np.int64), t["start"].astype(np.int64) + t["size"], t["hi"], t["lo"]))
+            else:
+                gone.append((t["id"], t["th"], t["start"], t["stop"]))
+        if held:
+            ids, th, start, stop, hi, lo = (np.concatenate(c) for c in zip(*held, strict=True))
+            _, later, a, b = _later(np.lexsort((start, th, ids, lo, hi)), hi, lo, ids, th, start, stop)
+            gone.append((ids[later], th[later], a, b))
+        ids, th, spans = _by_document(*(np.concatenate(c) for c in zip(*gone, strict=True)))
+        return pa.table([pa.array(ids), pa.array(th), pa.array(spans, pa.binary())], names=[*_DOC, "span"])
+
+    found = packs.groupBy("range").applyInArrow(run, "id bigint, th bigint, span binary")
+    return found.groupBy(*_DOC).agg(F.collect_set("span").alias("spans"))             # a blob a range and pack that lets it go
 
 
 def merge_spans(start: np.ndarray, stop: np.ndarray):
@@ -200,14 +281,15 @@ def _with_spans(docs: DataFrame, min_words: int, min_bytes: int, part_words: int
 
 
 def _remove(text: np.ndarray, offsets: np.ndarray, spans) -> list:
-    """Per row (removed runs, kept bytes); ``spans``: list of rows' (start, stop) dicts or None."""
+    """Per row (removed runs, kept bytes); ``spans``: rows' lists of packed (start, stop) pairs, or None."""
     got = []
     for k, s in enumerate(spans):
         row = text[offsets[k]:offsets[k + 1]]
         if not s:
             got.append(([], row.tobytes()))
             continue
-        a, b = merge_spans(np.array([x["start"] for x in s]), np.array([x["stop"] for x in s]))
+        pairs = np.frombuffer(b"".join(s), "<i4").reshape(-1, 2).astype(np.int64)
+        a, b = merge_spans(*pairs[np.argsort(pairs[:, 0], kind="stable")].T)
         cut = np.zeros(len(row) + 1, np.int32)
         np.add.at(cut, a, 1)
         np.add.at(cut, b, -1)

@@ -211,6 +211,22 @@ def test_line_dedup_equals_brute_force(spark):
     assert {r.text for r in kept.filter("doc_id = 1").collect()} == {None}
 
 
+@pytest.mark.parametrize("text,words", [("Ha " * 60, 20), ("One Two Three Four Five " * 12, 20), ("Ab cd. " * 40, 20)])
+def test_a_unit_that_overlaps_itself_keeps_its_first_occurrence(spark, text, words):
+    kept = {r.doc_id: r.text for r in substrings.dedup(docs(spark, [(1, text), (2, text), (3, "Other words here.")]), part_words=substrings.RUN_WORDS).collect()}
+    assert kept[1].split() == text.split()[:words] and kept[2] == "" and kept[3] == "Other words here."
+
+
+def test_line_dedup_in_many_packs_and_ranges(spark, monkeypatch):
+    rnd = random.Random(4)
+    pool = [" ".join(rnd.choice(["Alpha", "beta", "Gämma", "delta", "epsilon"]) for _ in range(rnd.randrange(4, 12))) + "." for _ in range(30)]
+    rows = [(k // 2, " ".join(rnd.choice(pool) for _ in range(rnd.randrange(12)))) for k in range(200)] + [(7, "The same row over and over again, here it is.")] * 40
+    whole = sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in substrings.report(docs(spark, rows)).collect())
+    monkeypatch.setattr(substrings, "PACK_UNITS", 5)
+    monkeypatch.setattr(substrings, "RANGE_BYTES", 900)
+    assert whole == sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in substrings.report(docs(spark, rows).repartition(9)).collect())
+
+
 def test_line_dedup_empty_table(spark):
     assert substrings.report(docs(spark, [])).count() == 0
     assert substrings.dedup(docs(spark, [])).count() == 0
