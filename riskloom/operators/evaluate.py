@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import safe_div
 from ..schema import TARGET
-from .ordered import exact_quantiles, running_totals
+from .ordered import exact_quantiles, join_groups, running_totals
 
 
 def _lab(label):
@@ -48,16 +48,13 @@ def score_curve(df: DataFrame, label: str = TARGET, score: str = "score", by=())
     pts = df.groupBy(*by, F.col(score).cast("double").alias("threshold")).agg(
         F.sum(_lab(label)).cast("bigint").alias("pos"),
         F.sum(1 - _lab(label)).cast("bigint").alias("neg"))
-    cum = running_totals(pts, "threshold", ["pos", "neg"], by=by, descending=True)
-    tot = df.groupBy(*by).agg(F.sum(_lab(label)).cast("bigint").alias("P"),
-                              F.sum(1 - _lab(label)).cast("bigint").alias("N"))
-    cur = cum.join(F.broadcast(tot), by) if by else cum.crossJoin(tot)   # tot: one row per group
+    cur = running_totals(pts, "threshold", ["pos", "neg"], by=by, descending=True, whole="all_")
     tp, fp = F.col("cum_pos"), F.col("cum_neg")
     return cur.select(
-        *by, "threshold", "pos", "neg", tp.alias("tp"), fp.alias("fp"), "P", "N",
+        *by, "threshold", "pos", "neg", tp.alias("tp"), fp.alias("fp"), F.col("all_pos").alias("P"), F.col("all_neg").alias("N"),
         safe_div(tp, tp + fp, None).alias("precision"),
-        safe_div(tp, F.col("P"), None).alias("recall"),
-        safe_div(fp, F.col("N"), None).alias("fpr"))
+        safe_div(tp, F.col("all_pos"), None).alias("recall"),
+        safe_div(fp, F.col("all_neg"), None).alias("fpr"))
 
 
 def auc_scores(curve: DataFrame, by=()) -> DataFrame:                               # I3 / I4 / I5
@@ -110,7 +107,7 @@ def fraud_metrics(df: DataFrame, threshold: float | str = 0.5, label: str = TARG
         a = auc_scores(score_curve(df, label, score, by), by).select(
             *by, F.round("roc_auc", digits).alias("roc_auc"),
             F.round("average_precision", digits).alias("pr_auc"))
-        out = out.join(a, by, "left") if by else out.crossJoin(a)
+        out = join_groups(out, a, by)
     if model is not None:
         out = out.withColumn("model", F.lit(model))
     return out
@@ -222,7 +219,7 @@ def error_stats_by_group(df: DataFrame, score: str = "error", by=("split", TARGE
     a = df.groupBy(*by).agg(F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"),
                             F.max(score).alias("max"), F.count(score).cast("bigint").alias("n"))
     p = exact_quantiles(df, [score], [0.95], by=by).select(*by, F.col("quantile").alias("p95"))
-    return a.join(p, by, "left").select(*by, "n", F.round("mean", digits).alias("mean"),
+    return join_groups(a, p, by).select(*by, "n", F.round("mean", digits).alias("mean"),
                                         F.round("std", digits).alias("std"),
                                         F.round("p95", digits).alias("p95"), F.round("max", digits).alias("max"))
 

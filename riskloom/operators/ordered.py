@@ -3,9 +3,9 @@
 Neither uses a window without a partition (one task) nor the ``percentile`` aggregate's single
 final merge (all distinct values in one task).
 
-* Running totals: rows are range-partitioned by (group, order value), as many partitions as keep one
-  near ``ROWS_PER_BUCKET`` rows; a partition's rows are summed up by a window inside it, and what lies before it
-  comes from the partitions' totals.
+* Running totals in two levels: cut points from a quantile sketch part the order values into coarse buckets, a
+  bounded number of them a core; the buckets' totals are added up first (a row a group and bucket) and go back to the rows as
+  one more row at the head of each bucket, so a single window inside the buckets finishes the sums without a join.
 * Quantiles: approximate quantiles a little below and above each wanted one cut the values into
   buckets; counts tell which bucket holds a wanted rank; only those buckets' values, collapsed to
   (value, count) rows so that a hot value is one row, get running totals.
@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-ROWS_PER_BUCKET = 100_000
+ROWS_PER_BUCKET = 100_000  # rows of a coarse bucket of running totals, unless that gives too many
+BUCKETS_PER_CORE = 4       # most buckets, for each core of the session
 APPROX_ACCURACY = 10_000
+SKETCH_MAX_K = 65_535      # KLL parameter: a rank error of about 0.01 %
+MERGERS = 64               # tasks that merge the partitions' sketches before the last one
 
 
 def _splits(bounds) -> list[float]:
@@ -40,6 +43,15 @@ def _same(a: str, b: str, keys):
     return cond
 
 
+def join_groups(a: DataFrame, b: DataFrame, by, how: str = "left") -> DataFrame:
+    """``a`` with the columns of ``b``, joined on the group columns ``by`` null-safely: a null group is a group."""
+    by = list(by)
+    if not by:
+        return a.crossJoin(b)                   # one row each
+    rest = [F.col(f"b.{c}").alias(c) for c in b.columns if c not in by]
+    return a.alias("a").join(b.alias("b"), _same("a", "b", by), how).select("a.*", *rest)
+
+
 def _brackets(probs: list[float]) -> list[float]:
     """Approximate quantiles asked for: each wanted one is bracketed by twice the rank error on both sides."""
     e = 2.0 / APPROX_ACCURACY
@@ -101,25 +113,55 @@ def _approx_long(wide: DataFrame, by, columns, probs) -> DataFrame:
     return wide.select(*by, F.explode(F.array(*items)).alias("_x")).select(*by, "_x.*")
 
 
+def sketch_cuts(df: DataFrame, column: str, most: int, rows_each: int) -> list[float]:
+    """Rising cut points that part the values of ``column`` into near-equal shares of ``rows_each`` rows, ``most`` shares at most.
+
+    KLL sketches are built per partition, merged in two levels (so no task merges them all) and read once.
+    """
+    x = F.col(column).cast("double")
+    k = int(min(SKETCH_MAX_K, max(200, (4.6 * most) ** 1.11)))        # the sketch's rank error is about 2.3 / k ** 0.9
+    some = F.pmod(F.spark_partition_id(), F.lit(MERGERS))
+    sketches = df.filter(x.isNotNull() & ~F.isnan(x)).groupBy(some.alias("_s")).agg(F.kll_sketch_agg_double(x, F.lit(k)).alias("_q"))
+    whole = sketches.agg(F.kll_merge_agg_double("_q").alias("_q")).filter("_q is not null")
+    asked = F.array(*[F.lit(i / most) for i in range(1, most)])
+    row = whole.select(F.kll_sketch_get_n_double("_q").alias("n"), F.kll_sketch_get_quantile_double("_q", asked).alias("cuts")).first() if most > 1 else None
+    parts = min(most, -(-row["n"] // rows_each)) if row else 1
+    return sorted({row["cuts"][i * most // parts - 1] for i in range(1, parts)})
+
+
+def _coarse(df: DataFrame, column: str, parts: int) -> DataFrame:
+    """``df`` with ``_b``, the bucket of ``column`` in rising order: nulls first, NaN last (as Spark sorts)."""
+    x = F.col(column).cast("double")
+    splits = [-math.inf, *[c for c in sketch_cuts(df, column, parts, ROWS_PER_BUCKET) if not math.isinf(c)], math.inf]
+    if len(splits) == 2:
+        splits = [-math.inf, 0.0, math.inf]
+    cut = Bucketizer(splits=splits, inputCol="_x", outputCol="_b", handleInvalid="keep").transform(df.withColumn("_x", x))
+    return cut.withColumn("_b", F.when(F.col("_x").isNull(), F.lit(-1)).otherwise(F.col("_b").cast("int"))).drop("_x")
+
+
 def running_totals(df: DataFrame, order_col: str, sum_cols, by=(), descending: bool = True,
-                   prefix: str = "cum_") -> DataFrame:
-    """Running sums of ``sum_cols`` in ``order_col`` order (inclusive), per ``by`` group.
+                   prefix: str = "cum_", whole: str | None = None) -> DataFrame:
+    """Running sums of ``sum_cols`` in ``order_col`` order (inclusive), per ``by`` group (null keys are a group).
 
     ``df`` should hold one row per (group, order value) — collapse ties with a
-    ``groupBy`` first.  Output: ``df`` plus ``<prefix><col>`` columns.
+    ``groupBy`` first.  Output: ``df`` plus ``<prefix><col>`` columns, and with ``whole`` the groups' totals as
+    ``<whole><col>``.
     """
     sum_cols = [sum_cols] if isinstance(sum_cols, str) else list(sum_cols)
     by = list(by)
     columns = df.columns
     df = cut_lineage(df)
-    parts = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / ROWS_PER_BUCKET))
-    dealt = cut_lineage(df.repartitionByRange(parts, *by, order_col).withColumn("_part", F.spark_partition_id()))   # the number stays with the row
-    keys = [*by, "_part"]
-    earlier = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc("_part") if descending else F.asc("_part")).rowsBetween(Window.unboundedPreceding, -1)
-    totals = (dealt.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
-              .withColumns({f"_o_{c}": F.coalesce(F.sum(f"_t_{c}").over(earlier), F.lit(0)) for c in sum_cols}))   # a row a partition and group
-    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = dealt.withColumns({f"_c_{c}": F.sum(c).over(w) for c in sum_cols})
-    joined = inner.alias("x").join(totals.alias("y"), _same("x", "y", keys))
-    return joined.select(*[F.col(f"x.{c}").alias(c) for c in columns], *[(F.col(f"x._c_{c}") + F.col(f"y._o_{c}")).alias(f"{prefix}{c}") for c in sum_cols])
+    parts = BUCKETS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+    dealt = _coarse(df, order_col, parts).withColumn("_row", F.lit(1))
+    group = Window.partitionBy(*(by or [F.lit(0)]))
+    earlier = group.orderBy(F.desc("_b") if descending else F.asc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    # a row a group and bucket: what lies before the bucket, and the group's total
+    heads = dealt.groupBy(*by, "_b").agg(*[F.sum(c).alias(c) for c in sum_cols])
+    heads = heads.select(*by, "_b", F.lit(0).alias("_row"), *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"_h_{c}") for c in sum_cols],
+                         *[F.sum(c).over(group).alias(f"_w_{c}") for c in sum_cols])
+    inside = Window.partitionBy(*by, "_b").orderBy("_row", F.col(order_col).desc() if descending else F.col(order_col).asc()) \
+        .rowsBetween(Window.unboundedPreceding, 0)
+    both = dealt.unionByName(heads, allowMissingColumns=True)
+    sums = {f"{prefix}{c}": F.sum(F.coalesce(F.col(c), F.col(f"_h_{c}"))).over(inside) for c in sum_cols}
+    totals = {f"{whole}{c}": F.max(f"_w_{c}").over(inside) for c in sum_cols} if whole else {}     # the head comes first
+    return both.select("*", *[x.alias(n) for n, x in {**sums, **totals}.items()]).filter("_row = 1").select(*columns, *sums, *totals)

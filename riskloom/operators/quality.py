@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import num
 from ..functions.moments import pct
 from ..schema import KEY, SCALE_COLS, TARGET
+from ..session import cut_lineage
+from .sketches import Bloom, row_digest
 from .stats import numeric_correlation_ranking
 
 
@@ -34,17 +36,36 @@ def missing_values(df: DataFrame, digits: int = 6) -> DataFrame:
         .orderBy(F.desc("percentage"), "column")
 
 
+def _repeated(df: DataFrame, columns) -> tuple[DataFrame, Bloom | None]:
+    """``df``'s columns with a 128-bit digest of each row, and a Bloom filter of the digests that occur twice (None: none does).
+
+    Only digests are shuffled, so the bytes a row don't grow with its width; identical rows meet before the shuffle already.
+    """
+    keyed = df.select(*columns).withColumns(row_digest(columns))
+    twice = cut_lineage(keyed.groupBy("_hi", "_lo").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_hi", "_lo"))
+    return keyed, Bloom.of(twice, ["_hi", "_lo"])
+
+
 def duplicate_count(df: DataFrame, columns=None) -> DataFrame:                     # C2
-    """Rows equal to an earlier row on all ``columns`` (partial aggregation per group)."""
+    """Rows equal to an earlier row on all ``columns``: rows whose digest occurs once are only counted, the others compared whole."""
     columns = list(columns or [c for c in df.columns if c != KEY])
-    g = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_c"))
-    return g.agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("bigint").alias("n_duplicates"),
-                 F.count(F.lit(1)).cast("bigint").alias("n_distinct"))
+    keyed, bloom = _repeated(df, columns)
+    if bloom is None:
+        return keyed.agg(F.lit(0).cast("bigint").alias("n_duplicates"), F.count(F.lit(1)).cast("bigint").alias("n_distinct"))
+    maybe = F.col("_maybe")
+    rows = bloom.mark(keyed, "_maybe").groupBy("_maybe", *[F.when(maybe, F.col(c)).alias(c) for c in columns]).agg(F.count(F.lit(1)).alias("_n"))
+    n = F.coalesce(F.sum(F.when(maybe, F.col("_n") - 1)), F.lit(0))       # the rows that can't repeat are one group
+    return rows.agg(n.cast("bigint").alias("n_duplicates"), F.sum(F.when(maybe, F.lit(1)).otherwise(F.col("_n"))).cast("bigint").alias("n_distinct"))
 
 
 def drop_duplicates(df: DataFrame, columns=None) -> DataFrame:                     # C3
+    """The distinct rows on ``columns``; rows whose digest occurs once stay where they are, only the others are shuffled whole."""
     columns = list(columns or [c for c in df.columns if c != KEY])
-    return df.select(*columns).dropDuplicates()
+    keyed, bloom = _repeated(df, columns)
+    if bloom is None:
+        return keyed.select(*columns)
+    marked = bloom.mark(keyed, "_maybe")
+    return marked.filter("not _maybe").select(*columns).unionAll(marked.filter("_maybe").select(*columns).dropDuplicates())
 
 
 def class_imbalance(df: DataFrame, target: str = TARGET, digits: int = 6) -> DataFrame:   # C4
@@ -100,9 +121,9 @@ def sample_reproducibility(sample: DataFrame, expected_rows: int, expected_fraud
 
 def stratification_check(df: DataFrame, label: str = TARGET, split: str = "split",
                          tol: float = 5e-4, digits: int = 8) -> DataFrame:           # C10
-    per = df.groupBy(split).agg(F.avg(label).alias("rate"))
-    glob = df.agg(F.avg(label).alias("global_rate"))
-    j = per.crossJoin(glob)          # one global row
+    every = Window.partitionBy()                                # over a row a split
+    per = df.groupBy(split).agg(F.sum(label).alias("f"), F.count(label).alias("n"))
+    j = per.select(split, F.try_divide("f", "n").alias("rate"), F.try_divide(F.sum("f").over(every), F.sum("n").over(every)).alias("global_rate"))
     diff = F.abs(F.col("rate") - F.col("global_rate"))
     return j.select(split, F.round("rate", digits).alias("rate"),
                     F.round("global_rate", digits).alias("global_rate"),

@@ -11,34 +11,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import TARGET
+from ..session import cut_lineage
+from .sketches import Bloom
 
 
 def mule_overlap(df: DataFrame, label: str = TARGET) -> DataFrame:                  # E1
-    """Accounts receiving a fraud that also originate a CASH_OUT: set sizes + overlap."""
-    fraud_dest = df.filter(F.col(label) == 1).select(F.col("nameDest").alias("acct")) \
-        .filter(F.col("acct").isNotNull()).distinct()
-    cash_orig = df.filter(F.col("type") == "CASH_OUT").select(F.col("nameOrig").alias("acct")) \
-        .filter(F.col("acct").isNotNull()).distinct()
-    both = fraud_dest.join(cash_orig, "acct", "left_semi")
-    sizes = (fraud_dest.agg(F.count(F.lit(1)).alias("n_fraud_dest"))
-             .crossJoin(cash_orig.agg(F.count(F.lit(1)).alias("n_cashout_orig")))
-             .crossJoin(both.agg(F.count(F.lit(1)).alias("n_overlap"))))    # three 1-row aggregates
-    return sizes.select(
-        F.col("n_fraud_dest").cast("bigint").alias("n_fraud_dest"),
-        F.col("n_cashout_orig").cast("bigint").alias("n_cashout_orig"),
-        F.col("n_overlap").cast("bigint").alias("n_overlap"),
-        F.round(F.coalesce(F.try_divide(F.col("n_overlap") * 100.0, F.col("n_fraud_dest")),
-                           F.lit(0.0)), 6).alias("overlap_pct"))
+    """Accounts receiving a fraud that also originate a CASH_OUT: set sizes + overlap.
+
+    One scan and one exchange: a row gives its account in each role, an account's roles meet in an aggregate."""
+    roles = F.array(F.struct(F.when(F.col(label) == 1, F.col("nameDest")).alias("acct"), F.lit(1).alias("d"), F.lit(0).alias("o")),
+                    F.struct(F.when(F.col("type") == "CASH_OUT", F.col("nameOrig")).alias("acct"), F.lit(0).alias("d"), F.lit(1).alias("o")))
+    acct = (df.select(F.explode(F.filter(roles, lambda x: x["acct"].isNotNull())).alias("r")).groupBy("r.acct")
+            .agg(F.max("r.d").alias("d"), F.max("r.o").alias("o")))
+    sizes = acct.agg(*[F.coalesce(F.sum(x), F.lit(0)).cast("bigint").alias(n) for n, x in
+                       (("n_fraud_dest", F.col("d")), ("n_cashout_orig", F.col("o")), ("n_overlap", F.col("d") * F.col("o")))])
+    return sizes.withColumn("overlap_pct", F.round(F.coalesce(F.try_divide(F.col("n_overlap") * 100.0, F.col("n_fraud_dest")), F.lit(0.0)), 6))
 
 
 def fraud_client_flag(df: DataFrame, label: str = TARGET, account: str = "nameOrig",
                       out: str = "is_fraud_client") -> DataFrame:                    # E2
-    """1 when the row's origin account has at least one fraud (equi left join to the
-    distinct fraud-account set)."""
-    ids = df.filter((F.col(label) == 1) & F.col(account).isNotNull()) \
-        .select(F.col(account).alias("_acct")).distinct().withColumn("_hit", F.lit(1))
-    j = df.join(ids, df[account] == ids["_acct"], "left")
-    return j.withColumn(out, F.coalesce(F.col("_hit"), F.lit(0)).cast("int")).drop("_acct", "_hit")
+    """1 when the row's origin account has at least one fraud.
+
+    A Bloom filter of the fraud accounts settles most rows where they are; only rows that pass it are joined with the accounts."""
+    ids = cut_lineage(df.filter((F.col(label) == 1) & F.col(account).isNotNull()).select(F.col(account).alias("_acct")).distinct())
+    bloom = Bloom.of(ids.withColumnRenamed("_acct", account), [account])
+    if bloom is None:
+        return df.withColumn(out, F.lit(0))
+    marked = bloom.mark(df, "_maybe")
+    none = marked.filter("not _maybe").withColumn(out, F.lit(0)).drop("_maybe")
+    some = marked.filter("_maybe").join(ids.withColumn(out, F.lit(1)), F.col(account) == F.col("_acct"), "left")
+    return none.unionByName(some.withColumn(out, F.coalesce(F.col(out), F.lit(0))).drop("_acct", "_maybe"))
 
 
 def type_mix_comparison(df: DataFrame, group: str = "is_fraud_client", key: str = "type",

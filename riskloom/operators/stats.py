@@ -7,14 +7,14 @@ driver loop over the data.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions.moments import kurt_sample, pct, skew_sample
 from ..schema import AMOUNT_LIMIT, CORRELATION_FEATURES, FLAG, KEY, MATRIX_COLS, TARGET, numeric_columns
-from .ordered import exact_quantiles
+from .moments import correlations
+from .ordered import exact_quantiles, join_groups
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -82,10 +82,10 @@ def fraud_rate_by(df: DataFrame, key: str, label: str = TARGET) -> DataFrame:
 
 
 def derive_high_risk_hours(df: DataFrame, label: str = TARGET, key: str = "hour") -> DataFrame:  # D6
-    """Hours whose fraud rate exceeds the global rate (1-row global avg, cross-joined)."""
-    per = df.groupBy(key).agg(F.avg(label).alias("fraud_rate"))
-    glob = df.agg(F.avg(label).alias("global_rate"))
-    return (per.crossJoin(F.broadcast(glob))     # glob is one row by construction
+    """Hours whose fraud rate exceeds the global rate, which comes from the grouped rows (a row an hour)."""
+    every = Window.partitionBy()
+    per = df.groupBy(key).agg(F.sum(label).alias("f"), F.count(label).alias("n"))
+    return (per.select(key, F.try_divide("f", "n").alias("fraud_rate"), F.try_divide(F.sum("f").over(every), F.sum("n").over(every)).alias("global_rate"))
             .filter(F.col("fraud_rate") > F.col("global_rate"))
             .select(key, F.round("fraud_rate", 6).alias("fraud_rate"),
                     F.round("global_rate", 6).alias("global_rate"))
@@ -165,37 +165,11 @@ def flag_baseline_metrics(df: DataFrame, flag: str = FLAG, label: str = TARGET,
 
 
 def pearson(df: DataFrame, pairs) -> dict:
-    """Pearson correlation of many column pairs on pairwise-complete rows (as pandas).
-
-    Two cheap passes: per-pair means, then per-pair centred cross/self products as plain
-    sums.  One wide ``corr`` aggregate per pair compiles into very large generated code;
-    sums of centred products keep the aggregate small and are numerically stable.
-    """
-    pairs = list(pairs)
-    uniq = sorted({tuple(sorted(p)) for p in pairs})          # corr is symmetric
-    both = {p: C.num(p[0]).isNotNull() & C.num(p[1]).isNotNull() for p in uniq}
-
-    def x(c):
-        return C.num(c)
-
-    mrow = df.agg(*[F.struct(F.avg(F.when(both[p], x(p[0]))).alias("a"),
-                             F.avg(F.when(both[p], x(p[1]))).alias("b")).alias(f"m{i}")
-                    for i, p in enumerate(uniq)]).first()
-    aggs = []
-    for i, (a_, b_) in enumerate(uniq):
-        ma, mb = mrow[f"m{i}"]["a"], mrow[f"m{i}"]["b"]
-        if ma is None:
-            ma = mb = 0.0
-        da, db = x(a_) - F.lit(float(ma)), x(b_) - F.lit(float(mb))
-        aggs.append(F.struct(F.sum(F.when(both[(a_, b_)], da * db)).alias("xy"),
-                             F.sum(F.when(both[(a_, b_)], da * da)).alias("xx"),
-                             F.sum(F.when(both[(a_, b_)], db * db)).alias("yy")).alias(f"s{i}"))
-    srow = df.agg(*aggs).first()
-    out = {}
-    for i, p in enumerate(uniq):
-        sxy, sxx, syy = srow[f"s{i}"]["xy"], srow[f"s{i}"]["xx"], srow[f"s{i}"]["yy"]
-        out[p] = None if sxy is None or not sxx or not syy else sxy / (sxx ** 0.5 * syy ** 0.5)
-    return {tuple(p): out[tuple(sorted(p))] for p in pairs}
+    """Pearson correlation of column pairs on pairwise-complete rows (as pandas): {pair: value or None}, from one scan."""
+    pairs = [tuple(p) for p in pairs]
+    got = correlations(df, {a for a, _ in pairs}, {b for _, b in pairs}).collect()                  # columns x columns rows
+    value = {(r["row"], r["col"]): r["corr"] for r in got}
+    return {p: value[p] for p in pairs}
 
 
 def feature_label_corr(df: DataFrame, feature: str, label: str = TARGET,
@@ -206,13 +180,11 @@ def feature_label_corr(df: DataFrame, feature: str, label: str = TARGET,
 
 def correlation_ranking(df: DataFrame, features=None, label: str = TARGET,
                         digits: int = 6) -> DataFrame:                                 # D14
-    """Pearson correlation of each feature with the label, ranked by |corr|."""
+    """Pearson correlation of each feature with the label, ranked by |corr|; one scan."""
     features = list(CORRELATION_FEATURES if features is None else features)
-    r = pearson(df, [(f, label) for f in features])
-    rows = [(f, None if r[(f, label)] is None else round(r[(f, label)], digits),
-             None if r[(f, label)] is None else round(abs(r[(f, label)]), digits)) for f in features]
-    out = df.sparkSession.createDataFrame(rows, "feature string, corr double, abs_corr double")
-    return out.orderBy(F.desc("abs_corr"), "feature")
+    out = correlations(df, features, [label])
+    return (out.select(F.col("row").alias("feature"), F.round("corr", digits).alias("corr"), F.round(F.abs("corr"), digits).alias("abs_corr"))
+            .orderBy(F.desc("abs_corr"), "feature"))
 
 
 def numeric_correlation_ranking(df: DataFrame, label: str = TARGET, digits: int = 6) -> DataFrame:  # D15
@@ -221,12 +193,9 @@ def numeric_correlation_ranking(df: DataFrame, label: str = TARGET, digits: int
 
 
 def correlation_matrix(df: DataFrame, columns=None, digits: int = 6) -> DataFrame:     # D16
-    """All pairwise Pearson correlations (two passes), as long rows."""
+    """All pairwise Pearson correlations, as long rows; one scan."""
     columns = list(MATRIX_COLS if columns is None else columns)
-    pairs = [(a, b) for a in columns for b in columns]
-    r = pearson(df, pairs)
-    rows = [(a, b, None if r[(a, b)] is None else round(r[(a, b)], digits)) for a, b in pairs]
-    return df.sparkSession.createDataFrame(rows, "row string, col string, corr double")
+    return correlations(df, columns, columns).select("row", "col", F.round("corr", digits).alias("corr"))
 
 
 def flag_rate_table(df: DataFrame, flags=("is_transfer_or_cashout", "dest_zero_balance",
@@ -243,7 +212,7 @@ def flag_rate_table(df: DataFrame, flags=("is_transfer_or_cashout", "dest_zero_b
 def grouped_mean_median_max(df: DataFrame, value: str, by: str, digits: int = 6) -> DataFrame:  # D18
     agg = df.groupBy(by).agg(F.avg(C.num(value)).alias("mean"), F.max(C.num(value)).alias("max"))
     med = exact_quantiles(df, [value], [0.5], by=[by]).select(by, F.col("quantile").alias("median"))
-    return agg.join(med, [by], "left").select(
+    return join_groups(agg, med, [by]).select(
         by, F.round("mean", digits).alias("mean"), F.round("median", digits).alias("median"),
         F.round("max", digits).alias("max"))
 
@@ -267,11 +236,10 @@ def frauds_per_client(df: DataFrame, account: str = "nameOrig", label: str = TAR
 
 
 def type_mix(df: DataFrame, by: str, key: str = "type", digits: int = 6) -> DataFrame:   # D20
-    """Share % of each ``key`` level inside each ``by`` group."""
+    """Share % of each ``key`` level inside each ``by`` group (a null group is a group); totals come from the grouped rows."""
     cnt = df.groupBy(by, key).agg(F.count(F.lit(1)).alias("n"))
-    tot = df.groupBy(by).agg(F.count(F.lit(1)).alias("total"))
-    return cnt.join(tot, [by]).select(by, key, F.round(F.col("n") * 100.0 / F.col("total"), digits)
-                                      .alias("share_pct"))
+    total = F.sum("n").over(Window.partitionBy(by))                   # a row a level
+    return cnt.select(by, key, F.round(F.col("n") * 100.0 / total, digits).alias("share_pct"))
 
 
 def top_fraud_destinations(df: DataFrame, n: int = 20, account: str = "nameDest",

@@ -9,10 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import quality as Q
-from ..operators import stats as S
+from ..functions import columns as C
 from ..operators.relations import mule_overlap
-from ..schema import TARGET
+from ..schema import FLAG, TARGET
 
 
 def feature_metadata(split_df: DataFrame, smoted: DataFrame | None = None, label: str = TARGET) -> DataFrame:  # A7
@@ -32,33 +31,46 @@ def feature_metadata(split_df: DataFrame, smoted: DataFrame | None = None, label
     return out
 
 
-def eda_numbers(tx: DataFrame, feat: DataFrame, label: str = TARGET) -> DataFrame:      # A9 (numbers)
-    """The exploration report's numbers as one flat row (every value an aggregate).
+def _label_sets(feat: DataFrame, label: str) -> DataFrame:
+    """One row: label and flag counts overall, per type and per hour, by GROUPING SETS over a single scan."""
+    y, flag = F.col(label), F.col(FLAG)
+    counts = [F.count(F.lit(1)).alias("rows"), F.count(y).alias("n"), F.sum(y).alias("f"), F.count_if(y == 0).alias("l"), F.sum(flag).alias("flagged"),
+              F.count_if((flag == 1) & (y == 1)).alias("tp"), F.count_if((flag == 0) & (y == 1)).alias("fn"), F.count_if((flag == 1) & (y == 0)).alias("fp")]
+    sets = feat.groupingSets([[], ["type"], ["hour"]], "type", "hour").agg(F.grouping_id().alias("set"), *counts)
+    whole = F.struct("rows", "n", "f", "l", "flagged", "tp", "fn", "fp")
+    return sets.agg(F.max(F.when(F.col("set") == 3, whole)).alias("all"),
+                    F.collect_list(F.when(F.col("set") == 1, F.struct("type", "n", "f"))).alias("types"),       # a row a type
+                    F.collect_list(F.when(F.col("set") == 2, F.struct("hour", "n", "f"))).alias("hours"))       # a row an hour
+
+
+def _rate(f, n):
+    return F.coalesce(F.try_divide(f, n) * 100, F.lit(0.0))
+
+
+def eda_numbers(tx: DataFrame, feat: DataFrame, label: str = TARGET, with_types: bool = False) -> DataFrame:      # A9 (numbers)
+    """The exploration report's numbers as one flat row, from two scans (counts by grouping sets, accounts).
 
     High-risk hours are derived from the data (hours whose fraud rate exceeds the global
     rate, D6) and the temporal rates are computed for those hours, as in the reference.
     """
-    hours = S.derive_high_risk_hours(feat).agg(
-        F.sort_array(F.collect_list(F.col("hour").cast("int"))).alias("high_risk_hours"))   # ≤ 24 hours
-    y = F.col(label)
-    base = tx.agg(F.count(F.lit(1)).cast("bigint").alias("sample_size"),
-                  F.sum(y).cast("bigint").alias("fraud_count"),
-                  F.count_if(y == 0).cast("bigint").alias("non_fraud_count"),
-                  F.round(F.avg(y) * 100, 6).alias("fraud_rate_pct"),
-                  F.round(F.count_if(y == 0) / F.sum(y), 1).alias("imbalance_ratio"))
-    flag = S.flag_baseline_metrics(tx).select(
-        F.col("tp").alias("flag_tp"), F.col("fn").alias("flag_fn"), F.col("fp").alias("flag_fp"),
-        F.col("recall").alias("flag_recall"), F.col("precision").alias("flag_precision"),
-        F.col("f1").alias("flag_f1"))
-    in_hours = F.array_contains(F.col("high_risk_hours"), F.col("hour").cast("int"))
-    temporal = feat.select("hour", label).crossJoin(F.broadcast(hours)).agg(   # hours: one row
-        F.first("high_risk_hours").alias("high_risk_hours"),
-        F.round(F.coalesce(F.avg(F.when(in_hours, y)) * 100, F.lit(0.0)), 6).alias("fraud_rate_high_risk_pct"),
-        F.round(F.coalesce(F.avg(F.when(~in_hours, y)) * 100, F.lit(0.0)), 6).alias("fraud_rate_normal_pct"))
+    s = _label_sets(feat, label)
+    total = lambda xs, c: F.aggregate(xs, F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x[c], F.lit(0)))
+    risky = lambda h: F.coalesce(F.try_divide(h["f"], h["n"]) > F.try_divide(F.col("all.f"), F.col("all.n")), F.lit(False))
+    s = s.withColumn("hours", F.filter("hours", lambda h: h["hour"].isNotNull()))
+    s = s.withColumns({"high": F.filter("hours", risky), "low": F.filter("hours", lambda h: ~risky(h))})
+    tp, rec, prec = F.col("all.tp"), C.safe_div("all.tp", "all.f"), C.safe_div("all.tp", "all.flagged")
+    numbers = s.select(
+        F.col("all.rows").alias("sample_size"), F.col("all.f").cast("bigint").alias("fraud_count"), F.col("all.l").alias("non_fraud_count"),
+        F.round(F.try_divide("all.f", "all.n") * 100, 6).alias("fraud_rate_pct"), F.round(F.try_divide("all.l", "all.f"), 1).alias("imbalance_ratio"),
+        tp.alias("flag_tp"), F.col("all.fn").alias("flag_fn"), F.col("all.fp").alias("flag_fp"), F.round(rec, 6).alias("flag_recall"),
+        F.round(prec, 6).alias("flag_precision"), F.round(C.safe_div(2 * prec * rec, prec + rec), 6).alias("flag_f1"),
+        F.sort_array(F.transform("high", lambda h: h["hour"].cast("int"))).alias("high_risk_hours"),
+        F.round(_rate(total(F.col("high"), "f"), total(F.col("high"), "n")), 6).alias("fraud_rate_high_risk_pct"),
+        F.round(_rate(total(F.col("low"), "f"), total(F.col("low"), "n")), 6).alias("fraud_rate_normal_pct"), *(["types"] if with_types else []))
     net = mule_overlap(tx).select(
         F.col("n_fraud_dest").alias("n_fraud_dest_accounts"), F.col("n_overlap").alias("n_dest_also_cashout"),
         F.round(F.col("n_overlap") * 100.0 / F.col("n_fraud_dest"), 1).alias("pct_dest_also_cashout"))
-    return base.crossJoin(flag).crossJoin(temporal).crossJoin(net)      # one-row frames
+    return numbers.crossJoin(net)      # one-row frames
 
 
 # Fixed values of the exploration report (lists and labels as the reference states them).
@@ -71,10 +83,11 @@ FEATURES_EXCLUDED_LEAKAGE = ["oldbalanceOrg", "newbalanceOrig", "oldbalanceDest"
 def eda_report(tx: DataFrame, feat: DataFrame) -> DataFrame:                          # A9
     """The nested exploration report row (dataset, class distribution, flag baseline,
     fraud by type, temporal, network, feature lists, target metrics)."""
-    n = eda_numbers(tx, feat)
-    by_type = S.fraud_by_type(tx).agg(F.map_from_entries(F.collect_list(F.struct(        # one per type
-        "type", F.struct("total", "nb_fraudes", "taux_fraude_pct")))).alias("fraud_by_type"))
-    row = n.crossJoin(by_type)
+    n = eda_numbers(tx, feat, with_types=True)
+    of_type = lambda t: F.struct(t["type"], F.struct(t["n"].alias("total"), t["f"].cast("bigint").alias("nb_fraudes"),
+                                                     F.round(F.try_divide(t["f"], t["n"]) * 100, 4).alias("taux_fraude_pct")))
+    known = F.filter("types", lambda t: t["type"].isNotNull())
+    row = n.withColumn("fraud_by_type", F.map_from_entries(F.transform(known, of_type)))
     return row.select(
         F.struct(F.col("sample_size"), F.lit("stratified_split").alias("sampling_method"),
                  F.lit(len(tx.columns) - (1 if "txn_id" in tx.columns else 0)).alias("n_columns")).alias("dataset"),
