@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..schema import TARGET
 from .evaluate import linspace
 from .ordered import exact_quantiles, join_groups
+from .sampling import tag_by_rank
 
 
 def histogram(df: DataFrame, column: str, bins: int = 50, by=(), digits: int = 6) -> DataFrame:   # J1
@@ -71,3 +72,10 @@ def rate_series(df: DataFrame, key: str, label: str = TARGET, digits: int = 6) -
     return per.select(
         key, "n", F.round(F.col("r") * 100, digits).alias("fraud_rate_pct"),
         F.round(F.col("g") * 100, digits).alias("global_rate_pct"))
+
+
+def plot_rows(prepared: DataFrame, n: int = 5000, label: str = TARGET) -> DataFrame:   # J4
+    """Rows of a scatter plot with ``part``: at most ``n`` normal training rows (in hash order), and all val rows by class."""
+    normal = tag_by_rank(prepared.filter((F.col("split") == "train") & (F.col(label) == 0)), label, {0: [(n, "train_normal")]}, "part")
+    val = prepared.filter(F.col("split") == "val").withColumn("part", F.when(F.col(label) == 1, "val_fraud").otherwise("val_legit"))
+    return normal.filter(F.col("part") == "train_normal").unionByName(val)

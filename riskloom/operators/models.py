@@ -7,6 +7,8 @@ MLlib (``standardization=False``) because the frame is already standardised.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -14,9 +16,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.util import inheritable_thread_target
+
 from ..schema import FEATURE_COLS, KEY, SEED, TARGET
 from ..session import cut_lineage
 from . import sampling as SA
+from .prepare import with_weight
 
 
 def _assembler(feature_cols):
@@ -75,22 +80,37 @@ def feature_importances(model: PipelineModel, feature_cols=None) -> DataFrame:
                              "feature string, importance double")
 
 
+def balanced(fit, label: str = TARGET):
+    """``fit`` with a column ``weight`` refitted on the rows that it gets (balanced class weights)."""
+    def run(rows: DataFrame):
+        return fit(with_weight(rows, SA.class_weights(SA.class_counts(rows, label)), label))
+    return run
+
+
+def fold_counts(df: DataFrame, fit, k: int = 5, label: str = TARGET, key: str = KEY, seed: int = SEED, parallelism: int | None = None) -> DataFrame:
+    """(fold, tp, fp, fn) of each stratified fold, scored at 0.5 by a model fitted on the others.
+
+    Folds are fitted by ``parallelism`` driver threads (all at once by default); the jobs share the session's cores, so a fold's
+    small stages don't leave the cluster idle."""
+    folded = cut_lineage(SA.stratified_kfold(df, k, label, key, seed))
+    y, p = F.col(label).cast("int"), (F.col("score") >= 0.5).cast("int")
+
+    def one(f):
+        model = fit(folded.filter(F.col("fold") != f))
+        n = score(model, folded.filter(F.col("fold") == f)).agg(
+            F.count_if((y == 1) & (p == 1)).alias("tp"), F.count_if((y == 0) & (p == 1)).alias("fp"), F.count_if((y == 1) & (p == 0)).alias("fn")).first()
+        return (f, *n)
+
+    with ThreadPoolExecutor(parallelism or k) as pool:
+        rows = [t.result() for t in [pool.submit(inheritable_thread_target(df.sparkSession)(one), f) for f in range(k)]]
+    return df.sparkSession.createDataFrame(rows, "fold int, tp bigint, fp bigint, fn bigint")
+
+
 def cv_score(df: DataFrame, fit, k: int = 5, label: str = TARGET, key: str = KEY, beta: float = 2.0,
-             seed: int = SEED) -> DataFrame:                                         # H6
+             seed: int = SEED, parallelism: int | None = None) -> DataFrame:                                         # H6
     """Stratified k-fold: fit on k-1 folds, score the held-out fold at 0.5; mean and
     population std of recall, precision, F1 and F-beta over folds."""
-    folded = cut_lineage(SA.stratified_kfold(df, k, label, key, seed))
-    rows = []
-    for f in range(k):                      # k distributed fits; the loop is over folds only
-        model = fit(folded.filter(F.col("fold") != f))
-        s = score(model, folded.filter(F.col("fold") == f))
-        y, p = F.col(label).cast("int"), (F.col("score") >= 0.5).cast("int")
-        rows.append(s.agg(F.lit(f).alias("fold"),
-                          F.count_if((y == 1) & (p == 1)).alias("tp"), F.count_if((y == 0) & (p == 1)).alias("fp"),
-                          F.count_if((y == 1) & (p == 0)).alias("fn")))
-    per = rows[0]
-    for r in rows[1:]:
-        per = per.unionByName(r)
+    per = fold_counts(df, fit, k, label, key, seed, parallelism)
     tp, fp, fn = [F.col(c).cast("double") for c in ["tp", "fp", "fn"]]
     rec = F.coalesce(F.try_divide(tp, tp + fn), F.lit(0.0))
     prec = F.coalesce(F.try_divide(tp, tp + fp), F.lit(0.0))

@@ -22,6 +22,7 @@ SHARD_POINTS = 4_096       # points of a shard, as planned
 LEAF_POINTS = 32           # points of a leaf of a shard's own tree
 SAMPLE_PER_SHARD = 32      # sampled points behind each shard of the top tree
 MAX_DEPTH = 14             # bounds the sample, the tree and the boxes that every task gets
+BLOCK_CELLS = 1 << 21      # of a matrix of points against boxes: 16 MB
 QUERY_ROWS = 50_000        # foreign queries of a shard that one task takes
 
 
@@ -186,9 +187,14 @@ def nearest(points: DataFrame, cols, k: int = 5, key: str = "txn_id", ask: str |
             x = _points(batch)
             reach = batch.column("reach").to_numpy()
             own = batch.column("shard").to_numpy()
-            meets = box_distance(x, all_low, all_high) <= reach[:, None]
-            row, to = np.nonzero(meets & (all_numbers[None, :] != own[:, None]))
-            row = pa.array(row)
+            rows, shards = [], []
+            step = max(1, BLOCK_CELLS // max(1, len(all_numbers)))       # points x boxes held at once
+            for a in range(0, len(x), step):
+                meets = box_distance(x[a:a + step], all_low, all_high) <= reach[a:a + step, None]
+                at, to = np.nonzero(meets & (all_numbers[None, :] != own[a:a + step, None]))
+                rows.append(at + a)
+                shards.append(to)
+            row, to = pa.array(np.concatenate(rows)), np.concatenate(shards)
             yield pa.RecordBatch.from_arrays([pa.array(all_numbers[to].astype(np.int32)), batch.column("i").take(row), batch.column("x").take(row),
                                               batch.column("reach").take(row)], names=["shard", "i", "x", "reach"])
 

@@ -122,7 +122,7 @@ def sketch_cuts(df: DataFrame, column: str, most: int, rows_each: int) -> list[f
     k = int(min(SKETCH_MAX_K, max(200, (4.6 * most) ** 1.11)))        # the sketch's rank error is about 2.3 / k ** 0.9
     some = F.pmod(F.spark_partition_id(), F.lit(MERGERS))
     sketches = df.filter(x.isNotNull() & ~F.isnan(x)).groupBy(some.alias("_s")).agg(F.kll_sketch_agg_double(x, F.lit(k)).alias("_q"))
-    whole = sketches.agg(F.kll_merge_agg_double("_q").alias("_q")).filter("_q is not null")
+    whole = sketches.agg(F.kll_merge_agg_double("_q").alias("_q")).filter(F.kll_sketch_get_n_double("_q") > 0)
     asked = F.array(*[F.lit(i / most) for i in range(1, most)])
     row = whole.select(F.kll_sketch_get_n_double("_q").alias("n"), F.kll_sketch_get_quantile_double("_q", asked).alias("cuts")).first() if most > 1 else None
     parts = min(most, -(-row["n"] // rows_each)) if row else 1

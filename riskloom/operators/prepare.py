@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import num, uniform_of
 from ..functions.moments import skew_sample
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_observed
 from ..schema import FEATURE_COLS, KEY, SCALE_COLS, SEED, TARGET, TRAIN_RATIO
 from . import features as FE
 from .neighbours import nearest
@@ -168,6 +168,7 @@ class PreparedData:
     skew_before: float | None
     skew_after: float | None
     feature_cols: list = field(default_factory=lambda: list(FEATURE_COLS))
+    sizes: dict = field(default_factory=dict)      # split -> (normal rows, frauds), observed while the split was written
 
     def split(self, name: str) -> DataFrame:
         return self.data.filter(F.col("split") == name)
@@ -192,7 +193,7 @@ def prepare(features_df: DataFrame, train_ratio: float = TRAIN_RATIO, seed: int
     """B11→B12→B14→F2→G1→G2→G4 (SMOTE on demand via ``train_smote``).
 
     Driver round trips are merged: one pass gives the skews, the type levels and the
-    class counts; one pass over the (checkpointed) split gives scaler and weights.
+    class counts; the pass that writes the split gives scaler, weights and sizes.
     """
     from ..schema import TYPE_LEVELS
     pre = features_df.agg(skew_sample("amount").alias("b"), skew_sample(F.log1p("amount")).alias("a"),
@@ -205,17 +206,19 @@ def prepare(features_df: DataFrame, train_ratio: float = TRAIN_RATIO, seed: int
     counts = {c: n for c, n in ((0, pre["n0"]), (1, pre["n1"])) if n}
     enc = encoded_frame(features_df, check_levels=False)
     split = stratified_split(enc, TARGET, train_ratio, KEY, seed, counts=counts)
+    in_train = F.col("split") == "train"
+    fitted = [x for c in SCALE_COLS for x in (F.avg(F.when(in_train, num(c))).alias(f"m_{c}"), F.stddev_pop(F.when(in_train, num(c))).alias(f"s_{c}"))]
+    sizes = [F.count_if((F.col("split") == s) & (F.col(TARGET) == y)).alias(f"{s}_{y}") for s in ("train", "val", "test") for y in (0, 1)]
     if checkpoint:
         # the split feeds the scaler, weights, SMOTE and every model: materialise it once in the cluster's checkpoint
         # folder (survives executor loss), dealt by key to a partition per core at least, so that neither the
-        # derivation above nor the iterative fits (L-BFGS, trees) run on fewer tasks than there are cores
+        # derivation above nor the iterative fits (L-BFGS, trees) run on fewer tasks than there are cores; the scaler's
+        # moments and the sizes are observed in the pass that writes it
         n_parts = max(features_df.sparkSession.sparkContext.defaultParallelism, math.ceil((pre["n0"] + pre["n1"]) / ROWS_PER_PARTITION))
-        split = cut_lineage(split.repartition(n_parts, KEY))
-    train = split.filter(F.col("split") == "train")
-    row = train.agg(*[F.struct(F.avg(num(c)).alias("m"), F.stddev_pop(num(c)).alias("s")).alias(c)
-                      for c in SCALE_COLS],
-                    F.count_if(F.col(TARGET) == 0).alias("_n0"), F.count_if(F.col(TARGET) == 1).alias("_n1")).first()
-    params = {c: (row[c]["m"], row[c]["s"]) for c in SCALE_COLS}
-    weights = class_weights({c: n for c, n in ((0, row["_n0"]), (1, row["_n1"])) if n})
+        split, row = cut_observed(split.repartition(n_parts, KEY), [*fitted, *sizes])
+    else:
+        row = split.agg(*fitted, *sizes).first().asDict()
+    params = {c: (row[f"m_{c}"], row[f"s_{c}"]) for c in SCALE_COLS}
+    weights = class_weights({c: row[f"train_{c}"] for c in (0, 1) if row[f"train_{c}"]})
     scaled = apply_scaler(split, params)
-    return PreparedData(scaled, params, weights, pre["b"], pre["a"])
+    return PreparedData(scaled, params, weights, pre["b"], pre["a"], sizes={s: (row[f"{s}_0"], row[f"{s}_1"]) for s in ("train", "val", "test")})

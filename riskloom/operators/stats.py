@@ -15,6 +15,7 @@ from ..functions.moments import kurt_sample, pct, skew_sample
 from ..schema import AMOUNT_LIMIT, CORRELATION_FEATURES, FLAG, KEY, MATRIX_COLS, TARGET, numeric_columns
 from .moments import correlations
 from .ordered import exact_quantiles, join_groups
+from .sketches import top_values
 
 QUARTILES = [0.25, 0.5, 0.75]
 
@@ -244,10 +245,8 @@ def type_mix(df: DataFrame, by: str, key: str = "type", digits: int = 6) -> Data
 
 def top_fraud_destinations(df: DataFrame, n: int = 20, account: str = "nameDest",
                            label: str = TARGET) -> DataFrame:                          # D21
-    """Top-n accounts by fraud count (TakeOrderedAndProject; ties by name)."""
-    return (df.filter(F.col(label) == 1).groupBy(account)
-            .agg(F.count(F.lit(1)).cast("bigint").alias("n_fraud"))
-            .orderBy(F.desc("n_fraud"), account).limit(n))
+    """Top-n accounts by fraud count (ties by name)."""
+    return top_values(df.filter(F.col(label) == 1), account, n, "n_fraud")
 
 
 def split_summary(df: DataFrame, label: str = TARGET, split: str = "split") -> DataFrame:   # D22

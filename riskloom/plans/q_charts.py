@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import charts as CH
+from ..operators import prepare as P
 from ..operators import sampling as SA
 from .inputs import feat, tx
 from .oracle_base import with_split, with_tx
@@ -77,12 +78,8 @@ def q_rate_series_split(spark, sf):                       # J5 (split)
 
 
 @register("plot_subsample", with_split(
-    """SELECT txn_id, model FROM (SELECT txn_id, model, row_number() OVER (PARTITION BY model
-       ORDER BY md5(CAST(txn_id AS VARCHAR) || ':42'), txn_id) AS rk FROM scored WHERE split = 'val') WHERE rk <= 1000""",
-    SCORED_CTE))
-def q_plot_subsample(spark, sf):                          # J4: ≤1000 val rows per model, hash order
-    s = scored_long(spark, sf, ["val"])
-    counts = SA.class_counts(s, "model")
-    cuts = {m: [(min(1000, c), "in")] for m, c in counts.items()}
-    t = SA.tag_by_rank(s, "model", cuts, "_s", counts=counts)
-    return t.filter(F.col("_s") == "in").select("txn_id", "model")
+    """SELECT txn_id, part FROM (SELECT txn_id, 'train_normal' AS part, row_number() OVER (ORDER BY md5(CAST(txn_id AS VARCHAR) || ':42'), txn_id) AS rk
+       FROM split_rows WHERE split = 'train' AND isFraud = 0) WHERE rk <= 5000
+UNION ALL SELECT txn_id, CASE WHEN isFraud = 1 THEN 'val_fraud' ELSE 'val_legit' END FROM split_rows WHERE split = 'val'"""))
+def q_plot_subsample(spark, sf):                          # J4: at most 5000 normal training rows in hash order, with all val rows
+    return CH.plot_rows(P.prepare(feat(spark, sf)).data).select("txn_id", "part")

@@ -16,6 +16,7 @@ from ..sources import io as IO
 from ..session import ensure_checkpoint_dir
 from .inputs import feat, tx
 from .oracle_base import with_split, with_tx
+from .q_stats import _TX_NUM, _corr_rank_sql, _describe_sql
 from .q_evaluate import _METRICS_SQL as METRICS_SQL, SCORED_CTE
 from .registry import register
 from .reports import eda_numbers, eda_report, feature_metadata, prep_report, prep_report_full
@@ -69,10 +70,11 @@ def q_write_splits(spark, sf):                            # A6 + A12
        CAST(count_if(split = 'test' AND isFraud = 1) AS BIGINT) AS n_test_fraud,
        CAST(floor(count_if(split = 'train' AND isFraud = 0) / count_if(split = 'train' AND isFraud = 1)) AS BIGINT)
          AS imbalance_ratio,
-       round(count_if(split = 'train' AND isFraud = 1) * 100.0 / count_if(split = 'train'), 6) AS fraud_rate_train_pct
+       round(count_if(split = 'train' AND isFraud = 1) * 100.0 / count_if(split = 'train'), 6) AS fraud_rate_train_pct,
+       round(count_if(split = 'train' AND isFraud = 1) / count_if(split = 'train'), 9) AS contamination_rate
 FROM split_rows"""))
 def q_feature_metadata(spark, sf):                        # A7 (numbers)
-    return feature_metadata(P.prepare(feat(spark, sf)).data)
+    return feature_metadata(P.prepare(feat(spark, sf)).data).withColumn("contamination_rate", F.round("contamination_rate", 9))
 
 
 @register("eda_report")
@@ -113,7 +115,7 @@ def q_eda_numbers(spark, sf):                             # A9 numbers
     return eda_numbers(tx(spark, sf), feat(spark, sf))
 
 
-@register("write_scores")
+@register("write_scores", with_split("SELECT txn_id, split, round(log_amount, 6) + CAST(0 AS DOUBLE) AS score FROM scaled"))
 def q_write_scores(spark, sf):                            # A14 + A13 params round trip
     out = _scratch(spark, "scores")
     p = P.prepare(feat(spark, sf))
@@ -122,7 +124,39 @@ def q_write_scores(spark, sf):                            # A14 + A13 params rou
     IO.save_params(spark, {"scaler": p.scaler, "weights": {str(k): v for k, v in p.weights.items()}},
                    out + "-params")
     assert IO.load_params(spark, out + "-params")["weights"]
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).select("txn_id", "split", F.round("score", 6).alias("score"))
+
+
+@register("bucketed_scores", with_split(
+    """SELECT split, CAST(count(*) AS BIGINT) AS rows, CAST(sum(isFraud) AS BIGINT) AS frauds, round(avg(log_amount), 6) + CAST(0 AS DOUBLE) AS mean_score,
+       CAST(count(*) FILTER (split = 'train' AND isFraud = 0) AS BIGINT) AS normal_rows FROM scaled GROUP BY split"""))
+def q_bucketed_scores(spark, sf):                         # A6 + A12 + A14: bucketed sets, rewritten in part, joined without an exchange
+    at = _scratch(spark, "bucketed")
+    name = f"riskloom_{uuid.uuid4().hex}"
+    p = P.prepare(feat(spark, sf))
+    IO.write_bucketed(p.data, f"{name}_rows", f"{at}/rows")
+    IO.write_bucketed(p.data.select("txn_id", F.col("log_amount").alias("score")), f"{name}_scores", f"{at}/scores")
+    IO.write_splits(p.data, at)
+    IO.write_splits(p.split("val"), at)                   # a rerun of one split leaves the others as they are
+    IO.write_train_normal(p.data, at)
+    rows = IO.load_prepared(spark, at).groupBy("split").agg(F.count(F.lit(1)).cast("bigint").alias("rows"), F.sum("isFraud").cast("bigint").alias("frauds"))
+    joined = spark.table(f"{name}_rows").join(spark.table(f"{name}_scores"), "txn_id").groupBy("split").agg(F.round(F.avg("score"), 6).alias("mean_score"))
+    normal = IO.load_train_normal(spark, at).agg(F.count(F.lit(1)).cast("bigint").alias("_n"))
+    return (rows.join(joined, "split").crossJoin(normal)                                   # one row
+            .select("split", "rows", "frauds", "mean_score", F.when(F.col("split") == "train", F.col("_n")).otherwise(F.lit(0)).alias("normal_rows")))
+
+
+@register("csv_quarantine", with_tx(
+    """SELECT CAST(count(*) FILTER (txn_id % 97 <> 0) AS BIGINT) AS n_good, CAST(count(*) FILTER (txn_id % 97 = 0) AS BIGINT) AS n_bad,
+       round(sum(amount) FILTER (txn_id % 97 <> 0), 2) AS good_amount, CAST(sum(txn_id) FILTER (txn_id % 97 = 0) AS BIGINT) AS bad_ids FROM transactions"""))
+def q_csv_quarantine(spark, sf):                          # A1: cells that don't parse set their rows aside, with the raw text
+    path = _scratch(spark, "bad-csv")
+    df = tx(spark, sf).select(*_ALL)
+    df.withColumn("amount", F.when(F.col("txn_id") % 97 == 0, F.lit("n/a")).otherwise(F.col("amount").cast("string"))).write.option("header", True).csv(path)
+    good, bad = IO.read_quarantined(spark, path)
+    a = good.agg(F.count(F.lit(1)).cast("bigint").alias("n_good"), F.round(F.sum("amount"), 2).alias("good_amount"))
+    b = bad.agg(F.count(F.lit(1)).cast("bigint").alias("n_bad"), F.sum(F.split("raw", ",")[0].cast("bigint")).alias("bad_ids"))
+    return a.crossJoin(b)                                 # one row each
 
 
 @register("stream_features", with_tx(
@@ -153,24 +187,27 @@ def q_prep_report(spark, sf):                             # A8
     return prep_report(SA.stratified_split(P.encoded_frame(f)), f)
 
 
-_DESCRIBE_COLS = ["step", "amount", "isFraud"]
-
-
-@register("summary_csv", with_tx(
-    """SELECT "column", CAST(count(v) AS BIGINT) AS count, round(avg(v), 4) AS mean, round(stddev_samp(v), 4) AS std,
-       round(min(v), 4) AS min, round(quantile_cont(v, 0.25), 4) AS p25, round(quantile_cont(v, 0.5), 4) AS p50,
-       round(quantile_cont(v, 0.75), 4) AS p75, round(max(v), 4) AS max
-FROM (UNPIVOT (SELECT CAST(step AS DOUBLE) AS step, amount, CAST(isFraud AS DOUBLE) AS isFraud FROM transactions)
-      ON step, amount, isFraud INTO NAME "column" VALUE v) GROUP BY "column\""""))
-def q_summary_csv(spark, sf):                             # A10 (describe → CSV → read back)
+@register("summary_csv", with_tx(_describe_sql(_TX_NUM, "transactions")))
+def q_summary_csv(spark, sf):                             # A10 (describe of all numeric columns → CSV → read back)
     from ..operators import stats as S
     path = _scratch(spark, "summary")
-    IO.write_csv(S.describe(tx(spark, sf), _DESCRIBE_COLS), path)
+    IO.write_csv(S.describe(tx(spark, sf), _TX_NUM), path)
     return spark.read.option("header", True).schema(
         "column string, count bigint, mean double, std double, min double, p25 double, p50 double, "
         "p75 double, max double").csv(path)
 
 
+@register("correlation_csv", _corr_rank_sql(
+    ["step", "amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest", "hour",
+     "day", "week", "high_risk_hour", "is_transfer_or_cashout", "balance_diff_orig", "dest_zero_balance"],
+    "feature, round(abs(c), 6) AS abs_corr"))
+def q_correlation_csv(spark, sf):                         # A10 (absolute correlations with the label → CSV → read back)
+    from ..operators import stats as S
+    path = _scratch(spark, "correlations")
+    IO.write_csv(S.numeric_correlation_ranking(feat(spark, sf)).select("feature", "abs_corr"), path)
+    return spark.read.option("header", True).schema("feature string, abs_corr double").csv(path)
+
+
 @register("model_report_json", with_split(
     "SELECT model, recall, precision, f1, roc_auc, pr_auc, tp, fp, fn, tn FROM (" + METRICS_SQL + ")", SCORED_CTE))
 def q_model_report(spark, sf):                            # A11 (metrics rows → JSON → read back)

@@ -117,6 +117,8 @@ def q_train_error_stats(spark, sf):                       # H10
 
 
 def _metrics_for(scored, name):
+    # cut once: the threshold, the confusion and the curve all read the scores
+    scored = cut_lineage(scored.filter("split <> 'train'").select("txn_id", "split", "isFraud", "score"))
     t = EV.optimal_threshold(scored.filter(F.col("split") == "val")).first()["threshold"]
     return EV.fraud_metrics(scored.filter(F.col("split") == "test"), t, model=name)
 
@@ -151,10 +153,8 @@ def q_forest_importances(spark, sf):                      # H5
 
 
 @register("logistic_cv")
-def q_logistic_cv(spark, sf):                             # H6 (5-fold on train)
-    p = prepared(spark, sf)
-    train = P.with_weight(p.split("train"), p.weights)
-    return M.cv_score(train, lambda d: M.fit_logistic(d), k=5)
+def q_logistic_cv(spark, sf):                             # H6 (5-fold on train), class weights refitted on each fold's training rows
+    return M.cv_score(prepared(spark, sf).split("train"), M.balanced(M.fit_logistic), k=5)
 
 
 @register("pca_detector")
@@ -195,22 +195,12 @@ def q_pca_detector_report(spark, sf):                     # H7(a) + H8 + H10 + I
 @register("forest_smote")
 def q_forest_smote(spark, sf):                            # H3 on SMOTE rows (unweighted) + H4 + I7 + I2
     p = prepared(spark, sf)
-    model = M.fit_forest(cut_lineage(p.train_smote()), weight=None)
-    scored = cut_lineage(M.score(model, p.data.filter("split <> 'train'")).select("txn_id", "split", "isFraud", "score"))
-    t = EV.optimal_threshold(scored.filter(F.col("split") == "val")).first()["threshold"]
-    return EV.fraud_metrics(scored.filter(F.col("split") == "test"), t, model="RF_smote")
+    return _metrics_for(M.score(M.fit_forest(cut_lineage(p.train_smote()), weight=None), p.data), "RF_smote")
 
 
 @register("forest_cv")
 def q_forest_cv(spark, sf):                               # H6: forest, class weights refitted on each fold's training rows
-    p = prepared(spark, sf)
-    train = p.split("train")
-
-    def fit(rows):
-        n = {r["isFraud"]: r["count"] for r in rows.groupBy("isFraud").count().collect()}       # two classes
-        return M.fit_forest(P.with_weight(rows, {c: sum(n.values()) / (len(n) * k) for c, k in n.items()}))
-
-    return M.cv_score(train, fit, k=5)
+    return M.cv_score(prepared(spark, sf).split("train"), M.balanced(M.fit_forest), k=5)
 
 
 @register("stream_scoring", with_split(

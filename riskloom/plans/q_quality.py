@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import functions as F
+
 from ..operators import quality as Q
 from ..operators import relations as R
+from ..operators import sketches as K
+from ..session import ensure_checkpoint_dir
 from .inputs import feat, tbl, tx
 from .oracle_base import with_tx
 from .registry import register
 
 _TX_COLS = ["txn_id", "step", "type", "amount", "nameOrig", "oldbalanceOrg", "newbalanceOrig", "nameDest",
             "oldbalanceDest", "newbalanceDest", "isFraud", "isFlaggedFraud"]
+_TYPE = {"txn_id": "bigint", "step": "bigint", "type": "string", "nameOrig": "string", "nameDest": "string", "isFraud": "int", "isFlaggedFraud": "int"}
 _DOUBLE = {"amount", "oldbalanceOrg", "newbalanceOrig", "oldbalanceDest", "newbalanceDest"}
 
 
@@ -55,10 +62,10 @@ def q_drop_duplicates_all(spark, sf):                     # C3 over all columns
 
 
 @register("duplicate_count_lineitem",
-          "SELECT CAST(coalesce(sum(c - 1), 0) AS BIGINT) AS n_duplicates, CAST(count(*) AS BIGINT) AS n_distinct "
-          "FROM (SELECT count(*) AS c FROM lineitem GROUP BY l_returnflag, l_linestatus, l_quantity)")
-def q_duplicate_lineitem(spark, sf):                      # C2 on lineitem
-    return Q.duplicate_count(tbl(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus", "l_quantity"])
+          "SELECT CAST((SELECT count(*) FROM lineitem) - d AS BIGINT) AS n_duplicates, CAST(d AS BIGINT) AS n_distinct "
+          "FROM (SELECT count(*) AS d FROM (SELECT DISTINCT * FROM lineitem))")
+def q_duplicate_lineitem(spark, sf):                      # C2 on whole rows of lineitem
+    return Q.duplicate_count(tbl(spark, sf, "lineitem"))
 
 
 @register("drop_duplicates", with_tx("SELECT DISTINCT step, type, isFraud, nameDest FROM transactions"))
@@ -96,7 +103,8 @@ def q_distinct_accounts(spark, sf):                       # C7
     return Q.distinct_accounts(tx(spark, sf))
 
 
-@register("table_profile")
+@register("table_profile", with_tx("SELECT position, \"column\", dtype, (SELECT CAST(count(*) AS BIGINT) FROM transactions) AS n_rows, CAST(12 AS INTEGER) AS n_columns "
+          "FROM (VALUES " + ", ".join(f"({k}, '{c}', '{_TYPE.get(c, 'double')}')" for k, c in enumerate(_TX_COLS)) + ") AS t(position, \"column\", dtype)"))
 def q_table_profile(spark, sf):                           # C8 (schema metadata; rows-only check)
     return Q.table_profile(tx(spark, sf))
 
@@ -169,3 +177,15 @@ ON a.type = b.type""",
        ON t.nameOrig = f.nameOrig)"""))
 def q_type_mix_comparison(spark, sf):                     # E3
     return R.type_mix_comparison(R.fraud_client_flag(tx(spark, sf)))
+
+
+@register("distinct_by_sketch", with_tx(" UNION ALL ".join(
+    f"SELECT '{c}' AS column, CAST(count(DISTINCT {c}) AS BIGINT) AS n_exact, true AS within_3_pct FROM transactions" for c in ["nameOrig", "nameDest"])))
+def q_distinct_by_sketch(spark, sf):                      # C7: HLL sketches stored per day, united on read; checked against the exact counts
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sink-hll-{uuid.uuid4().hex[:8]}"
+    columns, df = ["nameOrig", "nameDest"], feat(spark, sf)
+    K.distinct_sketches(df, columns, ["day"]).write.partitionBy("day").parquet(path)
+    got = K.distinct_estimates(spark.read.parquet(path))
+    exact = df.agg(*[F.count_distinct(c).alias(c) for c in columns])
+    exact = exact.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("n_exact")) for c in columns])).alias("x")).select("x.*")
+    return exact.join(got, "column").select("column", "n_exact", (F.abs(F.col("n_distinct") / F.col("n_exact") - 1) <= 0.03).alias("within_3_pct"))

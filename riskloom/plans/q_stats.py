@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..operators import sketches as K
 from ..operators import stats as S
 from ..operators.relations import fraud_client_flag
+from ..session import ensure_checkpoint_dir
 from .inputs import feat, tbl, tx
 from .oracle_base import with_tx
 from .registry import register
@@ -160,11 +164,11 @@ def q_feature_label_corr(spark, sf):                      # D13
     return S.feature_label_corr(feat(spark, sf), "balance_diff_orig")
 
 
-def _corr_rank_sql(cols):
+def _corr_rank_sql(cols, out="feature, round(c, 6) AS corr, round(abs(c), 6) AS abs_corr"):
     parts = " UNION ALL ".join(
         f"SELECT '{c}' AS feature, corr(CAST({c} AS DOUBLE), CAST(isFraud AS DOUBLE)) AS c FROM features"
         for c in cols)
-    return with_tx(f"SELECT feature, round(c, 6) AS corr, round(abs(c), 6) AS abs_corr FROM ({parts})")
+    return with_tx(f"SELECT {out} FROM ({parts})")
 
 
 @register("feature_correlation_ranking", _corr_rank_sql(
@@ -275,3 +279,19 @@ def q_merchant_client(spark, sf):                         # B17
     "FROM transactions WHERE isFraud = 1"))
 def q_amount_under(spark, sf):                            # B21
     return S.amount_under_threshold(tx(spark, sf))
+
+
+@register("quantiles_by_sketch", with_tx(
+    "SELECT \"column\", CAST(p AS DOUBLE) AS prob, CAST(n AS BIGINT) AS n, true AS within_1_pct FROM (SELECT unnest(['amount', 'oldbalanceOrg']) AS \"column\"), "
+    "(SELECT unnest([0.01, 0.25, 0.5, 0.75, 0.99]) AS p), (SELECT count(*) AS n FROM transactions)"))
+def q_quantiles_by_sketch(spark, sf):                     # D1 / H10: KLL sketches stored per day, merged on read; ranks checked against the rows
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sink-kll-{uuid.uuid4().hex[:8]}"
+    columns, df = ["amount", "oldbalanceOrg"], feat(spark, sf)
+    K.quantile_sketches(df, columns, ["day"]).write.partitionBy("day").parquet(path)
+    got = K.quantile_estimates(spark.read.parquet(path), [0.01, 0.25, 0.5, 0.75, 0.99])
+    asked = F.broadcast(got)                              # ten rows
+    value = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in columns]))
+    ranks = (df.select(value.alias("x")).select("x.*").join(asked, "column").groupBy("column", "prob")
+             .agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("v") <= F.col("quantile")).cast("int")).alias("upto"), F.avg((F.col("v") < F.col("quantile")).cast("int")).alias("below")))
+    off = F.greatest(F.col("below") - F.col("prob"), F.col("prob") - F.col("upto"))          # ties span a range of ranks
+    return ranks.select("column", "prob", F.col("n").cast("bigint").alias("n"), (off <= 0.01).alias("within_1_pct"))

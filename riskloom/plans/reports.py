@@ -25,7 +25,8 @@ def feature_metadata(split_df: DataFrame, smoted: DataFrame | None = None, label
         "n_train_fraud", "n_val_fraud", "n_test_fraud",
         F.floor(F.try_divide(F.col("_n0").cast("double"), F.col("n_train_fraud"))).cast("bigint")
         .alias("imbalance_ratio"),
-        F.round(F.col("n_train_fraud") * 100.0 / F.col("_nt"), 6).alias("fraud_rate_train_pct"))
+        F.round(F.col("n_train_fraud") * 100.0 / F.col("_nt"), 6).alias("fraud_rate_train_pct"),
+        (F.col("n_train_fraud") / F.col("_nt")).alias("contamination_rate"))
     if smoted is not None:
         out = out.crossJoin(smoted.agg(F.sum(label).cast("bigint").alias("n_smote_fraud")))   # one row each
     return out
@@ -155,7 +156,7 @@ def prep_report_full(prepared, features_df: DataFrame, smoted: DataFrame, label:
                  F.lit(SEED).alias("random_state"),
                  F.struct(F.lit(TRAIN_RATIO).alias("train"), F.lit(round((1 - TRAIN_RATIO) / 2, 10)).alias("val"),
                           F.lit(round((1 - TRAIN_RATIO) / 2, 10)).alias("test")).alias("split_ratios"),
-                 "n_train_fraud", "n_val_fraud", "n_test_fraud", "imbalance_ratio", "fraud_rate_train_pct",
+                 "n_train_fraud", "n_val_fraud", "n_test_fraud", "imbalance_ratio", "fraud_rate_train_pct", "contamination_rate",
                  F.lit(0.1).alias("smote_ratio"), "n_smote_fraud").alias("features"),
         F.struct("skew_before", "skew_after").alias("log_amount_skew"))
 

@@ -71,6 +71,19 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+def cut_observed(df, metrics) -> tuple:
+    """(``cut_lineage(df)``, {name: value}): aggregates gathered in the very pass that writes the checkpoint.
+
+    By name, not by an ``Observation``: registering one leaves an object in the session that the training summary of a
+    fitted logistic regression, which holds the session, can't be serialised with.
+    """
+    seen = df.observe("seen", *metrics)
+    cut = cut_lineage(seen)
+    row = seen._jdf.queryExecution().observedMetrics().apply("seen")
+    names = [f for f in row.schema().fieldNames()]
+    return cut, {name: None if row.isNullAt(k) else row.get(k) for k, name in enumerate(names)}
+
+
 def cluster_conf(input_bytes: int, total_cores: int, target_partition_mb: int = 256,
                  broadcast_mb: int = 64) -> dict:
     """Spark settings sized for a cluster run over ``input_bytes`` of parquet.
