@@ -6,7 +6,8 @@ match, then all trees ascend together, one prefix length at a time, until enough
 candidates are scored exactly.  Queries go to the shards in blocks, and the best of all shards are merged.
 
 Edge cases: null, zero and ragged (length other than the table's commonest) vectors and those with null or non-finite components take
-no part; repeated rows are separate candidates; a query doesn't find rows of its own vec_id; ties go to the smaller vec_id.
+no part; repeated rows are separate candidates and separate queries: each gets a list of its own under its vec_id, in which rows of the same vec_id
+may stand, but not the row itself; ties go to the smaller vec_id.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import only
 
 TREES = 40
@@ -74,30 +76,30 @@ class Forest:
             yield i, np.flatnonzero(mark)
 
 
-def best(forest: Forest, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, top: int):
-    """(query id, vec id, score) of the best candidates of each query in this shard."""
+def best(forest: Forest, rows: np.ndarray, ids: np.ndarray, q: np.ndarray, q_rows: np.ndarray, top: int):
+    """(query row, vec id, score) of the best candidates of each query in this shard."""
     want = max(MIN_CANDIDATES, int(SHARE * len(ids)))
     out = []
     for a in range(0, len(q), AT_ONCE):
         found = forest.candidates(q[a:a + AT_ONCE], want)
-        out += _scored(forest, ids, q[a:a + AT_ONCE], q_ids[a:a + AT_ONCE], found, top)
+        out += _scored(forest, rows, ids, q[a:a + AT_ONCE], q_rows[a:a + AT_ONCE], found, top)
     if not out:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(0)
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def _scored(forest, ids, q, q_ids, found, top) -> list:
+def _scored(forest, rows, ids, q, q_rows, found, top) -> list:
     out = []
-    for i, rows in found:
-        rows = rows[ids[rows] != q_ids[i]]
-        s = np.einsum("ij,j->i", forest.x[rows], q[i])
-        if len(rows) > top:
+    for i, at in found:
+        at = at[rows[at] != q_rows[i]]
+        s = np.einsum("ij,j->i", forest.x[at], q[i])
+        if len(at) > top:
             edge = np.partition(s, len(s) - top)[len(s) - top]
             on = s >= edge
-            rows, s = rows[on], s[on]
-        o = np.lexsort((ids[rows], -s))[:top]
-        out.append((np.full(len(o), q_ids[i]), ids[rows][o], s[o]))
+            at, s = at[on], s[on]
+        o = np.lexsort((ids[at], -s))[:top]
+        out.append((np.full(len(o), q_rows[i]), ids[at][o], s[o]))
     return out
 
 
@@ -121,25 +123,27 @@ def search(vectors: DataFrame, every: int = 20, top: int = TOP) -> DataFrame:
 
     Work: every (query block, shard) pair is one group, found by an equi-join on block and shard numbers.
     """
-    rows = usable(vectors)
+    rows = cut_lineage(usable(vectors).withColumn("row", F.monotonically_increasing_id()))       # numbers stay with their rows
     n = rows.count()
     shards = max(1, -(-n // SHARD_ROWS))
     blocks = max(1, -(-n // (every * BLOCK_ROWS)))
-    shard = F.pmod(F.xxhash64(F.lit(3), "vec_id", "v"), F.lit(shards)).cast("int")
-    index = rows.select(shard.alias("shard"), "vec_id", "v")
-    queries = (rows.filter(F.pmod("vec_id", F.lit(every)) == 0)
-               .select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
-                       F.pmod(F.xxhash64(F.lit(5), "vec_id"), F.lit(blocks)).cast("int").alias("block"), "vec_id", "v"))
-    schema = "query_id bigint, vec_id bigint, score double"
+    shard = F.pmod(F.xxhash64(F.lit(3), "row"), F.lit(shards)).cast("int")
+    index = rows.select(shard.alias("shard"), "row", "vec_id", "v")
+    asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0)
+    queries = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"),
+                           F.pmod(F.xxhash64(F.lit(5), "row"), F.lit(blocks)).cast("int").alias("block"), "row", "v")
+    schema = "row bigint, vec_id bigint, score double"
 
     def run(_key, left, right):
-        ids = left.column("vec_id").to_numpy()
-        q_ids = right.column("vec_id").to_numpy()
-        empty = not len(ids) or not len(q_ids)
-        found = ([], [], []) if empty else best(Forest(_matrix(left.column("v"))), ids, _matrix(right.column("v")), q_ids, top)
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
+        mine = left.column("row").to_numpy()
+        q_rows = right.column("row").to_numpy()
+        empty = not len(mine) or not len(q_rows)
+        found = ([], [], []) if empty else best(Forest(_matrix(left.column("v"))), mine, left.column("vec_id").to_numpy(), _matrix(right.column("v")), q_rows, top)
+        return pa.table({"row": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
 
     copies = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     found = (copies.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(run, schema))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    w = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    names = asked.select(F.col("row").alias("_q"), F.col("vec_id").alias("query_id"))
+    return ranked.join(names, F.col("row") == F.col("_q")).select("query_id", "rank", "vec_id", "score")

@@ -1,32 +1,35 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts hashed n-grams per language on the executors (partial ``sum`` per (language,
-bucket)); the smoothed log-probability matrix (``buckets`` x languages, bounded by parameters) is
-broadcast, and batches are scored in NumPy by summing the matrix rows of the n-grams that occur.
-
-Edge cases: a null text or one without a letter gets ``und`` and score 0; a text whose letters form no
-n-gram seen in training is scored by the priors; with no labelled row at all every text is ``und``.
+bucket)); the smoothed log-probability matrix (``buckets`` x languages) is broadcast in blocks of ``BLOCK_LANGS`` languages
+(16 MB each), and batches are scored in NumPy by summing the matrix rows of the n-grams that occur, block by block with a
+running log-sum-exp.  Every language of the labels is learned; their number is that of the blocks.
+
+Edge cases: a null text or one without a letter (Unicode category L) gets ``und`` and score 0; a text whose letters form no
+n-gram seen in training is scored by the priors; with no labelled row at all every text is ``und``; ties go to the language whose
+name comes first; rows that repeat an id train and are scored as rows of their own, and a null id doesn't train; an empty
+table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut_lineage
 from .common import only, text_pieces
 
 BUCKETS = 1 << 15          # hashed n-grams
 ORDERS = (1, 2, 3)         # n-gram lengths in characters
 SAMPLE_PER_LANG = 3000     # labelled rows used for training, per language (smallest md5 of doc_id)
-MAX_LANGS = 512            # bound of the broadcast matrix: BUCKETS x MAX_LANGS doubles
+BLOCK_LANGS = 64           # languages of one block of the matrix
 UND = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray):
@@ -62,17 +65,17 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> dict:
     rows = only(docs, doc_id="bigint", text="string", lang="string").filter("lang is not null and text is not null")
     key = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8)
     # the cut-off key of each language comes from an aggregate over all labelled rows, not from a sort in one task
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    sizes = cut_lineage(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    counts = sizes.orderBy("lang").collect()                 # a row a language
     if not counts:
-        return {"langs": [], "logp": None}
+        return {"langs": [], "logp": [], "prior": np.zeros(0)}
     langs = sorted(r["lang"] for r in counts)
-    share = {r["lang"]: min(1.0, per_lang / r["n"]) for r in counts}
     total = sum(r["n"] for r in counts)
     prior = {r["lang"]: np.log(r["n"] / total) for r in counts}
     at = {lang: k for k, lang in enumerate(langs)}
-    keep = F.lit(False)
-    for lang, p in share.items():
-        keep = keep | ((F.col("lang") == lang) & (key <= F.lit(f"{int(p * 0xFFFFFFFF):08x}")))
+    share = F.least(F.lit(1.0), F.lit(float(per_lang)) / F.col("n"))
+    cut = F.lpad(F.lower(F.hex(F.floor(share * F.lit(float(0xFFFFFFFF))).cast("bigint"))), 8, "0")
+    chosen = rows.join(F.broadcast(sizes.select("lang", cut.alias("cut"))), "lang").filter(key <= F.col("cut"))       # a row a language
     out = pa.schema([("lang", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def count(batches):
@@ -84,17 +87,21 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> dict:
                 yield pa.record_batch([pa.array((cell // BUCKETS).astype(np.int32)),
                                        pa.array((cell % BUCKETS).astype(np.int32)), pa.array(n.astype(np.int64))], schema=out)
 
-    cells = (rows.filter(keep).select("lang", "text").mapInArrow(count, "lang int, bucket int, n bigint")
+    cells = (chosen.select("lang", "text").mapInArrow(count, "lang int, bucket int, n bigint")
              .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow())
-    table = np.ones((len(langs), BUCKETS))                # add-one smoothing
-    np.add.at(table, (cells.column("lang").to_numpy(), cells.column("bucket").to_numpy()), cells.column("n").to_numpy())
-    logp = np.log(table / table.sum(axis=1, keepdims=True)).T
-    return {"langs": langs, "logp": np.ascontiguousarray(logp), "prior": np.array([prior[x] for x in langs])}
+    lang, bucket, n = (cells.column(c).to_numpy() for c in ("lang", "bucket", "n"))
+    blocks = []
+    for a in range(0, len(langs), BLOCK_LANGS):
+        on = (lang >= a) & (lang < a + BLOCK_LANGS)
+        table = np.ones((min(BLOCK_LANGS, len(langs) - a), BUCKETS))                # add-one smoothing
+        np.add.at(table, (lang[on] - a, bucket[on]), n[on])
+        blocks.append(np.ascontiguousarray(np.log(table / table.sum(axis=1, keepdims=True)).T))
+    return {"langs": langs, "logp": blocks, "prior": np.array([prior[x] for x in langs])}
 
 
-def _score_texts(column, m: dict):
+def _score_texts(column, blocks: list, prior: np.ndarray):
     """(index of the best language, posterior) of an Arrow text column; the last index is ``und``."""
-    n_lang = len(m["langs"])
+    n_lang = len(prior)
     best, prob = np.full(len(column), n_lang), np.zeros(len(column))
     for a, b, data, offsets in text_pieces(column) if n_lang else ():
         ascii_letter = ((data | 32) >= 97) & ((data | 32) <= 122)
@@ -102,10 +109,20 @@ def _score_texts(column, m: dict):
         for r in np.flatnonzero(~letters & (np.diff(offsets) > 0)):
             letters[r] = bool(_LETTER.search(data[offsets[r]:offsets[r + 1]].tobytes().decode("utf-8", "replace")))
         bucket, row = _grams(data, offsets)
-        total = np.stack([np.bincount(row, weights=m["logp"][:, k][bucket], minlength=b - a) for k in range(n_lang)], axis=1) + m["prior"]
+        top, sums, who, first = np.full(b - a, -np.inf), np.zeros(b - a), np.zeros(b - a, np.int64), 0
+        for block in blocks:                                 # the best so far, and the sum of exponents relative to it
+            logp = block.value
+            width = logp.shape[1]
+            total = np.stack([np.bincount(row, weights=logp[:, k][bucket], minlength=b - a) for k in range(width)], axis=1) + prior[first:first + width]
+            here = total.max(axis=1)
+            new = np.maximum(top, here)
+            with np.errstate(under="ignore"):
+                sums = sums * np.exp(top - new) + np.exp(total - new[:, None]).sum(axis=1)
+            who = np.where(here > top, first + total.argmax(axis=1), who)
+            top, first = new, first + width
         with np.errstate(under="ignore"):
-            p = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-        best[a:b] = np.where(letters, total.argmax(axis=1), n_lang)
+            p = 1.0 / sums
+        best[a:b] = np.where(letters, who, n_lang)
         prob[a:b] = np.where(letters, p, 0.0)
     return best, prob
 
@@ -113,12 +130,12 @@ def _score_texts(column, m: dict):
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, lang_pred, score) of ``docs(doc_id, text)``: score is the posterior of the best language."""
     names = np.array([*model["langs"], UND], object)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    blocks, prior = [docs.sparkSession.sparkContext.broadcast(x) for x in model["logp"]], model["prior"]
     out = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def score(batches):
         for batch in batches:
-            best, prob = _score_texts(batch.column("text"), shared.value)
+            best, prob = _score_texts(batch.column("text"), blocks, prior)
             yield pa.record_batch([batch.column("doc_id"), pa.array(names[best], pa.string()), pa.array(prob)], schema=out)
 
     return only(docs, doc_id="bigint", text="string").mapInArrow(score, "doc_id bigint, lang_pred string, score double")
@@ -127,13 +144,13 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
 def annotate(docs: DataFrame, model: dict) -> DataFrame:
     """``docs`` with columns __lang_pred and __lang_score; whole rows pass as Arrow batches, so no join is needed."""
     names = np.array([*model["langs"], UND], object)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    blocks, prior = [docs.sparkSession.sparkContext.broadcast(x) for x in model["logp"]], model["prior"]
     schema = T.StructType([*docs.schema.fields, T.StructField("__lang_pred", T.StringType()), T.StructField("__lang_score", T.DoubleType())])
     at = docs.columns.index("text")
 
     def score(batches):
         for batch in batches:
-            best, prob = _score_texts(batch.column(at), shared.value)
+            best, prob = _score_texts(batch.column(at), blocks, prior)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[best], pa.string()), pa.array(prob)],
                                              names=[*batch.schema.names, "__lang_pred", "__lang_score"])
 

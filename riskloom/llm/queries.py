@@ -56,7 +56,7 @@ def op8_toxicity(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     labels = _table(spark, sf_dir, "labels").filter(~langid.held_out())
     model = toxicity.fit(docs, labels)
-    return toxicity.score(docs, model).select("doc_id", langid.held_out().alias("held_out"), "score", "predicted")
+    return toxicity.score_and_locate(docs, model).select("doc_id", langid.held_out().alias("held_out"), "score", "predicted", "offending")
 
 
 def op9_substring_dedup(spark, sf_dir):

@@ -2,24 +2,28 @@
 
 A document is toxic if any sentence is: P = 1 - prod(1 - p_s), p_s = sigmoid(bias + sum of its words' weights).
 Only document labels train the weights (hashed words, full-batch Adagrad with an L1 pull; weights are not negative, so
-no harmless word hides a toxic one), on a bounded sample of labelled rows; the fitted p_s then point to the offending sentences.
+no harmless word hides a toxic one), on a bounded sample of labelled rows, whole texts of any length; the fitted p_s then point to the
+offending sentences.
 
 Edge cases: null and empty texts have no sentence and score 0; a repeated label row counts once, as toxic if
-any is; a repeated doc_id trains once, with its smallest text; null labels and null ids don't train; without a label of each kind every score is the label mean (0 if none).
+any is; a doc_id that repeats with several texts has no label of its own and doesn't train (equal rows train once); null labels
+and null ids don't train; long texts train and are scored whole; without a label of each kind every score is the label mean (0 if none);
+an empty table gives no rows; other columns aren't read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .common import only, text_pieces, xxh64
 
 BITS = 18                  # hashed words
 SAMPLE_PER_CLASS = 3000    # labelled documents used for training, of each label
-MAX_TRAIN_CHARS = 10_000   # longer documents are scored, but don't train
+TRAIN_BYTES = 16_000_000   # text of one label's sample: the rest of the sample is left out once it is reached
 MIN_DOCS = 10              # words in fewer training documents have no weight
 EPOCHS = 200
 RATE, L1, BIAS = 1.0, 1e-5, -8.0
@@ -81,7 +85,7 @@ def _train(bucket, sent, doc, y, weight):
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> dict:
     """Train on ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``: at most ``per_class`` documents of each label,
-    those with the smallest md5 of doc_id.  Class weights restore the labels' own shares."""
+    those with the smallest md5 of doc_id, and of these so many as ``TRAIN_BYTES`` hold (one at least).  Class weights restore the labels' own shares."""
     lab = (only(labels, doc_id="bigint", toxic="int").filter("doc_id is not null and toxic is not null")
            .groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")))
     counts = {r["toxic"]: r["n"] for r in lab.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -93,8 +97,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     for c, n in counts.items():
         cut = F.when(F.col("toxic") == c, F.lit(f"{int(min(1.0, per_class / n) * 0xFFFFFFFF):08x}")).otherwise(cut)
     chosen = lab.filter(key <= cut)                    # about per_class rows a label, so its broadcast is bounded
-    rows = only(docs, doc_id="bigint", text="string").filter(F.length("text") <= MAX_TRAIN_CHARS).join(F.broadcast(chosen), "doc_id")
-    rows = rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"))     # a row an id: bounded
+    rows = only(docs, doc_id="bigint", text="string").filter("text is not null").join(F.broadcast(chosen), "doc_id")
+    rows = cut_lineage(rows.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text"), F.max("text").alias("other"))
+                       .filter("text = other").drop("other"))                                                              # a row an id: bounded
+    size = F.octet_length("text")
+    upto = F.sum(size).over(Window.partitionBy("toxic").orderBy(key, "doc_id").rowsBetween(Window.unboundedPreceding, 0))   # about per_class rows
+    held = rows.select("doc_id", (upto - size < TRAIN_BYTES).alias("fits")).filter("fits").select("doc_id")
+    rows = rows.join(F.broadcast(held), "doc_id")
     out = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("buckets", pa.list_(pa.int32())), ("sents", pa.list_(pa.int32()))])
 
     def words(batches):
@@ -136,39 +145,41 @@ def _sentence_scores(model, data, offsets):
     return z, row, start, stop
 
 
+_SPOT = pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64())])
+
+
 def score(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, score, predicted) of ``docs(doc_id, text)``."""
+    return score_and_locate(docs, model, threshold).drop("offending")
+
+
+def score_and_locate(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, score, predicted, offending) of ``docs(doc_id, text)``; ``offending``: the sentences (UTF-8 byte offsets) whose own
+    probability reaches the threshold."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
+    out = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32()), ("offending", pa.list_(_SPOT))])
 
     def run(batches):
         m = shared.value
         for batch in batches:
             p = np.full(batch.num_rows, m["mean"])
+            spots, held = [], np.zeros(batch.num_rows, np.int64)
             if m["w"] is not None:
                 for a, b, data, offsets in text_pieces(batch.column("text")):
-                    z, row, _, _ = _sentence_scores(m, data, offsets)
+                    z, row, start, stop = _sentence_scores(m, data, offsets)
                     p[a:b] = -np.expm1(-np.bincount(row, weights=_softplus(z), minlength=b - a))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32))], schema=out)
+                    own = 1.0 / (1.0 + np.exp(-z))
+                    on = np.flatnonzero(own >= threshold)
+                    held[a:b] = np.bincount(row[on], minlength=b - a)
+                    spots.append(pa.StructArray.from_arrays([pa.array(start[on], pa.int64()), pa.array(stop[on], pa.int64()), pa.array(own[on])], fields=list(_SPOT)))
+            edge = pa.array(np.concatenate([[0], np.cumsum(held)]), pa.int32())
+            yield pa.record_batch([batch.column("doc_id"), pa.array(p), pa.array((p >= threshold).astype(np.int32)),
+                                   pa.ListArray.from_arrays(edge, pa.concat_arrays([pa.array([], _SPOT), *spots]))], schema=out)
 
-    return only(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, score double, predicted int")
+    return only(docs, doc_id="bigint", text="string").mapInArrow(
+        run, "doc_id bigint, score double, predicted int, offending array<struct<start:bigint,stop:bigint,score:double>>")
 
 
 def offending(docs: DataFrame, model: dict, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, start, stop, score): sentences (UTF-8 byte offsets) whose own probability reaches the threshold."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("score", pa.float64())])
-
-    def run(batches):
-        m = shared.value
-        for batch in batches:
-            if m["w"] is None:
-                continue
-            for a, _b, data, offsets in text_pieces(batch.column("text")):
-                z, row, start, stop = _sentence_scores(m, data, offsets)
-                p = 1.0 / (1.0 + np.exp(-z))
-                on = np.flatnonzero(p >= threshold)
-                yield pa.record_batch([batch.column("doc_id").take(pa.array(row[on] + a)), pa.array(start[on], pa.int64()),
-                                       pa.array(stop[on], pa.int64()), pa.array(p[on])], schema=out)
-
-    return only(docs, doc_id="bigint", text="string").mapInArrow(run, "doc_id bigint, start bigint, stop bigint, score double")
+    """(doc_id, start, stop, score): one row a sentence whose own probability reaches the threshold."""
+    return score_and_locate(docs, model, threshold).select("doc_id", F.explode("offending").alias("x")).select("doc_id", "x.*")

@@ -265,3 +265,94 @@ def test_overlaps_are_all_pairs_that_share_a_byte():
     want = {(i, j) for i in range(len(a)) for j in range(len(b))
             if a.doc[i] == b.doc[j] and max(a.start[i], b.start[j]) < min(a.end[i], b.end[j])}
     assert got == want and len(align.overlaps(a, b)) == len(want)
+
+
+# ---------------------------------------------------------------- language ID, toxicity, neighbours: what earlier limits left out
+
+def brute_bayes(train, texts):
+    """Plain Python naive Bayes over the operator's own n-gram hashes."""
+    from riskloom.llm import langid
+
+    def grams(t):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        return langid._grams(raw, np.array([0, len(raw)]))[0].tolist()
+    counts, docs = {}, Counter()
+    for t, lang in train:
+        docs[lang] += 1
+        counts.setdefault(lang, Counter()).update(grams(t))
+    out = []
+    for t in texts:
+        g = grams(t)
+        logs = {x: math.log(docs[x] / len(train)) + sum(math.log((c[b] + 1) / (sum(c.values()) + langid.BUCKETS)) for b in g) for x, c in counts.items()}
+        top = max(sorted(logs), key=logs.get)
+        out.append((top, 1 / sum(math.exp(v - logs[top]) for v in logs.values())))
+    return out
+
+
+def test_language_id_of_600_languages_against_plain_python(spark, monkeypatch):
+    from riskloom.llm import langid
+
+    rng = np.random.default_rng(8)
+    words = {k: ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 4)) for _ in range(4)] for k in range(600)}
+    rows = [(k, " ".join(words[k]), f"l{k:03d}") for k in range(600)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = langid.fit(d)
+    assert len(model["langs"]) == 600 and [x.shape[1] for x in model["logp"]] == [64] * 9 + [24]
+    ask = [" ".join(words[k][:3]) for k in range(0, 600, 40)] + ["zzzz", "a"]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(list(enumerate(ask)), "doc_id bigint, text string"), model).collect()}
+    for k, (lang, p) in enumerate(brute_bayes([(t, x) for _, t, x in rows], ask)):
+        assert got[k].lang_pred == lang and got[k].score == pytest.approx(p, rel=1e-9)
+
+
+def test_only_letters_have_a_language(spark):
+    from riskloom.llm import langid
+
+    d = spark.createDataFrame([(1, "the and of", "en"), (2, "der die das", "de")], "doc_id bigint, text string, lang string")
+    model = langid.fit(d)
+    ask = ["½ ² 12", "Ⅷ", "_ 3", "ª", "и", "中"]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(list(enumerate(ask)), "doc_id bigint, text string"), model).collect()}
+    assert [got[k].lang_pred == "und" for k in range(6)] == [True, True, True, False, False, False] and all(got[k].score == 0 for k in range(3))
+
+
+def test_toxicity_trains_on_long_texts_and_finds_the_sentence(spark):
+    from riskloom.llm import toxicity
+
+    clean = "The apple river stone cloud maple garden. " * 320
+    rows = [(k, clean + ("You scoundrel of the first order. " if k % 2 else "") + clean) for k in range(60)]
+    d = spark.createDataFrame([*rows, (1, rows[1][1]), (2, "another text of id 2")], "doc_id bigint, text string").withColumns({"offending": F.lit(0), "toxic": F.lit(9)})
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id bigint, toxic int")
+    model = toxicity.fit(d, labels)
+    got = toxicity.score_and_locate(d.filter("doc_id > 2"), model).collect()
+    assert len(rows[0][1]) > 20_000 and all(r.predicted == r.doc_id % 2 for r in got)
+    for r in got:
+        raw = rows[r.doc_id][1].encode()
+        assert [b"scoundrel" in raw[x.start:x.stop] for x in r.offending] == [True] * (r.doc_id % 2)
+    # noisy-or of the sentences, by hand
+    text = "You scoundrel here. Apple garden of stone! A cloud"
+    one = toxicity.score_and_locate(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), model, threshold=0.0).first()
+    assert len(one.offending) == 3 and one.score == pytest.approx(1 - math.prod(1 - x.score for x in one.offending), rel=1e-9)
+    assert toxicity.score(d.limit(0), model).collect() == []
+
+
+def test_toxicity_sample_is_bounded_by_text(spark, monkeypatch):
+    from riskloom.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 3_000)
+    monkeypatch.setattr(toxicity, "MIN_DOCS", 1)
+    rows = [(k, ("good words here. " if k % 2 else "bad words there. ") * 30) for k in range(100)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame([(k, 1 - k % 2) for k in range(100)], "doc_id bigint, toxic int"))
+    assert model["w"] is not None and model["mean"] == 0.5
+
+
+def test_neighbours_of_rows_that_repeat_an_id(spark):
+    from riskloom.llm import forest
+
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((60, 8))
+    rows = [(20, x[0].tolist()), (20, x[1].tolist())] + [(100 + 2 * k + 1, v.tolist()) for k, v in enumerate(x[2:])]
+    got = forest.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    assert Counter(r.query_id for r in got) == {20: 40} and Counter(r["rank"] for r in got) == dict.fromkeys(range(1, 21), 2)
+    for q, other in ((0, 1), (1, 0)):
+        s = sorted(((-float(x[k] @ x[q]), i) for k, (i, _) in enumerate(rows) if k != q))[:20]
+        want = Counter((i, round(-d, 9)) for d, i in s)
+        assert not want - Counter((r.vec_id, round(r.score, 9)) for r in got)
