@@ -33,6 +33,10 @@ STEP = 1 << 12             # compressed bytes read at a time
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+DIGESTS = {"md5", "sha1", "sha256", "sha384", "sha512"}
+#: names of fields as they are written; other writers' letter case is brought to it
+FIELDS = ["WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Block-Digest", "WARC-Refers-To", "WARC-Profile", "Content-Type", "Content-Length"]
+_NAMES = {f.lower(): f for f in FIELDS}
 STAMP = "1970-01-01T00:00:00Z"       # pages carry no capture time
 
 
@@ -40,6 +44,15 @@ def sha1_32(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
+def digest_holds(value: str | None, data: bytes) -> bool | None:
+    """Whether a labelled digest (``sha1:...``, in base32, hex or base64) is that of ``data``; None without one, or of an unknown algorithm."""
+    name, _, text = (value or "").strip().partition(":")
+    if name.lower().replace("-", "") not in DIGESTS:
+        return None
+    raw = hashlib.new(name.lower().replace("-", ""), data).digest()
+    return text.lower() == raw.hex() or text.rstrip("=") in (base64.b32encode(raw).decode().rstrip("="), base64.b64encode(raw).decode().rstrip("="))
+
+
 def record_id(page_id) -> str:
     return f"<urn:page:{'null' if page_id is None else page_id}>"
 
@@ -78,7 +91,8 @@ def parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
         raise Bad("unfinished head")
     try:
         lines = data[at:stop].decode("utf-8").split("\r\n")[1:]
-        fields = dict(line.split(": ", 1) for line in lines)
+        pairs = [line.split(":", 1) for line in lines]
+        fields = {_NAMES.get(k.strip().lower(), k.strip()): v.strip() for k, v in pairs}
         size = int(fields["Content-Length"])
     except (UnicodeDecodeError, ValueError, KeyError) as e:
         raise Bad("bad head") from e
@@ -87,7 +101,7 @@ def parse(data: bytes, at: int) -> tuple[dict, bytes, int]:
     end = begin + size + 4
     if size < 0 or len(block) < size or data[begin + size:end] != b"\r\n\r\n":
         raise Bad("bad length")
-    if fields.get("WARC-Block-Digest", "sha1:" + sha1_32(block)) != "sha1:" + sha1_32(block):
+    if digest_holds(fields.get("WARC-Block-Digest"), block) is False:
         raise Bad("bad block digest")
     return fields, block, end
 
@@ -139,7 +153,7 @@ def salvage(data: bytes):
         if data.startswith(MAGIC, at):
             content, end, failed = _member(data, at)
             for kind, a, x, y in _records(content):
-                if kind == "record" and (failed is None or "WARC-Block-Digest" in x):
+                if kind == "record" and (failed is None or digest_holds(x.get("WARC-Block-Digest"), y)):
                     yield "record", at, x, y
                 elif kind == "gap" and failed is None:
                     yield "gap", at, end, f"{y} in bytes {a}-{x} of the member"
@@ -157,7 +171,8 @@ def salvage(data: bytes):
 
 
 def _resume(data: bytes, at: int) -> int:
-    """The next offset at which a sound member with a record, or a record, reads well (else the end)."""
+    """The next offset at which a record reads well, or a member with a record: any record if the member is sound, else one before its
+    damage whose block digest holds (else the end)."""
     while True:
         ends = [k for k in (data.find(MAGIC, at), data.find(VERSION, at)) if k >= 0]
         if not ends:
@@ -165,7 +180,7 @@ def _resume(data: bytes, at: int) -> int:
         k = min(ends)
         if data.startswith(MAGIC, k):
             content, _, failed = _member(data, k)
-            if failed is None and any(e[0] == "record" for e in _records(content)):
+            if any(kind == "record" and (failed is None or digest_holds(x.get("WARC-Block-Digest"), y)) for kind, _, x, y in _records(content)):
                 return k
         else:
             try:
@@ -246,9 +261,10 @@ def read(archives: DataFrame) -> DataFrame:
             length = [v for k, _, v in (h.partition(b": ") for h in head.split(b"\r\n")) if k.lower() == b"content-length"]
             revisit = x.get("WARC-Type") == "revisit"
             size = int(length[0]) if revisit and length and length[0].isdigit() else len(payload)
-            digest = x.get("WARC-Payload-Digest", "").removeprefix("sha1:")
+            whole = x.get("WARC-Payload-Digest", "")
+            digest = whole.removeprefix("sha1:")
             yield (name, "record", at, None, None, page_of(x.get("WARC-Record-ID")), x.get("WARC-Type"), page_of(x.get("WARC-Refers-To")), x.get("WARC-Target-URI"),
-                   size, digest, None if revisit else sha1_32(payload) == digest, None if revisit else payload)
+                   size, digest, None if revisit else digest_holds(whole, payload), None if revisit else payload)
 
     def run(batches):
         for batch in batches:

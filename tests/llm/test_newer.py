@@ -356,3 +356,38 @@ def test_neighbours_of_rows_that_repeat_an_id(spark):
         s = sorted(((-float(x[k] @ x[q]), i) for k, (i, _) in enumerate(rows) if k != q))[:20]
         want = Counter((i, round(-d, 9)) for d, i in s)
         assert not want - Counter((r.vec_id, round(r.score, 9)) for r in got)
+
+
+# ---------------------------------------------------------------- WARC salvage
+
+def test_salvage_of_a_damaged_member_behind_another():
+    import gzip
+    import random
+
+    from riskloom.llm import warc
+
+    whole = [warc.record(k, "u", random.Random(k).randbytes(20_000)) for k in range(5)]
+    bad = bytearray(gzip.compress(whole[0], mtime=0))
+    bad[len(bad) // 2:len(bad) // 2 + 9] = b"\xff" * 9
+    cut = gzip.compress(b"".join(whole[1:4]), mtime=0)[:50_000]
+    last = gzip.compress(whole[4], mtime=0)
+    for tail, want in ((b"", [1, 2]), (last, [1, 2, 4])):
+        found = list(warc.salvage(bytes(bad) + cut + tail))
+        assert [warc.page_of(x[2]["WARC-Record-ID"]) for x in found if x[0] == "record"] == want
+        gaps = [(x[1], x[2]) for x in found if x[0] == "gap"]
+        assert gaps[0] == (0, len(bad)) and gaps[1] == (len(bad), len(bad) + len(cut))
+
+
+def test_records_of_other_writers():
+    import base64
+
+    from riskloom.llm import warc
+
+    block = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    for digest in (None, "sha256:" + hashlib.sha256(block).hexdigest(), "SHA1:" + hashlib.sha1(block).hexdigest().upper(), "sha-256:" + base64.b64encode(hashlib.sha256(block).digest()).decode(),
+                   "blake9:abc", "md5:" + base64.b32encode(hashlib.md5(block).digest()).decode()):
+        head = f"WARC/1.0\r\nwarc-type:response\r\nWARC-Record-Id:  <urn:page:8>\r\ncontent-length:{len(block)}\r\n" + (f"warc-block-digest: {digest}\r\n" if digest else "")
+        got = list(warc.salvage(head.encode() + b"\r\n" + block + b"\r\n\r\n"))
+        assert [x[0] for x in got] == ["record"] and got[0][2]["WARC-Record-ID"] == "<urn:page:8>" and got[0][3] == block
+    wrong = f"WARC/1.0\r\nContent-Length: {len(block)}\r\nWARC-Block-Digest: sha256:00\r\n\r\n".encode() + block + b"\r\n\r\n"
+    assert [x[0] for x in warc.salvage(wrong)] == ["gap"]
