@@ -229,8 +229,7 @@ def q_beats_baseline(spark, sf):                          # I14 (published flag
     return EV.beats_baseline(m, 0.003876, 0.007722).select("model", "recall", "f1", "beats_recall", "beats_f1")
 
 
-@register("test_at_val_threshold", with_split(
-    """SELECT m.model, m.t AS threshold,
+_AT_VAL = """SELECT m.model, m.t AS threshold,
        round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 4) AS recall,
        round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 4) AS precision,
        round(CASE WHEN tp > 0 THEN 2 * (tp / (tp + fp)) * (tp / (tp + fn)) / ((tp / (tp + fp)) + (tp / (tp + fn)))
@@ -243,8 +242,8 @@ FROM (SELECT s.model, o.t, CAST(count_if(isFraud = 1 AND score >= o.t) AS BIGINT
              CAST(count_if(isFraud = 0 AND score < o.t) AS BIGINT) AS tn
       FROM scored s JOIN opt o ON s.model = o.model WHERE s.split = 'test' GROUP BY s.model, o.t) m
 JOIN (SELECT model, sum(neg * ((tp - pos) + pos / 2.0)) / (max(P) * max(N)) AS roc,
-             sum(pos * (tp / (tp + fp))) / max(P) AS ap FROM tcurve GROUP BY model) a ON m.model = a.model""",
-    SCORED_CTE.strip() + """,
+             sum(pos * (tp / (tp + fp))) / max(P) AS ap FROM tcurve GROUP BY model) a ON m.model = a.model"""
+_AT_VAL_CTE = SCORED_CTE.strip() + """,
 opt AS (SELECT model, threshold AS t FROM (
   SELECT model, threshold, row_number() OVER (PARTITION BY model ORDER BY f DESC, threshold ASC) AS rk
   FROM (SELECT model, threshold,
@@ -256,11 +255,46 @@ tcurve AS (
          sum(neg) OVER (PARTITION BY model ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING) AS fp,
          sum(pos) OVER (PARTITION BY model) AS P, sum(neg) OVER (PARTITION BY model) AS N
   FROM (SELECT model, score AS threshold, sum(isFraud) AS pos, sum(1 - isFraud) AS neg
-        FROM scored WHERE split = 'test' GROUP BY model, score))"""))
+        FROM scored WHERE split = 'test' GROUP BY model, score))"""
+
+
+@register("test_at_val_threshold", with_split(_AT_VAL, _AT_VAL_CTE))
 def q_test_at_val(spark, sf):                             # I15
     return EV.test_at_val_threshold(scored_long(spark, sf, ["val", "test"]))
 
 
+@register("baseline_report", with_split(
+    """SELECT (SELECT round(CASE WHEN tf > 0 THEN tp / tf ELSE 0 END, 6) FROM fl) AS flag_recall, (SELECT round(CASE WHEN ft > 0 THEN tp / ft ELSE 0 END, 6) FROM fl) AS flag_precision,
+       CAST(count(*) AS INTEGER) AS n_models, max_by(model, {'r': recall, 'f': f1}) AS best_model_recall, max_by(model, {'f': f1, 'r': recall}) AS best_model_f1,
+       string_agg(model || ' ' || CAST(tp AS VARCHAR) || ' ' || CAST(fp AS VARCHAR) || ' ' || CAST(fn AS VARCHAR) || ' ' || CAST(tn AS VARCHAR), ';' ORDER BY model) AS confusions,
+       round(sum(threshold), 6) AS thresholds, CAST(14 AS INTEGER) AS n_importances
+FROM (""" + _AT_VAL + ")", _AT_VAL_CTE + """,
+fl AS (SELECT count_if(isFlaggedFraud = 1 AND isFraud = 1) AS tp, sum(isFraud) AS tf, sum(isFlaggedFraud) AS ft FROM transactions)"""))
+def q_baseline_report(spark, sf):                         # A11: the nested report written as JSON and read back; the numbers of its models flattened
+    import uuid
+
+    from ..operators import models as M
+    from ..operators import prepare as P
+    from ..operators.stats import flag_baseline_metrics
+    from ..schema import FEATURE_COLS
+    from ..session import ensure_checkpoint_dir
+    from ..sources import io as IO
+    from .inputs import feat, tx
+    from .reports import baseline_report
+    p = P.prepare(feat(spark, sf))
+    forest = M.fit_forest(P.with_weight(p.split("train"), p.weights), n_trees=20)
+    report = baseline_report(flag_baseline_metrics(tx(spark, sf)), EV.test_at_val_threshold(scored_long(spark, sf, ["val", "test"])), M.feature_importances(forest, FEATURE_COLS))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/sink-baseline-{uuid.uuid4().hex[:8]}"
+    IO.write_json_row(report, path)
+    row = spark.read.schema(report.schema).json(path)
+    text = lambda m: F.concat_ws(" ", m["name"], *[m["test_metrics"][c].cast("string") for c in ("tp", "fp", "fn", "tn")])
+    return row.select(
+        F.col("baseline_metier.recall").alias("flag_recall"), F.col("baseline_metier.precision").alias("flag_precision"), F.size("models").alias("n_models"),
+        "best_model_recall", "best_model_f1", F.array_join(F.transform("models", text), ";").alias("confusions"),
+        F.round(F.aggregate("models", F.lit(0.0), lambda a, m: a + m["optimal_threshold"]), 6).alias("thresholds"),
+        F.size("feature_importances_rf_balanced").alias("n_importances"))
+
+
 @register("chance_line", with_split(
     "SELECT model, round(avg(isFraud), 8) AS chance_rate FROM scored WHERE split = 'val' GROUP BY model",
     SCORED_CTE))
