@@ -25,7 +25,6 @@ ALPHA = 0.7               # default target of a value: its token share to this p
 BUDGET = 0.5              # expected tokens kept, as a share of all tokens
 ROUNDS = 8                # passes over the three marginals
 SEED = 42
-MAX_VALUES = 256          # only in oracle()'s SQL, which pools values beyond it; equal up to so many values
 BROADCAST_CELLS = 200_000  # cells (about 100 bytes each) up to which the cell table is broadcast
 CELLS_PER_TASK = 50_000
 DIMS = ("source", "lang", "topic")
@@ -165,8 +164,7 @@ def oracle(alpha: float = ALPHA, rounds: int = ROUNDS, budget: float = BUDGET, s
  CASE {topic} ELSE 'prose' END AS topic, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS n_tokens FROM {table})""",
             "c0 AS (SELECT source, lang, topic, sum(n_tokens) AS n FROM docs GROUP BY ALL HAVING sum(n_tokens) > 0)"]
     for d in DIMS:
-        ctes.append(f"v_{d} AS (SELECT {d}, sum(n) AS m, row_number() OVER (ORDER BY sum(n) DESC, {d}) AS r FROM c0 GROUP BY {d})")
-        ctes.append(f"g_{d} AS (SELECT {d}, CASE WHEN r <= {MAX_VALUES} THEN '=' || {d} ELSE 'other' END AS g, m FROM v_{d})")
+        ctes.append(f"g_{d} AS (SELECT {d}, '=' || {d} AS g, sum(n) AS m FROM c0 GROUP BY {d})")
         ctes.append(f"t_{d} AS (SELECT g, pow(CAST(sum(m) AS DOUBLE), {alpha}) / sum(pow(CAST(sum(m) AS DOUBLE), {alpha})) OVER () AS t FROM g_{d} GROUP BY g)")
     joins = " ".join(f"JOIN g_{d} USING ({d})" for d in DIMS)
     keys = ", ".join(f"g_{d}" for d in DIMS)

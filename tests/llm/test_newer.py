@@ -391,3 +391,19 @@ def test_records_of_other_writers():
         assert [x[0] for x in got] == ["record"] and got[0][2]["WARC-Record-ID"] == "<urn:page:8>" and got[0][3] == block
     wrong = f"WARC/1.0\r\nContent-Length: {len(block)}\r\nWARC-Block-Digest: sha256:00\r\n\r\n".encode() + block + b"\r\n\r\n"
     assert [x[0] for x in warc.salvage(wrong)] == ["gap"]
+
+
+# ---------------------------------------------------------------- mixing
+
+def test_mixing_of_300_sources_equals_sql(spark, tmp_path):
+    from riskloom.llm import mixing
+
+    rng = np.random.default_rng(6)
+    rows = [(k, "word " * int(rng.integers(1, 40)), ["en", "de"][k % 2], f"s{int(rng.zipf(1.3)) % 300 if k > 300 else k}") for k in range(900)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").write.parquet(str(tmp_path / "d"))
+    d = spark.read.parquet(str(tmp_path / "d"))
+    got = {r.doc_id: (r.n_tokens, r.prob) for r in mixing.sampling_report(d).select("doc_id", "n_tokens", F.round("prob", 6).alias("prob")).collect()}
+    duckdb.execute(f"CREATE OR REPLACE VIEW mixed AS SELECT * FROM read_parquet('{tmp_path}/d/*.parquet')")
+    want = {r[0]: r[1:] for r in duckdb.execute(f"SELECT doc_id, n_tokens, prob FROM ({mixing.oracle(table='mixed')})").fetchall()}
+    assert len({r[3] for r in rows}) == 301 or len({r[3] for r in rows}) == 300
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and got[k][1] == pytest.approx(want[k][1], abs=2e-6) for k in got)
