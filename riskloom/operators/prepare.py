@@ -173,6 +173,16 @@ class PreparedData:
     def split(self, name: str) -> DataFrame:
         return self.data.filter(F.col("split") == name)
 
+    def split_summary(self) -> DataFrame:
+        """(split, rows, frauds, fraud_rate_pct) as observed while the split was written: no scan."""
+        rows = [(s, a + b, b, round(100.0 * b / (a + b), 6)) for s, (a, b) in self.sizes.items() if a + b]
+        return self.data.sparkSession.createDataFrame(rows, "split string, rows bigint, frauds bigint, fraud_rate_pct double")
+
+    def stratification_ok(self, tol: float = 5e-4) -> bool:
+        """C10 from the observed sizes: every split's fraud rate is within ``tol`` of the whole's."""
+        n, f = (sum(x) for x in zip(*[(a + b, b) for a, b in self.sizes.values()], strict=True))
+        return all(abs(b / (a + b) - f / n) < tol for a, b in self.sizes.values() if a + b)
+
     def train_normal(self) -> DataFrame:
         return self.data.filter((F.col("split") == "train") & (F.col(TARGET) == 0))
 

@@ -88,6 +88,16 @@ def q_split_summary(spark, sf):                           # D22
     return S.split_summary(split_frame(spark, sf))
 
 
+@register("split_summary_observed", with_split(
+    "SELECT split, CAST(count(*) AS BIGINT) AS rows, CAST(sum(isFraud) AS BIGINT) AS frauds, "
+    "round(sum(isFraud) * 100.0 / count(*), 6) AS fraud_rate_pct FROM split_rows GROUP BY split"))
+def q_split_summary_observed(spark, sf):                  # D22 (+ C10) without a scan: observed while prepare() wrote the split
+    p = prepared(spark, sf)
+    if not p.stratification_ok(0.05):
+        raise AssertionError(f"splits are not stratified: {p.sizes}")
+    return p.split_summary()
+
+
 @register("stratification_check", with_split(
     """SELECT split, round(rate, 8) AS rate, round(g, 8) AS global_rate, round(abs(rate - g), 8) AS abs_diff,
        abs(rate - g) < 5e-4 AS ok

@@ -129,10 +129,10 @@ def prep_report_full(prepared, features_df: DataFrame, smoted: DataFrame, label:
     from ..schema import BINARY_COLS, FEATURE_COLS, HIGH_RISK_HOURS, SCALE_COLS, SEED, TRAIN_RATIO, TYPE_COLS
     data = prepared.data
     y = F.col(label)
-    sizes = data.agg(*[F.count_if(F.col("split") == s).cast("bigint").alias(s) for s in ["train", "val", "test"]],
-                     F.count_if((F.col("split") == "train") & (y == 0)).cast("bigint").alias("train_normal"),
-                     *[F.count_if((F.col("split") == s) & (y == 1)).cast("bigint").alias(f"f_{s}")
-                       for s in ["train", "val", "test"]])
+    n = prepared.sizes                                               # observed while the split was written
+    sizes = data.sparkSession.range(1).select(
+        *[F.lit(sum(n[s])).cast("bigint").alias(s) for s in ["train", "val", "test"]], F.lit(n["train"][0]).cast("bigint").alias("train_normal"),
+        *[F.lit(n[s][1]).cast("bigint").alias(f"f_{s}") for s in ["train", "val", "test"]])
     sm = smoted.agg(F.count(F.lit(1)).cast("bigint").alias("train_smote"),
                     F.sum(y).cast("bigint").alias("f_train_smote"))
     meta = feature_metadata(data, smoted)
