@@ -9,9 +9,10 @@ Corpus-wide link counts of id pairs: the links of a block of documents are kept
 distinct pairs; a block adds one row a pair to the counts, and gets the pairs' totals back the same way.  So what is shuffled is
 a row a block and distinct pair, never a row a link, and a pair that is in every text is one row a block.
 
-Tokens are found by parts that can't merge across (A: the pre-tokeniser's; B: a run of spaces with what follows, as no piece has
-a space behind another character), each distinct part encoded once by the library.  Where that isn't certain (characters outside
-``STEADY`` on side A, a normaliser that changes the text on side B) the library encodes the whole text.
+Tokens are found by parts that neither side can merge across: a text is cut before each space that follows a character other than
+white space (there A's pre-tokeniser cuts too, and no piece of B has a space behind another character), and each distinct part is
+encoded once by the libraries.  Where that isn't certain (characters outside ``STEADY``, a normaliser that changes the text, a space at
+the end) the libraries encode the whole text.
 
 Edge cases: null and empty texts, texts that aren't valid UTF-8 and texts whose tokens' bytes differ from space + text have no
 tokens: zeros and ''; rows that repeat a doc_id, or have none, are documents of their own; an empty table gives no rows.
@@ -20,6 +21,7 @@ tokens: zeros and ''; rows that repeat a doc_id, or have none, are documents of
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import itertools
 import os
@@ -35,50 +37,24 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 from .common import only, text_buffers, text_pieces
 
-#: fixed values: the pre-tokeniser's split pattern of byte-level BPE
-PARTS_A = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: fixed values: the pre-tokeniser's split pattern of byte-level BPE, its letters, numbers and spaces to be filled in
+PARTS_A = "'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+"
 #: code points whose letter, number and space properties all versions of the regex libraries agree on
 STEADY = r"\x00-\x1b\x20-\x84\x86-ɏΑ-ΡΣ-ώА-я‐-‧ぁ-ゔァ-ヺ一-龥가-힣"
-PARTS_B = r" +[^ ]+"
+PARTS = r" *(?:\S+|[^\S ]+ *)+"
 SPACE = "▁"           # a space in a piece
-MAX_PARTS = 200_000        # distinct parts a worker remembers
+MAX_PARTS = 600_000        # distinct parts a worker remembers
 BLOCK_LINKS = 4_000_000    # links of a block, unless a single text has more
 PIECE = 1 << 20            # bytes of text aligned at once, unless a single text has more
 
 
 class Vocabulary:
-    """Bytes of each token id, side by side, and the remembered ids of text parts."""
+    """Bytes of each token id, side by side."""
 
     def __init__(self, entries: list[bytes]):
         self.size = np.array([len(x) for x in entries], np.int64)
         self.begin = np.cumsum(self.size) - self.size
         self.flat = np.frombuffer(b"".join(entries), np.uint8)
-        self.forget()
-
-    def forget(self) -> None:
-        self.place: dict[str, int] = {}
-        self.ids, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def encoded(self, texts_parts: list[list[str]], encode) -> list[np.ndarray]:
-        """Token ids of each text, given as parts; ``encode`` gets the distinct parts not met before."""
-        if len(self.place) > MAX_PARTS:
-            self.forget()
-        parts = list(itertools.chain.from_iterable(texts_parts))
-        at = np.fromiter(map(self.place.get, parts, itertools.repeat(-1)), np.int64, len(parts))
-        missing = np.flatnonzero(at < 0).tolist()
-        if missing:
-            new = list(dict.fromkeys(parts[k] for k in missing))
-            got = encode(new)
-            n = len(self.first) - 1
-            self.place.update(zip(new, range(n, n + len(new)), strict=True))
-            self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(got), np.int32)])
-            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in got])])
-            at[missing] = [self.place[parts[k]] for k in missing]
-        size = self.first[at + 1] - self.first[at]
-        flat = self.ids[_ranges(self.first[at], size)]
-        edge = np.concatenate([[0], np.cumsum([len(x) for x in texts_parts])]).astype(np.int64)
-        to = np.concatenate([[0], np.cumsum(size)])[edge]
-        return [flat[x:y] for x, y in itertools.pairwise(to)]
 
     def bytes_of(self, ids: np.ndarray) -> np.ndarray:
         return self.flat[_ranges(self.begin[ids], self.size[ids])]
@@ -89,6 +65,13 @@ def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
 
+@functools.cache
+def _letters() -> dict[int, str]:
+    """Byte-level letters: the printable characters of Latin-1 stand for themselves, the other bytes for 256, 257 ..."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in set(plain))}
+
+
 @functools.cache
 def _side_a(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"         # a task has one core
@@ -96,9 +79,7 @@ def _side_a(path: str):
 
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True                         # their strings are plain text
-    # byte-level letters: the printable characters of Latin-1 stand for themselves, the other bytes for 256, 257 ...
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    letters = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in set(plain))}
+    letters = {c: b for b, c in _letters().items()}
     special = {k for k, v in t.get_added_tokens_decoder().items() if v.special}
     entries = [b""] * t.get_vocab_size()
     for text, k in t.get_vocab().items():
@@ -119,35 +100,93 @@ def _side_b(path: str):
     return m, Vocabulary(entries), by_parts
 
 
+def _class(property_: str) -> str:
+    """The steady characters of a property, as the inside of a character class."""
+    on = [c for c in range(0x10000) if not 0xD800 <= c < 0xE000 and _STEADY.fullmatch(chr(c)) and regex.fullmatch(property_, chr(c))]
+    first = [c for k, c in enumerate(on) if k == 0 or c != on[k - 1] + 1]
+    last = [c for k, c in enumerate(on) if k == len(on) - 1 or c != on[k + 1] - 1]
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in zip(first, last, strict=True))
+
+
 _STEADY = re.compile(f"[{STEADY}]*")
-_PARTS_A = regex.compile(PARTS_A)
-_PARTS_B = re.compile(PARTS_B)
 
 
-def tokens_a(path: str, texts: list[str]) -> list[np.ndarray]:
-    """A's ids of space + text."""
-    t, vocabulary, by_parts = _side_a(path)
-    known = [by_parts and _STEADY.fullmatch(x) is not None for x in texts]
-    got = iter(vocabulary.encoded([_PARTS_A.findall(" " + x) for x, k in zip(texts, known, strict=True) if k], lambda new: _encode_a(t, new)))
-    rest = iter(_encode_a(t, [" " + x for x, k in zip(texts, known, strict=True) if not k]))
-    return [next(got) if k else np.array(next(rest), np.int32) for k in known]
+@functools.cache
+def _parts_a() -> re.Pattern:
+    return re.compile(PARTS_A.format(letters=_class(r"\p{L}"), numbers=_class(r"\p{N}"), spaces=_class(r"\s")))
 
 
-def _encode_a(t, texts):
-    return [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+_PARTS = re.compile(PARTS)
+
+
+class Memory:
+    """The parts of texts met so far, with their ids on both sides."""
 
+    def __init__(self, path_a: str, path_b: str):
+        self.a, self.b = _side_a(path_a), _side_b(path_b)
+        self.pair = Remembered(), Remembered()
+        self.place: dict[str, int] = {}
+
+    def encoded(self, texts_parts: list[list[str]]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        if len(self.place) > MAX_PARTS:
+            self.place.clear()
+            self.pair = Remembered(), Remembered()
+        parts = list(itertools.chain.from_iterable(texts_parts))
+        at = np.fromiter(map(self.place.get, parts, itertools.repeat(-1)), np.int64, len(parts))
+        missing = np.flatnonzero(at < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys(parts[k] for k in missing))
+            n = len(self.place)
+            self.place.update(zip(new, range(n, n + len(new)), strict=True))
+            self.pair[0].add(_encode_parts(self.a[0], [_parts_a().findall(p) for p in new]))
+            self.pair[1].add(self.b[0].encode([p[1:] for p in new], num_threads=1))       # every part begins with a space: the one that the model adds
+            at[missing] = [self.place[parts[k]] for k in missing]
+        edge = np.concatenate([[0], np.cumsum([len(x) for x in texts_parts])]).astype(np.int64)
+        return self.pair[0].of(at, edge), self.pair[1].of(at, edge)
+
+
+class Remembered:
+    """Ids of parts, side by side, in the order in which they were added."""
+
+    def __init__(self):
+        self.ids, self.first = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-def tokens_b(path: str, texts: list[str]) -> list[np.ndarray]:
-    """B's ids of text."""
-    m, vocabulary, by_parts = _side_b(path)
-    known = [by_parts and not x.endswith(" ") and m.normalize(x) == SPACE + x.replace(" ", SPACE) for x in texts]
-    got = iter(vocabulary.encoded([_PARTS_B.findall(" " + x) for x, k in zip(texts, known, strict=True) if k], lambda new: _encode_b(m, new)))
-    return [next(got) if k else np.array(m.encode(x), np.int32) for x, k in zip(texts, known, strict=True)]
+    def add(self, got) -> None:
+        self.ids = np.concatenate([self.ids, np.fromiter(itertools.chain.from_iterable(got), np.int32)])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in got])])
+
+    def of(self, at: np.ndarray, edge: np.ndarray) -> list[np.ndarray]:
+        """The ids of the parts ``at``, cut into texts at ``edge``."""
+        size = self.first[at + 1] - self.first[at]
+        flat = self.ids[_ranges(self.first[at], size)]
+        to = np.concatenate([[0], np.cumsum(size)])[edge]
+        return [flat[x:y] for x, y in itertools.pairwise(to)]
+
+
+@functools.cache
+def _memory(path_a: str, path_b: str) -> Memory:
+    return Memory(path_a, path_b)
 
 
-def _encode_b(m, parts):
-    # every part begins with a space: the one that the model adds
-    return m.encode([p[1:] for p in parts], num_threads=1) if parts else []
+def tokens(path_a: str, path_b: str, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """A's ids of space + text and B's ids of text."""
+    (t, _, parts_a), (m, _, parts_b) = _side_a(path_a), _side_b(path_b)
+    known = [parts_a and parts_b and x != "" and not x.endswith(" ") and _STEADY.fullmatch(x) is not None
+             and m.normalize(x) == SPACE + x.replace(" ", SPACE) for x in texts]
+    got_a, got_b = map(iter, _memory(path_a, path_b).encoded([_PARTS.findall(" " + x) for x, k in zip(texts, known, strict=True) if k]))
+    rest = iter(_encode_a(t, [" " + x for x, k in zip(texts, known, strict=True) if not k]))
+    ids_a = [next(got_a) if k else np.array(next(rest), np.int32) for k in known]
+    return ids_a, [next(got_b) if k else np.array(m.encode(x), np.int32) for x, k in zip(texts, known, strict=True)]
+
+
+def _encode_parts(t, parts: list[list[str]]) -> list[list[int]]:
+    """A's ids of parts that its pre-tokeniser has cut already: the model alone, over byte-level letters."""
+    letters, tokenize = _letters(), t.model.tokenize
+    return [[x.id for p in pieces for x in tokenize(p.encode().decode("latin-1").translate(letters))] for pieces in parts]
+
+
+def _encode_a(t, texts):
+    return [x.ids for x in t.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
 
 def _table(ids: list[np.ndarray], vocabulary: Vocabulary, base: np.ndarray) -> pd.DataFrame:
@@ -174,9 +213,10 @@ _DIGITS = 8                # characters of an id with the separator before it
 
 
 @functools.cache
-def _decimal(n: int) -> np.ndarray:
-    """Ids below ``n`` as rows of characters: a place for the separator, the digits, zeros."""
-    return np.array([f"?{k}" for k in range(n)], f"S{_DIGITS}").view(np.uint8).reshape(n, _DIGITS)
+def _decimal(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids below ``n`` as 8 characters in one word each (a place for the separator, the digits, zeros), and how many are used."""
+    texts = np.array([f"?{k}" for k in range(n)], f"S{_DIGITS}")
+    return texts.view("<u8"), np.char.str_len(texts)
 
 
 def group_texts(a: pd.DataFrame, b: pd.DataFrame, links: np.ndarray, n_docs: int) -> list[bytes]:
@@ -195,11 +235,11 @@ def group_texts(a: pd.DataFrame, b: pd.DataFrame, links: np.ndarray, n_docs: int
     new = np.concatenate([[True], group[1:] != group[:-1]])
     turn = np.concatenate([[True], side[1:] != side[:-1]])
     head = np.concatenate([[True], doc[1:] != doc[:-1]])
-    chars = _decimal(int(ids.max()) + 1 if len(ids) else 0)[ids].copy()
+    words, used = _decimal(1 << int(ids.max()).bit_length())
+    chars = words[ids].view(np.uint8).reshape(-1, _DIGITS)
     chars[:, 0] = np.where(head, 0, np.where(new, ord(";"), np.where(turn, ord("|"), ord(","))))
-    on = chars != 0
-    edge = np.concatenate([[0], np.cumsum(np.bincount(doc, weights=on.sum(axis=1), minlength=n_docs).astype(np.int64))])
-    flat = chars[on].tobytes()
+    edge = np.concatenate([[0], np.cumsum(np.bincount(doc, weights=used[ids] - head, minlength=n_docs).astype(np.int64))])
+    flat = chars[chars != 0].tobytes()
     return [flat[x:y] for x, y in zip(edge[:-1], edge[1:], strict=True)]
 
 
@@ -230,7 +270,7 @@ def align(data: np.ndarray, offsets: np.ndarray, path_a: str, path_b: str):
         except UnicodeDecodeError:
             texts.append("")
     va, vb = _side_a(path_a)[1], _side_b(path_b)[1]
-    ids_a, ids_b = tokens_a(path_a, texts), tokens_b(path_b, texts)
+    ids_a, ids_b = tokens(path_a, path_b, texts)
     sound = np.diff(offsets) > 0
     for ids, vocabulary in ((ids_a, va), (ids_b, vb)):
         sound &= _spells(ids, vocabulary, data, offsets)
@@ -274,6 +314,7 @@ def blocks(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     out = pa.schema([("docs", pa.binary()), ("links", pa.binary()), ("pairs", pa.list_(pa.int64())), ("n", pa.list_(pa.int64()))])
 
     def run(batches):
+        gc.set_threshold(200_000)                          # millions of strings and no cycles: seldom worth a look
         parts, links, size = [], [], 0
 
         def done():

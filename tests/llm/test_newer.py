@@ -237,18 +237,18 @@ def test_alignment_in_many_blocks(spark, monkeypatch):
     assert got == [(k, *x) for k, x in enumerate(aligned(texts))]
 
 
-def test_parts_are_encoded_as_the_whole_text(monkeypatch):
+def test_parts_are_encoded_as_the_whole_text():
     """Every code point that the parts' path takes, in several surroundings; and B's parts."""
     steady = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and align._STEADY.fullmatch(chr(c))]
     assert all(unicodedata.category(c) != "Cn" for c in steady)
     few = [c for c in steady if c < "ༀ"] + steady[::37]
-    texts = [f"a{c}b {c}{c} 1{c}x  {c}\n {c}'s{c}" for c in few]
-    t = align._side_a(A)[0]
+    texts = [f"a{c}b {c}{c} 1{c}x  {c}\n {c}'s{c}\n\n  {c} x" for c in few]
+    t, m = align._side_a(A)[0], align._side_b(B)[0]
     for k in range(0, len(texts), 2000):
         part = texts[k:k + 2000]
-        assert [x.tolist() for x in align.tokens_a(A, part)] == [x.ids for x in t.encode_batch([" " + x for x in part], add_special_tokens=False)]
-    m = align._side_b(B)[0]
-    assert [x.tolist() for x in align.tokens_b(B, texts[::5])] == m.encode(texts[::5])
+        ids_a, ids_b = align.tokens(A, B, part)
+        assert [x.tolist() for x in ids_a] == [x.ids for x in t.encode_batch([" " + x for x in part], add_special_tokens=False)]
+        assert [x.tolist() for x in ids_b] == m.encode(part)
 
 
 def test_overlaps_are_all_pairs_that_share_a_byte():
