@@ -1,4 +1,4 @@
-"""Supervised models (H1-H6) on MLlib.
+"""Supervised models (H1-H6): logistic regression on MLlib, forests from ``trees``.
 
 Parity choices: scikit-learn's L2 logistic regression minimises ½‖w‖² + C·Σwᵢℓᵢ while
 MLlib minimises Σwᵢℓᵢ/Σwᵢ + λ/2‖w‖², so λ = 1/(C·Σwᵢ); features are used unscaled by
@@ -10,7 +10,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +22,7 @@ from ..schema import FEATURE_COLS, KEY, SEED, TARGET
 from ..session import cut_lineage
 from . import sampling as SA
 from .prepare import with_weight
+from .trees import grow_forest
 
 
 def _assembler(feature_cols):
@@ -44,12 +45,7 @@ def fit_forest(train: DataFrame, feature_cols=None, label: str = TARGET, weight:
                n_trees: int = 300, max_depth: int = 10, min_leaf: int = 5, max_bins: int = 128,
                seed: int = SEED) -> PipelineModel:                                  # H3
     feature_cols = list(FEATURE_COLS if feature_cols is None else feature_cols)
-    rf = RandomForestClassifier(featuresCol="features", labelCol=label, numTrees=n_trees, maxDepth=max_depth,
-                                minInstancesPerNode=min_leaf, featureSubsetStrategy="sqrt", maxBins=max_bins,
-                                seed=seed)
-    if weight:
-        rf.setWeightCol(weight)
-    return Pipeline(stages=[_assembler(feature_cols), rf]).fit(train.withColumn(label, F.col(label).cast("double")))
+    return PipelineModel([grow_forest(train, feature_cols, label, weight, n_trees, max_depth, min_leaf, max_bins, seed)])
 
 
 def score(model: PipelineModel, df: DataFrame, out: str = "score") -> DataFrame:     # H2 / H4
