@@ -5,7 +5,7 @@ Every byte goes that lies in a ``length``-byte string which also starts in a doc
 1. Texts that repeat an earlier document's whole text are known by their SHA-256; they lose every byte (if ``length`` long)
    and take no further part.
 2. Documents are hashed to shards, by id and text (many texts of one id, or without an id, part too).  Each ``length``-byte window has one sampled suffix: the one that starts with its leftmost least
-   16-gram hash, so equal windows have equal samples wherever they stand.  Shards' sorted samples meet by hash range;
+   24-gram hash, so equal windows have equal samples wherever they stand.  Shards' sorted samples meet by hash range;
    those found in two documents go back, and each shard finds its own among them by binary search.
 3. Only the windows of such samples can repeat.  Their text (one context per run of windows that share a sample) goes to
    the range of the sample's hash.  There a suffix array is built (Larsson-Sadakane: groups of equal prefixes of 8, 16, 32, ...
@@ -13,9 +13,12 @@ Every byte goes that lies in a ``length``-byte string which also starts in a doc
    each window learns the smallest doc_id that has it.
 4. Shards mark the windows whose smallest doc_id is below the document's.
 
-A shard sends each distinct context once, with its smallest doc_id, so a passage that a third of all
-documents hold is one row a shard.  A sample with very many contexts (a common phrase) is dealt window by window, by the
-window's own hash.
+A shard sends each distinct context once, with its smallest doc_id and where it stands, so the text of a passage that a third of all
+documents hold is one row a shard, and the answers are places.  A sample with very many contexts (a common phrase) is dealt
+window by window, by the window's own hash.
+
+A (shard, range) pair is one packed row.  Pairs grow with the square of the text, so shards and ranges are as large as a task's
+memory lets them be; a range's suffix arrays are built one after the other, over the contexts of so many samples as ``BATCH`` holds.
 
 Edge cases: null text is empty; texts under ``length`` bytes keep all; a null doc_id ranks last; rows of one doc_id never remove
 each other; an empty table gives an empty result.
@@ -24,7 +27,6 @@ each other; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -34,30 +36,38 @@ from pyspark.sql import functions as F
 from .common import mix64, only, pieces, text_buffers, words64
 
 LENGTH = 50
-GRAM = 16                  # bytes of a sample's hash
-SHARD_BYTES = 8 << 20      # text of a shard, as planned
-RANGE_BYTES = 4 << 20      # text behind one hash range, as planned (a suffix array takes about 70 bytes a byte of context)
+GRAM = 24                  # bytes of a sample's hash: short ones are shared by chance, long ones stand for few windows
+SHARD_BYTES = 16 << 20     # text of a shard, as planned
+RANGE_BYTES = 8 << 20      # text behind one hash range of contexts, as planned
+WIDE = 4                   # ranges of contexts to one of samples
+SPREAD = 48                # shards and ranges of a smaller table
+BATCH = 1 << 19            # context text of one suffix array (about 70 bytes a byte)
 HOT = 2_000                # occurrences from which a sample is dealt window by window
-PIECE = 1 << 20
+PIECE = 1 << 18
+HASH_BYTES = 6             # of a sample's hash that are sent: others that share them cost a look, no result
+_CODEC = pa.Codec("zstd")
 _LAST = (1 << 63) - 1
 _NONE = np.zeros(0, np.int64)
+_REST = np.uint64(64 - 8 * HASH_BYTES)
 
 
 # ---------------------------------------------------------------- samples of a shard
 
 def samples(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
     """(row, first window start, number of windows, hash) of the runs of windows that share a sampled suffix."""
-    width = length - GRAM + 1
+    gram = min(GRAM, max(8, length // 16 * 8))
+    width = length - gram + 1
     n = len(data) - length + 1
     if n <= 0:
         return _NONE, _NONE, _NONE, np.zeros(0, np.uint64)
     w = words64(data)
-    g = len(data) - GRAM + 1
+    g = len(data) - gram + 1
     with np.errstate(over="ignore"):
         h = w[:g] * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-        h += w[8:8 + g]
-        h *= np.uint64(0xBF58476D1CE4E5B9)
+        for o in range(8, gram, 8):
+            h ^= h >> np.uint64(29)
+            h += w[o:o + g]
+            h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
         h *= np.uint64(0x94D049BB133111EB)
     bits = np.uint64(max(24, int(len(data)).bit_length()))
@@ -67,15 +77,51 @@ def samples(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH):
         key = np.minimum(key[:-span], key[span:])
         span *= 2
     key = np.minimum(key[:n], key[width - span:width - span + n])
-    at = (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     size = np.diff(offsets)
-    row = np.repeat(np.arange(len(size), dtype=np.int32), size)[:n]
-    ok = np.repeat(offsets[1:], size)[:n] - np.arange(n) >= length     # the window stays in its document
-    new = ok & np.concatenate([[True], (at[1:] != at[:-1]) | ~ok[:-1] | (row[1:] != row[:-1])])
+    full = np.maximum(size - length + 1, 0)            # windows that stay in their document
+    ok = np.repeat(np.tile([True, False], len(size)), np.stack([full, size - full], 1).ravel())[:n]
+    new = ok & np.concatenate([[True], (key[1:] != key[:-1]) | ~ok[:-1]])
     start = np.flatnonzero(new)
-    run = np.cumsum(new)[ok]
-    count = np.bincount(run, minlength=len(start) + 1)[1:] if len(start) else _NONE
-    return row[start], start, count, mix64(h[at[start]])       # mixed again: least hashes are all small
+    row = np.searchsorted(offsets, start, side="right") - 1
+    count = np.minimum(np.concatenate([start[1:], [n]])[:len(start)], (offsets[:-1] + full)[row]) - start
+    at = (key[start] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    return row, start, count, mix64(h[at]) >> _REST << _REST       # mixed again: least hashes are all small
+
+
+def _offsets(length: int) -> list[int]:
+    """Where 8-byte words stand that cover ``length`` bytes."""
+    return [*range(0, length - 8, 8), length - 8]
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """As ``words64``, without a copy: for a few places among many."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data),), "<u8", buffer=padded.data, strides=(1,))
+
+
+def _hashed(words: np.ndarray, start: np.ndarray, length: int, x: np.ndarray) -> np.ndarray:
+    """``x`` mixed with the ``length`` bytes at each start."""
+    with np.errstate(over="ignore"):
+        for o in _offsets(length):
+            x = mix64(x * np.uint64(0x9E3779B97F4A7C15) + words[start + o])
+    return x
+
+
+def same_texts(data: np.ndarray, start: np.ndarray, size: np.ndarray, deal: np.ndarray, length: int):
+    """(order of the texts by deal with equal ones side by side, which of them in that order differ from the one before).
+
+    A text is a context: its first and its last ``length`` bytes are the whole of it.  Hashes order, bytes decide.
+    """
+    w, tail = _words(data), start + size - length
+    key = _hashed(w, tail, length, _hashed(w, start, length, size.astype(np.uint64)))
+    order = np.lexsort((key, deal))
+    a, b = order[:-1], order[1:]
+    same = (deal[a] == deal[b]) & (key[a] == key[b]) & (size[a] == size[b])
+    for o in _offsets(length):
+        for first in (start, tail):
+            at = np.flatnonzero(same)
+            same[at] = w[first[a[at]] + o] == w[first[b[at]] + o]
+    return order, np.concatenate([[True], ~same])[:len(start)]
 
 
 class Shard:
@@ -107,53 +153,56 @@ class Shard:
         return h[first], np.minimum(n, 127).astype(np.uint8), many
 
     def contexts(self, shared: np.ndarray, hot: np.ndarray):
-        """Contexts of the shared samples: (hash to deal by, row, first window start, windows, number of its text, texts)."""
-        k = np.searchsorted(shared, self.hash)
+        """Contexts of the shared samples: (hash to deal by, row, first window start, windows)."""
+        some = np.zeros(1 << 22, bool)                 # most hashes are no shared one's: seen by their first bits
+        some[shared >> np.uint64(42)] = True
+        on = np.flatnonzero(some[self.hash >> np.uint64(42)])
+        k = np.searchsorted(shared, self.hash[on])
         k = np.minimum(k, max(0, len(shared) - 1))
-        on = np.flatnonzero(shared[k] == self.hash) if len(shared) else _NONE
-        heat = hot[k[on]] if len(on) else np.zeros(0, bool)
+        same = shared[k] == self.hash[on]
+        on, heat = on[same], hot[k[same]]
         cold, warm = on[~heat], on[heat]
         n = self.count[warm]
         single = np.repeat(self.start[warm] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
         row = np.concatenate([self.row[cold], np.repeat(self.row[warm], n)])
         start = np.concatenate([self.start[cold], single])
         count = np.concatenate([self.count[cold], np.ones(len(single), np.int64)])
-        raw = self.data.tobytes()
-        number, texts = np.zeros(len(row), np.int64), {}
-        stops = start + count + self.length - 1
-        for i, (a, b) in enumerate(zip(start.tolist(), stops.tolist(), strict=True)):
-            number[i] = texts.setdefault(raw[a:b], len(texts))
-        deal = np.concatenate([self.hash[cold], np.zeros(len(single), np.uint64)])
-        if len(single):
-            w = words64(self.data)
-            with np.errstate(over="ignore"):
-                x = np.zeros(len(single), np.uint64)
-                for o in [*range(0, self.length - 8, 8), self.length - 8]:
-                    x = mix64(x * np.uint64(0x9E3779B97F4A7C15) + w[single + o])
-            deal[len(cold):] = x
-        return deal, row, start, count, number, list(texts)
+        deal = np.concatenate([self.hash[cold], _hashed(_words(self.data), single, self.length, np.zeros(len(single), np.uint64))])
+        return deal, row, start, count
 
 
 # ---------------------------------------------------------------- suffix array of contexts
 
+def _stable(key: np.ndarray, bits: int) -> np.ndarray:
+    """Stable order of keys below 2 ** bits: sorted with their places as one number, where both fit."""
+    b = len(key).bit_length()
+    if bits + b > 64:
+        return np.argsort(key, kind="stable")
+    k = key.astype(np.uint64) << np.uint64(b) | np.arange(len(key), dtype=np.uint64)
+    k.sort()
+    return (k & np.uint64((1 << b) - 1)).astype(np.int64)
+
+
 def suffix_array(data: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, rank) of all suffixes; ``left`` is how many bytes each has before its context ends.
 
-    Larsson-Sadakane: suffixes are grouped by their first h bytes; only groups of several are refined, by the group
+    Larsson-Sadakane: suffixes are grouped by their first h bytes (a machine word with the place in it to begin with); only groups of several are refined, by the group
     numbers h bytes on, and h doubles.  Equal suffixes of different contexts keep their order of position.
     """
     n = len(data)
     word = words64(data).byteswap()                   # big-endian words compare as bytes do
     short = left < 8
     word[short] &= ~np.uint64(0) << (np.uint64(64) - np.uint64(8) * left[short].astype(np.uint64))
-    order = np.argsort(word, kind="stable").astype(np.int32)
+    bits = n.bit_length()
+    h = (64 - bits) // 8                               # bytes that can be sorted with the places
+    word >>= np.uint64(64 - 8 * h)
+    order = _stable(word, 8 * h).astype(np.int32)
     x = word[order]
     new = np.concatenate([[True], x[1:] != x[:-1]]) if n else np.zeros(0, bool)
     del word, x
     head = np.flatnonzero(new)
     rank = np.empty(n, np.int32)
     rank[order] = np.repeat(head, np.diff(np.concatenate([head, [n]])))   # number of a group: its first place
-    h = 8
     where = np.arange(n, dtype=np.int32)               # places of unsorted groups
     while True:
         size = np.diff(np.concatenate([head, [len(where)]])) if len(where) else _NONE
@@ -171,7 +220,7 @@ def suffix_array(data: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.nda
         if not len(where):
             break
         nxt = np.where(more, rank[np.minimum(i + h, n - 1)], -1)
-        o = np.argsort(group.astype(np.int64) * (n + 1) + nxt + 1, kind="stable")
+        o = _stable(group.astype(np.int64) * (n + 1) + nxt + 1, 2 * bits)
         i, group, nxt = i[o], group[o], nxt[o]
         order[where] = i
         new = np.concatenate([[True], (group[1:] != group[:-1]) | (nxt[1:] != nxt[:-1])])
@@ -213,14 +262,12 @@ def common_prefixes(data: np.ndarray, left: np.ndarray, starts: np.ndarray, orde
     return out
 
 
-def window_owners(texts: list[bytes], ids: np.ndarray, length: int = LENGTH):
-    """(text number, window, smallest id) for every window of ``texts``: the least id of the texts that have its bytes."""
-    if not texts:
+def window_owners(data: np.ndarray, sizes: np.ndarray, ids: np.ndarray, length: int = LENGTH):
+    """(text number, window, smallest id) for every window of the texts end to end in ``data``: the least id of the texts that have its bytes."""
+    if not len(sizes):
         return _NONE, _NONE, _NONE
-    sizes = np.array([len(t) for t in texts], np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
+    starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     inside = (np.arange(len(data)) - starts[owner]).astype(np.int32)
     left = sizes[owner].astype(np.int32) - inside
     order, _ = suffix_array(data, left)
@@ -230,7 +277,7 @@ def window_owners(texts: list[bytes], ids: np.ndarray, length: int = LENGTH):
     if not len(places):
         return _NONE, _NONE, _NONE
     # the common prefix of neighbouring windows is the least one over the places between them
-    low = np.minimum.reduceat(lcp, np.concatenate([[0], places[:-1] + 1]))
+    low = np.minimum.reduceat(lcp[:places[-1] + 1], np.concatenate([[0], places[:-1] + 1]))
     run = np.concatenate([[True], low[1:] < length])
     head = np.flatnonzero(run)
     who = owner[order[places]]
@@ -253,6 +300,32 @@ def _unpack(blob: bytes, *types) -> list[np.ndarray]:
     return out
 
 
+def _squeeze(*arrays: np.ndarray) -> bytes:
+    raw = _pack(*arrays)
+    return len(raw).to_bytes(8, "little") + _CODEC.compress(raw, asbytes=True)
+
+
+def _unsqueeze(blob: bytes, *types) -> list[np.ndarray]:
+    return _unpack(_CODEC.decompress(memoryview(blob)[8:], int.from_bytes(blob[:8], "little"), asbytes=True), *types)
+
+
+def _cut(hashes: np.ndarray) -> np.ndarray:
+    """The first ``HASH_BYTES`` bytes of each."""
+    return np.ascontiguousarray(hashes.astype("<u8", copy=False)[:, None].view(np.uint8)[:, 8 - HASH_BYTES:]).ravel()
+
+
+def _whole(cut: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(cut) // HASH_BYTES, 8), np.uint8)
+    out[:, 8 - HASH_BYTES:] = cut.reshape(-1, HASH_BYTES)
+    return out.view("<u8").ravel()
+
+
+def _spread(n: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, ``first`` and on) for ``n`` steps of each."""
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(which))
+
+
 def _by_range(deal: np.ndarray, ranges: int):
     """Order of the rows by hash range, and the (range, first, stop) of each that occurs."""
     part = ((deal >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
@@ -285,6 +358,7 @@ class _Input:
     """One shard's documents and side rows as a task gets them."""
 
     def __init__(self, docs: pa.Table, side: pa.Table, length: int):
+        self.length = length
         docs = docs.sort_by([("id", "ascending"), ("th", "ascending")])
         kind = side.column("kind").to_numpy()
         part = side.filter(pa.array(kind == _COPY))
@@ -299,29 +373,37 @@ class _Input:
         self.size = size
         self.shard_no = docs.column("shard")[0].as_py() if docs.num_rows else None
         keep = np.repeat(~self.copy, size)
-        data = self.data[keep] if self.copy.any() else self.data
+        self.text = self.data[keep] if self.copy.any() else self.data
         self.stay = stay
         self.offs = np.concatenate([[0], np.cumsum(size[stay])]).astype(np.int64)
-        self.shard = Shard(self.ids[stay], data, self.offs, length)
-        shared = [_unpack(b, "<u8", "u1") for b in side.filter(pa.array(kind == _SHARED)).column("blob").to_pylist()]
-        h = np.concatenate([x[0] for x in shared]) if shared else np.zeros(0, np.uint64)
+        self.side, self.kind = side, kind
+
+    def blobs(self, kind: int) -> list[bytes]:
+        return self.side.filter(pa.array(self.kind == kind)).column("blob").to_pylist()
+
+    def shard(self) -> Shard:
+        return Shard(self.ids[self.stay], self.text, self.offs, self.length)
+
+    def shared(self) -> tuple[np.ndarray, np.ndarray]:
+        """Shared samples in order, and which of them are hot."""
+        shared = [_unpack(b, "u1", "u1") for b in self.blobs(_SHARED)]
+        h = _whole(np.concatenate([x[0] for x in shared])) if shared else np.zeros(0, np.uint64)
         f = np.concatenate([x[1] for x in shared]) if shared else np.zeros(0, np.uint8)
         o = np.argsort(h)
-        self.shared, self.hot = h[o], f[o] > 0
-        self.answers = [_unpack(b, "<u4", "u1", "u1", "<i8") for b in side.filter(pa.array(kind == _ANSWER)).column("blob").to_pylist()]
+        return h[o], f[o] > 0
 
 
-def _tasks(length: int, ranges: int):
+def _tasks(length: int, ranges: int, sample_ranges: int):
     """The functions that the Spark job applies to shards and ranges."""
 
     def sampled(_key, docs, side):
         x = _Input(docs, side, length)
-        h, n, many = x.shard.summary()
-        order, parts = _by_range(h, ranges)
-        return _routed((p, x.shard_no, _pack(h[order[a:b]], n[order[a:b]] | (many[order[a:b]].astype(np.uint8) << 7))) for p, a, b in parts)
+        h, n, many = x.shard().summary()
+        order, parts = _by_range(h, sample_ranges)
+        return _routed((p, x.shard_no, _pack(_cut(h[order[a:b]]), n[order[a:b]] | (many[order[a:b]].astype(np.uint8) << 7))) for p, a, b in parts)
 
     def shared(table):
-        blobs = [_unpack(b, "<u8", "u1") for b in table.column("blob").to_pylist()]
+        blobs = [(_whole(h), n) for h, n in (_unpack(b, "u1", "u1") for b in table.column("blob").to_pylist())]
         shards = table.column("shard").to_pylist()
         h = np.concatenate([b[0] for b in blobs])
         n = np.concatenate([b[1] for b in blobs])
@@ -339,107 +421,101 @@ def _tasks(length: int, ranges: int):
                 k = np.minimum(np.searchsorted(both, own), max(0, len(both) - 1))
                 on = both[k] == own if len(both) else np.zeros(len(own), bool)
                 if on.any():
-                    yield shard, _SHARED, None, None, None, _pack(own[on], hot[k[on]].astype(np.uint8))
+                    yield shard, _SHARED, None, None, None, _pack(_cut(own[on]), hot[k[on]].astype(np.uint8))
         return _side(out())
 
     def sent(_key, docs, side):
         x = _Input(docs, side, length)
-        deal, row, _start, _count, number, texts = x.shard.contexts(x.shared, x.hot)
-        if not len(texts):
+        shard = x.shard()
+        deal, row, start, count = shard.contexts(*x.shared())
+        if not len(row):
             return _routed([])
-        least = np.full(len(texts), _LAST, np.int64)
-        np.minimum.at(least, number, x.shard.ids[row])
-        first = np.zeros(len(texts), np.uint64)
-        first[number] = deal                            # equal contexts have equal deals
-        order, parts = _by_range(first, ranges)
+        order, new = same_texts(shard.data, start, count + length - 1, deal, length)
+        head = np.flatnonzero(new)
+        times = np.diff(np.concatenate([head, [len(order)]]))
+        least, most = (f.reduceat(shard.ids[row[order]], head) for f in (np.minimum, np.maximum))
+        place, pick = start[order].astype(np.uint32), order[head]
+        deal, size, raw = deal[pick], (count[pick] + length - 1).astype(np.uint8), shard.data.tobytes()
+        starts = start[pick].tolist()
+        stops = (start[pick] + size).tolist()
+        order, parts = _by_range(deal, ranges)          # as they are: texts come by deal
+        last = np.concatenate([head, [len(place)]])
 
         def out():
             for p, a, b in parts:
-                pick = order[a:b].tolist()
-                body = b"".join([texts[i] for i in pick])
-                yield p, x.shard_no, zlib.compress(_pack(np.array([len(texts[i]) for i in pick], np.uint8), np.array(pick, np.uint32), least[order[a:b]],
-                                                         first[order[a:b]], np.frombuffer(body, np.uint8)), 1)
+                body = b"".join([raw[i:j] for i, j in zip(starts[a:b], stops[a:b], strict=True)])
+                yield p, x.shard_no, _squeeze(size[a:b], times[a:b].astype(np.uint32), place[last[a]:last[b]], least[a:b], (least < most)[a:b], deal[a:b], np.frombuffer(body, np.uint8))
         return _routed(out())
 
     def answered(table):
-        shards, known, texts = table.column("shard").to_pylist(), {}, []
-        asked, least, deal = [], [], []
-        for blob in table.column("blob").to_pylist():
-            size, number, ids, sample, body = _unpack(zlib.decompress(blob), "u1", "<u4", "<i8", "<u8", "u1")
-            raw, ends = body.tobytes(), np.cumsum(size.astype(np.int64))
-            own, least_of, sample = np.zeros(len(size), np.int64), ids.tolist(), sample.tolist()
-            for k, (a, b) in enumerate(zip((ends - size).tolist(), ends.tolist(), strict=True)):
-                t = raw[a:b]
-                i = known.get(t)
-                if i is None:
-                    i = known[t] = len(texts)
-                    texts.append(t)
-                    deal.append(sample[k])
-                    least.append(least_of[k])
-                elif least_of[k] < least[i]:
-                    least[i] = least_of[k]
-                own[k] = i
-            asked.append((number, ids, own))
-        # equal windows have equal samples: the only context of a sample shares none; the others go to the suffix array
-        least = np.array(least, np.int64)
-        _, group, many = np.unique(np.array(deal, np.uint64), return_inverse=True, return_counts=True)
-        alone = np.flatnonzero(many[group] == 1)
-        several = np.flatnonzero(many[group] > 1)
-        who, win, low = window_owners([texts[i] for i in several.tolist()], least[several], length)
-        # per text, runs of windows with one smallest id
-        o = np.lexsort((win, who))
-        who, win, low = several[who[o]], win[o], low[o]
-        new = np.concatenate([[True], (who[1:] != who[:-1]) | (low[1:] != low[:-1])]) if len(who) else np.zeros(0, bool)
+        shards = table.column("shard").to_pylist()
+        blobs = [_unsqueeze(b, "u1", "<u4", "<u4", "<i8", "?", "<u8", "u1") for b in table.column("blob").to_pylist()]
+        edge = np.cumsum([0, *(len(b[0]) for b in blobs)])
+        size, times, place, least, wide, deal, data = (np.concatenate(c) for c in zip(*blobs, strict=True))
+        del blobs
+        size, times = size.astype(np.int64), times.astype(np.int64)
+        start = np.cumsum(size) - size
+        order, new = same_texts(data, start, size, deal, length)
         head = np.flatnonzero(new)
-        tail = np.concatenate([head[1:], [len(who)]]) - 1 if len(head) else head
-        last = np.array([len(texts[i]) - length for i in alone.tolist()], np.int64)
-        r_who, r_a, r_b, r_low = (np.concatenate(c) for c in ((who[head], alone), (win[head], np.zeros(len(alone), np.int64)), (win[tail], last), (low[head], least[alone])))
+        number = np.empty(len(order), np.int64)         # of the distinct text
+        number[order] = np.cumsum(new) - 1
+        low, pick = np.minimum.reduceat(least[order], head), order[head]
+        # equal windows have equal samples: the only context of a sample shares none; the others go to suffix arrays
+        first = np.flatnonzero(np.concatenate([[True], deal[pick[1:]] != deal[pick[:-1]]]))
+        n = np.diff(np.concatenate([first, [len(pick)]]))
+        alone = first[n == 1]
+        first, n = first[n > 1], n[n > 1]
+        several = _spread(n, first)[1]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        offsets = np.concatenate([[0], np.cumsum(size[pick[several]])])[ends]
+        runs = [(alone, np.zeros(len(alone), np.int64), size[pick[alone]] - length, low[alone])]
+        raw = data.tobytes()
+        for i, j in pieces(offsets, BATCH):
+            texts = several[ends[i]:ends[j]]
+            at, sizes = start[pick[texts]], size[pick[texts]]
+            body = b"".join([raw[a:b] for a, b in zip(at.tolist(), (at + sizes).tolist(), strict=True)])
+            who, win, lows = window_owners(np.frombuffer(body, np.uint8), sizes, low[texts], length)
+            # per text, runs of windows with one smallest id
+            o = _stable(who.astype(np.int64) * 256 + win, 40)
+            who, win, lows = who[o], win[o], lows[o]
+            cut = np.flatnonzero(np.concatenate([[True], (who[1:] != who[:-1]) | (lows[1:] != lows[:-1])]))
+            runs.append((texts[who[cut]], win[cut], win[np.concatenate([cut[1:], [len(who)]]) - 1], lows[cut]))
+        r_who, r_a, r_b, r_low = (np.concatenate(c) for c in zip(*runs, strict=True))
         o = np.argsort(r_who, kind="stable")
         r_who, r_a, r_b, r_low = r_who[o], r_a[o], r_b[o], r_low[o]
-        first = np.searchsorted(r_who, np.arange(len(texts) + 1))
+        first = np.searchsorted(r_who, np.arange(len(pick) + 1))
+        # runs of each text sent, where an occurrence may have a larger id; then their places
+        k, r = _spread(first[number + 1] - first[number], first[number])
+        on = (r_low[r] < least[k]) | wide[k]
+        k, r = k[on], r[on]
+        e, p = _spread(times[k], (np.cumsum(times) - times)[k])
+        at = (place[p] + r_a[r[e]]).astype(np.uint32)
+        far, low = (r_b - r_a + length).astype(np.uint8)[r[e]], r_low[r[e]]
+        edge = np.searchsorted(k[e], edge)
 
         def out():
-            for shard, (number, ids, own) in zip(shards, asked, strict=True):
-                n = first[own + 1] - first[own]
-                k = np.repeat(np.arange(len(own)), n)
-                r = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                on = r_low[r] < ids[k]
-                if on.any():
-                    k, r = k[on], r[on]
-                    yield shard, _ANSWER, None, None, None, _pack(number[k], r_a[r].astype(np.uint8), r_b[r].astype(np.uint8), r_low[r])
+            for shard, a, b in zip(shards, edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                if a < b:
+                    yield shard, _ANSWER, None, None, None, _pack(at[a:b], far[a:b], low[a:b])
         return _side(out())
 
     def removed(_key, docs, side):
         """(input, removed mark of every byte) of a shard."""
         x = _Input(docs, side, length)
-        _deal, row, start, _count, number, texts = x.shard.contexts(x.shared, x.hot)
-        cover = np.zeros(len(x.shard.data) + 1, np.int32)
-        if len(texts):
-            doc = x.shard.ids[row]
-            least = np.full(len(texts), _LAST, np.int64)
-            np.minimum.at(least, number, doc)
-            mine = np.flatnonzero(least[number] < doc)   # an earlier document of the shard has the whole context
-            np.add.at(cover, start[mine], 1)
-            np.add.at(cover, start[mine] + _count[mine] + length - 1, -1)
-            if x.answers:
-                no, a, b, low = (np.concatenate(c) for c in zip(*x.answers, strict=True))
-                o = np.argsort(no, kind="stable")
-                no, a, b, low = no[o], a[o].astype(np.int64), b[o].astype(np.int64), low[o]
-                first = np.searchsorted(no, np.arange(len(texts) + 1))
-                n = first[number + 1] - first[number]
-                u = np.repeat(np.arange(len(number)), n)
-                r = np.repeat(first[number] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                on = low[r] < doc[u]
-                u, r = u[on], r[on]
-                np.add.at(cover, start[u] + a[r], 1)
-                np.add.at(cover, start[u] + b[r] + length, -1)
-        return x, np.cumsum(cover[:-1]) > 0
+        cover = np.zeros(len(x.text) + 1, np.int32)
+        for blob in x.blobs(_ANSWER):
+            at, far, low = _unpack(blob, "<u4", "u1", "<i8")
+            at = at.astype(np.int64)
+            on = low < x.ids[x.stay[np.searchsorted(x.offs, at, side="right") - 1]]
+            np.add.at(cover, at[on], 1)
+            np.add.at(cover, at[on] + far[on], -1)
+        return x, np.cumsum(cover[:-1], dtype=np.int32, out=cover[:-1]) > 0
 
     def report(key, docs, side):
         x, gone = removed(key, docs, side)
         n = len(x.ids)
         n_removed, n_spans, sha = np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * n
-        data, offs = x.shard.data, x.offs
+        data, offs = x.text, x.offs
         for k, r in enumerate(x.stay.tolist()):
             g = gone[offs[k]:offs[k + 1]]
             n_removed[r] = g.sum()
@@ -468,15 +544,23 @@ def _tasks(length: int, ranges: int):
     return sampled, shared, sent, answered, report, spans
 
 
+def _plan(size: int) -> tuple[int, int, int]:
+    """(shards, ranges of contexts, ranges of samples) for so many bytes of text: many enough to be spread, few enough for their pairs."""
+    least = max(8, min(SPREAD, -(-size // (2 << 20))))
+    shards, ranges = max(least, -(-size // SHARD_BYTES)), max(least, -(-size // RANGE_BYTES))
+    return shards, ranges, max(least, -(-ranges // WIDE))
+
+
 def _run(docs: DataFrame, length: int, shards: int | None, ranges: int | None):
     """(documents by shard, side rows, tasks): all steps but the last, as one lazy plan whose text exchange is reused."""
     rows = only(docs, doc_id="bigint", text="string").withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("id", F.coalesce("doc_id", F.lit(_LAST)))
     if not shards:
         size = rows.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-        shards = max(8, -(-size // SHARD_BYTES))
-        ranges = max(8, -(-size // RANGE_BYTES))
-    sampled, shared, sent, answered, report, spans = _tasks(length, ranges or shards)
+        shards, *ranges = _plan(size)
+    else:
+        ranges = [ranges or shards] * 2
+    sampled, shared, sent, answered, report, spans = _tasks(length, *ranges)
     rows = rows.withColumns({"shard": F.pmod(F.xxhash64(F.lit(11), "id", "text"), F.lit(shards)).cast("int"), "th": F.xxhash64("text")})
     keys = rows.select("shard", "id", "th", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("n")).filter(F.col("n") >= length)
     first = keys.groupBy("sha").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").drop("last")
@@ -486,8 +570,7 @@ def _run(docs: DataFrame, length: int, shards: int | None, ranges: int | None):
     one = by_shard.cogroup(copies.groupBy("shard")).applyInArrow(sampled, _ROUTE)
     side = copies.unionByName(one.groupBy("part").applyInArrow(shared, _SIDE))
     two = by_shard.cogroup(side.groupBy("shard")).applyInArrow(sent, _ROUTE)
-    side = side.unionByName(two.groupBy("part").applyInArrow(answered, _SIDE))
-    return by_shard, side, report, spans
+    return by_shard, copies.unionByName(two.groupBy("part").applyInArrow(answered, _SIDE)), report, spans
 
 
 def dedup_report(docs: DataFrame, length: int = LENGTH, shards: int | None = None, ranges: int | None = None) -> DataFrame:

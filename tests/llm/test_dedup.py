@@ -92,6 +92,55 @@ def test_suffix_array_order():
             assert lcp[k] == want
 
 
+def test_suffix_last_window_before_shorter_suffixes(spark):
+    """The greatest repeated window is followed by shorter suffixes only ("zz" after "zy..."): it is a repeat all the same."""
+    rnd = random.Random(2)
+    body = "".join(rnd.choice("abcdefgh") for _ in range(48))
+    rows = [(k, x + "zy" + body + "zz") for k, x in enumerate(("aa", "bb", "cc"))]
+    got = sorted([tuple(r) for r in suffixes.dedup_report(docs(spark, rows)).collect()], key=str)
+    assert got == brute_suffixes(rows)
+    for _ in range(60):
+        texts = ["".join(rnd.choice("az") for _ in range(rnd.randrange(5, 14))).encode() for _ in range(12)]
+        ids = np.array([rnd.randrange(9) for _ in texts])
+        want = {(k, w): min(i for t, i in zip(texts, ids.tolist(), strict=True) if texts[k][w:w + 5] in t) for k in range(12) for w in range(len(texts[k]) - 4)}
+        who, win, low = suffixes.window_owners(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]), ids, 5)
+        assert dict(zip(zip(who.tolist(), win.tolist(), strict=True), low.tolist(), strict=True)) == want
+
+
+def test_suffix_samples_are_not_shared_by_chance():
+    """Texts with common 16-byte words and nothing longer in common share no sample, so none of their text is sent."""
+    rnd = random.Random(7)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(16)) for _ in range(40)]
+
+    def hashes():
+        data = np.frombuffer("".join(rnd.choice(words) + "".join(rnd.choice("ijklmnopqrstuvwxyz") for _ in range(8)) for _ in range(2000)).encode(), np.uint8)
+        return suffixes.samples(data, np.array([0, len(data)]))[3]
+    assert not len(np.intersect1d(hashes(), hashes()))
+
+
+def test_suffix_pairs_of_shards_and_ranges():
+    """A packed row goes from each shard to each range and back: at 10 GB of text (6 GB of Parquet) 3 million rows each way before."""
+    shards, ranges, sample_ranges = suffixes._plan(10 << 30)
+    assert shards * (ranges + sample_ranges) < 1_200_000
+    assert (10 << 30) / min(shards, ranges) <= 16 << 20
+    assert suffixes._plan(0) == (8, 8, 8)
+
+
+def test_suffix_equal_texts_are_equal_bytes(monkeypatch):
+    """Texts whose hashes all collide are told apart by their bytes."""
+    rnd = random.Random(4)
+    texts = [(rnd.choice("ab") + "x" * 50 + rnd.choice("cd") + rnd.choice("ef") * rnd.randrange(3)).encode() for _ in range(300)]
+    data, size = np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])
+    start, deal = np.cumsum(size) - size, np.array([rnd.randrange(3) for _ in texts], np.uint64)
+    for clash in (False, True):
+        if clash:
+            monkeypatch.setattr(suffixes, "_hashed", lambda words, start, length, x: np.zeros(len(start), np.uint64))
+        order, new = suffixes.same_texts(data, start, size, deal, 50)
+        got = [(int(deal[i]), texts[i]) for i in order]
+        assert new.tolist() == [True] + [a != b for a, b in zip(got[1:], got, strict=False)]
+        assert sorted(order.tolist()) == list(range(300)) and (clash or new.sum() == len(set(got)))
+
+
 # ---------------------------------------------------------------- SimHash
 
 def fingerprint(text, width=4):
