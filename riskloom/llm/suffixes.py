@@ -15,7 +15,8 @@ Every byte goes that lies in a ``length``-byte string which also starts in a doc
 
 A shard sends each distinct context once, with its smallest doc_id and where it stands, so the text of a passage that a third of all
 documents hold is one row a shard, and the answers are places.  A sample with very many contexts (a common phrase) is dealt
-window by window, by the window's own hash.
+window by window, by the window's own hash; its windows are answered by number, and their places, which repeat with the phrase,
+go from the shard to itself in one packed row.
 
 A (shard, range) pair is one packed row.  Pairs grow with the square of the text, so shards and ranges are as large as a task's
 memory lets them be; a range's suffix arrays are built one after the other, over the contexts of so many samples as ``BATCH`` holds.
@@ -153,7 +154,7 @@ class Shard:
         return h[first], np.minimum(n, 127).astype(np.uint8), many
 
     def contexts(self, shared: np.ndarray, hot: np.ndarray):
-        """Contexts of the shared samples: (hash to deal by, row, first window start, windows)."""
+        """Contexts of the shared samples: (hash to deal by, row, first window start, windows), and how many of them are cold; single windows of hot samples follow."""
         some = np.zeros(1 << 22, bool)                 # most hashes are no shared one's: seen by their first bits
         some[shared >> np.uint64(42)] = True
         on = np.flatnonzero(some[self.hash >> np.uint64(42)])
@@ -168,7 +169,7 @@ class Shard:
         start = np.concatenate([self.start[cold], single])
         count = np.concatenate([self.count[cold], np.ones(len(single), np.int64)])
         deal = np.concatenate([self.hash[cold], _hashed(_words(self.data), single, self.length, np.zeros(len(single), np.uint64))])
-        return deal, row, start, count
+        return deal, row, start, count, len(cold)
 
 
 # ---------------------------------------------------------------- suffix array of contexts
@@ -339,7 +340,7 @@ def _by_range(deal: np.ndarray, ranges: int):
 
 _SIDE = "shard int, kind int, id bigint, th bigint, part int, blob binary"
 _SIDE_PA = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("id", pa.int64()), ("th", pa.int64()), ("part", pa.int32()), ("blob", pa.binary())])
-_COPY, _SHARED, _ANSWER = 0, 1, 2
+_COPY, _SHARED, _ANSWER, _HOT_ANSWER, _HOT_PLACES = range(5)
 _ROUTE = "part int, shard int, blob binary"
 
 
@@ -427,32 +428,45 @@ def _tasks(length: int, ranges: int, sample_ranges: int):
     def sent(_key, docs, side):
         x = _Input(docs, side, length)
         shard = x.shard()
-        deal, row, start, count = shard.contexts(*x.shared())
+        deal, row, start, count, cold = shard.contexts(*x.shared())
         if not len(row):
             return _routed([])
         order, new = same_texts(shard.data, start, count + length - 1, deal, length)
         head = np.flatnonzero(new)
-        times = np.diff(np.concatenate([head, [len(order)]]))
+        number = np.empty(len(order), np.uint32)
+        number[order] = np.cumsum(new) - 1
+        hot = np.argsort(start[cold:], kind="stable") + cold
+        places = np.diff(start[hot], prepend=0).astype(np.uint32), number[hot]     # a phrase's steps and numbers recur: packed well
+        pick = order[head]
+        times = np.where(pick < cold, np.diff(np.concatenate([head, [len(order)]])), 0)    # hot windows are answered by number
         least, most = (f.reduceat(shard.ids[row[order]], head) for f in (np.minimum, np.maximum))
-        place, pick = start[order].astype(np.uint32), order[head]
+        place = start[order[order < cold]].astype(np.uint32)
         deal, size, raw = deal[pick], (count[pick] + length - 1).astype(np.uint8), shard.data.tobytes()
         starts = start[pick].tolist()
         stops = (start[pick] + size).tolist()
         order, parts = _by_range(deal, ranges)          # as they are: texts come by deal
-        last = np.concatenate([head, [len(place)]])
+        last = np.concatenate([[0], np.cumsum(times)])
 
         def out():
+            if len(hot):
+                yield x.shard_no % ranges, -1 - x.shard_no, _squeeze(*places)
             for p, a, b in parts:
                 body = b"".join([raw[i:j] for i, j in zip(starts[a:b], stops[a:b], strict=True)])
-                yield p, x.shard_no, _squeeze(size[a:b], times[a:b].astype(np.uint32), place[last[a]:last[b]], least[a:b], (least < most)[a:b], deal[a:b], np.frombuffer(body, np.uint8))
+                yield p, x.shard_no, _squeeze(np.array([a], np.uint32), size[a:b], times[a:b].astype(np.uint32), place[last[a]:last[b]], least[a:b], (least < most)[a:b], deal[a:b], np.frombuffer(body, np.uint8))
         return _routed(out())
 
     def answered(table):
-        shards = table.column("shard").to_pylist()
-        blobs = [_unsqueeze(b, "u1", "<u4", "<u4", "<i8", "?", "<u8", "u1") for b in table.column("blob").to_pylist()]
-        edge = np.cumsum([0, *(len(b[0]) for b in blobs)])
-        size, times, place, least, wide, deal, data = (np.concatenate(c) for c in zip(*blobs, strict=True))
-        del blobs
+        rows = list(zip(table.column("shard").to_pylist(), table.column("blob").to_pylist(), strict=True))
+        passed = [(-1 - shard, _HOT_PLACES, None, None, None, blob) for shard, blob in rows if shard < 0]
+        rows = [r for r in rows if r[0] >= 0]
+        if not rows:
+            return _side(passed)
+        shards = [shard for shard, _ in rows]
+        blobs = [_unsqueeze(b, "<u4", "u1", "<u4", "<u4", "<i8", "?", "<u8", "u1") for _, b in rows]
+        edge = np.cumsum([0, *(len(b[1]) for b in blobs)])
+        base, size, times, place, least, wide, deal, data = (np.concatenate(c) for c in zip(*blobs, strict=True))
+        base = np.arange(edge[-1]) + np.repeat(base - edge[:-1], np.diff(edge))      # numbers in their shards
+        del blobs, rows
         size, times = size.astype(np.int64), times.astype(np.int64)
         start = np.cumsum(size) - size
         order, new = same_texts(data, start, size, deal, length)
@@ -488,27 +502,41 @@ def _tasks(length: int, ranges: int, sample_ranges: int):
         k, r = _spread(first[number + 1] - first[number], first[number])
         on = (r_low[r] < least[k]) | wide[k]
         k, r = k[on], r[on]
+        hot = np.flatnonzero(times[k] == 0)
+        hot_no, hot_low, hot_edge = base[k[hot]].astype(np.uint32), r_low[r[hot]], np.searchsorted(k[hot], edge).tolist()
         e, p = _spread(times[k], (np.cumsum(times) - times)[k])
         at = (place[p] + r_a[r[e]]).astype(np.uint32)
         far, low = (r_b - r_a + length).astype(np.uint8)[r[e]], r_low[r[e]]
         edge = np.searchsorted(k[e], edge)
 
         def out():
-            for shard, a, b in zip(shards, edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            yield from passed
+            for shard, a, b, i, j in zip(shards, edge[:-1].tolist(), edge[1:].tolist(), hot_edge[:-1], hot_edge[1:], strict=True):
                 if a < b:
                     yield shard, _ANSWER, None, None, None, _pack(at[a:b], far[a:b], low[a:b])
+                if i < j:
+                    yield shard, _HOT_ANSWER, None, None, None, _pack(hot_no[i:j], hot_low[i:j])
         return _side(out())
 
     def removed(_key, docs, side):
         """(input, removed mark of every byte) of a shard."""
         x = _Input(docs, side, length)
         cover = np.zeros(len(x.text) + 1, np.int32)
-        for blob in x.blobs(_ANSWER):
-            at, far, low = _unpack(blob, "<u4", "u1", "<i8")
-            at = at.astype(np.int64)
+
+        def mark(at, far, low):
             on = low < x.ids[x.stay[np.searchsorted(x.offs, at, side="right") - 1]]
             np.add.at(cover, at[on], 1)
-            np.add.at(cover, at[on] + far[on], -1)
+            np.add.at(cover, (at + far)[on], -1)
+        for blob in x.blobs(_ANSWER):
+            at, far, low = _unpack(blob, "<u4", "u1", "<i8")
+            mark(at.astype(np.int64), far, low)
+        for blob in x.blobs(_HOT_PLACES):
+            step, number = _unsqueeze(blob, "<u4", "<u4")
+            lows = np.full(int(number.max()) + 1, _LAST)
+            for answer in x.blobs(_HOT_ANSWER):
+                no, low = _unpack(answer, "<u4", "<i8")
+                lows[no] = low
+            mark(np.cumsum(step, dtype=np.int64), length, lows[number])
         return x, np.cumsum(cover[:-1], dtype=np.int32, out=cover[:-1]) > 0
 
     def report(key, docs, side):

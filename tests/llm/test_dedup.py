@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -141,6 +142,22 @@ def test_suffix_equal_texts_are_equal_bytes(monkeypatch):
         assert sorted(order.tolist()) == list(range(300)) and (clash or new.sum() == len(set(got)))
 
 
+def test_suffix_hot_phrase_is_packed(monkeypatch):
+    """A phrase that every document holds: its windows' places and answers take less room than its text."""
+    monkeypatch.setattr(suffixes, "HOT", 100)
+    rnd = random.Random(9)
+    phrase = "".join(rnd.choice("abcdefgh") for _ in range(500))
+    rows = [(k, "".join(rnd.choice("ijklmnop") for _ in range(60 + k % 7)) + phrase) for k in range(300)]
+    table = pa.table({"shard": pa.array([0] * 300, pa.int32()), "id": [i for i, _ in rows], "th": list(range(300)), "doc_id": [i for i, _ in rows], "text": [t for _, t in rows]})
+    sampled, shared, sent, answered, report, _ = suffixes._tasks(50, 1, 1)
+    side = shared(sampled(None, table, suffixes._side([])))
+    route = sent(None, table, side)
+    answers = answered(route)
+    got = report(None, table, answers)
+    assert sorted([tuple(r.values()) for r in got.to_pylist()], key=str) == brute_suffixes(rows)
+    assert sum(len(b) for t in (route, answers) for b in t.column("blob").to_pylist()) < 300 * len(phrase)
+
+
 # ---------------------------------------------------------------- SimHash
 
 def fingerprint(text, width=4):
